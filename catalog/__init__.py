@@ -1,5 +1,5 @@
 """Registered queries and the DuckDB SQL that checks them."""
 
-from catalog import usage
+from catalog import scan, usage
 
-MODULES = [usage]
+MODULES = [usage, scan]

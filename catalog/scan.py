@@ -1,0 +1,238 @@
+"""B: scanning texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.common import flat, joined, sql, table
+from catalog.prompts import PROMPTS_CTE, prompts
+from veilkit import defaults
+from veilkit.functions.normalize import normalized
+from veilkit.functions.values import canonical_value, exempt_value, mask_label, subject_value
+from veilkit.operators import dictionary as D
+from veilkit.operators import injection as I
+from veilkit.operators import parts as PT
+from veilkit.operators import scan as S
+
+PROMPT_TERMS = D.Entry("KURUM_PROJE", terms=("Proje Anka", "Proje Turna"))
+MANY_TERMS = D.Entry("KURUM_PROJE", terms=("Proje Anka", "Proje Turna", *[f"Proje Kod {i}" for i in range(400)]))
+SALT = "catalog-salt"
+E_MAIL, CARD = S.ScanConfig(entities=("EMAIL_ADDRESS",)), S.ScanConfig(entities=("CREDIT_CARD",))
+
+
+def _spans(df, key="event_id"):
+    return (S.exploded(df.select(key, "text", "findings"))
+            .select(key, "entity", F.col("start").cast("bigint").alias("start_at"), F.col("end").cast("bigint").alias("end_at"),
+                    "score", F.col("value").alias("found")))
+
+
+def scan_prompts(s, d):
+    return _spans(S.with_findings(prompts(s, d), defaults.SCAN))
+
+
+def scan_prompts_external(s, d):
+    """Person spans from another detector join before overlaps are resolved."""
+    df = prompts(s, d).withColumn("ner", F.expr(
+        "array(named_struct('entity', 'PERSON', 'start', 0, 'end', 4, 'score', if(k % 2 = 0, 0.9D, 0.5D)), "
+        "named_struct('entity', 'LOCATION', 'start', instr(text, 'TC ') + 2, 'end', instr(text, 'TC ') + 4, 'score', 0.95D))"))
+    rows = df.withColumn("findings", S.findings("text", defaults.SCAN, external="ner"))
+    return _spans(rows).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def document_spans(config):
+    def run(s, d):
+        docs = table(s, d, "documents").select("doc_id", "text")
+        rows = S.exploded(S.with_findings(docs, config))
+        return rows.groupBy("doc_id", "entity", "value").agg(F.count(F.lit(1)).alias("n"))
+    return run
+
+
+def document_entities(s, d):
+    docs = table(s, d, "documents").select("doc_id", "lang", "text")
+    found = S.with_findings(docs, defaults.SCAN)
+    return S.entity_counts(found, ["lang"])
+
+
+def distinct_scan(s, d):
+    texts = prompts(s, d).withColumn("text", F.regexp_replace("text", "^Soru [0-9]+", "Soru"))
+    return (S.scan_distinct(texts.select("event_id", "text"), defaults.SCAN)
+            .select("event_id", joined("findings.entity").alias("entities")))
+
+
+def exempt(s, d):
+    phone = S.Exemption("PHONE_TR", values=("+90 532 100 10 67", "05321171167"))
+    iban = S.Exemption("IBAN_TR", patterns=(r"TR\d{24}",))
+    config = S.ScanConfig(dictionary=defaults.DICTIONARY, exemptions=(phone, iban))
+    return _spans(S.with_findings(prompts(s, d), config)).select("event_id", "entity", "found")
+
+
+def entity_totals(s, d):
+    found = S.with_findings(prompts(s, d), defaults.SCAN)
+    return S.entity_counts(found, ["team"])
+
+
+def display_segments(s, d):
+    found = S.with_findings(prompts(s, d), defaults.SCAN).withColumn("pieces", S.segments())
+    return (found.select("event_id", F.inline_outer("pieces"))
+            .groupBy("event_id").agg(F.count(F.lit(1)).alias("pieces"), F.count("entity").alias("marked"),
+                                     F.sum(F.length("text")).alias("chars")))
+
+
+def long_dictionary(s, d):
+    config = S.ScanConfig(dictionary=(MANY_TERMS,), entities=("KURUM_PROJE",), builtin=False)
+    return _spans(S.with_findings(prompts(s, d), config)).drop("score")
+
+
+def hashed_dictionary(s, d):
+    terms = s.createDataFrame([("KURUM_PROJE", t, False) for t in MANY_TERMS.terms], "entity string, term string, case_sensitive boolean")
+    rows = D.term_hashes(terms, SALT).collect()  # bounded by the dictionary's term limit
+    found = D.hashed_term_findings("KURUM_PROJE", [r.hash for r in rows], [r.units for r in rows], SALT, "text")
+    return _spans(prompts(s, d).withColumn("findings", found)).drop("score")
+
+
+def injection(source, key):
+    def run(s, d):
+        df = prompts(s, d) if source == "prompts" else table(s, d, source)
+        return (I.with_injection(df.select(key, "text"))
+                .select(key, F.array_join(F.col("injection_rules").cast("array<string>"), ",").alias("rules"), "injection_score"))
+    return run
+
+
+def classifier(s, d):
+    scored = I.with_injection(prompts(s, d).select("event_id", "k", "text"))
+    flagged = scored.select("event_id", (F.col("k") % 10 == 0).alias("is_injection"))
+    return I.classifier_override(scored, flagged, "event_id").select("event_id", "injection_score", "injection_engine")
+
+
+def request_rows(s, d):
+    """Requests with their parts in one row: a system text and the prompt, cut in the middle."""
+    return prompts(s, d).withColumn("parts", F.expr(
+        "array(named_struct('role', 'system', 'text', 'Yardımcı ol.'), "
+        "named_struct('role', 'user', 'text', substr(text, 1, cast(length(text) / 2 AS int))), "
+        "named_struct('role', 'user', 'text', substr(text, cast(length(text) / 2 AS int) + 1)))"))
+
+
+def parts_scan(s, d):
+    rows = PT.injection_parts(PT.analyze_parts(request_rows(s, d), defaults.SCAN))
+    whole = S.with_findings(rows.withColumn("all_text", F.array_join("parts.text", "\n")), defaults.SCAN,
+                            text="all_text", into="expected")
+    return whole.select(
+        "event_id", joined("findings.entity").alias("entities"),
+        (F.size("part_findings")).cast("bigint").alias("parts"),
+        (F.expr("transform(findings, f -> concat(f.entity, f.start, '-', f.end))")
+         == F.expr("transform(expected, f -> concat(f.entity, f.start, '-', f.end))")).alias("same_as_whole"))
+
+
+def turn_scan(s, d):
+    """Every turn of every user's prompts is one row; spans over turn boundaries are kept apart."""
+    turns = prompts(s, d).select("user_id", "event_id", "text")
+    rows = PT.analyze_turns(turns, defaults.SCAN, keys=["user_id"], turn="event_id")
+    return rows.select("user_id", "event_id", joined("findings.entity").alias("entities"),
+                       joined("edge_findings.entity").alias("edge_entities"))
+
+
+def conversation_turns(s, d):
+    turns = I.with_injection(table(s, d, "conversations"))
+    rows = PT.analyze_turns(turns, defaults.SCAN, keys=["conv_id"], turn="turn", keep=["role", "injection_score"])
+    return rows.groupBy("role").agg(
+        F.count(F.lit(1)).alias("turns"), F.sum(F.size("findings")).alias("findings"),
+        F.sum(F.size("edge_findings")).alias("edge_findings"), F.max("injection_score").alias("max_score"))
+
+
+def value_forms(s, d):
+    rows = S.exploded(S.with_findings(prompts(s, d), defaults.SCAN).select("event_id", "text", "findings"))
+    forms = {"canonical": canonical_value, "exempt": exempt_value, "subject": subject_value}
+    return (rows.groupBy("entity", "value").agg(F.count(F.lit(1)).alias("n"))
+            .select("entity", "value", "n", *[F.expr(f("entity", "value")).alias(n) for n, f in forms.items()],
+                    F.expr(mask_label("entity", "value")).alias("shown_as")))
+
+
+def normalization(s, d):
+    rows = prompts(s, d).withColumn("n", F.expr(normalized("text")))
+    return rows.select("event_id", F.length("n.text").cast("bigint").alias("chars"),
+                       F.sha2("n.text", 256).alias("sha"), F.col("n.index").isNotNull().alias("moved"))
+
+
+def dictionary_describe(s, d):
+    terms = table(s, d, "part").select(F.concat(F.lit("KURUM_"), F.upper(F.substring_index("p_type", " ", 1))).alias("entity"),
+                                       F.col("p_name").alias("term")).distinct()
+    return D.describe(terms)
+
+
+QUERIES = {
+    "b1_normalize": normalization,
+    "b2_scan_spans": scan_prompts,
+    "b7_scan_cards": document_spans(CARD),
+    "b8_scan_emails": document_spans(E_MAIL),
+    "b25_scan_documents": document_entities,
+    "b26_scan_exemptions": exempt,
+    "b27_scan_parts": parts_scan,
+    "b27_scan_turns": turn_scan,
+    "b27_scan_conversations": conversation_turns,
+    "b28_scan_distinct": distinct_scan,
+    "b29_external_findings": scan_prompts_external,
+    "b30_dictionary_long": long_dictionary,
+    "b32_dictionary_hashed": hashed_dictionary,
+    "b33_entity_counts": entity_totals,
+    "b34_injection_prompts": injection("prompts", "event_id"),
+    "b34_injection_documents": injection("documents", "doc_id"),
+    "b36_classifier_override": classifier,
+    "b37_value_forms": value_forms,
+    "b38_segments": display_segments,
+    "b41_dictionary_describe": dictionary_describe,
+}
+
+_W = "[\\pL\\pN_]"
+_ENTITIES = ("array_to_string(list_filter([CASE WHEN k%7=0 THEN 'IBAN_TR' END, CASE WHEN k%17=0 THEN 'KURUM_PROJE' END, "
+             "CASE WHEN k%5=0 THEN 'PHONE_TR' END, CASE WHEN k%13=0 THEN 'SECRET_AWS_KEY' END, CASE WHEN k%4=0 THEN 'TCKN' END], "
+             "lambda e: e IS NOT NULL), ',')")
+_DIGITS = "regexp_replace({}, '[^0-9]', '', 'g')"
+_FORM = (f"CASE WHEN entity IN ('TCKN') THEN {_DIGITS.format('found')} WHEN entity = 'PHONE_TR' THEN right({_DIGITS.format('found')}, 10) "
+         "WHEN entity = 'IBAN_TR' THEN upper(replace(found, ' ', '')) ELSE {other} END")
+_RULES = "array_to_string(list_filter([CASE WHEN k%19=0 THEN '0' END, CASE WHEN k%19=0 THEN '1' END, CASE WHEN k%23=0 THEN '4' END, " \
+         "CASE WHEN k%4=0 AND event_id%5=0 THEN '8' END], lambda e: e IS NOT NULL), ',')"
+_SCORE = "CASE WHEN k%19=0 THEN 0.9::DOUBLE WHEN k%23=0 THEN 0.8::DOUBLE WHEN k%4=0 AND event_id%5=0 THEN 0.6::DOUBLE ELSE 0::DOUBLE END"
+_LUHN = ("(list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN "
+         "CAST(d[i:i] AS INT) WHEN CAST(d[i:i] AS INT) * 2 > 9 THEN CAST(d[i:i] AS INT) * 2 - 9 "
+         "ELSE CAST(d[i:i] AS INT) * 2 END)) % 10 = 0)")
+
+ORACLES = {
+    "b1_normalize": sql("""SELECT event_id, length(replace(text, '​', '')) AS chars, sha256(replace(text, '​', '')) AS sha,
+ strpos(text, '​') > 0 AS moved FROM prompts""", PROMPTS_CTE),
+    "b2_scan_spans": sql("SELECT event_id, entity, start_at, end_at, score, found FROM spans", PROMPTS_CTE),
+    "b7_scan_cards": f"""
+WITH long AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '[0-9](?:[ -]?[0-9])*')) AS value FROM documents),
+ runs AS (SELECT doc_id, text, unnest(CASE WHEN length(regexp_replace(value, '[^0-9]', '', 'g')) > 19
+  THEN string_split_regex(value, '[ -]') ELSE [value] END) AS value FROM long),
+ cards AS (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM runs)
+SELECT doc_id, 'CREDIT_CARD' AS entity, value, count(*) AS n FROM cards
+ WHERE length(d) BETWEEN 13 AND 19 AND {_LUHN} GROUP BY doc_id, value""",
+    "b8_scan_emails": f"""
+SELECT doc_id, 'EMAIL_ADDRESS' AS entity, value, count(*) AS n FROM (
+ SELECT doc_id, text, unnest(regexp_extract_all(text,
+  '{_W}[\\pL\\pN_.+-]*@[\\pL\\pN_-]+(?:\\.[\\pL\\pN_-]+)*\\.[\\pL\\pN_-]*{_W}')) AS value FROM documents) GROUP BY doc_id, value""",
+    "b26_scan_exemptions": sql("""SELECT event_id, entity, found FROM spans
+ WHERE NOT (entity = 'PHONE_TR' AND found IN ('0532 100 10 67', '0532 117 11 67')) AND NOT (entity = 'IBAN_TR' AND event_id % 2 = 0)""",
+                               PROMPTS_CTE),
+    "b27_scan_turns": sql(f"SELECT user_id, event_id, {_ENTITIES} AS entities, '' AS edge_entities FROM prompts", PROMPTS_CTE),
+    "b28_scan_distinct": sql(f"SELECT event_id, {_ENTITIES} AS entities FROM prompts", PROMPTS_CTE),
+    "b29_external_findings": sql("""SELECT entity, count(*) AS n FROM (SELECT entity FROM spans
+ UNION ALL SELECT 'PERSON' FROM prompts WHERE k % 4 = 0
+ UNION ALL SELECT 'LOCATION' FROM prompts WHERE k % 4 <> 0) GROUP BY 1""", PROMPTS_CTE),
+    "b30_dictionary_long": sql("SELECT event_id, entity, start_at, end_at, found FROM spans WHERE entity = 'KURUM_PROJE'", PROMPTS_CTE),
+    "b32_dictionary_hashed": sql("SELECT event_id, entity, start_at, end_at, found FROM spans WHERE entity = 'KURUM_PROJE'", PROMPTS_CTE),
+    "b33_entity_counts": sql("SELECT team, entity, count(*) AS n FROM spans GROUP BY 1, 2", PROMPTS_CTE),
+    "b34_injection_prompts": sql(f"SELECT event_id, {_RULES} AS rules, {_SCORE} AS injection_score FROM prompts", PROMPTS_CTE),
+    "b36_classifier_override": sql(f"""SELECT event_id, CASE WHEN k%10=0 AND s < 0.9::DOUBLE THEN 0.9::DOUBLE ELSE s END AS injection_score,
+ CASE WHEN k%10=0 AND s < 0.9::DOUBLE THEN 'llm_guard' ELSE 'heuristic' END AS injection_engine
+ FROM (SELECT *, {_SCORE} AS s FROM prompts)""", PROMPTS_CTE),
+    "b37_value_forms": sql(f"""SELECT entity, found AS value, count(*) AS n, {_FORM.format(other='found')} AS canonical,
+ {_FORM.format(other="lower(regexp_replace(trim(found), ' +', ' ', 'g'))")} AS "exempt", {_FORM.format(other='trim(found)')} AS subject,
+ repeat('*', length(replace(found, ' ', '')) - 4) || right(replace(found, ' ', ''), 4) AS shown_as FROM spans GROUP BY entity, found""",
+                           PROMPTS_CTE),
+    "b38_segments": sql("""SELECT p.event_id, coalesce(n, 0) * 2 + CASE WHEN coalesce(last_end, 0) < length(text) THEN 1 ELSE 0 END AS pieces,
+ coalesce(n, 0) AS marked, length(text) AS chars FROM prompts p LEFT JOIN (SELECT event_id, count(*) AS n, max(end_at) AS last_end
+ FROM spans GROUP BY 1) s ON p.event_id = s.event_id""", PROMPTS_CTE),
+    "b41_dictionary_describe": """SELECT entity, count(DISTINCT term) AS terms, 0 AS patterns FROM (
+ SELECT 'KURUM_' || upper(split_part(p_type, ' ', 1)) AS entity, p_name AS term FROM part) GROUP BY 1""",
+}

@@ -28,25 +28,24 @@ def _digit_array(value: str) -> str:
     return f"transform(split({digits(value)}, ''), c -> cast(c AS int))"
 
 
-def _sum(arr: str, picks) -> str:
-    return "(" + " + ".join(f"{arr}[{i}]" for i in picks) + ")"
+def _total(arr: str) -> str:
+    return f"aggregate({arr}, 0, (t, x) -> t + x)"
 
 
 def is_tckn(value: str) -> str:
-    tenth = f"pmod({_sum('d', range(0, 9, 2))} * 7 - {_sum('d', range(1, 8, 2))}, 10)"
-    ok = f"size(d) = 11 AND d[0] <> 0 AND d[9] = {tenth} AND d[10] = {_sum('d', range(10))} % 10"
-    return let("d", _digit_array(value), f"({ok})")
-
-
-def _vkn_term(i: int) -> str:
-    weight = 2 ** (9 - i)
-    shifted = f"((d[{i}] + {9 - i}) % 10)"
-    return f"if({shifted} <> 0 AND ({shifted} * {weight}) % 9 = 0, 9, ({shifted} * {weight}) % 9)"
+    """The tenth digit checks seven times the odd places less the even ones, the eleventh checks all ten."""
+    tenth = f"pmod({_total('transform(slice(d, 1, 9), (c, i) -> if(i % 2 = 0, 7 * c, -c))')}, 10)"
+    return let("d", _digit_array(value),
+               f"(size(d) = 11 AND d[0] <> 0 AND d[9] = {tenth} AND d[10] = {_total('slice(d, 1, 10)')} % 10)")
 
 
 def is_vkn(value: str) -> str:
-    total = " + ".join(_vkn_term(i) for i in range(9))
-    return let("d", _digit_array(value), f"(size(d) = 10 AND (10 - ({total}) % 10) % 10 = d[9])")
+    """Each of nine digits is shifted by its place, weighted by a power of two and reduced modulo nine
+    (a shifted digit other than zero counts nine instead of zero)."""
+    weighted = "(x * shiftleft(1, 9 - i)) % 9"
+    terms = ("transform(transform(slice(d, 1, 9), (c, i) -> (c + 9 - i) % 10), "
+             f"(x, i) -> if(x <> 0 AND {weighted} = 0, 9, {weighted}))")
+    return let("d", _digit_array(value), f"(size(d) = 10 AND (10 - {_total(terms)} % 10) % 10 = d[9])")
 
 
 def is_tr_iban(value: str) -> str:

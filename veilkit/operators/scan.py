@@ -97,49 +97,55 @@ def built_in() -> tuple[Recognizer, ...]:
     return tuple(Recognizer(e, p, ci, s, v, g, _GATES.get(e, "")) for e, p, ci, s, v, g in fixed.RECOGNIZERS)
 
 
-def _candidates(rec: Recognizer, order: int, text: str) -> str:
-    """Valid matches of one recognizer as array<struct<start,end,score,rec,ord,entity>>."""
+def _pieces(rec: Recognizer, order: int, text: str) -> str:
+    """The text cut at every match: gaps at even, matches at odd places (match and group, if one counts)."""
     fenced = f"{_FENCE}$0{_GROUP}$1{_FENCE}" if rec.group else f"{_FENCE}$0{_FENCE}"
-    pieces = f"split(regexp_replace({text}, {literal(rec.java)}, '{fenced}'), '{_FENCE}', -1)"
-    if rec.group:  # a matched piece is whole + group; the group ends where the match ends
-        width = f"if(instr(x, '{_GROUP}') > 0, instr(x, '{_GROUP}') - 1, length(x))"
-        value = f"substr(p[i], instr(p[i], '{_GROUP}') + 1)"
-        end = f"off[i] + instr(p[i], '{_GROUP}') - 1"
-    else:
-        width, value, end = "length(x)", "p[i]", "off[i] + length(p[i])"
-    start = f"({end}) - length({value})"
-    valid = f"filter(sequence(1, size(p) - 2, 2), i -> {VALIDATORS[rec.validator](value)})" if rec.validator \
-        else "sequence(1, size(p) - 2, 2)"
-    built = (f"transform({valid}, i -> named_struct('start', {start}, 'end', {end}, 'score', "
-             f"cast({rec.score} AS double), 'rec', {order}, 'ord', i, 'entity', {literal(rec.entity)}))")
-    none = f"cast(array() AS {_CANDIDATE})"
-    found = let("p", pieces, f"if(size(p) < 3, {none}, "
-                             + let("off", running_sum(f"transform(p, x -> {width})"), built) + ")")
-    return found
+    return (f"named_struct('rec', {order}, 'p', split(regexp_replace({text}, {literal(rec.java)}, '{fenced}'), "
+            f"'{_FENCE}', -1))")
+
 
+def _candidates(recs: Sequence[Recognizer], min_score: float, text: str) -> str:
+    """Valid matches of all recognizers as array<struct<start,end,score,rec,ord,entity>>.
 
-def _all_candidates(recs: Sequence[Recognizer], min_score: float, text: str) -> list[str]:
-    """Candidate arrays, one test per gate: recognizers behind the same gate share it."""
+    Recognizers behind the same gate share its test; one body turns the pieces of whichever matched into
+    positions, so the expression stays small.
+    """
     behind: dict[str, list[str]] = {}
     for i, rec in enumerate(recs):
         if rec.score >= min_score:
-            behind.setdefault(rec.gate.format(t=text), []).append(_candidates(rec, i, text))
-    out = []
-    for gate, parts in behind.items():
-        found = parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
-        out.append(f"if({gate}, {found}, cast(array() AS {_CANDIDATE}))" if gate else found)
-    return out
-
-
-def resolve_overlaps(candidates: str) -> str:
+            behind.setdefault(rec.gate.format(t=text), []).append(_pieces(rec, i, text))
+    cut = [f"if({gate}, array({', '.join(ps)}), cast(array() AS array<struct<rec:int,p:array<string>>>))" if gate
+           else f"array({', '.join(ps)})" for gate, ps in behind.items()]
+    if not cut:
+        return f"cast(array() AS {_CANDIDATE})"
+    matched = f"filter({cut[0] if len(cut) == 1 else 'concat(' + ', '.join(cut) + ')'}, m -> size(m.p) >= 3)"
+    group = f"instr(m.p[i], '{_GROUP}')"
+    width = f"if(instr(x, '{_GROUP}') > 0, instr(x, '{_GROUP}') - 1, length(x))"
+    checks = "".join(f" WHEN m.rec IN ({', '.join(str(i) for i, r in enumerate(recs) if r.validator == name)}) THEN {test('v')}"
+                     for name, test in VALIDATORS.items() if any(r.validator == name for r in recs))
+    value = f"substr(m.p[i], {group} + 1)"
+    valid = "sequence(1, size(m.p) - 2, 2)"
+    if checks:
+        valid = f"filter({valid}, i -> {let('v', value, f'CASE{checks} ELSE true END')})"
+    entity = "array(" + ", ".join(literal(r.entity) for r in recs) + ")[m.rec]"
+    score = "array(" + ", ".join(f"{r.score}D" for r in recs) + ")[m.rec]"
+    end = f"off[i] + if({group} > 0, {group} - 1, length(m.p[i]))"
+    placed = (f"transform({valid}, i -> named_struct('start', {end} - length({value}), 'end', {end}, 'score', {score}, "
+              f"'rec', m.rec, 'ord', i, 'entity', {entity}))")
+    body = let("off", running_sum(f"transform(m.p, x -> {width})"), placed)
+    return f"flatten(transform({matched}, m -> {body}))"
+
+
+def resolve_overlaps(candidates: str, by_score: bool = True) -> str:
     """Best score, then longest, then recognizer and match order; a kept span blocks what overlaps it.
+    Without `by_score` only the recognizer and match order rank.
 
     Candidates are cut into runs of touching spans first, so the pairwise test only sees a handful of
     spans however many findings the text has.
     """
     none = f"cast(array() AS {_CANDIDATE})"
-    ranked = ("sort_array(transform(run, x -> named_struct('a', -x.score, 'b', x.start - x.end, 'c', x.rec, "
-              "'d', x.ord, 'x', x)))")
+    first = "'a', -x.score, 'b', x.start - x.end, " if by_score else ""
+    ranked = f"sort_array(transform(run, x -> named_struct({first}'c', x.rec, 'd', x.ord, 'x', x)))"
     greedy = (f"sort_array(aggregate({ranked}, {none}, (kept, y) -> if(exists(kept, z -> z.start < y.x.end AND "
               "y.x.start < z.end), kept, array_append(kept, y.x))))")
     runs = ("flatten(transform(cuts, (lo, j) -> "
@@ -166,12 +172,17 @@ def findings_sql(text: str, config: ScanConfig = ScanConfig(), external: str | N
     """SQL of the findings array. `external` is an optional findings array from another detector
     (named-entity spans on the normalized text) that joins before overlaps are resolved."""
     recs = config.all_recognizers()
-    parts = _all_candidates(recs, config.min_score, "t")
+    parts = [_candidates(recs, config.min_score, "t")] if recs else []
+    for j, entry in enumerate(e for e in config.dictionary if e.uses_hash_set):
+        from veilkit.operators.dictionary import term_findings
+
+        parts.append(f"transform({term_findings(entry, 't')}, (f, i) -> named_struct('start', f.start, 'end', f.end, "
+                     f"'score', f.score, 'rec', {len(recs) + j}, 'ord', i, 'entity', f.entity))")
     if external:
         parts.append(
             f"transform(filter(coalesce({external}, cast(array() AS {FINDINGS_TYPE})), f -> f.score >= "
             f"{fixed.EXTERNAL_MIN_SCORE} AND f.score >= {config.min_score} AND f.end > f.start), "
-            f"(f, i) -> named_struct('start', f.start, 'end', f.end, 'score', f.score, 'rec', {len(recs)}, "
+            f"(f, i) -> named_struct('start', f.start, 'end', f.end, 'score', f.score, 'rec', {len(recs) + 1000}, "
             "'ord', i, 'entity', f.entity))")
     if not parts:
         return f"cast(array() AS {FINDINGS_TYPE})"
@@ -207,8 +218,12 @@ def with_findings(df: DataFrame, config: ScanConfig = ScanConfig(), *, text: str
 
 
 def exploded(df: DataFrame, *, text: str = "text", column: str = "findings") -> DataFrame:
-    """One row per finding with its value and position in the array."""
-    return (df.select("*", F.posexplode(column).alias("finding_no", "_f"))
+    """One row per finding with its value and position in the array.
+
+    The outer generator plus a filter on its output keeps Catalyst from pushing `size(findings) > 0`
+    below the scan, where the whole scan would run a second time.
+    """
+    return (df.select("*", F.posexplode_outer(column).alias("finding_no", "_f")).filter("_f IS NOT NULL")
             .select("*", F.col("_f.entity").alias("entity"), F.col("_f.start").alias("start"),
                     F.col("_f.end").alias("end"), F.col("_f.score").alias("score"),
                     F.expr(f"substr(`{text}`, _f.start + 1, _f.end - _f.start)").alias("value"))
@@ -231,7 +246,7 @@ def scan_distinct(df: DataFrame, config: ScanConfig = ScanConfig(), *, text: str
 
 
 def entity_counts(df: DataFrame, keys: Sequence[str], column: str = "findings") -> DataFrame:
-    return (df.select(*keys, F.explode(f"{column}.entity").alias("entity"))
+    return (df.select(*keys, F.explode_outer(f"{column}.entity").alias("entity")).filter("entity IS NOT NULL")
             .groupBy(*keys, "entity").agg(F.count(F.lit(1)).alias("n")))
 
 
