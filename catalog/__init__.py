@@ -1,5 +1,5 @@
 """Registered queries and the DuckDB SQL that checks them."""
 
-from catalog import scan, usage
+from catalog import reports, scan, usage
 
-MODULES = [usage, scan]
+MODULES = [usage, reports, scan]
