@@ -1,5 +1,5 @@
 """Registered queries and the DuckDB SQL that checks them."""
 
-from catalog import reports, scan, usage
+from catalog import masking, reports, scan, usage
 
-MODULES = [usage, reports, scan]
+MODULES = [usage, reports, scan, masking]

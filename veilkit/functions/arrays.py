@@ -10,6 +10,12 @@ def let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+def pinned(value: str) -> str:
+    """Keep an expensive projection where it is: Catalyst copies deterministic columns into every filter
+    above them, which would run a scan once per use. The condition is always true."""
+    return f"if(monotonically_increasing_id() >= 0, {value}, NULL)"
+
+
 def _scan(block: str, start: str, step: str, inclusive: bool) -> str:
     kept = f"({step})" if inclusive else "st.run"
     return (f"aggregate({block}, named_struct('out', cast(array() AS array<int>), 'run', {start}), "

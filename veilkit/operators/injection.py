@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilkit import fixed
-from veilkit.functions.arrays import let
+from veilkit.functions.arrays import let, pinned
 from veilkit.functions.globs import literal
 from veilkit.functions.normalize import nfkc
 
@@ -54,7 +54,7 @@ def injection_hits(text: str) -> Column:
 
 
 def with_injection(df: DataFrame, text: str = "text") -> DataFrame:
-    return (df.withColumn("injection_rules", injection_hits(text))
+    return (df.withColumn("injection_rules", F.expr(pinned(hits_sql(f"`{text}`"))))
             .withColumn("injection_score", F.expr(score_sql("injection_rules"))))
 
 

@@ -16,6 +16,7 @@ from veilkit.functions.arrays import let
 from veilkit.functions.globs import any_glob, literal
 from veilkit.functions.values import alnum, canonical_value
 from veilkit.operators.ordered import row_numbers
+from veilkit.session import materialize
 
 SPANS_TYPE = "array<struct<start:int,end:int,replacement:string>>"
 _DENSE = 64
@@ -117,12 +118,12 @@ def mask_texts(df: DataFrame, spans: DataFrame, scope: Sequence[str], part: str,
 def mask_scope(df: DataFrame, scope: Sequence[str], part: str, *, text: str = "text", findings: str = "findings",
                entities: Sequence[str] | str | None = None, known: DataFrame | None = None,
                start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Masked texts and the vault. Expects `findings`; materialize them first when the scan is costly,
-    because numbering and replacing both read them."""
-    values = finding_values(df, scope, part, text=text, findings=findings, entities=entities)
+    """Masked texts (without the findings) and the vault. The found values, a small table, are
+    checkpointed: numbering and replacing both read them, and the texts are scanned once."""
+    values = materialize(finding_values(df, scope, part, text=text, findings=findings, entities=entities))
     fresh = assign_placeholders(values, scope, known=known, start=start)
     vault = fresh if known is None else known.select(*fresh.columns).unionByName(fresh)
-    return mask_texts(df, replacements(values, vault, scope), scope, part, text=text), vault
+    return mask_texts(df.drop(findings), replacements(values, vault, scope), scope, part, text=text), vault
 
 
 def _tokens(text: str) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilkit import fixed
-from veilkit.functions.arrays import let, running_sum
+from veilkit.functions.arrays import let, pinned, running_sum
 from veilkit.operators.injection import hits_sql, score_sql
 from veilkit.operators.ordered import lead_struct, running_totals
 from veilkit.operators.scan import FINDINGS_TYPE, ScanConfig, findings_sql, resolve_overlaps
@@ -57,7 +57,7 @@ def analyze_parts(df: DataFrame, config: ScanConfig = ScanConfig(), parts: str =
         df.withColumn("_texts", F.expr(texts))
         .withColumn("_starts", F.expr(running_sum("transform(_texts, x -> length(x) + 1)")))
         .withColumn("_units", F.expr(f"concat({whole}, {edges})"))
-        .withColumn("_found", F.expr(f"transform(_units, u -> {findings_sql('u.text', config)})"))
+        .withColumn("_found", F.expr(pinned(f"transform(_units, u -> {findings_sql('u.text', config)})")))
         .withColumn("part_findings", F.expr("slice(_found, 1, size(_texts))"))
         .withColumn("findings", F.expr(combined))
         .drop("_texts", "_starts", "_units", "_found")
@@ -77,7 +77,7 @@ def injection_parts(df: DataFrame, parts: str = "parts", roles: Sequence[str] =
     return (
         df.withColumn("_texts", F.expr(texts))
         .withColumn("injection_rules", F.expr(
-            f"array_sort(array_distinct(flatten(transform(concat(_texts, {edges}), x -> {hits_sql('x')}))))"))
+            pinned(f"array_sort(array_distinct(flatten(transform(concat(_texts, {edges}), x -> {hits_sql('x')}))))")))
         .withColumn("injection_score", F.expr(score_sql("injection_rules")))
         .drop("_texts")
     )
@@ -97,7 +97,7 @@ def analyze_turns(df: DataFrame, config: ScanConfig = ScanConfig(), *, keys: Seq
     n = fixed.BOUNDARY_CHARS
     bucket = F.floor(F.col(turn) / 1024) if bucket is None else bucket
     body = F.coalesce(F.col(text), F.lit(""))
-    slim = (df.withColumn("_t", body).withColumn("findings", F.expr(findings_sql("_t", config)))
+    slim = (df.withColumn("_t", body).withColumn("findings", F.expr(pinned(findings_sql("_t", config))))
             .select(*keys, turn, *keep, "findings", F.substring("_t", 1, n).alias("_head"),
                     F.right("_t", F.lit(n)).alias("_tail"), F.length("_t").alias("_length")))
     slim = materialize(slim.withColumn("_near", F.expr(f"filter(findings, f -> f.start < {n})")))
@@ -110,7 +110,7 @@ def analyze_turns(df: DataFrame, config: ScanConfig = ScanConfig(), *, keys: Seq
             f"exists(coalesce(_next._near, {none}), f -> f.start + _length + 1 < e.end AND e.start < f.end + _length + 1))")
     rows = (
         rows.withColumn("_edge", F.expr(f"if(_next IS NULL OR _length = 0 OR _next._length = 0, NULL, {unit})"))
-        .withColumn("_found", F.expr(findings_sql("_edge.text", config)))
+        .withColumn("_found", F.expr(pinned(findings_sql("_edge.text", config))))
         .withColumn("_edges", F.expr(f"if(_edge IS NULL, {none}, {placed})"))
         .withColumn("_edges", F.expr(free))
         .select(*keys, turn, "_edges", "_length")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilkit import fixed
+from veilkit.functions.arrays import let, pinned
 from veilkit.functions.globs import any_glob, literal
 from veilkit.functions.lookups import first_prefix
 from veilkit.plans.compliance import declared_sql
@@ -143,8 +144,6 @@ def decision_sql(rules: Sequence[Mapping], mode: str, default_action: str, ctx:
             f"'reason', if(top > {base}, get(filter(enforced, r -> r.severity = top), 0).reason, cast(NULL AS string)), "
             "'monitored_rules', transform(filter(hit, r -> r.watched), r -> r.name), "
             f"'would_action', {names}[{would}])")
-    from veilkit.functions.arrays import let
-
     return let("hit", f"filter(array({', '.join(built)}), r -> r IS NOT NULL)",
                let("enforced", "filter(hit, r -> NOT r.watched)", let("top", top, body)))
 
@@ -198,13 +197,13 @@ def resolve_provider(df: DataFrame, policy: Policy) -> DataFrame:
 def evaluate(df: DataFrame, policy: Policy, *, ctx: Context | None = None, into: str = "decision") -> DataFrame:
     """Input rules. `ctx.declared` defaults to the policy's own inventory (NULL when it is empty)."""
     ctx = ctx or Context(declared=declared_sql(policy.systems))
-    return df.withColumn(into, F.expr(decision_sql(policy.rules, policy.mode, policy.default_action, ctx)))
+    return df.withColumn(into, F.expr(pinned(decision_sql(policy.rules, policy.mode, policy.default_action, ctx))))
 
 
 def evaluate_output(df: DataFrame, policy: Policy, leaked: str = "output_leaked", into: str = "output") -> DataFrame:
     """Output rules see only the leaked entities and no injection score."""
     ctx = Context(entities=leaked, score="0D", declared=declared_sql(policy.systems))
-    return df.withColumn(into, F.expr(decision_sql(policy.output_rules, policy.mode, "allow", ctx)))
+    return df.withColumn(into, F.expr(pinned(decision_sql(policy.output_rules, policy.mode, "allow", ctx))))
 
 
 def _target_destination(model: str, policy: Policy) -> str:
@@ -217,16 +216,16 @@ def _target_destination(model: str, policy: Policy) -> str:
     return "external"
 
 
-def route(df: DataFrame, policy: Policy) -> DataFrame:
+def route(df: DataFrame, policy: Policy, only: str = "true") -> DataFrame:
     """Expects `decision`. The first enforced routing rule whose target differs from the model and is
     internal sends the request there; the rules then run again for the target. Monitored routes that
-    come before it are only listed."""
+    come before it are only listed. `only` is a condition for rows that can be routed at all."""
     ctx = Context(declared=declared_sql(policy.systems))
     built = []
     for rule in policy.routing:
         watched = rule.get("mode", policy.mode) == "monitor"
         ok = _target_destination(rule["to"], policy) == "internal"
-        built.append(f"if(model <> {literal(rule['to'])} AND {rule_sql(rule.get('when') or {}, ctx)}, named_struct("
+        built.append(f"if({only} AND model <> {literal(rule['to'])} AND {rule_sql(rule.get('when') or {}, ctx)}, named_struct("
                      f"'name', {literal(rule['name'])}, 'target', {literal(rule['to'])}, 'watched', "
                      f"{str(watched).lower()}, 'usable', {str(ok).lower()}), NULL)")
     if not built:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilkit import fixed
-from veilkit.functions.arrays import let, running_max, running_sum
+from veilkit.functions.arrays import let, pinned, running_max, running_sum
 from veilkit.functions.checks import VALIDATORS
 from veilkit.functions.globs import any_glob, literal
 from veilkit.functions.normalize import normalized
@@ -214,14 +214,16 @@ def findings(text: str, config: ScanConfig = ScanConfig(), external: str | None
 
 def with_findings(df: DataFrame, config: ScanConfig = ScanConfig(), *, text: str = "text",
                   into: str = "findings") -> DataFrame:
-    return df.withColumn(into, findings(text, config))
+    """Adds the findings of a text column. The scan is pinned: filters on its result stay above it, so
+    filter on other columns first."""
+    return df.withColumn(into, F.expr(pinned(_cached(f"`{text}`", config, None))))
 
 
 def exploded(df: DataFrame, *, text: str = "text", column: str = "findings") -> DataFrame:
     """One row per finding with its value and position in the array.
 
     The outer generator plus a filter on its output keeps Catalyst from pushing `size(findings) > 0`
-    below the scan, where the whole scan would run a second time.
+    below an unpinned scan, where the whole scan would run a second time.
     """
     return (df.select("*", F.posexplode_outer(column).alias("finding_no", "_f")).filter("_f IS NOT NULL")
             .select("*", F.col("_f.entity").alias("entity"), F.col("_f.start").alias("start"),
@@ -239,7 +241,7 @@ def scan_distinct(df: DataFrame, config: ScanConfig = ScanConfig(), *, text: str
     """
     keyed = df.withColumn("_sha", F.sha2(F.col(text), 256))
     once = (keyed.groupBy("_sha").agg(F.min(text).alias(text))
-            .withColumn("findings", findings(text, config)).drop(text)
+            .withColumn("findings", F.expr(pinned(_cached(f"`{text}`", config, None)))).drop(text)
             .filter(F.size("findings") > 0))
     none = F.expr(f"cast(array() AS {FINDINGS_TYPE})")
     return (keyed.join(once, "_sha", "left").withColumn("findings", F.coalesce("findings", none)).drop("_sha"))
