@@ -92,9 +92,9 @@ def masked_requests(s, d):
     rows = S.with_findings(prompts(s, d), defaults.SCAN)
     rows = rows.withColumn("entities", F.array_sort(F.array_distinct("findings.entity"))).withColumn("injection_score", F.lit(0.0))
     rows = P.evaluate(P.resolve_provider(rows, POLICY), POLICY).filter("decision.action = 'mask'")
-    rows = rows.withColumn("wanted", F.col("decision.mask_entities"))
-    out, _ = M.mask_scope(rows, ["event_id"], "user_id", entities="wanted")
-    return out.select("event_id", "masked", joined("wanted").alias("wanted"))
+    row = M.mask_row("array(text)", "array(findings)", "array_contains(decision.mask_entities, f.entity)")
+    return (rows.withColumn("m", F.expr(row))
+            .select("event_id", F.col("m.masked")[0].alias("masked"), joined("m.vault.entity").alias("wanted")))
 
 
 def two_jobs(s, d):

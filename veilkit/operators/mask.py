@@ -126,6 +126,27 @@ def mask_scope(df: DataFrame, scope: Sequence[str], part: str, *, text: str = "t
     return mask_texts(df.drop(findings), replacements(values, vault, scope), scope, part, text=text), vault
 
 
+def mask_row(texts: str, part_findings: str, wanted: str) -> str:
+    """Mask the texts of one row (a request) with one vault, inside the row: nothing is shuffled.
+
+    struct<masked array<string>, vault array<struct<entity,n,canon,original,placeholder>>>. `wanted` is an
+    SQL condition over `f.entity`. Numbers are positions among the distinct values of each type.
+    """
+    value = f"substr({texts}[i], f.start + 1, f.end - f.start)"
+    picked = (f"transform({part_findings}, (fs, i) -> transform(filter(fs, f -> {wanted}), f -> named_struct('start', f.start, "
+              f"'end', f.end, 'entity', f.entity, 'value', {value}, 'canon', {canonical_value('f.entity', value)})))")
+    names = ("map_from_arrays(es, transform(es, e -> array_distinct(transform(filter(seen, x -> x.entity = e), x -> x.canon))))")
+    token = "concat('[', f.entity, '_', array_position(names[f.entity], f.canon), ']')"
+    spans = f"transform(fs, f -> named_struct('start', f.start, 'end', f.end, 'replacement', {token}))"
+    masked = f"transform(pf, (fs, n) -> {let('tx', texts + '[n]', apply_spans('tx', spans))})"
+    first = "get(filter(seen, x -> x.entity = e AND x.canon = c), 0).value"
+    vault = (f"flatten(transform(es, e -> transform(names[e], (c, j) -> named_struct('entity', e, 'n', j + 1, 'canon', c, "
+             f"'original', {first}, 'placeholder', concat('[', e, '_', j + 1, ']')))))")
+    result = f"named_struct('masked', {masked}, 'vault', {vault})"
+    return let("pf", picked, let("seen", "flatten(pf)", let(
+        "es", "array_distinct(transform(seen, x -> x.entity))", let("names", names, result))))
+
+
 def _tokens(text: str) -> str:
     return f"split(regexp_replace({text}, {literal(fixed.PLACEHOLDER_PATTERN)}, '\\u0001$0\\u0001'), '\\u0001', -1)"
 
