@@ -1,5 +1,5 @@
 """Registered queries and the DuckDB SQL that checks them."""
 
-from catalog import decisions, masking, reports, scan, usage
+from catalog import decisions, masking, reports, scan, state, usage
 
-MODULES = [usage, reports, scan, masking, decisions]
+MODULES = [usage, reports, scan, masking, decisions, state]
