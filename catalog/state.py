@@ -163,7 +163,7 @@ ORACLES = {
  WHEN 'overrides' THEN 'uyarıya rağmen gönderim (tarayıcı eklentisi)' WHEN 'secrets' THEN 'sır içeren istek' WHEN 'injection' THEN 'injection denemesi'
  ELSE 'farklı kişinin kimlik / iletişim bilgisi yurt dışı modele gitti' END || ' (eşik ' || threshold || ')' AS reason, 'anomaly' AS api_format FROM (
  SELECT event_id, "user", signal, threshold, threshold AS n FROM ca UNION ALL SELECT event_id, "user", 'subjects', 3, n_subjects FROM sa)""", _SIGNALS, _ALERTS, _SUBJ),
-    "f3_subject_alerts": sql(f"SELECT event_id, \"user\", strftime(slot, {MS}) AS slot, n_subjects AS "count" FROM sa", _SUBJ),
+    "f3_subject_alerts": sql(f"SELECT event_id, \"user\", strftime(slot, {MS}) AS slot, n_subjects AS count FROM sa", _SUBJ),
     "f4_f5_quota_replay": sql("""SELECT event_id, minute_count, kind AS quota_kind, CASE kind WHEN 'requests_per_minute' THEN rpm::DOUBLE WHEN 'monthly_tokens' THEN lt::DOUBLE
  WHEN 'monthly_cost_usd' THEN lc END AS quota_limit, CASE kind WHEN 'requests_per_minute' THEN minute_count::DOUBLE WHEN 'monthly_tokens' THEN ft::DOUBLE
  WHEN 'monthly_cost_usd' THEN round(fc, 4) END AS quota_used FROM quota_rows""", _QUOTA),
