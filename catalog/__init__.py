@@ -1,5 +1,5 @@
 """Registered queries and the DuckDB SQL that checks them."""
 
-from catalog import decisions, masking, reports, scan, state, usage
+from catalog import bodies, decisions, masking, reports, scan, state, streams, usage
 
-MODULES = [usage, reports, scan, masking, decisions, state]
+MODULES = [usage, reports, scan, masking, decisions, bodies, state, streams]

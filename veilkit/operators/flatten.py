@@ -193,7 +193,8 @@ def _parts(df: DataFrame, body: str, table: dict, *, rest: bool, api_format: str
         others = (f"transform(filter(_tagged, t -> t.known IS NULL AND {_unlisted().replace('l.', 't.l.')}), "
                   f"t -> named_struct('role', {role}, 'path', t.l.path, 'text', t.l.value))")
         parts = f"concat({others}, {parts})"
-    return staged.withColumn(into, F.expr(parts)).drop("_leaves", "_tagged", "_texts", "_inner")
+    # pinned, so that later Python stages read the parts instead of repeating how they were made
+    return staged.withColumn(into, F.expr(pinned(parts))).drop("_leaves", "_tagged", "_texts", "_inner")
 
 
 def request_parts(df: DataFrame, body: str = "body", api_format: str = "api_format", into: str = "parts") -> DataFrame:
