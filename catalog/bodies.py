@@ -31,7 +31,7 @@ _TEXT, _ANSWER = _quoted("text"), _quoted("answer")
 _ARGS = _quoted("concat('{\"q\": ', substr(to_json(named_struct('v', project)), 6, length(to_json(named_struct('v', project))) - 6), ', \"n\": [1, \"iki\"]}')")
 CHAT = (f"concat('{{\"model\":\"gpt-4o\",\"messages\":[{{\"role\":\"system\",\"content\":\"Kısa yanıtla.\"}},{{\"role\":\"user\",\"content\":[{{\"type\":\"text\",\"text\":', {_TEXT}, "
         f"'}},{{\"type\":\"image_url\",\"image_url\":{{\"url\":\"http://x/y.png\"}}}}]}},{{\"role\":\"assistant\",\"content\":null,\"tool_calls\":[{{\"id\":\"c1\",\"type\":\"function\",\"function\":{{\"name\":\"ara\",\"arguments\":', "
-        f"{_ARGS}, '}}}}]}}],\"metadata\":{{\"no\":', cast(10000000000 + event_id AS string), ',\"adet\":5}}}}')")
+        f"{_ARGS}, '}}}}]}}],\"metadata\":{{\"no\":', cast(2000000000 + event_id AS string), ',\"adet\":5}}}}')")
 RESPONSES = (f"concat('{{\"instructions\":\"Kısa\",\"input\":[{{\"role\":\"developer\",\"content\":\"Geliştirici\"}},{{\"type\":\"message\",\"role\":\"user\",\"content\":[{{\"type\":\"input_text\",\"text\":', {_TEXT}, "
              f"'}}]}},{{\"type\":\"reasoning\",\"summary\":\"imzalı\"}},{{\"type\":\"function_call_output\",\"call_id\":\"c\",\"output\":', {_ANSWER}, '}}]}}')")
 MESSAGES = (f"concat('{{\"system\":\"Sistem\",\"tools\":[{{\"name\":\"ara\",\"description\":\"arama aracı\"}}],\"messages\":[{{\"role\":\"user\",\"content\":[{{\"type\":\"text\",\"text\":', {_TEXT}, "
@@ -188,7 +188,7 @@ QUERIES = {
     "c10_mask_nested": nested_masking,
     "e14_subject_index": subject_index,
 }
-_PARTS = """CASE event_id % 4 WHEN 0 THEN 'system=' || (10000000000 + event_id) || '|system=Kısa yanıtla.|user=' || text || '|assistant=Proje ' || team || '|assistant=iki'
+_PARTS = """CASE event_id % 4 WHEN 0 THEN 'system=' || (2000000000 + event_id) || '|system=Kısa yanıtla.|user=' || text || '|assistant=Proje ' || team || '|assistant=iki'
  WHEN 1 THEN 'system=Kısa|system=Geliştirici|user=' || text || '|tool=' || answer WHEN 2 THEN 'system=arama aracı|system=Sistem|user=' || text || '|tool=' || answer
  ELSE 'user=' || text || '|user=' || answer END"""
 ORACLES = {
