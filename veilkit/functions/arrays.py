@@ -24,11 +24,11 @@ def _scan(block: str, start: str, step: str, inclusive: bool) -> str:
 
 def _blocked(arr: str, zero: str, step: str, inclusive: bool) -> str:
     """Prefix scan in blocks: appending copies an array, so no array longer than a block is grown."""
-    blocks = f"transform(sequence(0, (size({arr}) - 1) div {BLOCK}), pb -> slice({arr}, pb * {BLOCK} + 1, {BLOCK}))"
+    blocks = f"transform(sequence(0, (size(pa) - 1) div {BLOCK}), pb -> slice(pa, pb * {BLOCK} + 1, {BLOCK}))"
     totals = f"transform(pbs, pb -> aggregate(pb, {zero}, (t, v) -> {step.replace('st.run', 't')}))"
     per_block = f"flatten(transform(pbs, (pb, pi) -> {_scan('pb', 'pstart[pi]', step, inclusive)}))"
-    return (f"if(size({arr}) = 0, cast(array() AS array<int>), "
-            + let("pbs", blocks, let("pstart", _scan(totals, zero, step, False), per_block)) + ")")
+    return let("pa", arr, "if(size(pa) = 0, cast(array() AS array<int>), "
+               + let("pbs", blocks, let("pstart", _scan(totals, zero, step, False), per_block)) + ")")
 
 
 def running_sum(arr: str) -> str:
