@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.common import audit
+from veilkit.session import spread
 
 _S9 = "cast(100000000 + (user_id % 40) * 20190713 AS varchar(9))"
 _D = [f"cast(substr(s9, {i}, 1) AS int)" for i in range(1, 10)]
@@ -47,7 +48,7 @@ STEPS = [
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, user, team, teams, model, api_format, text, answer (plus the keys they derive from)."""
-    df = audit(spark, sf_dir)
+    df = spread(audit(spark, sf_dir))
     for step in STEPS:
         df = df.withColumns({name: F.expr(text) for name, text in step.items()})
     return df.select("event_id", "event_time", "user_id", "user", "team", "teams", "model", "api_format", "k", "event_type",

@@ -13,6 +13,7 @@ from veilkit.operators import dictionary as D
 from veilkit.operators import injection as I
 from veilkit.operators import parts as PT
 from veilkit.operators import scan as S
+from veilkit.session import spread
 
 PROMPT_TERMS = D.Entry("KURUM_PROJE", terms=("Proje Anka", "Proje Turna"))
 MANY_TERMS = D.Entry("KURUM_PROJE", terms=("Proje Anka", "Proje Turna", *[f"Proje Kod {i}" for i in range(400)]))
@@ -41,14 +42,14 @@ def scan_prompts_external(s, d):
 
 def document_spans(config):
     def run(s, d):
-        docs = table(s, d, "documents").select("doc_id", "text")
+        docs = spread(table(s, d, "documents").select("doc_id", "text"))
         rows = S.exploded(S.with_findings(docs, config))
         return rows.groupBy("doc_id", "entity", "value").agg(F.count(F.lit(1)).alias("n"))
     return run
 
 
 def document_entities(s, d):
-    docs = table(s, d, "documents").select("doc_id", "lang", "text")
+    docs = spread(table(s, d, "documents").select("doc_id", "lang", "text"))
     found = S.with_findings(docs, defaults.SCAN)
     return S.entity_counts(found, ["lang"])
 
@@ -92,7 +93,7 @@ def hashed_dictionary(s, d):
 
 def injection(source, key):
     def run(s, d):
-        df = prompts(s, d) if source == "prompts" else table(s, d, source)
+        df = prompts(s, d) if source == "prompts" else spread(table(s, d, source))
         return (I.with_injection(df.select(key, "text"))
                 .select(key, F.array_join(F.col("injection_rules").cast("array<string>"), ",").alias("rules"), "injection_score"))
     return run
@@ -132,7 +133,7 @@ def turn_scan(s, d):
 
 
 def conversation_turns(s, d):
-    turns = I.with_injection(table(s, d, "conversations"))
+    turns = I.with_injection(spread(table(s, d, "conversations")))
     rows = PT.analyze_turns(turns, defaults.SCAN, keys=["conv_id"], turn="turn", keep=["role", "injection_score"])
     return rows.groupBy("role").agg(
         F.count(F.lit(1)).alias("turns"), F.sum(F.size("findings")).alias("findings"),

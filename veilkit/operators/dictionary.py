@@ -19,6 +19,7 @@ from veilkit.functions.globs import literal
 from veilkit.functions.normalize import normalized
 
 ALTERNATION_LIMIT = 200
+FEW_STARTS = 32
 _WORD = r"[^\W_]"
 _UNITS = r"(?U)[^\W_]+|\s+|[\s\S]"
 
@@ -117,9 +118,18 @@ def gram_matches(text: str, sizes: Sequence[int], test, case_sensitive: bool = F
     placed = let("found", found, f"if(size(found) = 0, cast(array() AS array<struct<start:int,end:int,score:double>>), "
                  + let("off", running_sum("transform(u, x -> length(x))"),
                        free.replace("element_at(acc, -1).end", "get(acc, size(acc) - 1).end")) + ")")
-    units = f"regexp_extract_all({fold_sql(text, case_sensitive)}, {literal(_UNITS)}, 0)"
-    return let("u", units, f"if(size(u) = 0, cast(array() AS array<struct<start:int,end:int,score:double>>), "
-               + let("norm", "transform(u, x -> if(x rlike '^(?U)\\\\s', ' ', x))", placed) + ")")
+    none = "cast(array() AS array<struct<start:int,end:int,score:double>>)"
+    units = f"regexp_extract_all(folded, {literal(_UNITS)}, 0)"
+    matched = let("u", units, f"if(size(u) = 0, {none}, "
+                  + let("norm", "transform(u, x -> if(x rlike '^(?U)\\\\s', ' ', x))", placed) + ")")
+    starts = sorted(set(first_units))
+    if 0 < len(starts) <= FEW_STARTS:
+        matched = f"if({' OR '.join(f'contains(folded, {literal(x)})' for x in starts)}, {matched}, {none})"
+    elif starts and all(re.fullmatch(r"[^\W_]+", x) for x in starts):
+        # most texts hold no word a term starts with: their distinct words decide that alone
+        words = ", ".join(map(literal, starts))
+        matched = f"if(exists(array_distinct(split(folded, '(?U)[\\\\W_]+')), w -> w IN ({words})), {matched}, {none})"
+    return let("folded", fold_sql(text, case_sensitive), matched)
 
 
 def term_findings(entry: Entry, text: str) -> str:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from veilkit import fixed
 from veilkit.functions.globs import any_glob, literal
 from veilkit.functions.values import in_list
+from veilkit.operators.ordered import grouped
 from veilkit.operators.policy import effective_action, severity
 
 SOURCE = "CASE api_format WHEN 'browser' THEN 'browser' WHEN 'icap' THEN 'network' ELSE 'gateway' END"
@@ -61,47 +62,41 @@ def _chunk_seconds(cooldown: float) -> float:
     return max(cooldown * CHUNK_COOLDOWNS, CHUNK_SECONDS)
 
 
-def _next(at: np.ndarray, cooldown: float) -> np.ndarray:
-    return np.searchsorted(at, at + cooldown, side="left")
-
-
-def _summary(group: pd.DataFrame) -> pd.DataFrame:
-    at, cooldown = np.sort(group["at"].to_numpy()), float(group["cooldown"].iloc[0])
-    n, jump = len(at), _next(at, cooldown)
+def _summary(group: pd.DataFrame) -> dict:
+    at, cooldown = group["at"].to_numpy(), float(group["cooldown"].iat[0])
+    n, jump = len(at), np.searchsorted(at, at + cooldown, side="left")
     last = np.arange(n)
     for i in range(n - 1, -1, -1):
         if jump[i] < n:
             last[i] = last[jump[i]]
-    start = float(group["chunk"].iloc[0]) * _chunk_seconds(cooldown)
+    start = float(group["chunk"].iat[0]) * _chunk_seconds(cooldown)
     entries = min(int(np.searchsorted(at, start + cooldown, side="right")) + 1, n)
-    return pd.DataFrame({"entry_at": [at[:entries].tolist()], "last_at": [at[last[:entries]].tolist()],
-                         "last_no": [last[:entries].tolist()], "n": [n]})
+    return {"entry_at": [at[:entries].tolist()], "last_at": [at[last[:entries]].tolist()], "last_no": [last[:entries].tolist()], "n": [n]}
 
 
-def _chain(group: pd.DataFrame) -> pd.DataFrame:
-    until, carried, rows = -np.inf, 0, []
-    for row in group.sort_values("chunk").itertuples():
-        rows.append((row.chunk, until, carried))
+def _chain(group: pd.DataFrame) -> dict:
+    until, carried, out = -np.inf, 0, {"chunk": [], "until": [], "carried": []}
+    for row in group.itertuples():
+        for name, value in zip(out, (row.chunk, until, carried)):
+            out[name].append(value)
         entry = int(np.searchsorted(row.entry_at, until, side="left"))
         if entry < len(row.entry_at):
             until, carried = row.last_at[entry] + row.cooldown, row.n - 1 - int(row.last_no[entry])
         else:
             carried += row.n
-    return pd.DataFrame(rows, columns=["chunk", "until", "carried"])
+    return out
 
 
-def _mark(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["at", "event_id"])
-    at, cooldown = group["at"].to_numpy(), float(group["cooldown"].iloc[0])
-    until, waiting = float(group["until"].iloc[0]), int(group["carried"].iloc[0])
+def _mark(group: pd.DataFrame) -> dict:
+    at, cooldown = group["at"].to_numpy(), float(group["cooldown"].iat[0])
     sent, skipped = np.zeros(len(at), bool), np.zeros(len(at), np.int64)
-    i = done = int(np.searchsorted(at, until, side="left"))
-    waiting += done
+    i = int(np.searchsorted(at, float(group["until"].iat[0]), side="left"))
+    waiting = int(group["carried"].iat[0]) + i
     while i < len(at):
         sent[i], skipped[i] = True, waiting
         following = int(np.searchsorted(at, at[i] + cooldown, side="left"))
         waiting, i = following - i - 1, following
-    return group[["event_id", *_KEY]].assign(sent=sent, suppressed=skipped)
+    return {"event_id": group["event_id"].tolist(), "sent": sent.tolist(), "suppressed": skipped.tolist()}
 
 
 def cooldown(matches: DataFrame) -> DataFrame:
@@ -112,22 +107,14 @@ def cooldown(matches: DataFrame) -> DataFrame:
     held = matches.filter("cooldown > 0")
     slim = (held.select("event_id", *_KEY, "cooldown", seconds.alias("at"))
             .withColumn("chunk", F.floor(F.col("at") / F.greatest(F.col("cooldown") * CHUNK_COOLDOWNS, F.lit(CHUNK_SECONDS)))))
-    keyed = [*_KEY, "cooldown", "chunk"]
     kinds = {f.name: f.dataType.simpleString() for f in matches.schema.fields}
     names = ", ".join(f"{k} string" for k in _KEY)
-
-    def summary(key, group):
-        return _summary(group).assign(**dict(zip(keyed, key)))
-
-    def chain(key, group):
-        return _chain(group).assign(**dict(zip(_KEY, key)))
-
-    summaries = slim.groupBy(*keyed).applyInPandas(
-        summary, f"entry_at array<double>, last_at array<double>, last_no array<bigint>, n bigint, {names}, cooldown int, chunk bigint")
-    states = summaries.groupBy(*_KEY).applyInPandas(chain, f"chunk bigint, `until` double, carried bigint, {names}")
-    marked = (slim.join(states, [*_KEY, "chunk"]).groupBy(*_KEY, "chunk")
-              .applyInPandas(_mark, f"event_id {kinds['event_id']}, {names}, sent boolean, suppressed bigint"))
-    return held.join(marked, ["event_id", *_KEY]).unionByName(free)
+    summaries = grouped(slim, [*_KEY, "cooldown", "chunk"], ["at"], _summary,
+                        f"{names}, cooldown int, chunk bigint, entry_at array<double>, last_at array<double>, last_no array<bigint>, n bigint")
+    states = grouped(summaries, _KEY, ["chunk"], _chain, f"{names}, chunk bigint, `until` double, carried bigint")
+    marked = grouped(slim.join(states, [*_KEY, "chunk"]), [*_KEY, "chunk"], ["at", "event_id"], _mark,
+                     f"{names}, chunk bigint, event_id {kinds['event_id']}, sent boolean, suppressed bigint")
+    return held.join(marked.drop("chunk"), ["event_id", *_KEY]).unionByName(free)
 
 
 # --- payloads -----------------------------------------------------------------------------------------

@@ -7,8 +7,9 @@ window over the whole key.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,3 +53,47 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket
     """row_number() within a key."""
     numbered = running_totals(df, keys, order, bucket, {into: F.lit(1).cast("bigint")})
     return numbered
+
+
+def grouped(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Callable[[pd.DataFrame], dict], schema: str) -> DataFrame:
+    """A fold over sorted groups, for very many small ones: partitions stream through Arrow batches and
+    each batch's groups are folded together, instead of one Python call per group. `fold` gets a group in
+    order and returns columns; the keys (that are not among them) come first in `schema`."""
+    keys, order = list(keys), list(order)
+
+    def finished(frame: pd.DataFrame) -> pd.DataFrame:
+        cuts = [0, *(i for i in range(1, len(frame)) if change[i]), len(frame)] if (change := _changes(frame, keys)) else []
+        out: dict[str, list] = {}
+        for a, b in zip(cuts, cuts[1:]):
+            columns = fold(frame.iloc[a:b])
+            size = len(next(iter(columns.values())))
+            for k in keys:
+                if k not in columns:
+                    out.setdefault(k, []).extend([frame[k].iat[a]] * size)
+            for name, values in columns.items():
+                out.setdefault(name, []).extend(values)
+        return pd.DataFrame(out)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(frame):
+                continue
+            change = _changes(frame, keys)
+            last = max((i for i in range(1, len(frame)) if change[i]), default=0)
+            held = frame.iloc[last:]
+            if last:
+                yield finished(frame.iloc[:last].reset_index(drop=True))
+        if held is not None and len(held):
+            yield finished(held.reset_index(drop=True))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def _changes(frame: pd.DataFrame, keys: Sequence[str]) -> list[bool]:
+    """True where a row starts a new group."""
+    differs = pd.Series(False, index=frame.index)
+    for k in keys:
+        differs |= frame[k] != frame[k].shift()
+    return differs.tolist()

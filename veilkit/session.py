@@ -37,6 +37,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return known
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for CPU-heavy projections: an input of fewer splits than cores (a small file of one
+    row group) is spread out first. Large tables have more splits than that and stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder so lost executors do not cost a rescan."""
     checkpoint_dir(df.sparkSession)
