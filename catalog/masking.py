@@ -14,6 +14,7 @@ from veilkit.operators import policy as P
 from veilkit.operators import scan as S
 from veilkit.operators import surrogate as SG
 from veilkit.operators import vault as V
+from veilkit.plans import subjects as SJ
 from veilkit.session import materialize
 
 KEY = b"catalog-key-of-at-least-32-bytes!!"
@@ -134,7 +135,17 @@ def holdback(s, d):
                        M.partial_holdback("text", tokens=False).cast("bigint").alias("held_placeholder"))
 
 
+def resolved_subjects(s, d):
+    """Searched values: identifiers inside a text, a given type, an unknown type, plain words."""
+    rows = prompts(s, d, keep=("tckn", "phone", "iban")).select(
+        "event_id", F.expr("CASE event_id % 6 WHEN 0 THEN concat('TC ', tckn) WHEN 1 THEN phone WHEN 2 THEN concat(iban, ' ', phone) "
+                           "WHEN 3 THEN 'merhaba dünya' WHEN 4 THEN '123 456 78 90' ELSE 'x' END").alias("value"),
+        F.expr("CASE event_id % 6 WHEN 4 THEN 'VKN' WHEN 5 THEN 'KISI' END").alias("entity"))
+    return SJ.resolve(rows, KEY, b"old-key-" * 5).select("event_id", "label", "entity", "error", F.array_join("hashes", ",").alias("hashes"))
+
+
 QUERIES = {
+    "e15_subject_resolve": resolved_subjects,
     "c1_placeholders": vault,
     "c2_mask_texts": lambda s, d: masked(s, d)[0].select("event_id", "masked"),
     "c3_surrogates": surrogates,
@@ -178,7 +189,20 @@ _PAD = KEY.ljust(64, b"\0")
 _IPAD, _OPAD = bytes(b ^ 0x36 for b in _PAD).hex(), bytes(b ^ 0x5C for b in _PAD).hex()
 _EARLY = "event_time < TIMESTAMP '2024-01-10'"
 
+_OLD = (b"old-key-" * 5).ljust(64, b"\0")
+
+
+def _hmac_sql(pad: bytes, message: str) -> str:
+    inner, outer = bytes(b ^ 0x36 for b in pad).hex(), bytes(b ^ 0x5C for b in pad).hex()
+    return f"substr(sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({message})))), 1, 32)"
+
+
 ORACLES = {
+    "e15_subject_resolve": sql(f"""SELECT event_id, CASE event_id % 6 WHEN 3 THEN repeat('*', 8) || 'ünya' WHEN 5 THEN '****' ELSE repeat('*', length(raw) - 4) || right(raw, 4) END AS label, e AS entity,
+ CASE event_id % 6 WHEN 3 THEN 'finding' WHEN 5 THEN 'type' END AS error, CASE WHEN e IS NOT NULL THEN {_hmac_sql(_PAD, "e || ':' || form")} || ',' || {_hmac_sql(_OLD, "e || ':' || form")} END AS hashes
+ FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN tckn WHEN 1 THEN replace(phone, ' ', '') WHEN 2 THEN replace(iban, ' ', '') WHEN 4 THEN '1234567890' END AS raw,
+ CASE event_id % 6 WHEN 0 THEN 'TCKN' WHEN 1 THEN 'PHONE_TR' WHEN 2 THEN 'IBAN_TR' WHEN 4 THEN 'VKN' END AS e,
+ CASE event_id % 6 WHEN 0 THEN tckn WHEN 1 THEN right(replace(phone, ' ', ''), 10) WHEN 2 THEN replace(iban, ' ', '') WHEN 4 THEN '1234567890' END AS form FROM prompts)""", PROMPTS_CTE),
     "c1_placeholders": sql("SELECT * FROM vault", PROMPTS_CTE, _VAULT),
     "c2_mask_texts": sql("SELECT event_id, result AS masked FROM done", PROMPTS_CTE, _VAULT, _replaced("vault", "placeholder")),
     "c3_surrogates": sql("""SELECT entity, count(*) AS n, count(*) FILTER (WHERE entity IN ('TCKN','IBAN_TR','PHONE_TR')) AS same_type, 0 AS unchanged,

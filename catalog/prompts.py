@@ -46,13 +46,14 @@ STEPS = [
 ]
 
 
-def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, user, team, teams, model, api_format, text, answer (plus the keys they derive from)."""
+def prompts(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """event_id, user, team, teams, model, api_format, text, answer (plus the keys they derive from and
+    the identifiers named in `keep`)."""
     df = spread(audit(spark, sf_dir))
     for step in STEPS:
         df = df.withColumns({name: F.expr(text) for name, text in step.items()})
     return df.select("event_id", "event_time", "user_id", "user", "team", "teams", "model", "api_format", "k", "event_type",
-                     "text", "answer")
+                     "text", "answer", *keep)
 
 
 def _ctes() -> str:

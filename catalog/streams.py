@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.bodies import json_events, scratch
 from catalog.common import AS_OF, DAYS, audit, flat, sql, table
 from catalog.prompts import PROMPTS_CTE, prompts
-from catalog.state import ANOMALY, CHANNELS, ORACLES as STATE
+from catalog.state import ANOMALY, CHANNELS, ORACLES as STATE, browser_events
 from catalog.usage import ORACLES as USAGE
 from veilkit import defaults
 from veilkit.plans import usage as U
@@ -69,6 +69,14 @@ def network(s, d):
     return rows.groupBy("action", "api_format").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("entities")).alias("entities"))
 
 
+def browser(s, d):
+    """Browser events as JSON lines through the stream; invalid ones never reach the table."""
+    folder = scratch(s)
+    browser_events(s, d).select(F.to_json(F.struct("*")).alias("value")).repartition(3).write.text(f"{folder}/lines")
+    rows = drained(IN.browser_stream(IN.folder_lines(s, f"{folder}/lines", 1)), s)
+    return flat(rows.select(F.expr("cast(event_id AS bigint)").alias("event_id"), "model", "action", "rules", "reason", "entities", "masked_entities", "masked_count"))
+
+
 def answer_deltas(s, d):
     """Answers as server-sent events of three formats, one event per word."""
     words = prompts(s, d).select("event_id", F.expr("element_at(array('chat', 'responses', 'messages'), cast(event_id % 3 AS int) + 1)").alias("api_format"),
@@ -120,6 +128,7 @@ QUERIES = {
     "f2_anomaly_stream": anomaly,
     "f9_cooldown_stream": cooldown,
     "f12_session_stream": sessions,
+    "f13_browser_stream": browser,
     "f13_network_stream": network,
 }
 _CLEAN = "replace(answer, '4111 1111 1111 1111', '[GİZLENDİ:CREDIT_CARD]')"
@@ -133,6 +142,7 @@ ORACLES = {
     "f9_cooldown_stream": STATE["f9_cooldown"],
     "f12_session_stream": """SELECT a.event_id, r.event_id AS request_id FROM events a JOIN events r ON a.user_id = r.user_id AND a.event_type = 'purchase' AND r.event_type = 'view'
  AND r.ts <= a.ts AND r.ts >= a.ts - INTERVAL 1800 SECOND""",
+    "f13_browser_stream": STATE["a18_shadow_audit"],
     "f13_network_stream": sql("""SELECT action, 'icap' AS api_format, count(*) AS n, CAST(sum(e) AS BIGINT) AS entities FROM (SELECT CASE WHEN k%4=0 OR k%50=3 THEN 'block' ELSE 'allow' END AS action,
  CASE WHEN k%4=0 THEN 1 ELSE 0 END AS e FROM audit WHERE k%10<>0) GROUP BY 1"""),
 }

@@ -426,8 +426,8 @@ def exfiltration(df: DataFrame, external_tools: Sequence[str], blocked_entities:
 def unknown_entity_patterns(rules: DataFrame, known: Sequence[str]) -> DataFrame:
     """Rule entity patterns that match no known type (`rules` has kind, name, entity_in)."""
     patterns = rules.select("kind", "name", F.explode("entity_in").alias("pattern"))
-    table = rules.sparkSession.createDataFrame([(e,) for e in known], "known string")
+    names = f"array({', '.join(map(literal, known))})"
     as_regex = "concat('^', replace(replace(regexp_replace(pattern, '([.+^$(){}|\\\\\\\\])', '\\\\\\\\$1'), '*', '.*'), '?', '.'), '$')"
     return (patterns.filter(~F.col("pattern").startswith(fixed.DICTIONARY_PREFIX))
             .withColumn("_regex", F.expr(as_regex))
-            .join(F.broadcast(table), F.expr("known rlike _regex"), "left_anti").drop("_regex"))
+            .filter(f"NOT exists({names}, k -> k rlike _regex)").drop("_regex"))

@@ -235,9 +235,9 @@ def exploded(df: DataFrame, *, text: str = "text", column: str = "findings") ->
 def scan_distinct(df: DataFrame, config: ScanConfig = ScanConfig(), *, text: str = "text") -> DataFrame:
     """Scan every distinct text once and give each copy the result.
 
-    Only (hash, length) keys are shuffled to choose what to scan; the result joins back by hash. A text
-    copied to a third of the rows is one scan, and its copies join against one small broadcast-sized
-    row that AQE splits by skew.
+    Copies are combined before the shuffle, so each distinct text moves at most once per partition that
+    holds it. Results join back by hash; only texts with findings are on that side, and the copies bring
+    just their hash and the columns the caller keeps, so leave the text out of what you select.
     """
     keyed = df.withColumn("_sha", F.sha2(F.col(text), 256))
     once = (keyed.groupBy("_sha").agg(F.min(text).alias(text))

@@ -70,11 +70,15 @@ def recommend(outcomes: DataFrame, entities: DataFrame, rules: DataFrame, sites:
         F.concat(_text("n"), F.lit(" istekte "), "labels", F.lit(" yurt dışı modele maskesiz gitti.")),
         _snippet("kurum-terimleri-yurtdisi-maskele", '{ destination: external, entity_in: ["KURUM_*"] }')))
     watched = rules.filter("mode = 'monitor' AND hits > 0")
-    top = (watched.orderBy(F.desc("hits"), "rule").limit(5)
-           .agg(F.array_sort(F.collect_list(F.struct(F.expr("-hits").alias("h"), "rule"))).alias("r")).filter("size(r) > 0"))
-    would = outcomes.filter("risk = 'risky'").select("would")
+    none = F.lit(None)
+    top = watched.orderBy(F.desc("hits"), "rule").limit(5).select("hits", "rule", none.cast("bigint").alias("would"))
+    would = outcomes.filter("risk = 'risky'").select(none.cast("bigint").alias("hits"), none.cast("string").alias("rule"), "would")
+    watching = (top.unionByName(would)
+                .agg(F.max("would").alias("would"),
+                     F.array_sort(F.collect_list(F.when(F.col("rule").isNotNull(), F.struct(F.expr("-hits").alias("h"), "rule")))).alias("r"))
+                .filter("size(r) > 0"))
     out.append(_advice(
-        top.crossJoin(F.broadcast(would)), 6, "medium", "Gözlemdeki kuralları uygulamaya alın",
+        watching, 6, "medium", "Gözlemdeki kuralları uygulamaya alın",
         F.concat(F.lit("Gözlem modundaki kurallar "), _text("would"), F.lit(" riskli isteği koruyacaktı. En çok tetiklenenler: "),
                  F.expr("array_join(transform(r, x -> concat(x.rule, ' (', -x.h, ')')), ', ')"),
                  F.lit(". Olaylar ekranında 'Gözlemde farklı karar' görünümüyle yanlış alarm olup olmadığına bakıp kuraldaki "

@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 from veilkit import fixed
 from veilkit.functions import predicates as P
 from veilkit.functions.lookups import entity_label, mapped, provider_of
+from veilkit.functions.values import mask_label, subject_hash, subject_value
+from veilkit.operators.scan import ScanConfig, with_findings
 from veilkit.plans.usage import audit_window
 
+MAX_BROADCAST_ROWS = 10_000
+NO_TYPE = "type"
+NO_FINDING = "finding"
+NO_VALUE = "value"
 STATUS = ("CASE WHEN action = 'block' THEN 'blocked' WHEN destination <> 'external' THEN 'internal' "
           "WHEN array_contains(masked_entities, entity) THEN 'masked' ELSE 'unmasked' END")
 
@@ -21,7 +27,8 @@ def subject_hits(audit: DataFrame, subjects: DataFrame, as_of: str, days: int,
     """One row per (event, subject). `subjects` has (label, entity, hashes); newest events first up to
     `limit`, None for all. `truncated` marks that more events matched.
 
-    The hashes of a search are few, so they broadcast; audit rows are exploded once and hash-joined.
+    Audit rows are exploded once and joined by hash; a search of a few values broadcasts by its size,
+    a bulk search of many shuffles.
     """
     wanted = subjects.select("label", "entity", F.explode("hashes").alias("hash"))
     rows = audit_window(audit, as_of, days).select(
@@ -29,17 +36,18 @@ def subject_hits(audit: DataFrame, subjects: DataFrame, as_of: str, days: int,
         "action", "masked_entities", "subject_hashes")
     if limit is not None:
         matching = (rows.select("event_id", "event_time", F.explode("subject_hashes").alias("hash"))
-                    .join(F.broadcast(wanted.select("hash").distinct()), "hash", "left_semi")
+                    .join(wanted.select("hash").distinct(), "hash", "left_semi")
                     .select("event_id", "event_time").distinct())
         newest = matching.orderBy(F.desc("event_time"), F.desc("event_id")).limit(limit + 1)
         numbered = (newest.withColumn("_n", F.expr("row_number() OVER (ORDER BY event_time DESC, event_id DESC)"))
                     .withColumn("truncated", F.expr("count(*) OVER ()") > limit).filter(F.col("_n") <= limit))
-        rows = rows.join(F.broadcast(numbered.select("event_id", "truncated")), "event_id")
+        page = numbered.select("event_id", "truncated")
+        rows = rows.join(F.broadcast(page) if limit <= MAX_BROADCAST_ROWS else page, "event_id")
     else:
         rows = rows.withColumn("truncated", F.lit(False))
     return (
         rows.withColumn("hash", F.explode("subject_hashes")).drop("subject_hashes")
-        .join(F.broadcast(wanted), "hash")
+        .join(wanted, "hash")
         .dropDuplicates(["event_id", "label", "entity"])
         .withColumn("status", F.expr(STATUS))
         .withColumn("provider", provider_of(F.col("model"), providers))
@@ -47,6 +55,28 @@ def subject_hits(audit: DataFrame, subjects: DataFrame, as_of: str, days: int,
     )
 
 
+def resolve(values: DataFrame, key: bytes, old_key: bytes | None = None, config: ScanConfig = ScanConfig()) -> DataFrame:
+    """Searched values to (label, entity, hashes) or (label, error). `values` has value and entity; without
+    an entity the longest identifier found in the text counts. Labels hide the value."""
+    types = ", ".join(f"'{e}'" for e in fixed.SUBJECT_ENTITIES)
+    best = (f"array_max(transform(filter(findings, f -> f.entity IN ({types})), f -> named_struct('size', f.end - f.start, "
+            "'early', -f.start, 'entity', f.entity)))")
+    rows = with_findings(values.withColumn("_v", F.trim(F.coalesce("value", F.lit("")))), config, text="_v")
+    rows = (rows.withColumn("_best", F.expr(best))
+            .withColumn("_given", F.expr("entity IS NOT NULL AND entity <> ''"))
+            .withColumn("_entity", F.expr("if(_given, entity, _best.entity)"))
+            .withColumn("_value", F.expr("if(_given OR _best IS NULL, _v, substr(_v, 1 - _best.early, _best.size))")))
+    error = F.expr(f"CASE WHEN _given AND _entity NOT IN ({types}) THEN '{NO_TYPE}' WHEN NOT _given AND _best IS NULL THEN '{NO_FINDING}' "
+                   f"WHEN {subject_value('_entity', '_value')} = '' THEN '{NO_VALUE}' END")
+    hashes = ", ".join(subject_hash(k, "_entity", "_value") for k in (key, old_key) if k)
+    none = "cast(NULL AS array<string>)"
+    return (rows.withColumn("error", error)
+            .withColumn("label", F.expr(f"if(error IS NULL, {mask_label('_entity', '_value')}, {mask_label(repr(''), '_v')})"))
+            .withColumn("entity", F.expr("if(error IS NULL, _entity, NULL)"))
+            .withColumn("hashes", F.expr(f"if(error IS NULL, array({hashes}), {none})"))
+            .drop("_v", "_best", "_given", "_entity", "_value", "findings"))
+
+
 def subject_summary(hits: DataFrame, subjects: DataFrame, countries: Mapping[str, str] | None = None) -> DataFrame:
     """Per subject: events by status, first and last seen, recipients of unmasked data with counts."""
     recipient = F.when(F.col("provider").isin(list(countries or {})),
