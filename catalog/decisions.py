@@ -180,7 +180,7 @@ QUERIES = {
     "d16_impact_transitions": lambda s, d: IM.transitions(impact(s, d)),
     "d16_impact_teams": lambda s, d: IM.changed_teams(impact(s, d)),
     "d16_impact_rules": lambda s, d: IM.rule_changes(impact(s, d)),
-    "d16_impact_examples": lambda s, d: flat(IM.examples(impact(s, d))),
+    "d16_impact_examples": lambda s, d: flat(IM.examples(impact(s, d)).drop("reason")),
     "d16_impact_summary": lambda s, d: IM.summary(impact(s, d)),
     "d21_simulate": simulated,
     "d22_unknown_entities": lint,
@@ -279,6 +279,10 @@ ORACLES = {
     "d16_impact_rules": sql("""SELECT change, rule, count(*) AS requests FROM (
  SELECT event_id, 'added' AS change, unnest(list_filter(new_rules, lambda r: NOT list_contains(old_rules, r))) AS rule FROM replay
  UNION ALL SELECT event_id, 'removed', unnest(list_filter(old_rules, lambda r: NOT list_contains(new_rules, r))) FROM replay) GROUP BY 1, 2""", _REC, _REC_DECIDED, _CAND_GATED, _IMPACT),
+    "d16_impact_examples": sql("""SELECT team, model, destination, array_to_string(entities, ',') AS entities, round(injection_score, 2) AS injection_score, count(*) AS requests,
+ count(DISTINCT "user") AS users, before, after, array_to_string(new_rules, ',') AS rules FROM replay WHERE before <> after
+ GROUP BY team, model, destination, replay.entities, replay.injection_score, api_format, before, after, new_rules
+ ORDER BY count(*) DESC, team, model, destination, round(injection_score, 2), array_to_string(replay.entities, ','), api_format LIMIT 12""", _REC, _REC_DECIDED, _CAND_GATED, _IMPACT),
     "d16_impact_summary": sql("""SELECT count(*) AS requests, count(DISTINCT (team, model, destination, entities, injection_score, api_format)) AS "groups",
  count(*) FILTER (WHERE before <> after) AS changed FROM replay""", _REC, _REC_DECIDED, _CAND_GATED, _IMPACT),
     "d21_simulate": sql("""SELECT event_id, decided AS action, 'Yardımcı ol.|' || CASE WHEN decided='mask' THEN replace(replace(replace(replace(replace(text,

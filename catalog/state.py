@@ -182,6 +182,13 @@ nx AS (SELECT a.g, a.n, min(b.n) AS nxt FROM keyed a JOIN keyed b ON a.g = b.g A
 chain(g, n, prev) AS (SELECT g, 1, 0 FROM (SELECT DISTINCT g FROM keyed) UNION ALL SELECT nx.g, nx.nxt, nx.n FROM chain JOIN nx ON nx.g = chain.g AND nx.n = chain.n)"""
 ORACLES["f9_cooldown"] = sql("""SELECT event_id, channel, c.n IS NOT NULL AS sent, CASE WHEN c.n IS NULL OR prev = 0 THEN 0 ELSE c.n - prev - 1 END AS suppressed
  FROM keyed k LEFT JOIN chain c ON c.g = k.g AND c.n = k.n UNION ALL SELECT event_id, channel, true, 0 FROM m WHERE cooldown = 0""", _COOL).replace("WITH ", "WITH RECURSIVE ", 1)
+_TITLE = "CASE eff WHEN 'block' THEN 'Engellendi' WHEN 'mask' THEN 'Maskelendi' WHEN 'alert' THEN 'Uyarı' ELSE 'İzin verildi' END"
+_SEV = "list_position(['allow','alert','mask','block'], {})"
+ORACLES["f10_payloads"] = sql(f"""SELECT event_id, channel, {_TITLE} || CASE WHEN output_action <> '' AND {_SEV.format('output_action')} >= {_SEV.format('action')} AND len(output_leaked) > 0
+ THEN ' (model cevabında sızıntı)' ELSE '' END AS summary, 3 + (channel <> 'siem')::INT + (len(rules) > 0)::INT + (len(entities) > 0)::INT + (len(output_leaked) > 0)::INT + (injection_score >= 0.5::DOUBLE)::INT AS facts,
+ eff AS severity, CASE api_format WHEN 'browser' THEN 'browser' WHEN 'icap' THEN 'network' ELSE 'gateway' END AS source
+ FROM (SELECT event_id, channel FROM keyed k JOIN chain c ON c.g = k.g AND c.n = k.n UNION ALL SELECT event_id, channel FROM m WHERE cooldown = 0) s
+ JOIN (SELECT *, {_EFF} AS eff FROM audit) a USING (event_id)""", _COOL).replace("WITH ", "WITH RECURSIVE ", 1)
 ORACLES["a18_shadow_problems"] = sql("""SELECT problem, count(*) AS n FROM (SELECT CASE WHEN k%11=0 THEN 'site' WHEN k%13=0 THEN 'action'
  WHEN k%17=0 AND len(entities) > 0 THEN 'counts' WHEN k%29=0 THEN 'extension_version' END AS problem FROM audit WHERE api_format='browser') GROUP BY 1""")
 ORACLES["a18_shadow_audit"] = sql("""SELECT event_id, model, CASE c WHEN 'masked' THEN 'mask' WHEN 'visit' THEN 'allow' WHEN 'allowed_override' THEN 'alert' ELSE 'block' END AS action,
