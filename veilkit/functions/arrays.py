@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-BLOCK = 256
+BLOCK = 64
 
 
 def let(name: str, value: str, body: str) -> str:

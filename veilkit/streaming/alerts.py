@@ -15,6 +15,14 @@ from veilkit.functions import predicates as P
 from veilkit.streaming.ingest import WATERMARK
 
 
+def _timed(rows: DataFrame, watermark: str) -> DataFrame:
+    """Event time as microseconds and as a watermarked timestamp, both read as UTC whatever the session's
+    zone is, so that state timeouts compare like with like."""
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(event_time AS timestamp_ntz))")
+    return (rows.withColumn("at_us", micros).withColumn("at", F.timestamp_micros("at_us"))
+            .withColumn("event_id", F.col("event_id").cast("string")).withWatermark("at", watermark))
+
+
 def anomaly_stream(events: DataFrame, config: Mapping, watermark: str = WATERMARK) -> DataFrame:
     """One alert per (user, signal, window) when its count or its distinct subjects reach the threshold.
 
@@ -25,9 +33,8 @@ def anomaly_stream(events: DataFrame, config: Mapping, watermark: str = WATERMAR
     minutes, thresholds = config.get("window_minutes", 60), dict(config["thresholds"])
     rows = event_signals(events.filter(P.KNOWN_USER).filter("api_format <> 'anomaly'"))
     rows = rows.filter(F.col("signal").isin(list(thresholds))).withColumn("slot", slot(minutes))
-    timed = (rows.withColumn("at", F.to_timestamp(F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS")))
-             .withColumn("event_id", F.col("event_id").cast("string")).withWatermark("at", watermark)
-             .select("event_id", "at", "user", "signal", F.date_format("slot", "yyyy-MM-dd HH:mm:ss").alias("slot"), "hashes"))
+    timed = (_timed(rows, watermark)
+             .select("event_id", "at", "at_us", "user", "signal", F.date_format("slot", "yyyy-MM-dd HH:mm:ss").alias("slot"), "hashes"))
 
     def count(key, groups: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         user, signal, window = key
@@ -36,7 +43,7 @@ def anomaly_stream(events: DataFrame, config: Mapping, watermark: str = WATERMAR
             return
         seen, fired, known = state.get if state.exists else (0, False, [])
         out, known = [], set(known)
-        for event in pd.concat(list(groups)).sort_values(["at", "event_id"]).itertuples():
+        for event in pd.concat(list(groups)).sort_values(["at_us", "event_id"]).itertuples():
             if fired:
                 break
             if signal == "subjects":
@@ -48,7 +55,7 @@ def anomaly_stream(events: DataFrame, config: Mapping, watermark: str = WATERMAR
                 fired = True
                 out.append((event.event_id, user, signal, window, seen))
         state.update((seen, fired, [] if fired else sorted(known)))
-        end = pd.Timestamp(window) + pd.Timedelta(minutes=minutes)
+        end = pd.Timestamp(window, tz="UTC") + pd.Timedelta(minutes=minutes)
         state.setTimeoutTimestamp(max(int(end.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["event_id", "user", "signal", "slot", "count"])
 
@@ -59,10 +66,8 @@ def anomaly_stream(events: DataFrame, config: Mapping, watermark: str = WATERMAR
 
 def cooldown_stream(events: DataFrame, channels, watermark: str = WATERMARK) -> DataFrame:
     """Channel matches with sent and suppressed. State per key is the end of the cooldown and a count."""
-    rows = (match_channels(events, channels)
-            .withColumn("at", F.to_timestamp(F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS")))
-            .withColumn("event_id", F.col("event_id").cast("string")).withWatermark("at", watermark)
-            .select("event_id", "at", "channel", "team", "repeat_key", "cooldown"))
+    rows = (_timed(match_channels(events, channels), watermark)
+            .select("event_id", "at", "at_us", "channel", "team", "repeat_key", "cooldown"))
 
     def hold(key, groups: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -70,8 +75,8 @@ def cooldown_stream(events: DataFrame, channels, watermark: str = WATERMARK) ->
             return
         until, waiting = state.get if state.exists else (0.0, 0)
         out = []
-        for event in pd.concat(list(groups)).sort_values(["at", "event_id"]).itertuples():
-            now = event.at.timestamp()
+        for event in pd.concat(list(groups)).sort_values(["at_us", "event_id"]).itertuples():
+            now = event.at_us / 1e6
             if event.cooldown and now < until:
                 waiting += 1
                 out.append((event.event_id, key[0], False, 0))
