@@ -237,3 +237,24 @@ SELECT doc_id, 'EMAIL_ADDRESS' AS entity, value, count(*) AS n FROM (
     "b41_dictionary_describe": """SELECT entity, count(DISTINCT term) AS terms, 0 AS patterns FROM (
  SELECT 'KURUM_' || upper(split_part(p_type, ' ', 1)) AS entity, p_name AS term FROM part) GROUP BY 1""",
 }
+
+
+def _duck_rules() -> str:
+    """The injection rules for DuckDB: its engine has no look-around and only ASCII word classes."""
+    import re
+
+    from veilkit import fixed
+
+    word, out = "[\\pL\\pN_]", []
+    for pattern, _ in fixed.INJECTION_RULES:
+        p = pattern.replace("ı", "i").replace("(?<![\\w'’])", "(?:^|[^\\pL\\pN_'’])").replace("\\w", word)
+        p = re.sub(r"\\b$", "(?:$|[^\\\\pL\\\\pN_])", p)
+        p = re.sub(r"\\[uU]0*([0-9a-f]{4,5})", r"\\x{\1}", p)
+        out.append("regexp_matches(f, '" + p.replace("'", "''") + "')")
+    rules = ", ".join(f"CASE WHEN {test} THEN '{i}' END" for i, test in enumerate(out))
+    best = ", ".join(f"CASE WHEN {test} THEN {w}::DOUBLE ELSE 0 END" for (_, w), test in zip(fixed.INJECTION_RULES, out))
+    return (f"SELECT doc_id, array_to_string(list_filter([{rules}], lambda r: r IS NOT NULL), ',') AS rules, greatest({best}) AS injection_score "
+            "FROM (SELECT doc_id, replace(lower(replace(replace(text, 'İ', 'i'), '\u0307', '')), 'ı', 'i') AS f FROM documents)")
+
+
+ORACLES["b34_injection_documents"] = _duck_rules()
