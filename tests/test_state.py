@@ -178,3 +178,15 @@ def test_evaluation_tables_and_advice(spark):
     assert [a.priority for a in advice] == ["high", "high", "high", "medium", "medium", "medium", "low"]
     assert "entity_in: [TCKN, PHONE_TR]" in advice[0].policy and advice[0].detail.startswith("7 istekte T.C. kimlik no, Telefon")
     assert "telefon-gozlem (7)" in advice[3].detail and "eklentisini dağıtın" in advice[4].title and "Telefon (%25)" in advice[5].detail
+
+
+def test_approximate_subjects_are_close(spark):
+    rnd = random.Random(1)
+    events = [event(i, i, user=f"u{i % 40}", subject_hashes=[f"h{rnd.randint(0, 10_000)}" for _ in range(i % 40)]) for i in range(800)]
+    exact = {}
+    for e in events:
+        exact.setdefault(e["user"], set()).update(e["subject_hashes"])
+    config = {"window_minutes": 1440, "thresholds": {"subjects": 300}}
+    got = {r.user: r.subjects for r in AN.approximate_subjects(frame(spark, events).withColumn("event_time", F.lit("2026-03-31 10:00:00").cast("timestamp_ntz")), config).collect()}
+    assert set(got) >= {u for u, h in exact.items() if len(h) >= 320} and not set(got) & {u for u, h in exact.items() if len(h) < 280}
+    assert all(abs(n - len(exact[u])) <= 0.05 * len(exact[u]) for u, n in got.items())
