@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilkit.llm import pieces
+from veilkit.llm.fingerprints import fingerprints
 from veilkit.llm.frames import table
 from veilkit.llm.mixing import mix_sources
 from veilkit.llm.near_dups import near_duplicates
+from veilkit.llm.pages import extract
+from veilkit.llm.passages import remove_repeats
+from veilkit.llm.quality import weigh
+from veilkit.llm.secrets import secret_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +34,36 @@ def op1(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+@query("op2_quality_resampling")
+def op2(spark, sf_dir):
+    return weigh(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_document_fingerprints")
+def op3(spark, sf_dir):
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query("op4_near_duplicates")
 def op4(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_secret_scan")
+def op6(spark, sf_dir):
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
+@query("op7_sentencepiece")
+def op7(spark, sf_dir):
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
+@query("op9_page_text")
+def op9(spark, sf_dir):
+    return extract(table(spark, sf_dir, "pages"))
+
+
+@query("op10_passage_dedup")
+def op10(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
