@@ -1,19 +1,62 @@
-"""From raw documents to token ids: the stages, each over all rows that the one before kept."""
+"""From raw documents to token ids: five stages, each over all rows that the one before kept.
+
+Every stage takes (spark, docs, sf_dir); all but the last return the columns of documents, whatever they are.
+"""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilkit.llm import pieces
+from veilkit.llm.frames import checkpoint_dir
+from veilkit.llm.mixing import mixed_documents
+from veilkit.llm.near_dups import first_of_each
+from veilkit.llm.quality import good_only
+from veilkit.llm.secrets import redacted
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance sample keeps."""
+    return good_only(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    return first_of_each(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced; n_chars follows the text."""
+    out = redacted(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as many times as its source's target takes it."""
+    return mixed_documents(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_chars, n_ids, ids, round_trip) of every row."""
+    return pieces.encode(docs)
+
 
-STAGES = []
-ORACLE_SQL = None
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("secrets", secrets), ("mixing", mixing), ("encoding", encoding)]
+ORACLE_SQL = None  # models, signatures and random draws: tested against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again in the shared checkpoint folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    folder = os.path.join(checkpoint_dir(spark), f"pipeline-{spark._jvm.java.util.UUID.randomUUID()}")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
-QUERIES = {}
-ORACLES = {}
+QUERIES = {"pipeline": run}
+ORACLES = {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}

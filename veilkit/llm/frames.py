@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from veilkit.session import checkpoint_dir, materialize
 
-__all__ = ["checkpoint_dir", "materialize", "table", "words_of", "n_words", "per_group", "components"]
+__all__ = ["checkpoint_dir", "materialize", "table", "free_name", "n_words", "per_group", "components"]
 
-GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -20,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def words_of(text: Column | str) -> Column:
-    """The words of a text as an array; null text has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that the table does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
 
 
 def n_words(text: Column | str) -> Column:

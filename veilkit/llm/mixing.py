@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilkit.llm.frames import materialize, n_words, per_group
+from veilkit.llm.frames import free_name, materialize, n_words, per_group
 from veilkit.llm.hashing import mix
 
 FAN_IN = 4096
@@ -138,9 +138,9 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "s
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as many times as it is taken, with all its columns. Rows that repeat
     an id share what was taken of that id, so there every row gets the largest number of copies of the id."""
-    names = docs.columns
-    id_col = options.get("id_col", "doc_id")
-    copies = (mix_sources(docs, **options).filter("copies > 0").groupBy(id_col).agg(F.max("copies").alias("_n"))
-              .select(F.col(id_col).alias("_id"), "_n"))
-    rows = docs.join(copies, F.col(id_col).eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_n"))).select(*[F.col(f"`{c}`") for c in names])
+    names, id_col = docs.columns, options.get("id_col", "doc_id")
+    own, n, copy = free_name(docs, "mixed_id"), free_name(docs, "mixed_n"), free_name(docs, "mixed_copy")
+    copies = (mix_sources(docs, **options).filter("copies > 0").groupBy(id_col).agg(F.max("copies").alias(n))
+              .withColumnRenamed(id_col, own))
+    rows = docs.join(copies, F.col(id_col).eqNullSafe(F.col(own)))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[F.col(f"`{c}`") for c in names])

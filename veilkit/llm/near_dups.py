@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilkit.llm.frames import components, materialize, per_group
+from veilkit.llm.frames import components, free_name, materialize, per_group
 from veilkit.llm.hashing import LOWER, mix, text_bytes, windows, words
 
 SHINGLE = 5
@@ -245,3 +245,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     out = (rows_of_class.join(first, "rep", "left")
            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")))
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+
+
+def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """One document of each component, with all its columns. Rows without an id are nobody's copies and stay; of
+    rows that repeat an id one stays."""
+    own = free_name(docs, "kept_id")
+    kept = near_duplicates(docs, id_col=id_col, **options).filter("kept").select(F.col("component_id").alias(own)).distinct()
+    named = docs.join(kept, F.col(id_col) == F.col(own), "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.filter(F.col(id_col).isNull()))

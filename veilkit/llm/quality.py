@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilkit.llm.frames import materialize
@@ -140,25 +140,67 @@ def good_documents(scored: DataFrame, labels: DataFrame, accept: float) -> tuple
     return int(sum(p[0] for p in pools if not p[1] or p[2] / p[1] >= accept)), int(sum(p[0] for p in pools))
 
 
-def weigh(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality",
-          accept: float = ACCEPT, seed: int = 29) -> DataFrame:
-    """A row per document: id, n_grams, log_weight, score, key (noisy), kept."""
+def _prepared(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, quality_col: str, seed: int):
+    """(rows with id, text, draw, fold; the labels by id; log ratios by fold)."""
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     known = (labels.select(F.col(id_col).cast(kind).alias("id"), F.col(quality_col).alias("quality")).filter("id is not null")
              .groupBy("id").agg(F.max("quality").alias("quality")))
-    texts = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
-                         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("draw"))
-             .withColumn("fold", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(FOLDS)).cast("int")))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *_dealt(id_col, text_col, seed))
     good = known.filter("quality = 1").select("id", F.lit(1).alias("good"))
     marked = texts.join(good, "id", "left").select("text", F.when(F.col("good") == 1, F.col("fold")).alias("fold"))
-    rows = (texts.select("id", "text", "draw", "fold")
-            .mapInArrow(_scores(log_ratios(marked)), f"id {kind}, draw long, log_weight double, n_grams long"))
-    uniform = (F.pmod("draw", F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    noise = -F.log(-F.log(uniform))
-    scale = F.sqrt(F.greatest(F.col("n_grams"), F.lit(1)))
-    rows = materialize(rows.withColumn("score", F.col("log_weight") / scale)
-                       .withColumn("key", F.col("score") + noise / scale).drop("draw"))
+    return texts, known, log_ratios(marked)
+
+
+def _dealt(id_col: str, text_col: str, seed: int) -> list[Column]:
+    return [F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("draw"),
+            F.pmod(F.xxhash64(F.lit(seed + 1), F.col(id_col)), F.lit(FOLDS)).cast("int").alias("fold")]
+
+
+def _noisy(log_weight: Column, n_grams: Column, draw: Column) -> tuple[Column, Column]:
+    """(score, key): the log weight per root of n-grams, without and with Gumbel noise."""
+    noise = -F.log(-F.log((F.pmod(draw, F.lit(1 << 40)) + 0.5) / float(1 << 40)))
+    scale = F.sqrt(F.greatest(n_grams, F.lit(1)))
+    return log_weight / scale, (log_weight + noise) / scale
+
+
+def _limit(rows: DataFrame, known: DataFrame, accept: float) -> float:
+    """The smallest key that stays."""
     k, n = good_documents(rows, known, accept)
-    limit = kth_largest(rows, k) if 0 < k < n else None
-    kept = F.lit(k > 0) if limit is None else F.col("key") >= limit
-    return rows.withColumn("kept", kept).withColumnRenamed("id", id_col)
+    return float("inf") if k <= 0 < n else kth_largest(rows, k) if k < n else -float("inf")
+
+
+def weigh(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality",
+          accept: float = ACCEPT, seed: int = 29) -> DataFrame:
+    """A row per document: id, n_grams, log_weight, score, key (noisy), kept."""
+    texts, known, ratio = _prepared(docs, labels, id_col, text_col, quality_col, seed)
+    kind = texts.schema["id"].dataType.simpleString()
+    rows = texts.mapInArrow(_scores(ratio), f"id {kind}, draw long, log_weight double, n_grams long")
+    score, key = _noisy(F.col("log_weight"), F.col("n_grams"), F.col("draw"))
+    rows = materialize(rows.withColumn("score", score).withColumn("key", key).drop("draw"))
+    return rows.withColumn("kept", F.col("key") >= _limit(rows, known, accept)).withColumnRenamed("id", id_col)
+
+
+def good_only(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality",
+              accept: float = ACCEPT, seed: int = 29) -> DataFrame:
+    """The documents that `weigh` keeps, with all their columns. Texts are scored twice rather than moved."""
+    texts, known, ratio = _prepared(docs, labels, id_col, text_col, quality_col, seed)
+    kind = texts.schema["id"].dataType.simpleString()
+    rows = texts.mapInArrow(_scores(ratio), f"id {kind}, draw long, log_weight double, n_grams long")
+    score, key = _noisy(F.col("log_weight"), F.col("n_grams"), F.col("draw"))
+    limit = _limit(materialize(rows.select("id", score.alias("score"), key.alias("key"))), known, accept)
+    width = len(docs.columns)
+    whole = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)],
+                        F.col(id_col).alias("id"), F.col(text_col).alias("text"), *_dealt(id_col, text_col, seed))
+    judged = whole.drop("id", "text", "fold", "draw")
+    plain = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in judged.schema)
+    score_of = _scores(ratio)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.RecordBatch.from_arrays(batch.columns[width: width + 4], ["id", "text", "draw", "fold"])
+            got = pa.Table.from_batches(score_of(iter([own]))).combine_chunks()
+            extra = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (got["draw"], got["log_weight"], got["n_grams"])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *extra], [f"c{i}" for i in range(width)] + ["draw", "log_weight", "n_grams"])
+
+    scored = whole.mapInArrow(each, f"{plain}, draw long, log_weight double, n_grams long")
+    return scored.filter(key >= limit).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

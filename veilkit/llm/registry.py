@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veilkit.llm import pieces
 from veilkit.llm.fingerprints import fingerprints
 from veilkit.llm.frames import table
+from veilkit.llm.languages import identify
 from veilkit.llm.mixing import mix_sources
 from veilkit.llm.near_dups import near_duplicates
 from veilkit.llm.pages import extract
 from veilkit.llm.passages import remove_repeats
 from veilkit.llm.quality import weigh
 from veilkit.llm.secrets import secret_report
+from veilkit.llm.vectors import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,6 +52,24 @@ def op4(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS DOUBLE[]) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
+
+@query("op5_exact_top_k", OP5_SQL)
+def op5(spark, sf_dir):
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 @query("op6_secret_scan")
 def op6(spark, sf_dir):
     return secret_report(table(spark, sf_dir, "documents"))
@@ -59,6 +80,11 @@ def op7(spark, sf_dir):
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+@query("op8_page_language")
+def op8(spark, sf_dir):
+    return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 @query("op9_page_text")
 def op9(spark, sf_dir):
     return extract(table(spark, sf_dir, "pages"))

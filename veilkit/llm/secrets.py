@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from veilkit.functions.arrays import let, running_sum
 from veilkit.functions.globs import literal
+from veilkit.llm.frames import free_name
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KEYWORD = r"""^(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
@@ -125,11 +126,10 @@ def with_secrets(docs: DataFrame, *, text_col: str = "text", into: str = "secret
                  fdr: float = FDR) -> DataFrame:
     """All columns and `into`: a struct of `base`, spans (s, k, e) by start then kind, and `more`, discovered
     spans (s, k, e, encoding, p). k numbers KINDS."""
-    # pinned: Catalyst would run the scan again for every use of its result
-    rows = docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit(""))) if "_t" not in docs.columns else None
-    if rows is None:
-        raise ValueError("a column _t is in the way")
-    return rows.withColumn(into, F.expr(f"if(rand(1) + 1 >= 0, {_spans('_t', token_min, fdr)}, NULL)")).drop("_t")
+    text = free_name(docs, "scanned_text")
+    # kept where it is by a condition that always holds: Catalyst would run the scan again for every use of its result
+    found = F.expr(f"if(rand(1) + 1 >= 0, {_spans(text, token_min, fdr)}, NULL)")
+    return docs.withColumn(text, F.coalesce(F.col(text_col), F.lit(""))).withColumn(into, found).drop(text)
 
 
 def _listed(spans: str) -> str:
@@ -149,7 +149,7 @@ def secret_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 def redacted(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The same columns, every span of the text replaced by `mark`; touching and overlapping spans by one."""
     names = docs.columns
-    own = docs.withColumn("_secrets", F.lit(None)).columns[-1]
+    own = free_name(docs, "found_secrets")
     found = with_secrets(docs, text_col=text_col, into=own)
     spans = f"array_sort(concat({own}.base, transform({own}.more, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e))))"
     # left to right: text so far, end of the last span
