@@ -97,14 +97,14 @@ def valid(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10) -> DataFrame:
-    """(query_id, rank, vec_id, score) of each query's k largest inner products. `is_query` is a condition on the
-    rows' `id`, the id column's new name."""
+def top_k(vectors: DataFrame, is_query: str, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10) -> DataFrame:
+    """(query_id, rank, vec_id, score) of each query's k largest inner products. `is_query` is an SQL condition on
+    `id`, the id column under that name."""
     v = F.col(vector_col).cast("array<double>")
     rows = materialize(vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("x")).filter(valid(F.col("x")))
                        .select("id", F.transform("x", lambda x: F.floor(x * SCALE)).alias("v")))
     rows = rows.select(F.monotonically_increasing_id().alias("uid"), F.coalesce("id", F.lit(0)).alias("id"),
-                       F.col("id").isNull().alias("no_id"), "v", F.coalesce(is_query, F.lit(False)).alias("query"))
+                       F.col("id").isNull().alias("no_id"), "v", F.coalesce(F.expr(is_query), F.lit(False)).alias("query"))
     rows = materialize(rows)
     n, asked = rows.agg(F.count(F.lit(1)), F.count_if("query")).first()
     c_blocks, q_blocks = 1 + n // CANDIDATE_ROWS, 1 + asked // QUERY_ROWS
