@@ -1,13 +1,14 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
 Words and pairs of neighbouring words are hashed to `BUCKETS`. The raw model holds the shares of the buckets over
-all documents; the target model those over the labelled documents of good quality, brought towards the raw
-model by adding `PRIOR` raw counts, so buckets that the labels never show are neutral. A document's log weight is
-the sum of log(target / raw) over its n-grams. Gumbel noise makes the k largest a sample without replacement
-with probabilities in proportion to the weights; the noise is hashed from id and text, so reruns agree.
-
-k is no cap: it is the number of documents that the labels say are good. Documents are ranked by their noisy log
-weight per square root of n-grams; among the labelled ones every score range (of `BINS`) has a share of good
+all documents; the target model those over the labelled documents of good quality, smoothed towards the raw model
+by `PRIOR` times their number of n-grams, so a bucket that the target never shows costs the same at every size of
+the corpus. A document's log weight is the sum of log(target / raw) over its n-grams. Gumbel noise makes the k
+largest a sample without replacement with probabilities in proportion to the weights; the noise is hashed from id
+and text, so reruns agree. To compare documents of any length, weight and noise are divided by the number of
+n-grams, with `NEUTRAL` ones of no weight added, which keep very short texts near the middle.
+
+k is no cap: it is the number of documents that the labels say are good. Among the labelled documents every score range (of `BINS`) has a share of good
 documents, made to rise with the score, and k counts all documents in ranges with a share of `accept` or more.
 The k-th largest key is found by counting keys in ranges, again and again inside one, never by sorting in one
 place. No document is judged by a model that saw its own label: labels are dealt into `FOLDS`, and a document is
@@ -31,8 +32,9 @@ from veilkit.llm.frames import materialize
 from veilkit.llm.hashing import LOWER, mix, text_bytes, words
 
 BUCKETS = 1 << 16
-PRIOR = 1 << 20
-BINS = 64
+PRIOR = 0.3
+NEUTRAL = 50
+LOWEST, BINS, BIN = -1.5, 200, 0.01
 FOLDS = 4
 ACCEPT = 0.25
 
@@ -97,8 +99,8 @@ def log_ratios(texts: DataFrame) -> np.ndarray:
     full[:, counts["bucket"].to_numpy()] = [counts[c].to_numpy() for c in names]
     raw, good = full[0], full[1:].sum(axis=0) - full[1:]
     share = (raw + 1) / (raw.sum() + BUCKETS)
-    out = np.log((good + PRIOR * share) / (good.sum(axis=1, keepdims=True) + PRIOR) / share)
-    return np.where(good.sum(axis=1, keepdims=True) > 0, out, 0.0)
+    size = good.sum(axis=1, keepdims=True)
+    return np.where(size > 0, np.log((good + PRIOR * size * share) / (1 + PRIOR) / np.maximum(size, 1) / share + (size == 0)), 0.0)
 
 
 def kth_largest(keys: DataFrame, k: int, key: str = "key") -> float:
@@ -126,7 +128,7 @@ def kth_largest(keys: DataFrame, k: int, key: str = "key") -> float:
 def good_documents(scored: DataFrame, labels: DataFrame, accept: float) -> tuple[int, int]:
     """(documents in score ranges that the labels accept, all documents), from counts in BINS ranges."""
     with_labels = scored.join(labels, "id", "left")
-    cell = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(BINS - 1.0), (F.col("score") + 4) / 8 * BINS))).alias("cell")
+    cell = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(BINS - 1.0), (F.col("score") - LOWEST) / BIN))).alias("cell")
     rows = (with_labels.groupBy(cell).agg(F.count(F.lit(1)).alias("n"), F.count("quality").alias("labelled"),
                                           F.sum((F.col("quality") == 1).cast("long")).alias("good")).orderBy("cell").collect())
     # pool neighbouring ranges until the share of good documents rises with the score
@@ -157,9 +159,9 @@ def _dealt(id_col: str, text_col: str, seed: int) -> list[Column]:
 
 
 def _noisy(log_weight: Column, n_grams: Column, draw: Column) -> tuple[Column, Column]:
-    """(score, key): the log weight per root of n-grams, without and with Gumbel noise."""
+    """(score, key): the log weight per n-gram, without and with Gumbel noise."""
     noise = -F.log(-F.log((F.pmod(draw, F.lit(1 << 40)) + 0.5) / float(1 << 40)))
-    scale = F.sqrt(F.greatest(n_grams, F.lit(1)))
+    scale = n_grams + F.lit(NEUTRAL)
     return log_weight / scale, (log_weight + noise) / scale
 
 
