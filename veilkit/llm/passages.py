@@ -112,7 +112,7 @@ def _answers(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _extended(ranges: int, half: int):
-    """Of one stretch: the full windows around anchors, dealt by their hash: rows (part, windows)."""
+    """Of one stretch: the full windows around anchors, packed by their hash."""
     def each(rows: pd.DataFrame) -> pd.DataFrame | None:
         sizes = [len(x) // 4 for x in rows["hashes"]]
         h = np.frombuffer(b"".join(rows["hashes"]), np.uint32).astype(np.uint64)
@@ -132,61 +132,91 @@ def _extended(ranges: int, half: int):
         if not len(i):
             return None
         whole = mix(h[i] * np.uint64(0x9E3779B97F4A7C15) + h[i + half])
-        entries = np.stack([whole.view(np.int64), ids[doc[i]], th[doc[i]], g[i] - first[doc[i]]])
-        part = (whole >> np.uint64(20)) % np.uint64(ranges)
-        by = np.argsort(part, kind="stable")
-        values, cuts = np.unique(part[by], return_index=True)
-        blobs = [np.ascontiguousarray(entries[:, by[a:b]]).tobytes() for a, b in zip(cuts, [*cuts[1:], len(by)])]
-        return pd.DataFrame({"part": values.astype(np.int32), "windows": blobs})
+        part = ((whole >> np.uint64(20)) % np.uint64(ranges)).astype(np.int64)
+        return _dealt(part, ids[doc[i]], th[doc[i]], g[i] - first[doc[i]], whole)
     return each
 
 
-def _later(rows: pd.DataFrame) -> pd.DataFrame | None:
-    """Of one hash range: all windows but the first of each hash, gathered by document."""
-    whole, ids, th, place = np.concatenate([np.frombuffer(b, np.int64).reshape(4, -1) for b in rows["windows"]], axis=1)
-    order = np.lexsort((place, th, ids, whole))
-    whole, ids, th, place = whole[order], ids[order], th[order], place[order]
-    new = np.concatenate(([True], whole[1:] != whole[:-1]))
-    head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    later = np.flatnonzero((ids != ids[head]) | (th != th[head]) | (place != place[head]))
-    if not len(later):
-        return None
-    ids, th, place = ids[later], th[later], place[later].astype(np.int32)
-    by = np.lexsort((place, th, ids))
-    ids, th, place = ids[by], th[by], place[by]
-    cuts = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (th[1:] != th[:-1]))))
-    return pd.DataFrame({"id": ids[cuts], "th": th[cuts],
-                         "starts": [place[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(ids)])]})
-
-
-def _cut(size: int):
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                total, removed, digest, kept_text = [], [], [], []
-                for text, starts in zip(batch.column(1), batch.column(2).to_pylist()):
-                    text = text.as_buffer()
-                    w = text.to_pybytes().split() if text is not None else []
-                    kept = w
-                    if starts:
-                        mark = np.zeros(len(w) + 1, dtype=np.int64)
-                        for blob in starts:
-                            at_ = np.frombuffer(blob, np.int32)
-                            np.add.at(mark, at_, 1)
-                            np.add.at(mark, at_ + size, -1)
-                        kept = [w[i] for i in np.flatnonzero(np.cumsum(mark[:-1]) == 0)]
-                    joined = b" ".join(kept)
-                    total.append(len(w))
-                    removed.append(len(w) - len(kept))
-                    digest.append(hashlib.sha256(joined).hexdigest())
-                    kept_text.append(joined)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest),
-                     pa.array(kept_text, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+def _dealt(part: np.ndarray, ids: np.ndarray, th: np.ndarray, place: np.ndarray, whole: np.ndarray | None = None) -> pd.DataFrame:
+    """Entries packed by part: those of a document stand together, so its id is written once."""
+    by = np.lexsort((place, th, ids, part))
+    part, ids, th, place = part[by], ids[by], th[by], place[by]
+    new = np.concatenate(([True], (part[1:] != part[:-1]) | (ids[1:] != ids[:-1]) | (th[1:] != th[:-1])))
+    out, cuts = [], np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    for lo, hi in zip(cuts, [*cuts[1:], len(part)]):
+        heads = lo + np.flatnonzero(new[lo:hi])
+        docs = np.stack([ids[heads], th[heads], np.diff(np.append(heads, hi))]).astype(np.int64)
+        out.append((int(part[lo]), docs.tobytes(), _planes(place[lo:hi]), None if whole is None else whole[by[lo:hi]].tobytes()))
+    return pd.DataFrame(out, columns=["part", "docs", "places", "windows"])
+
+
+def _entries(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, th, place) of all packed entries."""
+    ids, th, counts = np.concatenate([np.frombuffer(b, np.int64).reshape(3, -1) for b in rows["docs"]], axis=1)
+    return np.repeat(ids, counts), np.repeat(th, counts), np.concatenate([_unplanes(b) for b in rows["places"]]).astype(np.int64)
+
+
+def _later(ranges: int):
+    """Of one hash range: all windows but the first of each hash, dealt by document."""
+    def each(rows: pd.DataFrame) -> pd.DataFrame | None:
+        ids, th, place = _entries(rows)
+        whole = np.frombuffer(b"".join(rows["windows"]), np.uint64)
+        order = np.lexsort((place, th, ids, whole))
+        whole, ids, th, place = whole[order], ids[order], th[order], place[order]
+        new = np.concatenate(([True], whole[1:] != whole[:-1]))
+        head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        later = np.flatnonzero((ids != ids[head]) | (th != th[head]) | (place != place[head]))
+        if not len(later):
+            return None
+        part = (mix(ids[later].view(np.uint64) ^ mix(th[later].view(np.uint64))) % np.uint64(ranges)).astype(np.int64)
+        return _dealt(part, ids[later], th[later], place[later])
     return each
 
 
+def _spans(size: int):
+    """Of some documents: the maximal stretches covered by removed windows, a row per document."""
+    def each(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, th, place = _entries(rows)
+        by = np.lexsort((place, th, ids))
+        ids, th, place = ids[by], th[by], place[by]
+        doc = np.concatenate(([True], (ids[1:] != ids[:-1]) | (th[1:] != th[:-1])))
+        apart = doc.copy()
+        apart[1:] |= place[1:] > place[:-1] + size
+        starts = np.flatnonzero(apart)
+        ends = place[np.append(starts[1:], len(place)) - 1] + size
+        spans = np.stack([place[starts], ends], axis=1).astype(np.int32)
+        heads = np.flatnonzero(doc)
+        cuts = np.searchsorted(starts, heads)
+        return pd.DataFrame({"id": ids[heads], "th": th[heads],
+                             "spans": [spans[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(starts)])]})
+    return each
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 512):
+            batch = whole.slice(at, 512)
+            total, removed, digest, kept_text = [], [], [], []
+            for text, spans in zip(batch.column(1), batch.column(2).to_pylist()):
+                text = text.as_buffer()
+                w = text.to_pybytes().split() if text is not None else []
+                kept, done = w, 0
+                if spans:
+                    kept = []
+                    for start, end in np.frombuffer(spans, np.int32).reshape(-1, 2).tolist():
+                        kept += w[done:start]
+                        done = end
+                    kept += w[done:]
+                joined = b" ".join(kept)
+                total.append(len(w))
+                removed.append(len(w) - len(kept))
+                digest.append(hashlib.sha256(joined).hexdigest())
+                kept_text.append(joined)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest),
+                 pa.array(kept_text, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+
+
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """A row per document: id, n_words, n_removed, kept_sha256, kept_text (kept words, single spaces).
     `window` is even; blocks are half of it."""
@@ -201,9 +231,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         _probes(ranges, half), "part int, uid long, hashes binary, places binary, blocks binary, docs binary")
     answers = per_group(probes, "part", _answers, "uid long, part int, hashes binary, places binary, anchors binary, docs binary",
                         parts=ranges)
-    full = per_group(answers, "uid", _extended(ranges, half), "part int, windows binary")
-    later = per_group(full, "part", _later, "id long, th long, starts binary", parts=ranges)
-    starts = later.groupBy("id", "th").agg(F.collect_list("starts").alias("starts"))  # bounded by the document's length
-    cut = keyed.join(starts, ["id", "th"], "left").select("doc", "text", "starts").mapInArrow(
-        _cut(window), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    packed = "part int, docs binary, places binary, windows binary"
+    full = per_group(answers, "uid", _extended(ranges, half), packed)
+    later = per_group(full, "part", _later(ranges), packed, parts=ranges)
+    spans = per_group(later, "part", _spans(window), "id long, th long, spans binary", parts=ranges)
+    cut = keyed.join(spans, ["id", "th"], "left").select("doc", "text", "spans").mapInArrow(
+        _cut, "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return cut.withColumnRenamed("id", id_col)
