@@ -108,6 +108,19 @@ def conversation_bodies(s, d):
     return B.extract_text(rows).select("conv_id", "turn", "text", "unscannable")
 
 
+def large_bodies(s, d):
+    """Documents 45 JSON levels down, and every 250th as plain text of over 5 MiB; both end in a marker."""
+    docs = table(s, d, "documents").select("doc_id", F.concat("text", F.lit(" son ek")).alias("text"))
+    q = _quoted("text")
+    nested = docs.select("doc_id", F.expr(f"encode(concat(repeat('[', 45), {q}, repeat(']', 45)), 'UTF-8')").alias("body"),
+                         F.lit("application/json").alias("content_type"))
+    long = docs.filter("doc_id % 250 = 0").select(
+        (-F.col("doc_id") - 1).alias("doc_id"), F.expr("encode(repeat(text, cast(ceil(5300000 / length(text)) AS int)), 'UTF-8')").alias("body"),
+        F.lit("text/plain").alias("content_type"))
+    rows = nested.unionByName(long).withColumn("content_encoding", F.lit(""))
+    return B.extract_text(rows).select("doc_id", F.sha2("text", 256).alias("sha"), "unscannable")
+
+
 def attachments(s, d):
     rows = table(s, d, "documents").select(
         "doc_id", (F.col("doc_id") % 40).alias("request_id"),
@@ -183,6 +196,7 @@ QUERIES = {
     "a13_response_parts": response_parts,
     "a15_page_bodies": page_bodies,
     "a15_conversation_bodies": conversation_bodies,
+    "a15_large_bodies": large_bodies,
     "a16_attachments": attachments,
     "a17_unscannable": unscannable_lists,
     "c10_mask_nested": nested_masking,
@@ -212,6 +226,8 @@ ORACLES = {
  ELSE 'desteklenmeyen tür (' || ['text/plain','application/pdf','image/png','application/zip','bilinmiyor'][doc_id % 5 + 1] || ')' END AS reason,
  CASE WHEN kind = 'text' AND n <= 20 AND doc_id % 7 <> 0 AND octet_length(encode(text)) <= 3000 THEN length(text) END AS chars
  FROM (SELECT *, ['text','pdf','image','other','text'][doc_id % 5 + 1] AS kind, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id) AS n FROM documents)""",
+    "a15_large_bodies": """SELECT doc_id, sha256(trim(text || ' son ek', ' ')) AS sha, false AS unscannable FROM documents
+ UNION ALL SELECT -doc_id - 1, sha256(repeat(text || ' son ek', CAST(ceil(5300000 / length(text || ' son ek')) AS INT))), false FROM documents WHERE doc_id % 250 = 0""",
     "a17_unscannable": """SELECT doc_id % 40 AS request_id, CASE WHEN count(*) > 10 THEN 'görsel: desteklenmeyen tür (image/png),görsel: ek sayısı sınırı (10)'
  ELSE 'görsel: desteklenmeyen tür (image/png)' END AS unscannable FROM documents GROUP BY 1""",
     "c10_mask_nested": sql("""SELECT event_id, replace(replace(replace(replace(replace(text, iban, '[IBAN_TR_1]'), project, '[KURUM_PROJE_1]'), phone, '[PHONE_TR_1]'), aws, '[SECRET_AWS_KEY_1]'), shown, '[TCKN_1]') AS user_text,

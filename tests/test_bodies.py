@@ -80,3 +80,30 @@ def test_body_text(spark):
     df = spark.createDataFrame([(i, bytearray(b), t, e) for i, (b, t, e, _, _) in enumerate(cases)], "i int, body binary, content_type string, content_encoding string")
     for (_, _, _, text, bad), r in zip(cases, B.extract_text(df).orderBy("i").collect()):
         assert (text is None or r.text == text) and r.unscannable == bad, (r.i, r.text)
+
+
+def deep(value, levels):
+    for _ in range(levels):
+        value = [value]
+    return json.dumps(value).encode()
+
+
+def test_nothing_of_a_body_is_cut(spark):
+    """Bodies beyond any usual size or depth, as they are, compressed and in nested parts."""
+    tail = "kimlik 10000000146"
+    large = "satir metni\n" * 600_000 + tail
+    inner = b'--I\r\nContent-Type: text/plain\r\n\r\nic parca\r\n--I--\r\n'
+    nested = b'--O\r\nContent-Type: multipart/mixed; boundary=I\r\n\r\n' + inner + b'--O\r\nContent-Type: text/plain\r\n\r\ndis parca\r\n--O--\r\n'
+    cases = [(large.encode(), "text/plain", ""), (gzip.compress(large.encode()), "text/plain", "gzip"), (json.dumps({"a": large}).encode(), "application/json", ""),
+             (deep(tail, 45), "application/json", ""), (deep(deep(tail, 60).decode(), 50), "application/json", ""), (nested, "multipart/mixed; boundary=O", "")]
+    df = spark.createDataFrame([(i, bytearray(b), t, e) for i, (b, t, e) in enumerate(cases)], "i int, body binary, content_type string, content_encoding string")
+    got = B.extract_text(df).orderBy("i").collect()
+    assert not any(r.unscannable for r in got)
+    assert [r.text for r in got] == [large, large, large, tail, tail, "ic parca\ndis parca"]
+
+
+def test_a_given_limit_is_marked(spark):
+    cases = [(b"x" * 100, ""), (b"x" * 10, ""), (gzip.compress(b"x" * 100), "gzip"), (gzip.compress(b"x" * 10), "gzip")]
+    df = spark.createDataFrame([(i, bytearray(b), "text/plain", e) for i, (b, e) in enumerate(cases)], "i int, body binary, content_type string, content_encoding string")
+    got = B.extract_text(df, limit=10).orderBy("i").collect()
+    assert [(r.text, r.unscannable) for r in got] == [("x" * 10, True), ("x" * 10, False)] * 2

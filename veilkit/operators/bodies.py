@@ -24,53 +24,66 @@ _SECTION = T.StructType([T.StructField("content_type", T.StringType()), T.Struct
 _WINDOW_BITS = {"gzip": 31, "x-gzip": 31, "deflate": 15}
 
 
-def _unpacked(body: bytes, encoding: str) -> bytes | None:
-    """At most the limit of decoded bytes, so a small compressed body cannot grow without bound."""
-    if encoding in ("", "identity"):
-        return body[: fixed.BODY_DECODE_LIMIT]
-    if encoding not in _WINDOW_BITS:
-        return None
-    try:
-        return zlib.decompressobj(wbits=_WINDOW_BITS[encoding]).decompress(body, fixed.BODY_DECODE_LIMIT)
-    except zlib.error:
-        return None
+def _inflated(data: bytes, encoding: str, limit: int | None) -> tuple[bytes | None, bool]:
+    """(decoded bytes, whether they are all); no bytes where the encoding is unknown or broken."""
+    if encoding in _WINDOW_BITS:
+        reader = zlib.decompressobj(wbits=_WINDOW_BITS[encoding])
+        try:
+            out = reader.decompress(data, limit or 0)
+        except zlib.error:
+            return None, False
+        return out, not reader.unconsumed_tail
+    if encoding not in ("", "identity"):
+        return None, False
+    return (data, True) if limit is None else (data[:limit], len(data) <= limit)
 
 
 def is_text(content_type: str) -> bool:
     return any(t in content_type for t in fixed.TEXT_CONTENT_TYPES)
 
 
-def _sections(body: bytes, content_type: str, encoding: str) -> Iterator[tuple[str, bytes, bool]]:
-    data = _unpacked(body, encoding.strip().lower())
-    if data is None:
+def _sections(body: bytes, content_type: str, encoding: str, limit: int | None) -> Iterator[tuple[str, bytes, bool]]:
+    """(content type, bytes, unreadable) of a compressed or multipart body's parts, at any depth."""
+    data, whole = _inflated(body, encoding.strip().lower(), limit)
+    if data is None or not whole:
         yield "", b"", True
-    elif "multipart/" not in content_type.lower():
+    if data is None:
+        return
+    if "multipart/" not in content_type.lower():
         yield content_type.lower(), data, False
-    else:
-        head = b"content-type: " + content_type.encode("latin-1") + b"\r\n\r\n"
-        for part in BytesParser(policy=HTTP).parsebytes(head + data).iter_parts():
-            payload, kind = part.get_payload(decode=True) or b"", part.get_content_type()
-            if part.get_filename() and not is_text(kind):
-                yield "", b"", bool(payload)
-            else:
-                yield from _sections(payload, kind, "")
-
-
-@F.pandas_udf(T.ArrayType(_SECTION))
-def _body_sections(body: pd.Series, content_type: pd.Series, encoding: pd.Series) -> pd.Series:
-    return pd.Series([list(_sections(bytes(b or b""), c or "", e or "")) for b, c, e in zip(body, content_type, encoding)], dtype=object)
-
-
-def _texts(value, depth: int = 0) -> Iterator[str]:
-    """The trimmed strings of a JSON value; a string that is itself JSON is opened in place."""
-    for path, _, _, kind, text in leaves(value):
-        level = depth + path.count("/")
-        if kind != "string" or level > fixed.MAX_BODY_DEPTH:
+        return
+    header = f"content-type: {content_type}\r\n\r\n".encode("latin-1", "replace")
+    for part in BytesParser(policy=HTTP).parsebytes(header + data).walk():
+        if not part.is_multipart():
+            kind, payload = part.get_content_type(), part.get_payload(decode=True) or b""
+            opaque = part.get_filename() is not None and not is_text(kind)
+            yield ("", b"", bool(payload)) if opaque else (kind, payload, False)
+
+
+def _body_sections(limit: int | None):
+    @F.pandas_udf(T.ArrayType(_SECTION))
+    def unpack(body: pd.Series, content_type: pd.Series, encoding: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else list(_sections(bytes(b), c or "", e or "", limit))
+                          for b, c, e in zip(body, content_type, encoding)], dtype=object)
+
+    return unpack
+
+
+def _texts(value) -> Iterator[str]:
+    """The trimmed strings of a JSON value, whatever its depth; a string that is itself JSON is opened in place."""
+    open_ = [leaves(value)]
+    while open_:
+        leaf = next(open_[-1], None)
+        if leaf is None:
+            open_.pop()
+            continue
+        kind, text = leaf[3], leaf[4]
+        if kind != "string":
             continue
         text = text.strip()
         inner = _parsed(text) if text[:1] in ("{", "[") and text[-1:] in ("}", "]") else None
         if isinstance(inner, (dict, list)):
-            yield from _texts(inner, level + 1)
+            open_.append(leaves(inner))
         elif len(text) >= fixed.MIN_BODY_STRING:
             yield text
 
@@ -94,10 +107,24 @@ _SCALAR = ("CASE WHEN c.json rlike '^(-?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?|tru
 
 
 def extract_text(df: DataFrame, *, body: str = "body", content_type: str = "content_type",
-                 encoding: str = "content_encoding") -> DataFrame:
-    """Adds text and unscannable. A JSON-typed body that is no single value is read line by line."""
+                 encoding: str = "content_encoding", limit: int | None = None) -> DataFrame:
+    """Adds text and unscannable. A JSON-typed body that is no single value is read line by line.
+
+    Bodies are read whole. A caller that fears small compressed bodies of enormous content gives a `limit` in
+    decoded bytes; what a body holds beyond it is not read, and the row is unscannable.
+    """
+    data, kind = F.col(body).cast("binary"), F.lower(F.coalesce(F.col(content_type), F.lit("")))
+    packing = F.lower(F.trim(F.coalesce(F.col(encoding), F.lit(""))))
+    plain = packing.isin("", "identity") & ~kind.contains("multipart/")
+    length = F.coalesce(F.octet_length(data), F.lit(0))
+    over = F.lit(False) if limit is None else length > limit
+    given = F.coalesce(data if limit is None else F.substring(data, 1, limit), F.lit(b""))
+    # plain bodies are one section as they stand: only packed ones go through Python
+    own = F.array(F.struct(kind.alias("content_type"), given.alias("body"), over.alias("bad")))
+    packed = F.when(~plain, F.coalesce(data, F.lit(b"")))
     staged = (
-        df.withColumn("_sections", _body_sections(F.col(body).cast("binary"), F.col(content_type), F.col(encoding)))
+        df.withColumn("_packed", _body_sections(limit)(packed, F.col(content_type), F.col(encoding)))
+        .withColumn("_sections", F.coalesce("_packed", own)).drop("_packed")
         .withColumn("_sections", F.expr("transform(_sections, s -> named_struct('content_type', s.content_type, 'bad', s.bad, "
                                         "'empty', octet_length(s.body) = 0, 'text', make_valid_utf8(cast(s.body AS string))))"))
         .withColumn("_whole", _json_texts(F.col("_sections.text")))

@@ -58,7 +58,7 @@ def leaves(value) -> Iterator[tuple[str, str, str, str, str]]:
 def _parsed(text: str | None):
     try:
         return json.loads(text) if text is not None else None
-    except ValueError:
+    except (ValueError, RecursionError):  # no JSON, or nested beyond what the parser takes
         return None
 
 
