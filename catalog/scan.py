@@ -84,6 +84,19 @@ def long_dictionary(s, d):
     return _spans(S.with_findings(prompts(s, d), config)).drop("score")
 
 
+def dictionary_sizes(s, d):
+    """The same terms in a short and a long list, over texts in upper case with the ASCII letter I."""
+    terms = ("microsoft", "istanbul ofisi")
+    filler = tuple(f"dolgu terim {i}" for i in range(250))
+    text = F.expr("element_at(array('MICROSOFT lisans', 'yeni ISTANBUL OFISI', 'Microsoft ve istanbul ofisi', 'microsoftlu'), cast(event_id % 4 AS int) + 1)")
+    rows = table(s, d, "events").select("event_id", F.concat_ws(" ", text, F.col("user_id").cast("string")).alias("text"))
+    for name, listed in (("short", terms), ("long", terms + filler)):
+        config = S.ScanConfig(dictionary=(D.Entry("KURUM_PROJE", listed),), builtin=False)
+        rows = S.with_findings(rows, config, into=name)
+    spans = "array_join(transform({}, f -> concat(f.start, '-', f.end)), ',')"
+    return rows.select("event_id", F.expr(spans.format("short")).alias("in_short"), F.expr(spans.format("long")).alias("in_long"))
+
+
 def hashed_dictionary(s, d):
     terms = s.createDataFrame([("KURUM_PROJE", t, False) for t in MANY_TERMS.terms], "entity string, term string, case_sensitive boolean")
     rows = D.term_hashes(terms, SALT).collect()  # bounded by the dictionary's term limit
@@ -173,6 +186,7 @@ QUERIES = {
     "b28_scan_distinct": distinct_scan,
     "b29_external_findings": scan_prompts_external,
     "b30_dictionary_long": long_dictionary,
+    "b30_dictionary_sizes": dictionary_sizes,
     "b32_dictionary_hashed": hashed_dictionary,
     "b33_entity_counts": entity_totals,
     "b34_injection_prompts": injection("prompts", "event_id"),
@@ -221,6 +235,8 @@ SELECT doc_id, 'EMAIL_ADDRESS' AS entity, value, count(*) AS n FROM (
  UNION ALL SELECT 'PERSON' FROM prompts WHERE k % 4 = 0
  UNION ALL SELECT 'LOCATION' FROM prompts WHERE k % 4 <> 0) GROUP BY 1""", PROMPTS_CTE),
     "b30_dictionary_long": sql("SELECT event_id, entity, start_at, end_at, found FROM spans WHERE entity = 'KURUM_PROJE'", PROMPTS_CTE),
+    "b30_dictionary_sizes": """SELECT event_id, v AS in_short, v AS in_long FROM (SELECT event_id,
+ CASE event_id % 4 WHEN 0 THEN '0-9' WHEN 1 THEN '5-19' WHEN 2 THEN '0-9,13-27' ELSE '' END AS v FROM events)""",
     "b32_dictionary_hashed": sql("SELECT event_id, entity, start_at, end_at, found FROM spans WHERE entity = 'KURUM_PROJE'", PROMPTS_CTE),
     "b33_entity_counts": sql("SELECT team, entity, count(*) AS n FROM spans GROUP BY 1, 2", PROMPTS_CTE),
     "b34_injection_prompts": sql(f"SELECT event_id, {_RULES} AS rules, {_SCORE} AS injection_score FROM prompts", PROMPTS_CTE),

@@ -51,6 +51,22 @@ def test_dictionary_terms(spark, filler):
     assert [[r.text[f.start:f.end] for f in r.findings] for r in rows] == list(cases.values())
 
 
+def test_list_length_changes_nothing(spark):
+    """The same terms in a short and a long list find the same, in any case and with any letter i."""
+    terms = ("microsoft", "istanbul ofisi", "IŞIK", "Diyarbakır", "ΣΑΣ", "µ-birim", "Straße")
+    texts = ["MICROSOFT lisans", "ISTANBUL OFISI", "İSTANBUL OFİSİ", "mıcrosoft", "ışık IŞIK işik IŞİK", "DIYARBAKIR diyarbakir", "σας ΣΑΣ σασ", "Μ-BIRIM µ-bırım",
+             "STRASSE straße STRAßE", "microſoft", "microsofty", "\u212aelvin"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+
+    def found(entry):
+        rows = S.with_findings(df, S.ScanConfig(dictionary=(entry,), builtin=False)).orderBy("i").collect()
+        return [[r.text[f.start:f.end] for f in r.findings] for r in rows]
+
+    short = found(D.Entry("KURUM_PROJE", terms))
+    assert short == found(D.Entry("KURUM_PROJE", terms + tuple(f"dolgu terim {i}" for i in range(300))))
+    assert short[:2] == [["MICROSOFT"], ["ISTANBUL OFISI"]] and len(short[4]) == 4 and short[10] == []
+
+
 def test_longer_match_wins_over_a_term_inside(spark):
     config = S.ScanConfig(dictionary=(D.Entry("KURUM_PROJE", ("anka",)), D.Entry("KURUM_SUNUCU", patterns=(r"PRJ-\d{4}",))))
     df = spark.createDataFrame([("anka@ornek.com ve prj-1234, PRJ-12345",)], "text string")

@@ -1,7 +1,8 @@
 """Corporate dictionary: listed terms and patterns as recognizers.
 
 Short lists become one alternation, longest term first. Long lists would make that regex slow, so the
-text's word groups are looked up in a hash set instead; both stay inside the projection.
+text's word groups are looked up in a hash set instead; both stay inside the projection and both take the same
+letters for equal, so that a term is found or not whatever the length of its list.
 """
 
 from __future__ import annotations
@@ -33,15 +34,29 @@ def fold_sql(text: str, case_sensitive: bool = False) -> str:
     return text if case_sensitive else f"lower(translate({text}, 'İI', 'iı'))"
 
 
+# characters that a case-insensitive pattern takes for the same letter although lower() keeps them apart
+_SAME = {c: low for c in map(chr, range(0x80, 0x10000))
+         if len(c.upper()) == 1 and len(low := c.upper().lower()) == 1 and low != c.lower()} | {"İ": "i", "I": "i", "ı": "i", "Σ": "σ"}
+_SAME_FROM, _SAME_TO = "".join(_SAME), "".join(_SAME.values())
+
+
+def match_term(term: str, case_sensitive: bool = False) -> str:
+    """A listed term as it is compared with a text: what a case-insensitive pattern takes for equal is equal."""
+    term = re.sub(r"\s+", " ", term.strip())
+    return term if case_sensitive else term.translate(str.maketrans(_SAME)).lower()
+
+
+def match_sql(text: str, case_sensitive: bool = False) -> str:
+    return text if case_sensitive else f"lower(translate({text}, {literal(_SAME_FROM)}, {literal(_SAME_TO)}))"
+
+
 def _term_regex(term: str) -> str:
     out = []
     for ch in term:
         if ch == " ":
             out.append(r"\s+")
-        elif ch in "iİ":
-            out.append("[iİ]")
-        elif ch in "ıI":
-            out.append("[ıI]")
+        elif ch in "iİıI":
+            out.append("[iİıI]")
         else:
             out.append(ch if ch.isalnum() else re.sub(r"([^\w\s])", r"\\\1", ch))
     return "".join(out)
@@ -70,7 +85,7 @@ class Entry:
 
     @property
     def folded(self) -> list[str]:
-        return sorted({fold_term(t, self.case_sensitive) for t in self.terms}, key=lambda t: (-len(t), t))
+        return sorted({match_term(t, self.case_sensitive) for t in self.terms}, key=lambda t: (-len(t), t))
 
     @property
     def uses_hash_set(self) -> bool:
@@ -94,7 +109,7 @@ def _unit_count(term: str) -> int:
 
 
 def gram_matches(text: str, sizes: Sequence[int], test, case_sensitive: bool = False,
-                 first_units: Sequence[str] = ()) -> str:
+                 first_units: Sequence[str] = (), fold=fold_sql) -> str:
     """array<struct<start,end,score>> of word groups that pass `test` (SQL over the folded group), taken
     from the left, the longest group first at each position. `sizes` are the unit counts of the terms;
     `first_units`, where known, keep groups from being built at words no term starts with.
@@ -129,7 +144,7 @@ def gram_matches(text: str, sizes: Sequence[int], test, case_sensitive: bool = F
         # most texts hold no word a term starts with: their distinct words decide that alone
         words = ", ".join(map(literal, starts))
         matched = f"if(exists(array_distinct(split(folded, '(?U)[\\\\W_]+')), w -> w IN ({words})), {matched}, {none})"
-    return let("folded", fold_sql(text, case_sensitive), matched)
+    return let("folded", fold(text, case_sensitive), matched)
 
 
 def term_findings(entry: Entry, text: str) -> str:
@@ -137,7 +152,7 @@ def term_findings(entry: Entry, text: str) -> str:
     options = ", ".join(map(literal, entry.folded))
     firsts = [re.match(r"[^\W_]+|[\s\S]", t).group(0) for t in entry.folded]
     found = gram_matches(text, [_unit_count(t) for t in entry.folded], lambda g: f"{g} IN ({options})",
-                         entry.case_sensitive, firsts)
+                         entry.case_sensitive, firsts, match_sql)
     return f"transform({found}, f -> named_struct('entity', {literal(entry.entity)}, 'start', f.start, 'end', f.end, 'score', f.score))"
 
 
