@@ -68,6 +68,11 @@ def _hashed(kept: Column, text: Column, density: tuple[int, ...]) -> Column:
     return F.array(*[_part(kept, k, d) for k, d in enumerate(density)], alone)
 
 
+def _fingerprint(text: Column, lex: Column, density: tuple[int, ...]) -> Column:
+    """The array of part hashes; a lambda binds the kept terms, so that they are found once."""
+    return F.get(F.transform(F.array(in_band(text, lex)), lambda kept: _hashed(kept, text, density)), 0)
+
+
 def printed(fp: Column) -> Column:
     return F.array_join(F.transform(fp, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "-")
 
@@ -96,9 +101,10 @@ def _bucketed(ids: DataFrame) -> tuple[Column, int]:
     return F.when(F.col("id").isNull(), len(bounds) + 1).otherwise(F.lit(len(bounds)) - below), len(bounds) + 2
 
 
-def next_document(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """`columns` of the next row by descending id as struct `next`, after the last the first. Rows are moved
-    once, into ranges of ids; the first row of every range is sent along to the range before."""
+def beside_next(rows: DataFrame, computed: dict[str, Column], following: dict[str, str]) -> DataFrame:
+    """Rows (id, tie, ...) with the columns `computed` from their own, and `following`: new names of columns of the
+    next row by descending id, after the last the first. Rows are moved once, into ranges of ids; the first row of
+    every range is sent along to the range before."""
     bucket, _ = _bucketed(rows.select("id"))
     rows = rows.withColumn("bucket", bucket)
     heads = rows.groupBy("bucket").agg(F.max("id").alias("head"))  # at most MAX_BUCKETS + 1 rows from here on
@@ -109,10 +115,10 @@ def next_document(rows: DataFrame, columns: list[str]) -> DataFrame:
     heads = materialize(heads)
     sent = (rows.join(F.broadcast(heads), F.col("id").eqNullSafe(F.col("head")))
             .withColumn("bucket", F.col("to")).drop("head", "to").withColumn("copy", F.lit(1)))
-    every = rows.withColumn("copy", F.lit(0)).unionByName(sent)
+    every = rows.withColumn("copy", F.lit(0)).unionByName(sent).withColumns(computed)
     along = Window.partitionBy("bucket").orderBy("copy", F.col("id").desc_nulls_last(), "tie")
-    return (every.withColumn("next", F.lead(F.struct(*columns)).over(along)).filter("copy = 0")
-            .drop("bucket", "copy"))
+    # plain columns only: an expression inside lead() would be moved beside the columns it is made of
+    return every.withColumns({new: F.lead(c).over(along) for new, c in following.items()}).filter("copy = 0").drop("bucket", "copy")
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, most: float = MOST,
@@ -120,16 +126,13 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """A row per document: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lex = lexicon(texts, F.col("text"), least, most)
-    rows = (texts.withColumn("kept", in_band(F.col("text"), lex))
-            .withColumn("fp", _hashed(F.col("kept"), F.col("text"), density)).drop("kept")
-            .withColumn("tie", F.xxhash64("text")))
-    moved = next_document(rows, ["text", "fp"])
+    rows = beside_next(texts.withColumn("tie", F.xxhash64("text")), {"fp": _fingerprint(F.col("text"), lex, density)},
+                       {"next_text": "text", "next_fp": "fp"})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring("text", 1, n - half), F.substring(F.col("next.text"), 1, half))
-    return (moved.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fp", F.col("next.fp").alias("next_fp"))
-            .withColumn("kept", in_band(F.col("edited"), lex))
-            .withColumn("edited_fp", _hashed(F.col("kept"), F.col("edited"), density))
+    edited = F.concat(F.substring("text", 1, n - half), F.substring("next_text", 1, half))
+    return (rows.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fp", "next_fp")
+            .withColumn("edited_fp", _fingerprint(F.col("edited"), lex, density))
             .select(F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
                     printed(F.col("fp")).alias("fingerprint"), printed(F.col("edited_fp")).alias("edited_fingerprint"),
                     likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
