@@ -63,10 +63,10 @@ SELECT strftime(event_time, '%Y-%m-%d') AS day, count(*) AS requests, {n("action
 SELECT team, count(*) AS requests, {n("destination='external'", "external")}, {n("action='mask'", "masked")},
  {n("action='block'", "blocked")}, {n("injection_score>=0.5::DOUBLE", "injection_attempts")},
  {n(EXT_UNMASKED, "external_unmasked_pii")}, {_TOKENS}, {_COST}, {_UNKNOWN}
- FROM audit WHERE {WINDOW} GROUP BY team ORDER BY requests DESC, team LIMIT 50"""),
+ FROM audit WHERE {WINDOW} GROUP BY team ORDER BY requests DESC, team"""),
     "e4_usage_by_model": sql(f"""
 SELECT model, min(destination) AS destination, count(*) AS requests, {_TOKENS}, {_COST}, {_UNKNOWN}, {_LAT}
- FROM audit WHERE {WINDOW} GROUP BY model ORDER BY requests DESC, model LIMIT 50"""),
+ FROM audit WHERE {WINDOW} GROUP BY model ORDER BY requests DESC, model"""),
     "e5_usage_entities": sql(f"""
 SELECT entity, count(*) AS requests, {n("destination='external'", "external")}, {n("action='block'", "blocked")},
  {n("action<>'block' AND list_contains(masked_entities, entity)", "masked")},

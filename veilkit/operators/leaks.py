@@ -28,11 +28,12 @@ def known_values(vault: DataFrame, scope: Sequence[str]) -> DataFrame:
 def output_leaks(responses: DataFrame, requests: DataFrame, key: str, *, text: str = "text",
                  findings: str = "findings", sent: str = "all_text", vault: DataFrame | None = None) -> DataFrame:
     """Adds `leaks`, the findings whose value is neither a substring of the request's whole text nor a
-    known value. Only answers with findings are joined to their request; the rest pass through the
-    left join without a match on their side of the filter."""
-    asked = requests.select(key, F.col(sent).alias("_sent"))
-    rows = responses.withColumn("_k", F.when(F.size(findings) > 0, F.col(key)))
-    rows = rows.join(asked.withColumnRenamed(key, "_k"), "_k", "left").drop("_k")
+    known value. Answers without findings match no request: they get join keys of their own, so that they
+    spread evenly instead of meeting in the partition of a common NULL."""
+    asked = requests.select(F.col(key).alias("_k"), F.lit(0).cast("bigint").alias("_apart"), F.col(sent).alias("_sent"))
+    has = F.size(findings) > 0
+    rows = responses.withColumn("_k", F.when(has, F.col(key))).withColumn("_apart", F.when(has, F.lit(0)).otherwise(F.xxhash64(key)))
+    rows = rows.join(asked, ["_k", "_apart"], "left").drop("_k", "_apart")
     known = "cast(array() AS array<string>)"
     if vault is not None:
         values = known_values(vault, [key])
@@ -49,9 +50,17 @@ def output_leaks(responses: DataFrame, requests: DataFrame, key: str, *, text: s
     return rows.withColumn("leaks", F.expr(new)).drop("_sent", "_known", "_loose")
 
 
-def session_leaks(response_values: DataFrame, request_values: DataFrame, session: Sequence[str]) -> DataFrame:
-    """The set form for sessions that keep only the found values: anti-join on (session, value)."""
-    return response_values.join(request_values.select(*session, "value").distinct(), [*session, "value"], "left_anti")
+def session_leaks(response_values: DataFrame, request_values: DataFrame, session: Sequence[str], vault: DataFrame | None = None) -> DataFrame:
+    """The set form for sessions that keep only the found values: what the session did not send. Real values of
+    a vault, its surrogates and respellings of its surrogate numbers are no leaks either."""
+    sent = request_values.select(*session, "value").distinct()
+    if vault is None:
+        return response_values.join(sent, [*session, "value"], "left_anti")
+    known = known_values(vault, session)
+    plain = known.filter("NOT respelled").select(*session, F.col("known").alias("value"))
+    loose = known.filter("respelled").select(*session, F.col("known").alias("_bare"))
+    rows = response_values.join(sent.unionByName(plain).distinct(), [*session, "value"], "left_anti")
+    return rows.withColumn("_bare", F.expr(alnum("value"))).join(loose, [*session, "_bare"], "left_anti").drop("_bare")
 
 
 def leak_entities(df: DataFrame, column: str = "leaks") -> DataFrame:

@@ -111,16 +111,18 @@ def teams(audit: DataFrame, as_of: str, days: int, limit: int = 10) -> DataFrame
     )
 
 
-def shadow_sites(audit: DataFrame, as_of: str, days: int, limit: int = 20) -> DataFrame:
+def shadow_sites(audit: DataFrame, as_of: str, days: int, limit: int | None = None) -> DataFrame:
+    """All sites, so that totals over them are totals; a limit is the caller's choice."""
     kinds = {"visits": "visit", "masked": "masked", "cancelled": "cancelled", "blocked": "blocked",
              "overridden": "allowed_override", "redirected": "redirected"}
     counts = {name: _count(f"array_contains(rules, '{fixed.SHADOW_RULE}{kind}')", name) for name, kind in kinds.items()}
-    return (
+    rows = (
         _browser(audit, as_of, days).groupBy(F.col("model").alias("site"))
         .agg(F.countDistinct("user").alias("users"), counts.pop("visits"), _count("size(entities) > 0", "with_data"),
              *counts.values())
-        .orderBy(F.desc("with_data"), F.desc("visits"), "site").limit(limit)
+        .orderBy(F.desc("with_data"), F.desc("visits"), "site")
     )
+    return rows if limit is None else rows.limit(limit)
 
 
 def shadow_entities(audit: DataFrame, as_of: str, days: int, labels: Mapping[str, str] | None = None) -> DataFrame:

@@ -9,10 +9,8 @@ from veilkit import fixed
 from veilkit.functions import predicates as P
 from veilkit.plans.usage import audit_window, ntz
 
-_WEIGHTED = " + ".join(f"{weight}D * {name}" for name, weight in fixed.RISK_WEIGHTS.items())
 
-
-def signals(audit: DataFrame, as_of: str, days: int, team: str = "", limit: int | None = fixed.RISK_LIMIT) -> DataFrame:
+def signals(audit: DataFrame, as_of: str, days: int, team: str = "") -> DataFrame:
     """Eight signals per known user. Distinct subjects are counted on exploded hashes, so one very
     active user's hashes are spread over the cluster instead of gathered into one array."""
     rows = audit_window(audit, as_of, days, team).filter(P.KNOWN_USER)
@@ -33,11 +31,10 @@ def signals(audit: DataFrame, as_of: str, days: int, team: str = "", limit: int
         .select("user", F.explode("subject_hashes").alias("hash"))
         .groupBy("user").agg(F.countDistinct("hash").alias("subjects"))
     )
-    out = (
+    return (
         counted.filter("risky_24h + risky_before > 0").join(subjects, "user", "left")
         .withColumn("subjects", F.coalesce("subjects", F.lit(0).cast("bigint")))
     )
-    return out if limit is None else out.orderBy(F.expr(_WEIGHTED).desc(), "user").limit(limit)
 
 
 def score(rows: DataFrame, days: int) -> DataFrame:
@@ -61,6 +58,7 @@ def score(rows: DataFrame, days: int) -> DataFrame:
     )
 
 
-def report(audit: DataFrame, as_of: str, days: int, team: str = "", limit: int = fixed.RISK_LIMIT) -> DataFrame:
-    """Ranked and cut by the weighted sum, then scored (the spike bonus does not affect the cut)."""
-    return score(signals(audit, as_of, days, team, limit), days).orderBy(F.desc("score"), "user")
+def report(audit: DataFrame, as_of: str, days: int, team: str = "", limit: int | None = None) -> DataFrame:
+    """All users, scored and ranked; a limit cuts the ranked list, so a spike can bring a user in."""
+    rows = score(signals(audit, as_of, days, team), days).orderBy(F.desc("score"), F.desc("total"), "user")
+    return rows if limit is None else rows.limit(limit)

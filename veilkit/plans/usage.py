@@ -72,24 +72,26 @@ def daily(audit: DataFrame, as_of: str, days: int, team: str = "") -> DataFrame:
     )
 
 
-def by_team(audit: DataFrame, as_of: str, days: int, team: str = "", limit: int = 50) -> DataFrame:
-    return (
+def by_team(audit: DataFrame, as_of: str, days: int, team: str = "", limit: int | None = None) -> DataFrame:
+    rows = (
         audit_window(audit, as_of, days, team).groupBy("team")
         .agg(F.count(F.lit(1)).alias("requests"), _count("destination = 'external'", "external"),
              _count("action = 'mask'", "masked"), _count("action = 'block'", "blocked"),
              _count(P.INJECTION, "injection_attempts"), _count(P.EXTERNAL_UNMASKED_PII, "external_unmasked_pii"),
              _tokens(), _cost(), _unknown_cost())
-        .orderBy(F.desc("requests"), "team").limit(limit)
+        .orderBy(F.desc("requests"), "team")
     )
+    return rows if limit is None else rows.limit(limit)
 
 
-def by_model(audit: DataFrame, as_of: str, days: int, team: str = "", limit: int = 50) -> DataFrame:
-    return (
+def by_model(audit: DataFrame, as_of: str, days: int, team: str = "", limit: int | None = None) -> DataFrame:
+    rows = (
         audit_window(audit, as_of, days, team).groupBy("model")
         .agg(F.min("destination").alias("destination"), F.count(F.lit(1)).alias("requests"), _tokens(), _cost(),
              _unknown_cost(), _latency())
-        .orderBy(F.desc("requests"), "model").limit(limit)
+        .orderBy(F.desc("requests"), "model")
     )
+    return rows if limit is None else rows.limit(limit)
 
 
 def entities(audit: DataFrame, as_of: str, days: int, team: str = "") -> DataFrame:
