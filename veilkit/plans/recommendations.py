@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,18 +10,21 @@ from pyspark.sql import functions as F
 
 from veilkit import fixed
 
-_PRIORITY = {"high": 0, "medium": 1, "low": 2}
 COLUMNS = ["position", "priority", "title", "detail", "policy"]
 
 
-def _snippet(name: str, when: str, action: str = "mask", extra: str = "") -> str:
-    return f"- name: {name}\n  when: {when}\n  action: {action}{extra}"
+def _filled(template: str | None) -> Column:
+    """A text with the columns named in angle brackets put in."""
+    if template is None:
+        return F.lit(None).cast("string")
+    pieces = re.split(r"⟨(\w+)⟩", template)
+    return F.concat(*[F.col(x).cast("string") if i % 2 else F.lit(x) for i, x in enumerate(pieces)])
 
 
-def _advice(rows: DataFrame, position: int, priority: str, title: str, detail: Column, policy) -> DataFrame:
-    policy = policy if isinstance(policy, Column) else F.lit(policy).cast("string")
+def _advice(rows: DataFrame, finding: str) -> DataFrame:
+    position, priority, title, detail, policy = fixed.ADVICE[finding]
     return rows.select(F.lit(position).alias("position"), F.lit(priority).alias("priority"), F.lit(title).alias("title"),
-                       detail.alias("detail"), policy.alias("policy"))
+                       _filled(detail).alias("detail"), _filled(policy).alias("policy"))
 
 
 def _exposed(entities: DataFrame, kind: str) -> DataFrame:
@@ -33,8 +37,26 @@ def _exposed(entities: DataFrame, kind: str) -> DataFrame:
                     F.expr("array_join(transform(rows, r -> r.entity), ', ')").alias("types")))
 
 
-def _text(column: str) -> Column:
-    return F.col(column).cast("string")
+def _watching(outcomes: DataFrame, rules: DataFrame) -> DataFrame:
+    """One row when monitored rules were hit: the five most frequent, and what they would have protected."""
+    none = F.lit(None)
+    top = (rules.filter("mode = 'monitor' AND hits > 0").orderBy(F.desc("hits"), "rule").limit(5)
+           .select("hits", "rule", none.cast("bigint").alias("would")))
+    would = outcomes.filter("risk = 'risky'").select(none.cast("bigint").alias("hits"), none.cast("string").alias("rule"), "would")
+    return (top.unionByName(would)
+            .agg(F.max("would").alias("would"),
+                 F.array_sort(F.collect_list(F.when(F.col("rule").isNotNull(), F.struct(F.expr("-hits").alias("h"), "rule")))).alias("r"))
+            .filter("size(r) > 0")
+            .select("would", F.expr("array_join(transform(r, x -> concat(x.rule, ' (', -x.h, ')')), ', ')").alias("rules")))
+
+
+def _noisy(shadow_entities: DataFrame) -> DataFrame:
+    """One row when users called many alerts of some types false, the most frequent type first."""
+    rate = F.col("false_positives") / F.col("events")
+    shown = F.concat("label", F.lit(" (%"), F.bround(100 * rate, 0).cast("int").cast("string"), F.lit(")"))
+    return (shadow_entities.filter((F.col("events") >= fixed.FALSE_POSITIVE_MIN_EVENTS) & (rate >= fixed.FALSE_POSITIVE_RATE))
+            .agg(F.array_sort(F.collect_list(F.struct(F.expr("-events").alias("e"), "entity", shown.alias("t")))).alias("r"))
+            .filter("size(r) > 0").select(F.expr("array_join(transform(r, x -> x.t), ', ')").alias("types")))
 
 
 def recommend(outcomes: DataFrame, entities: DataFrame, rules: DataFrame, sites: DataFrame, totals: DataFrame,
@@ -42,74 +64,18 @@ def recommend(outcomes: DataFrame, entities: DataFrame, rules: DataFrame, sites:
     """`outcomes`, `entities`, `sites`, `totals` and `shadow_entities` are evaluation results, `rules` has
     rule hits by mode, `undeclared_count` one row with `unclassified`. All inputs are small aggregates:
     entity types, rules and sites, not events."""
-    out = []
-    pii = _exposed(entities, "pii")
-    out.append(_advice(
-        pii, 1, "high", "Yurt dışı modele giden kişisel veriyi maskeleyin",
-        F.concat(_text("n"), F.lit(" istekte "), "labels", F.lit(" hiçbir kurala takılmadan yurt dışı modele gitti "
-                 "(KVKK md. 9). Bu türleri maskeleme kuralına ekleyin.")),
-        F.concat(F.lit("- name: kvkk-yurtdisi-maskele\n  when: { destination: external, entity_in: ["), "types",
-                 F.lit("] }\n  action: mask"))))
-    out.append(_advice(
-        _exposed(entities, "secret"), 2, "high", "Sırları her hedefte maskeleyin",
-        F.concat(_text("n"), F.lit(" istekte "), "labels", F.lit(" korumasız gitti (kurum içi modeller dahil). Modelin ya da "
-                 "sağlayıcının kayıtlarına düşen sır, sızmış sır sayılmalıdır.")),
-        _snippet("sirlar-her-yerde-maskele", '{ entity_in: ["SECRET_*"] }')))
-    out.append(_advice(
-        outcomes.filter("risk = 'injection' AND exposed > 0"), 3, "high", "Prompt injection girişimlerini engelleyin",
-        F.concat(_text("exposed"), F.lit(" şüpheli istek (skor ≥ 0,5) engellenmeden modele ulaştı. Engelleme eşiğini "
-                                         "düşürmeyi değerlendirin; önce gözlemde deneyin.")),
-        _snippet("prompt-injection-block", "{ injection_score_gte: 0.7 }", "block", "\n  mode: monitor")))
-    out.append(_advice(
-        outcomes.filter("risk = 'output_leak' AND exposed > 0"), 4, "high", "Model cevaplarını da tarayın",
-        F.concat(_text("exposed"), F.lit(" cevapta model, girdide olmayan bir kişisel veri ya da sır üretti ve kullanıcıya "
-                                         "olduğu gibi ulaştı.")),
-        "output_rules:\n" + _snippet("cikti-kimlik-sir-gizle", '{ entity_in: [TCKN, IBAN_TR, CREDIT_CARD, "SECRET_*"] }')))
-    out.append(_advice(
-        _exposed(entities, "corporate"), 5, "medium", "Kurum bilgisini yurt dışı modelde maskeleyin",
-        F.concat(_text("n"), F.lit(" istekte "), "labels", F.lit(" yurt dışı modele maskesiz gitti.")),
-        _snippet("kurum-terimleri-yurtdisi-maskele", '{ destination: external, entity_in: ["KURUM_*"] }')))
-    watched = rules.filter("mode = 'monitor' AND hits > 0")
-    none = F.lit(None)
-    top = watched.orderBy(F.desc("hits"), "rule").limit(5).select("hits", "rule", none.cast("bigint").alias("would"))
-    would = outcomes.filter("risk = 'risky'").select(none.cast("bigint").alias("hits"), none.cast("string").alias("rule"), "would")
-    watching = (top.unionByName(would)
-                .agg(F.max("would").alias("would"),
-                     F.array_sort(F.collect_list(F.when(F.col("rule").isNotNull(), F.struct(F.expr("-hits").alias("h"), "rule")))).alias("r"))
-                .filter("size(r) > 0"))
-    out.append(_advice(
-        watching, 6, "medium", "Gözlemdeki kuralları uygulamaya alın",
-        F.concat(F.lit("Gözlem modundaki kurallar "), _text("would"), F.lit(" riskli isteği koruyacaktı. En çok tetiklenenler: "),
-                 F.expr("array_join(transform(r, x -> concat(x.rule, ' (', -x.h, ')')), ', ')"),
-                 F.lit(". Olaylar ekranında 'Gözlemde farklı karar' görünümüyle yanlış alarm olup olmadığına bakıp kuraldaki "
-                       "`mode: monitor` satırını kaldırın.")), None))
-    site_count = sites.agg(F.count(F.lit(1)).alias("n"))
-    out.append(_advice(
-        site_count.filter("n = 0"), 7, "medium", "Tarayıcı eklentisini dağıtın",
-        F.lit("Bu dönemde gölge AI olayı yok: çalışanların ChatGPT, Gemini gibi sitelere doğrudan yapıştırdığı veri "
-              "görünmüyor. Eklenti MDM ile zorunlu kurulabilir."), None))
-    risky = totals.withColumn("risky", F.expr("masked + cancelled + blocked + overridden"))
-    share = F.bround(100 * F.col("overridden") / F.col("risky"), 0).cast("int").cast("string")
-    out.append(_advice(
-        risky.filter(f"risky > 0 AND try_divide(overridden, risky) >= {fixed.OVERRIDE_SHARE}"), 7, "medium",
-        "Tarayıcı eklentisini engelleme moduna alın",
-        F.concat(F.lit("Gölge AI uyarılarının %"), share, F.lit("'ünde kullanıcı 'yine de' seçti. Uyarı modu bu kullanıcılarda "
-                                                               "yetmiyor; MDM'de `mode: block`.")), None))
-    rate = F.col("false_positives") / F.col("events")
-    noisy = (shadow_entities.filter((F.col("events") >= fixed.FALSE_POSITIVE_MIN_EVENTS) & (rate >= fixed.FALSE_POSITIVE_RATE))
-             .agg(F.array_sort(F.collect_list(F.struct(
-                 F.expr("-events").alias("e"), "entity",
-                 F.concat("label", F.lit(" (%"), F.bround(100 * rate, 0).cast("int").cast("string"), F.lit(")")).alias("t")))).alias("r"))
-             .filter("size(r) > 0"))
-    out.append(_advice(
-        noisy, 8, "medium", "Yanlış alarm oranı yüksek tespitleri gözden geçirin",
-        F.concat(F.lit("Kullanıcılar şu türlerdeki uyarıların önemli bir kısmına 'yanlış alarm' dedi: "),
-                 F.expr("array_join(transform(r, x -> x.t), ', ')"),
-                 F.lit(". Uyarı yorgunluğu kullanıcıyı 'yine de'ye alıştırır; ilgili kalıbı ya da sözlük terimini daraltın, "
-                       "Olaylar ekranında 'golge-ai:gerekce:false_positive' kuralıyla örneklere bakın.")), None))
-    out.append(_advice(
-        undeclared_count.filter("unclassified > 0"), 9, "low", "Beyan edilmemiş AI kullanımını envantere bağlayın",
-        F.concat(_text("unclassified"), F.lit(" ekip × model kullanımı AI envanterinde (EU AI Act) beyan edilmemiş. Beyan edin "
-                                              "ya da beyansız kullanımı engelleyin (önce gözlemde).")),
-        _snippet("beyan-edilmemis-model", "{ declared: false, destination: external }", "block", "\n  mode: monitor")))
-    return reduce(DataFrame.unionByName, out).orderBy("position")
+    warned = totals.withColumn("risky", F.expr("masked + cancelled + blocked + overridden"))
+    findings = {
+        "personal_data": _exposed(entities, "pii"),
+        "secrets": _exposed(entities, "secret"),
+        "injection": outcomes.filter("risk = 'injection' AND exposed > 0"),
+        "output_leaks": outcomes.filter("risk = 'output_leak' AND exposed > 0"),
+        "corporate": _exposed(entities, "corporate"),
+        "monitored": _watching(outcomes, rules),
+        "no_browser_events": sites.agg(F.count(F.lit(1)).alias("n")).filter("n = 0"),
+        "overrides": (warned.filter(f"risky > 0 AND try_divide(overridden, risky) >= {fixed.OVERRIDE_SHARE}")
+                      .withColumn("share", F.bround(100 * F.col("overridden") / F.col("risky"), 0).cast("int"))),
+        "false_positives": _noisy(shadow_entities),
+        "undeclared": undeclared_count.filter("unclassified > 0"),
+    }
+    return reduce(DataFrame.unionByName, [_advice(rows, name) for name, rows in findings.items()]).orderBy("position")
