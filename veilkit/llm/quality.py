@@ -2,17 +2,17 @@
 
 Words and pairs of neighbouring words are hashed to `BUCKETS`. The raw model holds the shares of the buckets over
 all documents; the target model those over the labelled documents of good quality, smoothed towards the raw model
-by `PRIOR` times their number of n-grams, so a bucket that the target never shows costs the same at every size of
-the corpus. A document's log weight is the sum of log(target / raw) over its n-grams. Gumbel noise makes the k
+by `PRIOR` times their number of n-grams, so a bucket that the target never shows costs the same at every size
+of the corpus. A document's log weight is the sum of log(target / raw) over its n-grams. Gumbel noise makes the k
 largest a sample without replacement with probabilities in proportion to the weights; the noise is hashed from id
 and text, so reruns agree. To compare documents of any length, weight and noise are divided by the number of
 n-grams, with `NEUTRAL` ones of no weight added, which keep very short texts near the middle.
 
-k is no cap: it is the number of documents that the labels say are good. Among the labelled documents every score range (of `BINS`) has a share of good
-documents, made to rise with the score, and k counts all documents in ranges with a share of `accept` or more.
-The k-th largest key is found by counting keys in ranges, again and again inside one, never by sorting in one
-place. No document is judged by a model that saw its own label: labels are dealt into `FOLDS`, and a document is
-scored by the target model of the other folds.
+k is no cap: it is the number of documents that the labels say are good. Among the labelled documents every score
+range (of `BINS`) has a share of good documents, made to rise with the score, and k counts all documents in ranges
+with a share of `accept` or more. The k-th largest key is found by counting keys in ranges, again and again inside
+one, never by sorting in one place. No document is judged by a model that saw its own label: labels are dealt into
+`FOLDS`, and a document is scored by the target model of the other folds.
 
 Null and empty texts have no n-grams, log weight 0, and compete by their noise alone. Rows that repeat an id are
 judged one by one. Without good or without bad labels every document is kept. Empty input gives an empty result.
@@ -37,6 +37,7 @@ NEUTRAL = 50
 LOWEST, BINS, BIN = -1.5, 200, 0.01
 FOLDS = 4
 ACCEPT = 0.25
+FIT_ROWS = 50_000
 
 
 def ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -142,14 +143,16 @@ def good_documents(scored: DataFrame, labels: DataFrame, accept: float) -> tuple
     return int(sum(p[0] for p in pools if not p[1] or p[2] / p[1] >= accept)), int(sum(p[0] for p in pools))
 
 
-def _prepared(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, quality_col: str, seed: int):
+def _prepared(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, quality_col: str, seed: int, fit_rows: int):
     """(rows with id, text, draw, fold; the labels by id; log ratios by fold)."""
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     known = (labels.select(F.col(id_col).cast(kind).alias("id"), F.col(quality_col).alias("quality")).filter("id is not null")
              .groupBy("id").agg(F.max("quality").alias("quality")))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *_dealt(id_col, text_col, seed))
     good = known.filter("quality = 1").select("id", F.lit(1).alias("good"))
-    marked = texts.join(good, "id", "left").select("text", F.when(F.col("good") == 1, F.col("fold")).alias("fold"))
+    share = min(1.0, fit_rows / max(1, good.count()))
+    good = good.filter(F.pmod(F.xxhash64(F.lit(seed + 2), "id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    marked = texts.join(F.broadcast(good), "id", "left").select("text", F.when(F.col("good") == 1, F.col("fold")).alias("fold"))
     return texts, known, log_ratios(marked)
 
 
@@ -172,9 +175,9 @@ def _limit(rows: DataFrame, known: DataFrame, accept: float) -> float:
 
 
 def weigh(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality",
-          accept: float = ACCEPT, seed: int = 29) -> DataFrame:
+          accept: float = ACCEPT, seed: int = 29, fit_rows: int = FIT_ROWS) -> DataFrame:
     """A row per document: id, n_grams, log_weight, score, key (noisy), kept."""
-    texts, known, ratio = _prepared(docs, labels, id_col, text_col, quality_col, seed)
+    texts, known, ratio = _prepared(docs, labels, id_col, text_col, quality_col, seed, fit_rows)
     kind = texts.schema["id"].dataType.simpleString()
     rows = texts.mapInArrow(_scores(ratio), f"id {kind}, draw long, log_weight double, n_grams long")
     score, key = _noisy(F.col("log_weight"), F.col("n_grams"), F.col("draw"))
@@ -183,9 +186,9 @@ def weigh(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 
 def good_only(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality",
-              accept: float = ACCEPT, seed: int = 29) -> DataFrame:
+              accept: float = ACCEPT, seed: int = 29, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The documents that `weigh` keeps, with all their columns. Texts are scored twice rather than moved."""
-    texts, known, ratio = _prepared(docs, labels, id_col, text_col, quality_col, seed)
+    texts, known, ratio = _prepared(docs, labels, id_col, text_col, quality_col, seed, fit_rows)
     kind = texts.schema["id"].dataType.simpleString()
     rows = texts.mapInArrow(_scores(ratio), f"id {kind}, draw long, log_weight double, n_grams long")
     score, key = _noisy(F.col("log_weight"), F.col("n_grams"), F.col("draw"))
