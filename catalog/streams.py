@@ -104,6 +104,25 @@ def guarded_whole(s, d):
     return flat(out.select(F.col("request_id").cast("bigint").alias("event_id"), "out", "leaked"))
 
 
+def guarded_surrogates(s, d):
+    """Answers that repeat a surrogate and a respelled surrogate number of the vault: opened, not reported."""
+    answers = table(s, d, "events").select(F.col("event_id").cast("string").alias("request_id"), F.lit("text-0").alias("block"), F.concat(
+        F.lit("Yaz: kisi.abcdef@example.com, ara: 0532-999 88 77, no "), F.col("event_id").cast("string")).alias("text"))
+    requests = guard_requests(s, d).withColumn("vault", F.expr(
+        "map('kisi.abcdef@example.com', concat('u', request_id, '@ornek.com'), '0532 999 88 77', '0555 123 45 67', '[TCKN_1]', '10000000146')"))
+    out = G.guard_whole(answers, requests, defaults.policy(), defaults.SCAN)
+    return flat(out.select(F.col("request_id").cast("bigint").alias("event_id"), "out", "leaked"))
+
+
+def guarded_blocking(s, d):
+    """A blocking output rule: answers with a new card number are stopped whole, the others go out."""
+    rules = [{"name": "kart-durdur", "when": {"entity_in": ["CREDIT_CARD"]}, "action": "block", "message": "Kart numarası."}]
+    answers = prompts(s, d).select(F.col("event_id").cast("string").alias("request_id"), F.explode(F.array(
+        F.struct(F.lit("text-0").alias("block"), F.col("answer").alias("text")), F.struct(F.lit("text-1").alias("block"), F.lit("son").alias("text")))).alias("b"))
+    out = G.guard_buffered(answers.select("request_id", "b.*"), guard_requests(s, d), defaults.policy(output_rules=rules), defaults.SCAN)
+    return flat(out.select(F.col("request_id").cast("bigint").alias("event_id"), "block", "out", "leaked", "action"))
+
+
 def guarded_stream(s, d):
     """The same answers in three micro-batches of chunks; the pieces are put together again."""
     folder = scratch(s)
@@ -123,6 +142,8 @@ def guarded_stream(s, d):
 QUERIES = {
     "a2_ingest_stream": ingest,
     "c16_guard_whole": guarded_whole,
+    "c16_guard_surrogates": guarded_surrogates,
+    "c16_guard_blocking": guarded_blocking,
     "c16_guard_stream": guarded_stream,
     "c18_sse_assemble": assembled,
     "f2_anomaly_stream": anomaly,
@@ -136,6 +157,11 @@ ORACLES = {
     "a2_ingest_stream": USAGE["e3_usage_by_team"],
     "c16_guard_whole": sql(f"""SELECT event_id, {_CLEAN} AS out, array_to_string(list_filter([CASE WHEN event_type='purchase' AND k%3=0 THEN 'CREDIT_CARD' END,
  CASE WHEN event_type='click' AND k%9=0 THEN 'EMAIL_ADDRESS' END], lambda e: e IS NOT NULL), ',') AS leaked FROM prompts""", PROMPTS_CTE),
+    "c16_guard_surrogates": """SELECT event_id, 'Yaz: u' || event_id || '@ornek.com, ara: 0555 123 45 67, no ' || event_id AS out, '' AS leaked FROM events""",
+    "c16_guard_blocking": sql("""SELECT event_id, block, CASE WHEN hit THEN NULL WHEN block = 'text-0' THEN answer ELSE 'son' END AS out,
+ CASE WHEN block = 'text-1' THEN '' WHEN hit THEN 'CREDIT_CARD' WHEN event_type='click' AND k%9=0 THEN 'EMAIL_ADDRESS' ELSE '' END AS leaked,
+ CASE WHEN hit THEN 'block' ELSE 'allow' END AS action
+ FROM (SELECT *, (event_type='purchase' AND k%3=0) AS hit, unnest(['text-0', 'text-1']) AS block FROM prompts)""", PROMPTS_CTE),
     "c16_guard_stream": sql(f"SELECT event_id, {_CLEAN} AS out FROM prompts", PROMPTS_CTE),
     "c18_sse_assemble": sql("SELECT event_id, CASE event_id % 3 WHEN 1 THEN 'text-0-0' ELSE 'text-0' END AS block, answer AS text FROM prompts", PROMPTS_CTE),
     "f2_anomaly_stream": STATE["f2_alert_events"].replace("""SELECT event_id, "user", 'anomali:' || signal AS rules, 'Anomali""", """SELECT event_id, "user", signal FROM (SELECT event_id, "user", signal, 'Anomali""", 1) + ")",

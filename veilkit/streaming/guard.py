@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,7 +19,7 @@ from veilkit.functions.arrays import let, pinned
 from veilkit.functions.globs import literal
 from veilkit.functions.values import alnum
 from veilkit.operators.mask import apply_spans
-from veilkit.operators.policy import Context, Policy, decision_sql
+from veilkit.operators.policy import Context, Policy, decision_sql, evaluate_output
 from veilkit.operators.scan import ScanConfig, findings_sql
 from veilkit.streaming.ingest import each_batch
 
@@ -32,26 +32,41 @@ def incremental_allowed(policy: Policy) -> bool:
     return not any(r["action"] == "block" and r.get("mode", policy.mode) != "monitor" for r in policy.output_rules)
 
 
-def _render(policy: Policy) -> str:
-    """Text of `seg` with its findings `own`: leaks hidden as the output rules say, placeholders opened."""
-    value = "substr(seg, f.start + 1, f.end - f.start)"
-    surrogates = "filter(map_keys(vault), p -> NOT startswith(p, '['))"
-    known = (f"(contains(coalesce(all_text, ''), {value}) OR array_contains(map_values(vault), {value}) OR "
-             f"array_contains({surrogates}, {value}) OR array_contains(transform({surrogates}, p -> {alnum('p')}), {alnum(value)}))")
+_SURROGATES = "filter(map_keys(vault), p -> NOT startswith(p, '['))"
+
+
+def _behind(value: str) -> str:
+    """The real value that a surrogate, or a respelled surrogate number, stands for; else NULL."""
+    same = f"p = {value} OR (NOT contains(p, '@') AND {alnum('p')} = {alnum(value)})"
+    return f"vault[get(filter({_SURROGATES}, p -> {same}), 0)]"
+
+
+def _known(value: str) -> str:
+    """The one test of what is no leak: sent by the user, or real or surrogate value of the vault."""
+    return f"(contains(coalesce(all_text, ''), {value}) OR array_contains(map_values(vault), {value}) OR {_behind(value)} IS NOT NULL)"
+
+
+def _hidden_alone(policy: Policy) -> str:
+    """Whether the output rules hide entity f.entity, judged by itself."""
     decision = decision_sql(policy.output_rules, policy.mode, "allow", Context(entities="array(f.entity)", score="0D"))
-    hidden = let("d", decision, "(d.action = 'mask' AND array_contains(d.mask_entities, f.entity))")
+    return let("d", decision, "(d.action = 'mask' AND array_contains(d.mask_entities, f.entity))")
+
+
+def _render(hidden: str) -> str:
+    """Text of `seg` with its findings `own`: leaks hidden where `hidden` says so, surrogates and placeholders
+    turned back into what they stand for."""
+    value = "substr(seg, f.start + 1, f.end - f.start)"
     before, after = fixed.REDACTED_FORMAT.split("{}")
-    spans = (f"transform(filter(own, f -> NOT {known} AND {hidden}), f -> named_struct('start', f.start, 'end', f.end, "
-             f"'replacement', concat({literal(before)}, f.entity, {literal(after)})))")
+    judged = (f"transform(own, f -> named_struct('start', f.start, 'end', f.end, 'replacement', coalesce({_behind(value)}, "
+              f"if(NOT {_known(value)} AND {hidden}, concat({literal(before)}, f.entity, {literal(after)}), NULL))))")
+    spans = f"filter({judged}, f -> f.replacement IS NOT NULL)"
     tokens = f"split(regexp_replace(red, {literal(fixed.PLACEHOLDER_PATTERN)}, '\\u0001$0\\u0001'), '\\u0001', -1)"
     opened = f"array_join(transform({tokens}, (p, i) -> if(i % 2 = 1, coalesce(vault[p], p), p)), '')"
     return let("red", apply_spans("seg", spans), opened)
 
 
 def _leaks() -> str:
-    value = "substr(_text, f.start + 1, f.end - f.start)"
-    return (f"transform(filter(_own, f -> NOT contains(coalesce(all_text, ''), {value}) AND NOT array_contains(map_values(vault), {value})), "
-            "f -> f.entity)")
+    return f"transform(filter(_own, f -> NOT {_known('substr(_text, f.start + 1, f.end - f.start)')}), f -> f.entity)"
 
 
 def _cut(holdback: int) -> str:
@@ -79,7 +94,7 @@ def step(pending: DataFrame, chunks: DataFrame, requests: DataFrame, policy: Pol
     gathering them is bounded by the answer.
     """
     if not incremental_allowed(policy):
-        raise ValueError("a blocking output rule needs the whole answer: guard it in one piece")
+        raise ValueError("a blocking output rule needs the whole answer: see guard_buffered")
     fresh = chunks.groupBy(*KEYS).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("delta", F.lit("")).alias("delta")))),
                                  lambda c: c["delta"]), "").alias("_fresh"),
@@ -94,7 +109,7 @@ def step(pending: DataFrame, chunks: DataFrame, requests: DataFrame, policy: Pol
             .withColumn("leaked", F.expr(f"array_sort(array_distinct({_leaks()}))"))
             .withColumn("out", F.expr(let("seg", "substr(_text, sent_chars + 1, _end - sent_chars)", let(
                 "own", "transform(_own, f -> named_struct('entity', f.entity, 'start', f.start - sent_chars, 'end', f.end - sent_chars, 'score', f.score))",
-                _render(policy))))))
+                _render(_hidden_alone(policy)))))))
     keep = f"greatest(0, _end - {fixed.STREAM_CONTEXT})"
     return rows.select(*KEYS, "out", "leaked", "closed", F.expr(f"substr(_text, {keep} + 1)").alias("pending"),
                        F.expr(f"cast(_end - {keep} AS int)").alias("sent_chars"))
@@ -102,11 +117,29 @@ def step(pending: DataFrame, chunks: DataFrame, requests: DataFrame, policy: Pol
 
 def guard_whole(answers: DataFrame, requests: DataFrame, policy: Policy, config: ScanConfig = ScanConfig()) -> DataFrame:
     """The one-shot result for complete answers (request_id, block, text)."""
+    if not incremental_allowed(policy):
+        return guard_buffered(answers, requests, policy, config).select(*KEYS, "out", "leaked")
     chunks = answers.select(*KEYS, F.lit(0).alias("seq"), F.col("text").alias("delta"), F.lit(True).alias("closed"))
     empty = answers.sparkSession.createDataFrame([], PENDING)
     return step(empty, chunks, requests, policy, config).select(*KEYS, "out", "leaked")
 
 
+def guard_buffered(answers: DataFrame, requests: DataFrame, policy: Policy, config: ScanConfig = ScanConfig()) -> DataFrame:
+    """Complete answers (request_id, block, text) judged as wholes: what leaks in any block of an answer decides
+    for all of them. Rows (request_id, block, out, leaked, action, reason, rules); a blocked answer has no out."""
+    rows = (answers.withColumnRenamed("text", "_text").join(requests, "request_id", "left")
+            .withColumn("vault", F.coalesce("vault", F.expr("cast(map() AS map<string,string>)")))
+            .withColumn("_own", F.expr(pinned(findings_sql("_text", config))))
+            .withColumn("leaked", F.expr(f"array_sort(array_distinct({_leaks()}))")))
+    whole = Window.partitionBy("request_id")  # the blocks of one answer
+    rows = rows.withColumn("output_leaked", F.array_sort(F.array_distinct(F.flatten(F.collect_list("leaked").over(whole)))))
+    hidden = "(output.action = 'mask' AND array_contains(output.mask_entities, f.entity))"
+    text = let("seg", "_text", let("own", "_own", _render(hidden)))
+    return (evaluate_output(rows, policy)
+            .select(*KEYS, F.expr(f"if(output.action = 'block', NULL, {text})").alias("out"), "leaked",
+                    F.col("output.action").alias("action"), F.col("output.reason").alias("reason"), F.col("output.rules").alias("rules")))
+
+
 def guard_stream(chunks: DataFrame, requests: DataFrame, policy: Policy, config: ScanConfig, *, out_path: str, state_path: str,
                  checkpoint: str, once: bool = True) -> StreamingQuery:
     """Run a step per micro-batch: waiting texts are read from the version the previous batch wrote."""
