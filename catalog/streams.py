@@ -43,6 +43,20 @@ def anomaly(s, d):
     return alerts.select(F.col("event_id").cast("bigint").alias("event_id"), "user", "signal")
 
 
+def rejects(s, d):
+    """Event lines of which some are broken: accepted and rejected ones add up, each with its reason."""
+    folder = scratch(s)
+    broken = F.expr("CASE event_id % 5 WHEN 0 THEN concat('bozuk ', event_id) WHEN 1 THEN concat('{\"event_id\":\"', event_id, '\"}') "
+                    "ELSE concat('{\"event_id\":\"00000000-0000-0000-0000-', lpad(cast(event_id AS string), 12, '0'), '\",\"ts\":1}') END")
+    table(s, d, "events").select(broken.alias("value")).write.text(f"{folder}/lines")
+    lines = IN.folder_lines(s, f"{folder}/lines")
+    IN.ingest_audit(lines, f"{folder}/audit", f"{folder}/c1").awaitTermination()
+    IN.ingest_rejects(lines, f"{folder}/rejected", f"{folder}/c2").awaitTermination()
+    out = s.read.parquet(f"{folder}/rejected").select("problem").unionByName(
+        s.read.parquet(f"{folder}/audit").select(F.lit("none").alias("problem")))
+    return out.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
 def cooldown(s, d):
     rows = drained(AL.cooldown_stream(audit_from_events(event_stream(s, d)), CHANNELS), s)
     return rows.select(F.col("event_id").cast("bigint").alias("event_id"), "channel", "sent", "suppressed")
@@ -141,6 +155,7 @@ def guarded_stream(s, d):
 
 QUERIES = {
     "a2_ingest_stream": ingest,
+    "a2_rejected_lines": rejects,
     "c16_guard_whole": guarded_whole,
     "c16_guard_surrogates": guarded_surrogates,
     "c16_guard_blocking": guarded_blocking,
@@ -155,6 +170,7 @@ QUERIES = {
 _CLEAN = "replace(answer, '4111 1111 1111 1111', '[GİZLENDİ:CREDIT_CARD]')"
 ORACLES = {
     "a2_ingest_stream": USAGE["e3_usage_by_team"],
+    "a2_rejected_lines": "SELECT CASE event_id % 5 WHEN 0 THEN 'json' WHEN 1 THEN 'event_id' ELSE 'none' END AS problem, count(*) AS n FROM events GROUP BY 1",
     "c16_guard_whole": sql(f"""SELECT event_id, {_CLEAN} AS out, array_to_string(list_filter([CASE WHEN event_type='purchase' AND k%3=0 THEN 'CREDIT_CARD' END,
  CASE WHEN event_type='click' AND k%9=0 THEN 'EMAIL_ADDRESS' END], lambda e: e IS NOT NULL), ',') AS leaked FROM prompts""", PROMPTS_CTE),
     "c16_guard_surrogates": """SELECT event_id, 'Yaz: u' || event_id || '@ornek.com, ara: 0555 123 45 67, no ' || event_id AS out, '' AS leaked FROM events""",

@@ -115,3 +115,24 @@ def test_server_sent_events(spark):
     df = spark.createDataFrame([(k, f, i, t) for i, (k, f, t) in enumerate(lines)], "request_id string, api_format string, seq int, line string")
     got = {(r.request_id, r.kind): r.text for r in G.assemble(G.deltas(G.sse_lines(df))).collect()}
     assert got == {("c", "text"): "Merhaba", ("c", "args"): '{"a":1}', ("m", "text"): "selam", ("m", "args"): "{}", ("r", "text"): "ok"}
+
+
+def test_invalid_browser_lines_are_kept_with_their_reason(spark):
+    good = '{"event_id":"1","event_time":"2024-01-05T10:00:00","site":"chatgpt.com","action":"visit"}'
+    lines = spark.createDataFrame([(good,), ("bozuk",), (good.replace("visit", "yok"),), (good.replace("chatgpt.com", "a b"),)], "value string")
+    got = {r.value: r.problem for r in IN.browser_rejects(lines).collect()}
+    assert sorted(got.values()) == ["action", "site", "site"] and good not in got
+    assert IN.browser_stream(lines).count() == 1
+
+
+def test_a_blocked_answer_stops_all_its_blocks(spark):
+    answers = spark.createDataFrame([("a", "x", "yaz@ornek.com"), ("a", "y", "4111 1111 1111 1111"), ("b", "x", "[TCKN_1] kisi.abcdef@example.com")],
+                                    "request_id string, block string, text string")
+    requests = spark.createDataFrame([(r, "", {"[TCKN_1]": "10000000146", "kisi.abcdef@example.com": "ali@x.com"}, "t", ["t"], "gpt-4o", "external") for r in "ab"],
+                                     "request_id string, all_text string, vault map<string,string>, team string, teams array<string>, model string, destination string")
+    rules = [{"name": "kart", "when": {"entity_in": ["CREDIT_CARD"]}, "action": "block", "message": "kart"}]
+    policy = defaults.policy(output_rules=rules)
+    rows = {(r.request_id, r.block): r for r in G.guard_buffered(answers, requests, policy).collect()}
+    assert [rows[k].out for k in sorted(rows)] == [None, None, "10000000146 ali@x.com"]
+    assert rows["a", "x"].leaked == ["EMAIL_ADDRESS"] and rows["b", "x"].leaked == [] and rows["a", "y"].action == "block"
+    assert {r.out for r in G.guard_whole(answers, requests, policy).collect()} == {None, "10000000146 ali@x.com"}

@@ -29,14 +29,23 @@ def read_audit_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_events(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Audit events from a text or Kafka value column; rows that are no JSON object are dropped."""
+    """Audit events from a text or Kafka value column; rows that are no JSON object are left to `rejected`."""
     parsed = lines.select(F.from_json(F.col(column).cast("string"), EVENT_SCHEMA).alias("e")).filter("e IS NOT NULL")
     return typed(parsed.select("e.*"))
 
 
+def rejected(lines: DataFrame, column: str = "value") -> DataFrame:
+    """The lines that never reach the audit table, as (value, problem): `json` or `event_id`. Batch or stream."""
+    line = F.col(column).cast("string")
+    event_id = F.coalesce(F.get_json_object(line, "$.event_id"), F.lit(""))
+    problem = (F.when(F.get_json_object(line, "$").isNull() | ~F.ltrim(line).startswith("{"), "json")
+               .when(~event_id.rlike(fixed.EVENT_ID_PATTERN), "event_id"))
+    return lines.select(line.alias("value"), problem.alias("problem")).filter("value IS NULL OR problem IS NOT NULL")
+
+
 def to_audit(events: DataFrame) -> DataFrame:
     """Queue rows to table rows: `ts` milliseconds become wall-clock time of the organisation's zone, and
-    the month they are partitioned by. Rows without a valid event id are dropped."""
+    the month they are partitioned by. Rows without a valid event id are left to `rejected`."""
     moment = F.expr("timestampadd(MILLISECOND, ts, TIMESTAMP_NTZ'1970-01-01 00:00:00')")
     return (
         events.filter(F.col("event_id").rlike(fixed.EVENT_ID_PATTERN))

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from veilkit.operators import policy as P
 from veilkit.operators import shadow
 from veilkit.plans import requests
-from veilkit.sources.audit import parse_events, to_audit
+from veilkit.sources.audit import parse_events, rejected, to_audit
 
 WATERMARK = "10 minutes"
 
@@ -43,10 +43,25 @@ def ingest_audit(lines: DataFrame, path: str, checkpoint: str, *, once: bool = T
     return append(audit_stream(lines), path, checkpoint, partition=["month"], once=once)
 
 
+def ingest_rejects(lines: DataFrame, path: str, checkpoint: str, *, once: bool = True) -> StreamingQuery:
+    """The twin of `ingest_audit`: every line that it leaves out, with the reason. Run both on the same source."""
+    return append(rejected(lines), path, checkpoint, partition=["problem"], once=once)
+
+
+def _browser_events(lines: DataFrame, column: str) -> DataFrame:
+    schema = "event_id string, event_time timestamp_ntz, " + shadow.EVENT_SCHEMA
+    parsed = lines.select(F.col(column).cast("string").alias("_line"), F.from_json(F.col(column), schema).alias("e"))
+    return shadow.validate(parsed.select("_line", "e.*"))
+
+
 def browser_stream(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Browser events to audit rows; invalid ones are dropped here (validate() tells why)."""
-    parsed = lines.select(F.from_json(F.col(column), "event_id string, event_time timestamp_ntz, " + shadow.EVENT_SCHEMA).alias("e"))
-    return shadow.to_audit(shadow.validate(parsed.filter("e IS NOT NULL").select("e.*")).filter("problem IS NULL"))
+    """Browser events to audit rows; invalid ones are left to `browser_rejects`."""
+    return shadow.to_audit(_browser_events(lines, column).filter("problem IS NULL").drop("_line"))
+
+
+def browser_rejects(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(value, problem) of the lines that `browser_stream` leaves out: the first field that is out of bounds."""
+    return _browser_events(lines, column).filter("problem IS NOT NULL").select(F.col("_line").alias("value"), "problem")
 
 
 def network_stream(rows: DataFrame, policy: P.Policy, config) -> DataFrame:
