@@ -76,8 +76,9 @@ def sessions(s, d):
 
 
 def reported_once(s, d):
-    _, answered = session_rows(s, d)
-    return SE.report_once(answered).select("event_id", "session_id")
+    """Leaking answers of a user, once per two hours without one."""
+    leaks = audit(s, d).filter("size(output_leaked) > 0").select("event_id", "event_time", F.lit("proxy").alias("source"), F.col("user").alias("session_id"))
+    return SE.report_once(leaks, 7200).select("event_id", "session_id")
 
 
 def browser_events(s, d):
@@ -174,7 +175,8 @@ ORACLES = {
     "f12_sessions": """SELECT a.event_id, a.user_id AS session_id, CASE WHEN r.ts >= a.ts - INTERVAL 7200 SECOND THEN r.event_id END AS request_id
  FROM (SELECT * FROM events WHERE event_type <> 'view') a ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY 1, 2) r
  ON a.user_id = r.user_id AND a.ts >= r.ts""",
-    "f12_reported_once": "SELECT arg_min(event_id, (ts, event_id)) AS event_id, user_id AS session_id FROM events WHERE event_type <> 'view' GROUP BY user_id",
+    "f12_reported_once": sql("""SELECT event_id, "user" AS session_id FROM (SELECT event_id, "user", event_time, lag(event_time) OVER (PARTITION BY "user" ORDER BY event_time, event_id) AS p
+ FROM audit WHERE len(output_leaked) > 0) WHERE p IS NULL OR event_time > p + INTERVAL 7200 SECOND"""),
 }
 _COOL = _MATCHES + """,
 keyed AS (SELECT *, dense_rank() OVER (ORDER BY channel, team, repeat_key) AS g, row_number() OVER (PARTITION BY channel, team, repeat_key ORDER BY event_time, event_id) AS n FROM m WHERE cooldown > 0),

@@ -63,14 +63,20 @@ def cooldown(s, d):
 
 
 def sessions(s, d):
-    """Answers and requests of the same user within half an hour, as an interval join of two streams."""
+    """Purchases with the latest view of the same user within half an hour, from two streams. Both end with an
+    event long after all others, which lets the watermark pass every purchase."""
+    folder = scratch(s)
+    rows = table(s, d, "events").select("event_id", F.col("ts").alias("event_time"), F.lit("proxy").alias("source"),
+                                        F.col("user_id").alias("session_id"), "event_type")
+
     def side(kind):
-        rows = event_stream(s, d).select("event_id", F.col("ts").alias("event_time"), F.lit("proxy").alias("source"),
-                                         F.col("user_id").alias("session_id"), "event_type")
-        return rows.filter(F.col("event_type") == kind).drop("event_type")
+        own = rows.filter(F.col("event_type") == kind).drop("event_type")
+        end = s.sql("SELECT -1L AS event_id, TIMESTAMP_NTZ'2100-01-01 00:00:00' AS event_time, 'end' AS source, -1L AS session_id")
+        own.unionByName(end.select(*[F.col(c).cast(t) for c, t in own.dtypes])).write.parquet(f"{folder}/{kind}")
+        return s.readStream.schema(own.schema).parquet(f"{folder}/{kind}")
 
-    rows = drained(SS.join_stream(side("view"), side("purchase"), ttl_seconds=1800), s)
-    return rows.filter("request_id IS NOT NULL").select("event_id", "request_id")
+    joined = drained(SS.join_stream(side("view"), side("purchase"), ttl_seconds=1800), s)
+    return joined.filter("event_id >= 0").select("event_id", "request_id")
 
 
 def network(s, d):
@@ -182,8 +188,9 @@ ORACLES = {
     "c18_sse_assemble": sql("SELECT event_id, CASE event_id % 3 WHEN 1 THEN 'text-0-0' ELSE 'text-0' END AS block, answer AS text FROM prompts", PROMPTS_CTE),
     "f2_anomaly_stream": STATE["f2_alert_events"].replace("""SELECT event_id, "user", 'anomali:' || signal AS rules, 'Anomali""", """SELECT event_id, "user", signal FROM (SELECT event_id, "user", signal, 'Anomali""", 1) + ")",
     "f9_cooldown_stream": STATE["f9_cooldown"],
-    "f12_session_stream": """SELECT a.event_id, r.event_id AS request_id FROM events a JOIN events r ON a.user_id = r.user_id AND a.event_type = 'purchase' AND r.event_type = 'view'
- AND r.ts <= a.ts AND r.ts >= a.ts - INTERVAL 1800 SECOND""",
+    "f12_session_stream": """SELECT a.event_id, CASE WHEN r.ts >= a.ts - INTERVAL 1800 SECOND THEN r.event_id END AS request_id
+ FROM (SELECT * FROM events WHERE event_type = 'purchase') a ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY 1, 2) r
+ ON a.user_id = r.user_id AND a.ts >= r.ts""",
     "f13_browser_stream": STATE["a18_shadow_audit"],
     "f13_network_stream": sql("""SELECT action, 'icap' AS api_format, count(*) AS n, CAST(sum(e) AS BIGINT) AS entities FROM (SELECT CASE WHEN k%4=0 OR k%50=3 THEN 'block' ELSE 'allow' END AS action,
  CASE WHEN k%4=0 THEN 1 ELSE 0 END AS e FROM audit WHERE k%10<>0) GROUP BY 1"""),

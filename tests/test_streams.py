@@ -68,11 +68,26 @@ def test_sessions_join_within_their_time_to_live(spark, tmp_path):
     asked, answered = rows([(1, 0, "a"), (2, 500, "a"), (3, 0, "b")]), rows([(10, 30, "a"), (11, 1000, "a"), (12, 1200, "a"), (13, 20, "b"), (14, 700, "b"), (15, 5, "c")])
     batch = {r.event_id: r.request_id for r in SE.join_sessions(spark.createDataFrame(asked, schema), spark.createDataFrame(answered, schema)).collect()}
     assert batch == {10: 1, 11: 2, 12: None, 13: 3, 14: None, 15: None}
-    one, two = in_files(spark, asked, schema, f"{tmp_path}/q", 1), in_files(spark, answered, schema, f"{tmp_path}/r", 2)
-    got = {(r.event_id, r.request_id) for r in drained(SS.join_stream(one, two), spark, tmp_path) if r.request_id}
-    assert got == {(10, 1), (11, 2), (13, 3)}
-    once = drained(SS.report_once_stream(in_files(spark, answered, schema, f"{tmp_path}/o", 1)), spark, f"{tmp_path}/once")
-    assert sorted(r.session_id for r in once) == ["a", "b", "c"]
+    end = [(99, event(0, 90_000)["event_time"], "proxy", "end")]  # a later event on both sides lets the watermark pass all others
+    one, two = in_files(spark, asked + end, schema, f"{tmp_path}/q", 1), in_files(spark, answered + end, schema, f"{tmp_path}/r", 2)
+    got = {r.event_id: r.request_id for r in drained(SS.join_stream(one, two), spark, tmp_path) if r.event_id != 99}
+    assert got == batch
+
+
+def test_a_leak_is_reported_once_per_time_to_live(spark, tmp_path):
+    schema = "event_id bigint, event_time timestamp_ntz, source string, session_id string"
+    rnd = random.Random(4)
+    rows = [(i, event(0, s)["event_time"], "proxy", k) for i, (s, k) in enumerate(sorted((rnd.randrange(40_000), rnd.choice("abcd")) for _ in range(150)))]
+    rows.append((500, event(0, 172_800)["event_time"], "proxy", "a"))  # two days later
+    want, last = set(), {}
+    for i, at, _, k in rows:
+        if k not in last or (at - last[k]).total_seconds() > 600:
+            want.add(i)
+        last[k] = at
+    assert {r.event_id for r in SE.report_once(spark.createDataFrame(rows, schema)).collect()} == want
+    assert 500 in want and len(want) < 150
+    got = drained(SS.report_once_stream(in_files(spark, rows, schema, f"{tmp_path}/o", 3)), spark, f"{tmp_path}/once")
+    assert {r.event_id for r in got} == want
 
 
 REQUEST = ("request_id string, all_text string, vault map<string,string>, team string, teams array<string>, model string, destination string")
