@@ -34,6 +34,12 @@ def vault(s, d):
     return M.assign_placeholders(values(s, d), SCOPE)
 
 
+def vault_of_uuids(s, d):
+    """The same numbering when parts are known by UUIDs, as in the audit."""
+    rows = values(s, d).withColumn("part", F.format_string("00000000-0000-4000-8000-%012d", "part"))
+    return M.assign_placeholders(rows, SCOPE)
+
+
 def masked(s, d):
     return M.mask_scope(scanned(s, d), SCOPE, "event_id")
 
@@ -147,6 +153,7 @@ def resolved_subjects(s, d):
 QUERIES = {
     "e15_subject_resolve": resolved_subjects,
     "c1_placeholders": vault,
+    "c1_placeholders_uuid": vault_of_uuids,
     "c2_mask_texts": lambda s, d: masked(s, d)[0].select("event_id", "masked"),
     "c3_surrogates": surrogates,
     "c4_unmask": round_trip,
@@ -204,6 +211,7 @@ ORACLES = {
  CASE event_id % 6 WHEN 0 THEN 'TCKN' WHEN 1 THEN 'PHONE_TR' WHEN 2 THEN 'IBAN_TR' WHEN 4 THEN 'VKN' END AS e,
  CASE event_id % 6 WHEN 0 THEN tckn WHEN 1 THEN right(replace(phone, ' ', ''), 10) WHEN 2 THEN replace(iban, ' ', '') WHEN 4 THEN '1234567890' END AS form FROM prompts)""", PROMPTS_CTE),
     "c1_placeholders": sql("SELECT * FROM vault", PROMPTS_CTE, _VAULT),
+    "c1_placeholders_uuid": sql("SELECT * FROM vault", PROMPTS_CTE, _VAULT),
     "c2_mask_texts": sql("SELECT event_id, result AS masked FROM done", PROMPTS_CTE, _VAULT, _replaced("vault", "placeholder")),
     "c3_surrogates": sql("""SELECT entity, count(*) AS n, count(*) FILTER (WHERE entity IN ('TCKN','IBAN_TR','PHONE_TR')) AS same_type, 0 AS unchanged,
  count(*) FILTER (WHERE entity NOT IN ('TCKN','IBAN_TR','PHONE_TR')) AS placeholders FROM vault GROUP BY entity""", PROMPTS_CTE, _VAULT),

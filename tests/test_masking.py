@@ -98,6 +98,15 @@ def test_holdback(spark, text, held):
 def test_numbering_spreads_a_hot_scope_over_buckets(spark):
     df = spark.range(5000).select(F.lit(1).alias("scope"), (F.col("id") * 3).alias("part"), F.lit(0).alias("start"), F.lit(5).alias("end"), F.lit("TCKN").alias("entity"),
                                   F.concat(F.lit("v"), F.col("id") % 3000).alias("value")).withColumn("canon", F.col("value"))
-    got = {r.canon: r.n for r in M.assign_placeholders(df, ["scope"], part_bucket=100).collect()}
+    got = {r.canon: r.n for r in M.assign_placeholders(df, ["scope"], ranges=30).collect()}
     assert got == {f"v{i}": i + 1 for i in range(3000)}
     assert defaults.policy().mask_style == "placeholder"
+
+
+def test_parts_may_have_any_id(spark):
+    """UUID parts are numbered in their order, like the numbers they stand for."""
+    df = spark.range(300).select(F.lit(1).alias("scope"), (F.col("id") * 7919 % 300).alias("at"), F.lit(0).alias("start"), F.lit(5).alias("end"),
+                                 F.lit("TCKN").alias("entity"), F.concat(F.lit("v"), F.col("id") % 120).alias("value")).withColumn("canon", F.col("value"))
+    plain = {r.canon: r.n for r in M.assign_placeholders(df.withColumnRenamed("at", "part"), ["scope"]).collect()}
+    uuids = df.withColumn("part", F.format_string("00000000-0000-4000-8000-%012d", "at"))
+    assert {r.canon: r.n for r in M.assign_placeholders(uuids, ["scope"], ranges=5).collect()} == plain

@@ -15,7 +15,7 @@ from veilkit import fixed
 from veilkit.functions.arrays import let
 from veilkit.functions.globs import any_glob, literal
 from veilkit.functions.values import alnum, canonical_value
-from veilkit.operators.ordered import row_numbers
+from veilkit.operators.ordered import range_buckets, row_numbers
 from veilkit.session import materialize
 
 SPANS_TYPE = "array<struct<start:int,end:int,replacement:string>>"
@@ -66,12 +66,13 @@ def finding_values(df: DataFrame, scope: Sequence[str], part: str, *, text: str
 
 
 def assign_placeholders(values: DataFrame, scope: Sequence[str], *, known: DataFrame | None = None,
-                        start: DataFrame | None = None, part_bucket: int = 1024) -> DataFrame:
+                        start: DataFrame | None = None, ranges: int | None = None) -> DataFrame:
     """The vault rows of new values: (scope, entity, canon, original, n, placeholder).
 
     Numbers follow first appearance within (scope, entity). `known` rows keep their placeholder and new
     numbers continue after them; `start` (scope, entity, n) raises the first number. Distinct values are
-    pre-aggregated, then numbered bucket by bucket, so a scope with a third of all values still spreads.
+    pre-aggregated, then numbered range by range of the parts, so a scope with a third of all values still
+    spreads, whatever type the parts' ids have and however sparse they are.
     """
     keys = [*scope, "entity", "canon"]
     firsts = (values.groupBy(*keys).agg(F.min(F.struct("part", "start", "value")).alias("_first"))
@@ -82,7 +83,8 @@ def assign_placeholders(values: DataFrame, scope: Sequence[str], *, known: DataF
         firsts = firsts.join(known.select(*keys), keys, "left_anti")
         used = known.groupBy(*scope, "entity").agg(F.max("n").alias("n"))
         offsets = used if start is None else start.unionByName(used)
-    numbered = row_numbers(firsts, [*scope, "entity"], ["_part", "_start"], F.floor(F.col("_part") / part_bucket), "n")
+    firsts = range_buckets(firsts, ["_part", "_start"], "_range", ranges)
+    numbered = row_numbers(firsts, [*scope, "entity"], ["_part", "_start"], F.col("_range"), "n")
     if offsets is not None:
         top = offsets.groupBy(*scope, "entity").agg(F.max("n").alias("_offset"))
         numbered = (numbered.join(top, [*scope, "entity"], "left")

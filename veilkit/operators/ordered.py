@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilkit.session import materialize
+
 
 def lead_struct(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, columns: Sequence[str],
                 into: str) -> DataFrame:
@@ -27,6 +29,13 @@ def lead_struct(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket
             .withColumn(into, F.coalesce(into, "_upcoming")).drop("_bucket", "_self", "_n", "_upcoming"))
 
 
+def range_buckets(df: DataFrame, order: Sequence[str], into: str, ranges: int | None = None) -> DataFrame:
+    """Adds `into`, a number that rises with the order of any sortable columns and has about as many rows for every
+    value: the range partition a row falls in, written down so that it stays."""
+    dealt = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    return materialize(dealt.withColumn(into, F.spark_partition_id()))
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
                    sums: Mapping[str, Column], *, inclusive: bool = True) -> DataFrame:
     """Running sum of each expression within a key. Exclusive sums leave the current row out."""
