@@ -40,6 +40,26 @@ def vault_of_uuids(s, d):
     return M.assign_placeholders(rows, SCOPE)
 
 
+def known_values(s, d):
+    """What a vault with surrogates knows: real values, surrogates, and respelled surrogate numbers."""
+    table_ = SG.assign_surrogates(vault(s, d), SCOPE, KEY)
+    found = LK.known_values(table_, SCOPE)
+    real = found.join(vault(s, d).select(*SCOPE, F.col("original").alias("known")).distinct(), [*SCOPE, "known"], "left_semi")
+    return (real.select("user_id", F.lit("real").alias("kind")).unionByName(found.filter("respelled").select("user_id", F.lit("respelled").alias("kind")))
+            .groupBy("user_id", "kind").agg(F.count(F.lit(1)).alias("n")))
+
+
+def keyed_vault(s, d):
+    """A vault that stores keyed hashes instead of canonical forms, extended twice: the second run adds nothing."""
+    found = values(s, d)
+    empty = vault(s, d).limit(0)
+    first = materialize(V.extend(empty, found, SCOPE, key=KEY))
+    again = V.extend(first, found, SCOPE, key=KEY)
+    return (first.withColumn("hidden", F.col("canon").rlike("^[0-9a-f]{64}$") & ~F.col("canon").contains(F.col("original")))
+            .select("user_id", "entity", "original", "n", "placeholder", "hidden")
+            .unionByName(again.select("user_id", "entity", "original", "n", "placeholder", F.lit(False).alias("hidden"))))
+
+
 def masked(s, d):
     return M.mask_scope(scanned(s, d), SCOPE, "event_id")
 
@@ -154,6 +174,8 @@ QUERIES = {
     "e15_subject_resolve": resolved_subjects,
     "c1_placeholders": vault,
     "c1_placeholders_uuid": vault_of_uuids,
+    "c5_known_values": known_values,
+    "c11_vault_keyed": keyed_vault,
     "c2_mask_texts": lambda s, d: masked(s, d)[0].select("event_id", "masked"),
     "c3_surrogates": surrogates,
     "c4_unmask": round_trip,
@@ -212,6 +234,9 @@ ORACLES = {
  CASE event_id % 6 WHEN 0 THEN tckn WHEN 1 THEN right(replace(phone, ' ', ''), 10) WHEN 2 THEN replace(iban, ' ', '') WHEN 4 THEN '1234567890' END AS form FROM prompts)""", PROMPTS_CTE),
     "c1_placeholders": sql("SELECT * FROM vault", PROMPTS_CTE, _VAULT),
     "c1_placeholders_uuid": sql("SELECT * FROM vault", PROMPTS_CTE, _VAULT),
+    "c5_known_values": sql("""SELECT user_id, 'real' AS kind, count(DISTINCT original) AS n FROM vault GROUP BY 1
+ UNION ALL SELECT user_id, 'respelled', count(*) FROM vault WHERE entity IN ('TCKN','IBAN_TR','PHONE_TR') GROUP BY 1""", PROMPTS_CTE, _VAULT),
+    "c11_vault_keyed": sql("SELECT user_id, entity, original, n, placeholder, true AS hidden FROM vault", PROMPTS_CTE, _VAULT),
     "c2_mask_texts": sql("SELECT event_id, result AS masked FROM done", PROMPTS_CTE, _VAULT, _replaced("vault", "placeholder")),
     "c3_surrogates": sql("""SELECT entity, count(*) AS n, count(*) FILTER (WHERE entity IN ('TCKN','IBAN_TR','PHONE_TR')) AS same_type, 0 AS unchanged,
  count(*) FILTER (WHERE entity NOT IN ('TCKN','IBAN_TR','PHONE_TR')) AS placeholders FROM vault GROUP BY entity""", PROMPTS_CTE, _VAULT),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog.bodies import scratch
 from catalog.common import flat, joined, sql, table
 from catalog.prompts import PROMPTS_CTE, prompts
 from veilkit import defaults
@@ -121,6 +122,14 @@ def scan_types(s, d):
     return _spans(S.with_findings(rows, S.ScanConfig()))
 
 
+def read_terms(s, d):
+    """A list of terms as a file with remarks, blank lines and white space around the terms."""
+    folder = scratch(s)
+    lines = table(s, d, "part").select(F.expr("explode(array(concat('  ', p_name, ' '), concat('# ', p_name), '', '   '))").alias("value"))
+    lines.write.text(f"{folder}/terms")
+    return D.read_terms(s, f"{folder}/terms")
+
+
 def long_dictionary(s, d):
     config = S.ScanConfig(dictionary=(MANY_TERMS,), entities=("KURUM_PROJE",), builtin=False)
     return _spans(S.with_findings(prompts(s, d), config)).drop("score")
@@ -227,6 +236,7 @@ QUERIES = {
     "b27_scan_conversations": conversation_turns,
     "b28_scan_distinct": distinct_scan,
     "b29_external_findings": scan_prompts_external,
+    "a19_read_terms": read_terms,
     "b3_b24_scan_types": scan_types,
     "b30_dictionary_long": long_dictionary,
     "b30_dictionary_sizes": dictionary_sizes,
@@ -277,6 +287,7 @@ SELECT doc_id, 'EMAIL_ADDRESS' AS entity, value, count(*) AS n FROM (
     "b29_external_findings": sql("""SELECT entity, count(*) AS n FROM (SELECT entity FROM spans
  UNION ALL SELECT 'PERSON' FROM prompts WHERE k % 4 = 0
  UNION ALL SELECT 'LOCATION' FROM prompts WHERE k % 4 <> 0) GROUP BY 1""", PROMPTS_CTE),
+    "a19_read_terms": "SELECT trim(p_name) AS term FROM part",
     "b3_b24_scan_types": sql(f"""SELECT event_id, entity, length(before) AS start_at, length(before) + length(v) AS end_at, v AS found, score FROM (
  SELECT event_id, {_by_type(lambda e, sc, b, v: f"'{e}'")} AS entity, {_by_type(lambda e, sc, b, v: f"'{b}'")} AS before, {_by_type(lambda e, sc, b, v: v)} AS v,
  {_by_type(lambda e, sc, b, v: f"{sc}::DOUBLE")} AS score FROM prompts) WHERE entity <> ''""", PROMPTS_CTE),

@@ -111,6 +111,16 @@ def shadow_admission(s, d):
     return SH.admit_batches(batches, per_user=1, total=3).select("batch_id", "admitted")
 
 
+def approximate_error(s, d):
+    """Windows that the sketches report, and whether every estimate is within five per cent of the exact count."""
+    rows = audit(s, d)
+    found = AN.approximate_subjects(rows, ANOMALY)
+    exact = (rows.filter("destination = 'external' AND action <> 'block'").withColumn("slot", AN.slot(ANOMALY["window_minutes"]))
+             .select("user", "slot", F.explode("subject_hashes").alias("hash")).groupBy("user", "slot").agg(F.countDistinct("hash").alias("exact")))
+    near = F.abs(F.col("subjects") - F.col("exact")) <= 0.05 * F.col("exact")
+    return found.join(exact, ["user", "slot"]).groupBy("user").agg(F.count(F.lit(1)).alias("windows"), F.bool_and(near).alias("near"))
+
+
 QUERIES = {
     "a18_shadow_problems": shadow_problems,
     "a18_shadow_audit": shadow_audit,
@@ -118,6 +128,7 @@ QUERIES = {
     "f2_count_alerts": count_alerts,
     "f2_alert_events": alert_events,
     "f3_subject_alerts": subject_alerts,
+    "f3_subjects_approx_error": approximate_error,
     "f3_subjects_approx": lambda s, d: AN.approximate_subjects(audit(s, d), ANOMALY).select("user").distinct(),
     "f4_f5_quota_replay": lambda s, d: quota_rows(s, d).select("event_id", "minute_count", "quota_kind", "quota_limit", "quota_used"),
     "f7_quota_applied": quotas_applied,
@@ -164,6 +175,8 @@ ORACLES = {
  WHEN 'overrides' THEN 'uyarıya rağmen gönderim (tarayıcı eklentisi)' WHEN 'secrets' THEN 'sır içeren istek' WHEN 'injection' THEN 'injection denemesi'
  ELSE 'farklı kişinin kimlik / iletişim bilgisi yurt dışı modele gitti' END || ' (eşik ' || threshold || ')' AS reason, 'anomaly' AS api_format FROM (
  SELECT event_id, "user", signal, threshold, threshold AS n FROM ca UNION ALL SELECT event_id, "user", 'subjects', 3, n_subjects FROM sa)""", _SIGNALS, _ALERTS, _SUBJ),
+    "f3_subjects_approx_error": sql(f"""SELECT "user", count(*) AS windows, true AS near FROM (SELECT "user", date_trunc('day', event_time) AS slot, count(DISTINCT h) AS n
+ FROM (SELECT "user", event_time, unnest(subject_hashes) AS h FROM audit WHERE "user" <> 'anonymous' AND destination='external' AND action<>'block') GROUP BY 1, 2) WHERE n >= 3 GROUP BY 1"""),
     "f3_subject_alerts": sql(f"SELECT event_id, \"user\", strftime(slot, {MS}) AS slot, n_subjects AS count FROM sa", _SUBJ),
     "f4_f5_quota_replay": sql("""SELECT event_id, minute_count, kind AS quota_kind, CASE kind WHEN 'requests_per_minute' THEN rpm::DOUBLE WHEN 'monthly_tokens' THEN lt::DOUBLE
  WHEN 'monthly_cost_usd' THEN lc END AS quota_limit, CASE kind WHEN 'requests_per_minute' THEN minute_count::DOUBLE WHEN 'monthly_tokens' THEN ft::DOUBLE
