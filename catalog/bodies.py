@@ -121,14 +121,24 @@ def large_bodies(s, d):
     return B.extract_text(rows).select("doc_id", F.sha2("text", 256).alias("sha"), "unscannable")
 
 
-def attachments(s, d):
-    rows = table(s, d, "documents").select(
+def _attached(s, d):
+    return table(s, d, "documents").select(
         "doc_id", (F.col("doc_id") % 40).alias("request_id"),
         F.expr("element_at(array('text/plain', 'application/pdf', 'image/png', 'application/zip', ''), cast(doc_id % 5 AS int) + 1)").alias("media_type"),
         F.expr("concat('ek', cast(doc_id AS string), if(doc_id % 5 = 4, '.MD', ''))").alias("name"),
         F.expr("if(doc_id % 7 = 0, NULL, encode(text, 'UTF-8'))").alias("content"),
         F.expr("if(doc_id % 14 = 0, 'file_id', NULL)").alias("remote_reason"))
-    out = AT.scan_texts(rows, "request_id", "doc_id", max_bytes=3000, max_count=20)
+
+
+def attachments(s, d):
+    """Every document as a file: all are read."""
+    out = AT.scan_texts(_attached(s, d), "request_id", "doc_id")
+    return out.select("doc_id", "kind", "reason", F.length("text").cast("bigint").alias("chars"))
+
+
+def attachment_limits(s, d):
+    """The same files under a caller's limits of size and number, which mark what they leave out."""
+    out = AT.scan_texts(_attached(s, d), "request_id", "doc_id", max_bytes=3000, max_count=20)
     return out.select("doc_id", "kind", "reason", F.length("text").cast("bigint").alias("chars"))
 
 
@@ -198,6 +208,7 @@ QUERIES = {
     "a15_conversation_bodies": conversation_bodies,
     "a15_large_bodies": large_bodies,
     "a16_attachments": attachments,
+    "a16_attachment_limits": attachment_limits,
     "a17_unscannable": unscannable_lists,
     "c10_mask_nested": nested_masking,
     "e14_subject_index": subject_index,
@@ -221,7 +232,11 @@ ORACLES = {
  CASE event_id % 4 WHEN 3 THEN 0 WHEN 2 THEN k + 51 ELSE k END::DOUBLE AS priced_prompt_tokens, event_id % 4 <> 3 AS usage_known FROM prompts""", PROMPTS_CTE),
     "a15_page_bodies": """SELECT page_id, sha256(CASE WHEN page_id % 10 = 9 OR page_id % 4 = 2 THEN '' ELSE html END) AS sha, page_id % 10 = 9 OR page_id % 4 = 2 AS unscannable FROM pages""",
     "a15_conversation_bodies": """SELECT conv_id, turn, CASE turn % 3 WHEN 2 THEN trim(text) || chr(10) || 'son satır' ELSE trim(text) END AS text, false AS unscannable FROM conversations""",
-    "a16_attachments": """SELECT doc_id, kind, CASE WHEN n > 20 THEN 'ek sayısı sınırı (20)' WHEN doc_id % 7 = 0 THEN CASE WHEN doc_id % 14 = 0 THEN 'file_id' ELSE 'uzak adres' END
+    "a16_attachments": """SELECT doc_id, kind, CASE WHEN doc_id % 7 = 0 THEN CASE WHEN doc_id % 14 = 0 THEN 'file_id' ELSE 'uzak adres' END WHEN kind = 'text' THEN NULL
+ ELSE 'desteklenmeyen tür (' || ['text/plain','application/pdf','image/png','application/zip','bilinmiyor'][doc_id % 5 + 1] || ')' END AS reason,
+ CASE WHEN kind = 'text' AND doc_id % 7 <> 0 THEN length(text) END AS chars
+ FROM (SELECT *, ['text','pdf','image','other','text'][doc_id % 5 + 1] AS kind FROM documents)""",
+    "a16_attachment_limits": """SELECT doc_id, kind, CASE WHEN n > 20 THEN 'ek sayısı sınırı (20)' WHEN doc_id % 7 = 0 THEN CASE WHEN doc_id % 14 = 0 THEN 'file_id' ELSE 'uzak adres' END
  WHEN octet_length(encode(text)) > 3000 THEN 'boyut sınırı aşıldı (' || octet_length(encode(text)) || ' bayt)' WHEN kind = 'text' THEN NULL
  ELSE 'desteklenmeyen tür (' || ['text/plain','application/pdf','image/png','application/zip','bilinmiyor'][doc_id % 5 + 1] || ')' END AS reason,
  CASE WHEN kind = 'text' AND n <= 20 AND doc_id % 7 <> 0 AND octet_length(encode(text)) <= 3000 THEN length(text) END AS chars

@@ -20,24 +20,31 @@ def classify(df: DataFrame) -> DataFrame:
         "ELSE 'other' END"))
 
 
-def scan_texts(df: DataFrame, request: str, order: str, *, max_bytes: int = fixed.ATTACHMENT_MAX_BYTES,
-               max_count: int = fixed.ATTACHMENT_MAX_COUNT) -> DataFrame:
-    """Adds text (decoded text files) and reason (why a file could not be read). Files over the count of a
-    request stay listed, as unread; equal contents share a hash so a caller can scan each once."""
-    rank = F.row_number().over(Window.partitionBy(request).orderBy(order))
+def scan_texts(df: DataFrame, request: str, order: str, *, max_bytes: int | None = None, max_count: int | None = None) -> DataFrame:
+    """Adds text (decoded text files) and reason (why a file could not be read). All files are read; a caller's
+    limits mark what they leave out: files over the size, and those beyond the first `max_count` of a request.
+    Equal contents share a hash so a caller can scan each once."""
     decoded = "try_validate_utf8(cast(content AS string))"
+    late, large = "", ""
+    rows = classify(df)
+    if max_count is not None:
+        # the last place read, from slim rows: file contents are never sorted
+        slim = df.select(F.col(request).alias("_request"), F.col(order).alias("_last"))
+        rank = F.row_number().over(Window.partitionBy("_request").orderBy("_last"))
+        last = slim.withColumn("_rank", rank).filter(F.col("_rank") <= max_count).filter(F.col("_rank") == max_count).drop("_rank")
+        rows = rows.join(last, F.col(request) == F.col("_request"), "left")
+        late = f"WHEN `{order}` > _last THEN 'ek sayısı sınırı ({max_count})' "
+    if max_bytes is not None:
+        large = f"WHEN octet_length(content) > {max_bytes} THEN concat('boyut sınırı aşıldı (', octet_length(content), ' bayt)') "
     return (
-        classify(df).withColumn("_rank", rank)
-        .withColumn("reason", F.expr(
-            f"CASE WHEN _rank > {max_count} THEN 'ek sayısı sınırı ({max_count})' "
-            "WHEN content IS NULL THEN coalesce(remote_reason, 'uzak adres') "
-            f"WHEN octet_length(content) > {max_bytes} THEN concat('boyut sınırı aşıldı (', octet_length(content), ' bayt)') "
+        rows.withColumn("reason", F.expr(
+            f"CASE {late}WHEN content IS NULL THEN coalesce(remote_reason, 'uzak adres') {large}"
             f"WHEN kind = 'text' AND {decoded} IS NULL THEN 'metin dosyası UTF-8 değil' "
             "WHEN kind = 'text' THEN NULL "
             "ELSE concat('desteklenmeyen tür (', if(media_type = '', 'bilinmiyor', media_type), ')') END"))
         .withColumn("text", F.expr(f"if(kind = 'text' AND reason IS NULL, {decoded}, NULL)"))
         .withColumn("content_sha", F.expr("sha2(content, 256)"))
-        .drop("_rank")
+        .drop("_request", "_last")
     )
 
 
