@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from catalog.common import AS_OF, DAYS, MS, WINDOW, audit, flat, joined, label_sql, provider_sql, sql, table
+from catalog.common import AS_OF, DAYS, MS, audit, flat, label_sql, provider_sql, sql, table
 from catalog.prompts import PROMPTS_CTE, prompts
 from veilkit import defaults, fixed
 from veilkit.functions.arrays import pinned

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.common import AS_OF, DAYS, MS, WINDOW, audit, flat, joined, sql, table
+from catalog.common import AS_OF, DAYS, WINDOW, audit, flat, sql, table
 from catalog.prompts import PROMPTS_CTE, prompts
-from catalog.scan import _ENTITIES, _SCORE, request_rows
+from catalog.scan import _ENTITIES, _SCORE
 from veilkit import defaults, fixed
 from veilkit.operators import policy as P
 from veilkit.operators import scan as S

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.bodies import scratch
-from catalog.common import flat, joined, sql, table
+from catalog.common import joined, sql, table
 from catalog.prompts import PROMPTS_CTE, prompts
 from veilkit import defaults
 from veilkit.functions.normalize import normalized

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.common import MS, audit, flat, joined, sql, table
-from veilkit import defaults, fixed
+from catalog.common import MS, audit, flat, sql, table
 from veilkit.operators import anomaly as AN
 from veilkit.operators import notify as N
 from veilkit.operators import quota as Q
