@@ -32,7 +32,7 @@ from veilkit.llm.hashing import mix, text_bytes, windows, words
 
 WINDOW = 20
 STRETCH_BYTES = 6 << 20
-RANGE_BYTES = 24 << 20  # text per hash range: about four million windows
+RANGE_BYTES = 16 << 20  # text per hash range: about three million windows
 LAST = np.iinfo(np.int64).max
 
 
