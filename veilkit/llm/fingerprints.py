@@ -10,7 +10,7 @@ parts' hashes in order. The likeness of two fingerprints is the share of equal p
 both, 1 for equal texts.
 
 Terms are lower-cased runs of characters that are neither white space, control characters nor ASCII
-punctuation. A text without any lexicon term is told apart by the hash of the whole text, as a last part.
+punctuation. A text whose parts are all empty is told apart by the hash of the whole text, as a last part.
 Null and empty texts are the same text. Documents are ordered by id, descending, nulls last; rows of one id by
 a hash of their text. Empty input gives an empty result. Only id and text are read.
 """
@@ -63,9 +63,12 @@ def _part(kept: Column, number: int, one_in: int) -> Column:
 
 
 def _hashed(kept: Column, text: Column, density: tuple[int, ...]) -> Column:
-    """The hash of each sub-lexicon's part, 0 for an empty one, and last the text's where all are empty."""
-    alone = F.when(F.size(kept) > 0, F.lit(0).cast("long")).otherwise(F.xxhash64(text))
-    return F.array(*[_part(kept, k, d) for k, d in enumerate(density)], alone)
+    """The hash of each sub-lexicon's part, 0 for an empty one, and last the text's where all parts are empty."""
+    def whole(parts: Column) -> Column:
+        alone = F.when(F.forall(parts, lambda p: p == 0), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
+        return F.concat(parts, F.array(alone))
+
+    return F.get(F.transform(F.array(F.array(*[_part(kept, k, d) for k, d in enumerate(density)])), whole), 0)
 
 
 def _fingerprint(text: Column, lex: Column, density: tuple[int, ...]) -> Column:
