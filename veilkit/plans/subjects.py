@@ -14,7 +14,6 @@ from veilkit.functions.values import mask_label, subject_hash, subject_value
 from veilkit.operators.scan import ScanConfig, with_findings
 from veilkit.plans.usage import audit_window
 
-MAX_BROADCAST_ROWS = 10_000
 NO_TYPE = "type"
 NO_FINDING = "finding"
 NO_VALUE = "value"
@@ -23,35 +22,32 @@ STATUS = ("CASE WHEN action = 'block' THEN 'blocked' WHEN destination <> 'extern
 
 
 def subject_hits(audit: DataFrame, subjects: DataFrame, as_of: str, days: int,
-                 limit: int | None = fixed.SUBJECT_LIMIT, providers=()) -> DataFrame:
+                 limit: int | None = fixed.SUBJECT_LIMIT, providers=(), index: DataFrame | None = None) -> DataFrame:
     """One row per (event, subject). `subjects` has (label, entity, hashes); newest events first up to
     `limit`, None for all. `truncated` marks that more events matched.
 
-    Audit rows are exploded once and joined by hash; a search of a few values broadcasts by its size,
-    a bulk search of many shuffles.
+    Hashes are looked up in `index` (sources.audit.subject_index, as stored), or without one in the audit's own
+    arrays; the audit is then read once, for the events found. A search of a few values broadcasts by its size, a
+    bulk search of many shuffles.
     """
     wanted = subjects.select("label", "entity", F.explode("hashes").alias("hash"))
-    rows = audit_window(audit, as_of, days).select(
-        "event_id", "event_time", "team", "user", "model", "destination", F.expr(P.API_FORMAT).alias("api_format"),
-        "action", "masked_entities", "subject_hashes")
+    if index is None:
+        index = audit.select("event_id", "event_time", *(["month"] if "month" in audit.columns else []), F.explode("subject_hashes").alias("hash"))
+    found = audit_window(index, as_of, days).join(wanted, "hash").select("event_id", "event_time", "label", "entity").distinct()
     if limit is not None:
-        matching = (rows.select("event_id", "event_time", F.explode("subject_hashes").alias("hash"))
-                    .join(wanted.select("hash").distinct(), "hash", "left_semi")
-                    .select("event_id", "event_time").distinct())
-        newest = matching.orderBy(F.desc("event_time"), F.desc("event_id")).limit(limit + 1)
+        newest = found.select("event_id", "event_time").distinct().orderBy(F.desc("event_time"), F.desc("event_id")).limit(limit + 1)
         numbered = (newest.withColumn("_n", F.expr("row_number() OVER (ORDER BY event_time DESC, event_id DESC)"))
                     .withColumn("truncated", F.expr("count(*) OVER ()") > limit).filter(F.col("_n") <= limit))
-        page = numbered.select("event_id", "truncated")
-        rows = rows.join(F.broadcast(page) if limit <= MAX_BROADCAST_ROWS else page, "event_id")
+        found = found.drop("event_time").join(numbered.select("event_id", "truncated"), "event_id")
     else:
-        rows = rows.withColumn("truncated", F.lit(False))
+        found = found.drop("event_time").withColumn("truncated", F.lit(False))
+    rows = audit_window(audit, as_of, days).select(
+        "event_id", "event_time", "team", "user", "model", "destination", F.expr(P.API_FORMAT).alias("api_format"), "action", "masked_entities")
     return (
-        rows.withColumn("hash", F.explode("subject_hashes")).drop("subject_hashes")
-        .join(wanted, "hash")
-        .dropDuplicates(["event_id", "label", "entity"])
+        rows.join(found, "event_id")
         .withColumn("status", F.expr(STATUS))
         .withColumn("provider", provider_of(F.col("model"), providers))
-        .drop("hash", "masked_entities")
+        .drop("masked_entities")
     )
 
 

@@ -96,7 +96,13 @@ def emit_json(events: DataFrame, path: str) -> None:
 
 
 def subject_index(audit: DataFrame) -> DataFrame:
-    """(hash, event_id, month): the side table a subject search reads instead of every row's array. Write
-    it bucketed or sorted by hash."""
+    """(hash, event_id, event_time, month): the side table a subject search reads instead of every row's array."""
     month = F.col("month") if "month" in audit.columns else F.date_format("event_time", "yyyyMM").cast("int")
-    return audit.select(F.explode("subject_hashes").alias("hash"), "event_id", month.alias("month"))
+    return audit.select(F.explode("subject_hashes").alias("hash"), "event_id", "event_time", month.alias("month"))
+
+
+def write_subject_index(index: DataFrame, path: str, *, mode: str = "append", files_per_month: int = 1) -> None:
+    """Parquet by month, sorted by hash, so that a search reads the row groups of its hashes only. Hashes are
+    dealt over `files_per_month` writers."""
+    salt = F.pmod(F.xxhash64("hash"), F.lit(files_per_month))
+    index.repartition("month", salt).sortWithinPartitions("hash", "event_time").write.mode(mode).partitionBy("month").parquet(path)
