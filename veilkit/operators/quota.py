@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from veilkit import fixed
 from veilkit.functions.globs import literal
 from veilkit.operators.ordered import row_numbers, running_totals
+from veilkit.session import materialize
 
 LIMITS = ("requests_per_minute", "monthly_tokens", "monthly_cost_usd")
+_REPLAYED = ("event_id", "event_time", "team", "prompt_tokens", "completion_tokens", "est_cost_usd")
 
 
 def check_quotas(quotas: Mapping) -> None:
@@ -55,9 +57,13 @@ def replay(requests: DataFrame, quotas: Mapping) -> DataFrame:
     A monthly limit rejects when the usage before a request has reached it. Usage only grows and nothing
     is accepted after a crossing, so running sums over the requests that passed the minute check decide;
     the reported usage is the one at the first crossing, because rejected requests add none.
+
+    All windows run on slim rows, written down between the two passes; the requests are read for those and once
+    more to receive the result by event_id, which names one request.
     """
     limits = team_limits(quotas)
-    rows = per_minute(requests.withColumns({f"_l_{n}": c for n, c in limits.items()}), F.col("_l_requests_per_minute"))
+    slim = materialize(requests.select(*_REPLAYED))
+    rows = materialize(per_minute(slim.withColumns({f"_l_{n}": c for n, c in limits.items()}), F.col("_l_requests_per_minute")))
     rows = rows.withColumn("_month", F.date_trunc("month", "event_time"))
     counted = ~F.col("over_minute")
     tokens = F.when(counted, F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0))).otherwise(0)
@@ -67,7 +73,7 @@ def replay(requests: DataFrame, quotas: Mapping) -> DataFrame:
     rows = rows.withColumn("_cost", F.col("_micro") / 1_000_000)
     full = counted & (F.coalesce(F.col("_tokens") >= F.col("_l_monthly_tokens"), F.lit(False))
                       | F.coalesce(F.col("_cost") >= F.col("_l_monthly_cost_usd"), F.lit(False)))
-    rows = rows.withColumn("_full", full)
+    rows = materialize(rows.withColumn("_full", full))
     frozen = rows.filter("_full").groupBy("team", "_month").agg(F.min("_tokens").alias("_ft"), F.min("_cost").alias("_fc"))
     rows = rows.join(frozen, ["team", "_month"], "left")
     kind = (F.when(F.col("over_minute"), "requests_per_minute")
@@ -78,8 +84,8 @@ def replay(requests: DataFrame, quotas: Mapping) -> DataFrame:
     used = (F.when(F.col("quota_kind") == "requests_per_minute", F.col("minute_count").cast("double"))
             .when(F.col("quota_kind") == "monthly_tokens", F.col("_ft").cast("double"))
             .when(F.col("quota_kind") == "monthly_cost_usd", F.round("_fc", 4)))
-    internal = [c for c in ("_month", "_tokens", "_micro", "_cost", "_full", "_ft", "_fc", *[f"_l_{n}" for n in LIMITS])]
-    return out.withColumn("quota_limit", limit).withColumn("quota_used", used).drop(*internal, "over_minute")
+    result = out.withColumn("quota_limit", limit).withColumn("quota_used", used).select("event_id", "minute_count", "retry_after", "quota_kind", "quota_limit", "quota_used")
+    return requests.join(result, "event_id")
 
 
 def apply_rejections(rows: DataFrame) -> DataFrame:
