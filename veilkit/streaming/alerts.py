@@ -14,6 +14,8 @@ from veilkit.operators.notify import match_channels
 from veilkit.functions import predicates as P
 from veilkit.streaming.ingest import WATERMARK
 
+KEEP_DAYS = 30
+
 
 def _timed(rows: DataFrame, watermark: str) -> DataFrame:
     """Event time as microseconds and as a watermarked timestamp, both read as UTC whatever the session's
@@ -64,8 +66,9 @@ def anomaly_stream(events: DataFrame, config: Mapping, watermark: str = WATERMAR
         "seen bigint, fired boolean, known array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def cooldown_stream(events: DataFrame, channels, watermark: str = WATERMARK) -> DataFrame:
-    """Channel matches with sent and suppressed. State per key is the end of the cooldown and a count."""
+def cooldown_stream(events: DataFrame, channels, watermark: str = WATERMARK, keep_days: int = KEEP_DAYS) -> DataFrame:
+    """Channel matches with sent and suppressed. State per key is the end of the cooldown and a count; a key is
+    forgotten once its cooldown has passed, or `keep_days` later if suppressed messages wait to be mentioned."""
     rows = (_timed(match_channels(events, channels), watermark)
             .select("event_id", "at", "at_us", "channel", "team", "repeat_key", "cooldown"))
 
@@ -84,9 +87,8 @@ def cooldown_stream(events: DataFrame, channels, watermark: str = WATERMARK) ->
                 out.append((event.event_id, key[0], True, waiting))
                 until, waiting = now + event.cooldown, 0
         state.update((until, waiting))
-        # keys without a pending count may be forgotten once their cooldown has passed
-        if waiting == 0:
-            state.setTimeoutTimestamp(max(int(until * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        end = int(until * 1000) + 1 + (keep_days * 86_400_000 if waiting else 0)
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["event_id", "channel", "sent", "suppressed"])
 
     return rows.groupBy("channel", "team", "repeat_key").applyInPandasWithState(
