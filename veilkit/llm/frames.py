@@ -13,6 +13,7 @@ from veilkit.session import checkpoint_dir, materialize
 __all__ = ["checkpoint_dir", "materialize", "table", "free_name", "n_words", "per_group", "components"]
 
 WORD = r"[^\x20\x09-\x0D]+"
+EDGES_PER_FILE = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,20 +68,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     known neighbour, until all edges point at a root. Only slim edges move; each round is cut by a
     checkpoint, and only counts come to the driver. Nodes without an edge to another node are left out.
     """
-    e = (edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
-    e = materialize(e)
+    e = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    n = e.count()
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        e = materialize(small)
+        e = materialize(small.coalesce(1 + n // EDGES_PER_FILE))
         # done when every node has one parent and no parent has one itself
         seen = (e.select("u", F.lit(1).alias("up"), F.lit(0).alias("down"))
                 .unionByName(e.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
-        if seen.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1").isEmpty():
+        nodes = seen.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        unsettled, n = nodes.agg(F.count_if(F.expr("up + down > 1")), F.coalesce(F.sum("up"), F.lit(0))).first()
+        if not unsettled:
             break
     return (e.select(F.col("u").alias("node"), F.col("v").alias("component"))
             .unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))

@@ -10,8 +10,9 @@
    chunk once in 4e9 pairs.
 3. Classes that meet are contracted to clusters over slim edges (class, smallest class under the key).
    Clusters are cut into blocks of bounded size; the full sets of a block are compared through an inverted
-   index, only between classes not yet linked, and only the links that join two groups leave the task.
-   Clusters of several blocks compare block pairs that share a key, after the links inside blocks are known.
+   index, only between classes not yet joined, and only the smallest class joined to each leaves the task.
+   Clusters of several blocks then compare block pairs that share a key, only between groups not yet joined;
+   a last contraction puts the blocks' groups together.
 
 No pairs within a group are written out, and no group has to fit in one task.
 
@@ -37,6 +38,7 @@ from veilkit.llm.hashing import LOWER, mix, text_bytes, windows, words
 
 SHINGLE = 5
 CHUNKS, WIDTH, ERRORS = 10, 4, 1
+ROWS_PER_FILE = 16_384
 BLOCK_ROWS = 512
 BLOCK_SHINGLES = 200_000
 
@@ -109,9 +111,9 @@ def _sets(size: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [s.tobytes() for s in shingle_sets(part.column(3), size)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sets, pa.large_binary()).cast(pa.binary())],
-                                                 ["block", "rep", "root", "shingles"])
+                sets = [s.tobytes() for s in shingle_sets(part.column(2), size)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(sets, pa.large_binary()).cast(pa.binary())],
+                                                 ["block", "rep", "shingles"])
     return each
 
 
@@ -132,12 +134,11 @@ class _Roots:
         self.up = np.where(up == hi, lo, up)
 
 
-def _links(rep: np.ndarray, root: np.ndarray, side: np.ndarray, blobs: list, percent: int) -> pd.DataFrame:
-    """Links that join groups: rows with their set, known root and side. With two sides only pairs across
-    are compared, those of one side were before. Rows of one root count as joined."""
+def _grouped(root: np.ndarray, side: np.ndarray, blobs: list, percent: int) -> tuple[_Roots, list[tuple[int, int]]]:
+    """Rows joined by links of their sets, and the links that joined groups, as row numbers. Rows of one root count
+    as joined; with two sides only pairs across are compared, those of one side were before."""
     sets = [np.frombuffer(b, np.uint64) for b in blobs]
     n = np.array([len(s) for s in sets])
-    order = np.argsort(-n, kind="stable")
     shingles = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), n)
     by = np.argsort(shingles, kind="stable")
@@ -149,9 +150,9 @@ def _links(rep: np.ndarray, root: np.ndarray, side: np.ndarray, blobs: list, per
     first = np.full(same.max() + 1, len(sets))
     np.minimum.at(first, same, np.arange(len(sets)))
     group.up = first[same]
-    out, done = [], np.zeros(len(sets), dtype=bool)
+    links, done = [], np.zeros(len(sets), dtype=bool)
     cross = side.min() != side.max()
-    for a in order:
+    for a in np.argsort(-n, kind="stable"):
         done[a] = True
         up = group.all()
         others = ~done & (up != up[a]) & (100 * np.minimum(n, n[a]) >= percent * np.maximum(n, n[a]))
@@ -163,23 +164,34 @@ def _links(rep: np.ndarray, root: np.ndarray, side: np.ndarray, blobs: list, per
         many = lengths[at]
         hit = np.repeat(starts[at] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
         common = np.bincount(owner[hit], minlength=len(sets))
-        linked = others & (100 * common >= percent * (n + n[a] - common))
-        for b in np.flatnonzero(linked):
+        for b in np.flatnonzero(others & (100 * common >= percent * (n + n[a] - common))):
             if group.all()[b] != group.all()[a]:
                 group.join(a, b)
-                out.append((rep[a], rep[b]))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                links.append((a, b))
+    return group, links
+
+
+def _within(percent: int):
+    """Of one block: (rep, root), the smallest class joined to each inside the block."""
+    def each(rows: pd.DataFrame) -> pd.DataFrame:
+        rep = rows["rep"].to_numpy()
+        if len(rep) == 1:
+            return pd.DataFrame({"rep": rep, "root": rep})
+        up = _grouped(rep, np.zeros(len(rep), int), rows["shingles"].tolist(), percent)[0].all()
+        least = np.full(len(rep), np.iinfo(np.int64).max)
+        np.minimum.at(least, up, rep)
+        return pd.DataFrame({"rep": rep, "root": least[up]})
+    return each
 
 
-def _compare(percent: int):
+def _across(percent: int):
+    """Of two blocks: the links that join their groups."""
     def each(rows: pd.DataFrame) -> pd.DataFrame | None:
-        rows = rows.drop_duplicates(["rep", "shingles"])
-        if len(rows) < 2:
-            return None
-        side = rows["side"].to_numpy() if "side" in rows else np.zeros(len(rows), int)
-        if "side" in rows and side.min() == side.max():
+        side, rep = rows["side"].to_numpy(), rows["rep"].to_numpy()
+        if side.min() == side.max():
             return None
-        return _links(rows["rep"].to_numpy(), rows["root"].to_numpy(), side, rows["shingles"].tolist(), percent)
+        links = _grouped(rows["root"].to_numpy(), side, rows["shingles"].tolist(), percent)[1]
+        return pd.DataFrame([(rep[a], rep[b]) for a, b in links], columns=["a", "b"], dtype="int64")
     return each
 
 
@@ -190,57 +202,52 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = materialize(texts.mapInArrow(_sketch(chunks, width, errors, shingle), "id long, n long, digest binary, keys binary"))
     named = rows.filter("id is not null and n > 0")
-    classes = materialize(named.groupBy("digest").agg(F.min("id").alias("rep"), F.max("n").alias("n"),
+    files = 1 + rows.count() // ROWS_PER_FILE  # slim tables are written in few pieces, whatever a shuffle dealt them to
+
+    def cut(df: DataFrame) -> DataFrame:
+        return materialize(df.coalesce(files))
+
+    classes = cut(named.groupBy("digest").agg(F.min("id").alias("rep"), F.max("n").alias("n"),
                                                       F.min("keys").alias("keys")))
-    rows_of_class = materialize(rows.select("id", "n", "digest").join(classes.select("digest", "rep"), "digest", "left")
+    rows_of_class = cut(rows.select("id", "n", "digest").join(classes.select("digest", "rep"), "digest", "left")
                                 .select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")))
     index = classes.select("rep", "keys").mapInArrow(_unfold, "key long, rep long")
     centers = index.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).filter("center < last")
-    met = materialize(index.join(centers.select("key", "center"), "key"))
+    met = cut(index.join(centers.select("key", "center"), "key"))
     cluster = components(met.select(F.col("rep").alias("a"), F.col("center").alias("b")))
     members = cluster.join(classes.groupBy("rep").agg(F.sum("n").alias("n")), F.col("node") == F.col("rep"))
     # blocks: clusters are cut so that neither rows nor shingles of a block grow with the cluster
     sizes = members.groupBy("component").agg(
         F.ceil(F.greatest(F.count("rep") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    members = materialize(
+    members = cut(
         members.join(sizes, "component")
         .select("rep", "component", "blocks",
                 F.when(F.col("blocks") > 1, F.xxhash64("component", F.pmod(F.xxhash64("rep"), F.col("blocks"))))
                 .otherwise(F.xxhash64("component", F.lit(0))).alias("block")))
     # full sets only for classes that met another one
     wanted = members.join(classes.select("rep", "digest"), "rep").select(F.col("rep").alias("id"), "block", "rep")
-    sets = (texts.join(wanted.distinct(), "id")
-            .select("block", "rep", F.col("rep").alias("root"), "text")
-            .mapInArrow(_sets(shingle), "block long, rep long, root long, shingles binary"))
+    sets = (texts.join(wanted.distinct(), "id").select("block", "rep", "text")
+            .mapInArrow(_sets(shingle), "block long, rep long, shingles binary"))
     large = members.filter("blocks > 1")
     several = not large.isEmpty()
     if several:
         sets = materialize(sets)
-    links = per_group(sets, "block", _compare(percent), "a long, b long")
+    inside = cut(per_group(sets, "block", _within(percent), "rep long, root long"))
     # a doc_id that occurs with several texts joins their classes
     repeated = rows_of_class.filter("id is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
     shared = rows_of_class.join(repeated.select("id", F.col("a").alias("m")), "id").select(F.col("rep").alias("a"), F.col("m").alias("b"))
-    links = materialize(links.unionByName(shared))
-    roots = components(links)
+    links = inside.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(shared)
     if several:
         keys = met.join(large.select("rep", "block"), "rep").select("key", "block").distinct()
         spans = keys.groupBy("key").agg(F.min("block").alias("x"), F.max("block").alias("y")).filter("x < y").select("key")
         keys = keys.join(spans, "key")
         pairs = (keys.join(keys.select("key", F.col("block").alias("other")), "key").filter("block < other")
-                 .select("block", "other").distinct())
-        # blocks that are one and the same group already need no comparison
-        known = roots.select(F.col("node").alias("rep"), F.col("component").alias("root"))
-        group = large.select("rep", "block").join(known, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        one = group.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-        pairs = (pairs.join(one, "block").join(one.select(F.col("block").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), "other")
-                 .filter("NOT (lo = hi AND lo2 = hi2 AND lo = lo2)")
-                 .select(F.xxhash64("block", "other").alias("pair"), F.array("block", "other").alias("both"))
-                 .select("pair", F.posexplode("both").alias("side", "block")))
-        rooted = sets.drop("root").join(group.select("rep", "root"), "rep")
+                 .select("block", "other").distinct()
+                 .select(F.xxhash64("block", "other").alias("pair"), F.posexplode(F.array("block", "other")).alias("side", "block")))
+        rooted = sets.join(large.select("rep", "block"), ["rep", "block"], "left_semi").join(inside.distinct(), "rep")
         across = rooted.join(pairs, "block").select("pair", "side", "rep", "root", "shingles")
-        more = materialize(per_group(across, "pair", _compare(percent), "a long, b long"))
-        if not more.isEmpty():
-            roots = components(links.unionByName(more))
+        links = links.unionByName(per_group(across, "pair", _across(percent), "a long, b long"))
+    roots = components(links)
     first = roots.select(F.col("node").alias("rep"), "component")
     out = (rows_of_class.join(first, "rep", "left")
            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")))
