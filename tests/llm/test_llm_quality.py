@@ -46,6 +46,14 @@ def test_documents_table(spark, sf):
     assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.4
 
 
+def test_clean_text_of_new_words_stays(spark):
+    """Words that no label and hardly any document shows are no evidence."""
+    docs, labels, _ = corpus(spark)
+    new = spark.createDataFrame([(90_000 + i, " ".join(f"unseen{i}x{j}" for j in range(80))) for i in range(5)], "doc_id long, text string")
+    got = Q.weigh(docs.unionByName(new), labels).filter("doc_id >= 90000").collect()
+    assert len(got) == 5 and all(r["kept"] for r in got)
+
+
 def test_weights_against_plain_sums(spark):
     """log weights from counts made with a dictionary."""
     docs, labels, _ = corpus(spark, 200)
@@ -61,7 +69,7 @@ def test_weights_against_plain_sums(spark):
     share = (raw + 1) / (raw.sum() + Q.BUCKETS)
     for r in Q.weigh(docs, labels).collect()[:40]:
         mine = np.bincount(np.concatenate([grams[i] for i in good if fold[i] != fold[r["doc_id"]]]), minlength=Q.BUCKETS)
-        ratio = np.log((mine + Q.PRIOR * mine.sum() * share) / ((1 + Q.PRIOR) * mine.sum()) / share)
+        ratio = np.log((mine + Q.PSEUDO) / (mine.sum() * share + Q.PSEUDO))
         assert r["log_weight"] == pytest.approx(ratio[grams[r["doc_id"]]].sum(), abs=1e-6)
         assert r["n_grams"] == len(grams[r["doc_id"]])
 
@@ -100,3 +108,5 @@ def test_odd_rows(spark):
     assert Q.weigh(empty_documents(spark), nothing).count() == 0 and Q.good_only(empty_documents(spark), labels).count() == 0
     assert all(r["kept"] for r in Q.weigh(docs, nothing).collect())
     assert Q.good_only(docs, nothing).count() == docs.count()
+    only_bad = spark.createDataFrame([(5, 0, 0), (7, 0, 0)], LABELS)
+    assert all(r["kept"] for r in Q.weigh(docs, only_bad).collect())

@@ -1,16 +1,18 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
 Words and pairs of neighbouring words are hashed to `BUCKETS`. The raw model holds the shares of the buckets over
-all documents; the target model those over the labelled documents of good quality, smoothed towards the raw model
-by `PRIOR` times their number of n-grams, so a bucket that the target never shows costs the same at every size
-of the corpus. A document's log weight is the sum of log(target / raw) over its n-grams. Gumbel noise makes the k
-largest a sample without replacement with probabilities in proportion to the weights; the noise is hashed from id
-and text, so reruns agree. To compare documents of any length, weight and noise are divided by the number of
-n-grams, with `NEUTRAL` ones of no weight added, which keep very short texts near the middle.
+all documents; the target model those over labelled documents of good quality (a sample by a hash of the id, of about
+`FIT_ROWS` rows: its ids are small enough to be sent to all tasks, so no text moves). Both are compared as counts:
+those seen in the target, and those that the raw model expects in as much text, each plus `PSEUDO`. A bucket that is
+rare in both says nothing, however new its words are; one that is frequent in the raw text and missing in the target
+says much. A document's log weight is the sum of the log ratios over its n-grams. Gumbel noise makes the k largest a
+sample without replacement with probabilities in proportion to the weights; the noise is hashed from id and text, so
+reruns agree. To compare documents of any length, weight and noise are divided by the number of n-grams, with
+`NEUTRAL` ones of no weight added, which keep very short texts near the middle.
 
 k is no cap: it is the number of documents that the labels say are good. Among the labelled documents every score
-range (of `BINS`) has a share of good documents, made to rise with the score, and k counts all documents in ranges
-with a share of `accept` or more. The k-th largest key is found by counting keys in ranges, again and again inside
+range (of `BINS`) has a share of good documents, made to rise with the score, and k counts all documents above the
+last range with a share under `accept`; ranges without labels are given the benefit of the doubt. The k-th largest key is found by counting keys in ranges, again and again inside
 one, never by sorting in one place. No document is judged by a model that saw its own label: labels are dealt into
 `FOLDS`, and a document is scored by the target model of the other folds.
 
@@ -31,12 +33,13 @@ from pyspark.sql import functions as F
 from veilkit.llm.frames import materialize
 from veilkit.llm.hashing import LOWER, mix, text_bytes, words
 
-BUCKETS = 1 << 16
-PRIOR = 0.3
+BITS = 18
+BUCKETS = 1 << BITS
+PSEUDO = 10.0
 NEUTRAL = 50
 LOWEST, BINS, BIN = -1.5, 200, 0.01
 FOLDS = 4
-ACCEPT = 0.25
+ACCEPT = 0.5
 FIT_ROWS = 50_000
 
 
@@ -49,10 +52,10 @@ def ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends_text = np.zeros(n, dtype=bool)
     ends_text[first[1:][first[1:] > first[:-1]] - 1] = True
     out = np.empty(2 * n, dtype=np.int64)
-    out[0::2] = (h >> np.uint64(48)).astype(np.int64)
+    out[0::2] = (h >> np.uint64(64 - BITS)).astype(np.int64)
     out[1::2] = -1
     if n > 1:
-        out[1:-1:2] = (pairs >> np.uint64(48)).astype(np.int64)
+        out[1:-1:2] = (pairs >> np.uint64(64 - BITS)).astype(np.int64)
     out[1::2][ends_text] = -1  # a text's last word has no pair
     return out, 2 * first
 
@@ -100,8 +103,8 @@ def log_ratios(texts: DataFrame) -> np.ndarray:
     full[:, counts["bucket"].to_numpy()] = [counts[c].to_numpy() for c in names]
     raw, good = full[0], full[1:].sum(axis=0) - full[1:]
     share = (raw + 1) / (raw.sum() + BUCKETS)
-    size = good.sum(axis=1, keepdims=True)
-    return np.where(size > 0, np.log((good + PRIOR * size * share) / (1 + PRIOR) / np.maximum(size, 1) / share + (size == 0)), 0.0)
+    expected = good.sum(axis=1, keepdims=True) * share
+    return np.log((good + PSEUDO) / (expected + PSEUDO))  # all 0 where the target has no text
 
 
 def kth_largest(keys: DataFrame, k: int, key: str = "key") -> float:
@@ -132,15 +135,17 @@ def good_documents(scored: DataFrame, labels: DataFrame, accept: float) -> tuple
     cell = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(BINS - 1.0), (F.col("score") - LOWEST) / BIN))).alias("cell")
     rows = (with_labels.groupBy(cell).agg(F.count(F.lit(1)).alias("n"), F.count("quality").alias("labelled"),
                                           F.sum((F.col("quality") == 1).cast("long")).alias("good")).orderBy("cell").collect())
-    # pool neighbouring ranges until the share of good documents rises with the score
-    pools: list[list[float]] = []
+    # pool neighbouring labelled ranges until the share of good documents rises with the score
+    pools: list[list[int]] = []  # labelled, good, last range
     for r in rows:
-        pools.append([r["n"], r["labelled"], r["good"] or 0])
-        while len(pools) > 1 and (not pools[-1][1] or not pools[-2][1]
-                                  or pools[-2][2] / pools[-2][1] >= pools[-1][2] / pools[-1][1]):
-            last = pools.pop()
-            pools[-1] = [a + b for a, b in zip(pools[-1], last)]
-    return int(sum(p[0] for p in pools if not p[1] or p[2] / p[1] >= accept)), int(sum(p[0] for p in pools))
+        if r["labelled"]:
+            pools.append([r["labelled"], r["good"], r["cell"]])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
+            labelled, good, last = pools.pop()
+            pools[-1] = [pools[-1][0] + labelled, pools[-1][1] + good, last]
+    some_good = any(good for _, good, _ in pools)
+    refused = max((last for labelled, good, last in pools if some_good and good < accept * labelled), default=-1)
+    return sum(r["n"] for r in rows if r["cell"] > refused), sum(r["n"] for r in rows)
 
 
 def _prepared(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, quality_col: str, seed: int, fit_rows: int):
