@@ -41,6 +41,7 @@ LOWEST, BINS, BIN = -1.5, 200, 0.01
 FOLDS = 4
 ACCEPT = 0.5
 FIT_ROWS = 50_000
+SLICE = 256  # rows hashed at a time
 
 
 def ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -64,8 +65,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Raw counts of a partition and target counts by fold, a row per bucket that occurs."""
     total = np.zeros((1 + FOLDS, BUCKETS), dtype=np.int64)
     for whole in batches:
-        for at in range(0, whole.num_rows, 1024):
-            batch = whole.slice(at, 1024)
+        for at in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(at, SLICE)
             grams, bounds = ngrams(batch.column(0))
             fold = np.repeat(batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False), np.diff(bounds))
             fold, grams = fold[grams >= 0], grams[grams >= 0]
@@ -80,8 +81,8 @@ def _scores(ratio: np.ndarray):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         padded = np.append(ratio, np.zeros((FOLDS, 1)), axis=1).ravel()  # -1 finds the last entry of a fold
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
                 grams, bounds = ngrams(batch.column(1))
                 fold = np.repeat(batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(bounds))
                 values = padded[fold * (BUCKETS + 1) + np.where(grams < 0, BUCKETS, grams)]
