@@ -17,6 +17,9 @@ from veilkit.llm.near_dups import first_of_each
 from veilkit.llm.quality import good_only
 from veilkit.llm.secrets import redacted
 
+#: least similarity in per cent of a link in the near_dedup stage; op4 has its own, higher one
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance sample keeps."""
@@ -24,8 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return first_of_each(docs)
+    """One document of each group linked by similarities of NEAR_PERCENT or more."""
+    return first_of_each(docs, percent=NEAR_PERCENT)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

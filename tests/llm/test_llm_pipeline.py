@@ -5,6 +5,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline as C
 from odd_rows import odd_documents, with_clashes
+from test_llm_near_dups import brute
 from veilkit.llm import registry
 from veilkit.llm.near_dups import near_duplicates
 from veilkit.llm.quality import weigh
@@ -42,6 +43,19 @@ def test_near_dedup_stage(stages):
     assert after.filter("not kept").count() == 0
 
 
+def test_near_dedup_stage_links_from_80_per_cent(spark, sf):
+    """One shingle set in 100 words: 5, 10 and 13 words changed at one end give similarities of 0.90, 0.81 and 0.76."""
+    words = [f"w{i}" for i in range(100)]
+    rows = [(10 * n, " ".join([f"{n}x{w}" for w in words])) for n in (1, 2, 3)]
+    rows += [(10 * n + 1, " ".join([f"{n}x{w}" for w in words[:-cut]] + [f"{n}y{i}" for i in range(cut)])) for n, cut in ((1, 5), (2, 10), (3, 13))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted({c for _, _, c in brute(rows, 80)}) == [10, 20, 30, 31]
+    assert ids(C.near_dedup(spark, docs, sf)) == [10, 20, 30, 31]
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {c for _, _, c in brute([(r["doc_id"], r["text"]) for r in table.collect()], 80)}
+    assert ids(C.near_dedup(spark, table, sf)) == sorted(want)
+
+
 def test_secret_stage(stages):
     assert ids(stages[3]) == ids(stages[2])
     left = secret_report(stages[3])
