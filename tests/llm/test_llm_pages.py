@@ -46,6 +46,16 @@ def test_short_blocks_follow_their_neighbours():
     assert got == ["near good", long_good, "x", long_good, "near it"]
 
 
+def test_article_places_are_no_veto():
+    long = ARTICLE[0], ARTICLE[2]
+    body = f"<h2>A title</h2><p>{long[0]}</p><p>{ARTICLE[1]}</p><p>{long[1]}</p>"
+    whole = "\n\n".join(["A title", *ARTICLE])
+    assert main_text(f'<div class="post-meta">By X</div><div class="content">{body}</div>') == "By X\n\n" + whole
+    cards = "".join(f"<article><h3><a href=/{i}>More {i}</a></h3></article>" for i in range(3))
+    assert main_text(f'<div class="content">{body}</div>{cards}') == whole
+    assert main_text(f"<article><p>{long[0]}</p></article><div><p>{long[1]}</p></div>") == "\n\n".join(long)
+
+
 def test_pages_table(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     rows = extract(with_clashes(pages, "text", "url")).collect()

@@ -2,8 +2,9 @@
 
 A page is cut in blocks at block-level tags. The first pass decides what it can: blocks in a boilerplate place
 (navigation, footers, forms, side bars, notices, adverts, comments, hidden parts) or made mostly of links are
-bad; blocks of the page's article are good; elsewhere long blocks with many stop words are good, long ones with
-few are bad, and short ones stay undecided. The second pass gives every undecided block the label of the nearest
+bad; long blocks with many stop words are good, wherever they stand. If at least half of these blocks' text is in
+elements that are articles by tag or name, the other blocks there are good, too. Of the rest long blocks with few
+stop words are bad, and the others stay undecided. The second pass gives every undecided block the label of the nearest
 decided neighbours: theirs if both agree, else the nearer one's, bad at equal distance; without any decided
 block, undecided ones with enough stop words are good.
 
@@ -153,18 +154,18 @@ def blocks(html: str) -> Iterator[tuple[str, int, bool, bool]]:
 
 def main_text(html: str | None) -> str:
     found = list(blocks(html or ""))
-    has_article = any(article and not bad for _, _, bad, article in found)
-    labels, stops = [], []
-    for text, links, bad, article in found:
+    labels, stops, dense = [], [], []
+    for text, links, _, _ in found:
         words = text.lower().split()
-        share = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-        stops.append(share)
-        density = links / max(1, len(text.replace(" ", "")))
-        if bad or density > MANY_LINKS or (has_article and not article):
+        stops.append(sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words))
+        dense.append(links / max(1, len(text.replace(" ", ""))) > MANY_LINKS)
+    rich = [len(text) >= LONG and share >= MIN_LONG_STOPS and not d for (text, *_), share, d in zip(found, stops, dense)]
+    # an article place says something of open blocks if most of the page's long text is in such places
+    inside = sum(len(text) if article else -len(text) for (text, _, bad, article), r in zip(found, rich) if r and not bad)
+    for (text, _, bad, article), share, d, r in zip(found, stops, dense, rich):
+        if bad or d:
             labels.append(BAD)
-        elif article:
-            labels.append(GOOD)
-        elif len(text) >= LONG and share >= MIN_LONG_STOPS:
+        elif r or (article and inside >= 0):
             labels.append(GOOD)
         elif len(text) >= LONG and share < FEW_STOPS:
             labels.append(BAD)
