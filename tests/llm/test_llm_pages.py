@@ -56,6 +56,26 @@ def test_article_places_are_no_veto():
     assert main_text(f"<article><p>{long[0]}</p></article><div><p>{long[1]}</p></div>") == "\n\n".join(long)
 
 
+@pytest.mark.parametrize("box", ['div class="layout no-sidebar"', 'div id="page" class="has-sidebar"', 'div class="main search"',
+                                 'form action="page.aspx"', 'div class="single has-comments"'])
+@pytest.mark.parametrize("inner", ["div", "article"])
+def test_marks_of_page_wrappers_are_no_veto(box, inner):
+    paragraphs = "".join(f"<p>{p}</p>" for p in ARTICLE)
+    name = box.split()[0]
+    end = END if name != "form" else END.replace("<form", "<aside").replace("</form", "</aside")
+    page = f"<body><{box}>Menu {BOILERPLATE}<{inner}>{paragraphs}</{inner}>{end}</{name}></body>"
+    assert main_text(page) == "\n\n".join(ARTICLE)
+    assert main_text(f"<{box}><{box}><{inner}>{paragraphs}</{inner}></{name}></{name}>") == "\n\n".join(ARTICLE)
+
+
+def test_long_comments_and_deep_marks():
+    comments = "".join(f"<article><p>{ARTICLE[0]}</p></article>" for _ in range(9))
+    assert main_text(f'<div><p>{ARTICLE[2]}</p></div><div id="comments">{comments}</div>') == ARTICLE[2]
+    began = time.time()
+    main_text("<div class=ad>x" * 20_000)
+    assert time.time() - began < 5
+
+
 def test_pages_table(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     rows = extract(with_clashes(pages, "text", "url")).collect()

@@ -2,7 +2,8 @@
 
 A page is cut in blocks at block-level tags. The first pass decides what it can: blocks in a boilerplate place
 (navigation, footers, forms, side bars, notices, adverts, comments, hidden parts) or made mostly of links are
-bad; long blocks with many stop words are good, wherever they stand. If at least half of these blocks' text is in
+bad. Where only a name or a form says so, an element that holds most of the page's text is none (a wrapper that is
+called no-sidebar); its own short blocks are. Of the others long blocks with many stop words are good, wherever they stand. If at least half of these blocks' text is in
 elements that are articles by tag or name, the other blocks there are good, too. Of the rest long blocks with few
 stop words are bad, and the others stay undecided. The second pass gives every undecided block the label of the nearest
 decided neighbours: theirs if both agree, else the nearer one's, bad at equal distance; without any decided
@@ -41,7 +42,7 @@ BLOCK_TAGS = frozenset(
     "form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td "
     "tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-PLACE_TAGS = frozenset("aside button datalist dialog fieldset footer form head label menu nav".split())
+PLACE_TAGS = frozenset("aside button datalist dialog fieldset footer head label menu nav".split())
 ARTICLE_TAGS = frozenset("article main".split())
 PLACE_WORDS = frozenset(
     "ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments consent cookie "
@@ -49,6 +50,8 @@ PLACE_WORDS = frozenset(
     "newsletter notice notification pager pagination popup promo promotion recommended related replies reply respond search "
     "share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar warning "
     "widget widgets".split())
+#: places of other people's text or other pages', which may be longer than the page's own
+OTHERS_WORDS = frozenset("comment comments discussion disqus recommended related replies reply respond teaser".split())
 ARTICLE_WORDS = frozenset("article articlebody main mainbody maincontent entry post story".split())
 STOP_WORDS = frozenset((
     "a an and are as at be by for from has he in is it its of on or that the this to was were will with not but they you "
@@ -59,32 +62,41 @@ STOP_WORDS = frozenset((
 
 LONG, MIN_LONG_STOPS, FEW_STOPS, MANY_LINKS = 70, 0.12, 0.05, 0.5
 BAD, SHORT, GOOD = -1, 0, 1
+NO_MARK, NAMED, OTHERS = 0, 1, 2
 
 
 class _Place:
-    """An open element; bad and article hold for what is inside, too."""
-    __slots__ = ("name", "bad", "article")
+    """An open element; bad and article hold for what is inside, too. A mark is what only a name or a form says: it
+    makes everything inside bad unless _settle() takes it back. around is the next marked element outwards."""
+    __slots__ = ("name", "bad", "article", "mark", "others", "around", "depth")
 
-    def __init__(self, name: str, bad: bool, article: bool, outer: _Place | None):
+    def __init__(self, name: str, bad: bool, article: bool, mark: int, outer: _Place | None):
         self.name = name
         self.bad = bad or (outer is not None and outer.bad)
         self.article = article or (outer is not None and outer.article)
+        self.mark = mark
+        self.others = mark == OTHERS or (outer is not None and outer.others)
+        self.around = None if outer is None else outer if outer.mark else outer.around
+        self.depth = 0 if self.around is None else self.around.depth + 1
 
 
 def _marked(rest: str) -> set[str]:
     return {w.lower() for m in MARKS.finditer(rest) for w in WORD_OF_MARK.findall(m[1] or m[2] or m[3] or "")}
 
 
-def blocks(html: str) -> Iterator[tuple[str, int, bool, bool]]:
-    """(text, characters inside links, in a boilerplate place, in the article) of every block that has text."""
+def _mark(words: set[str]) -> int:
+    return NO_MARK if not words else OTHERS if words & OTHERS_WORDS else NAMED
+
+
+def blocks(html: str) -> Iterator[tuple[str, int, _Place | None]]:
+    """(text, characters inside links, innermost open element) of every block that has text."""
     stack: list[_Place] = []
     held: list[str] = []
     open_names: Counter[str] = Counter()
     links = in_link = 0
-    bad = article = False
 
-    def push(name: str, is_bad: bool, is_article: bool) -> None:
-        stack.append(_Place(name, is_bad, is_article, stack[-1] if stack else None))
+    def push(name: str, is_bad: bool, is_article: bool, mark: int) -> None:
+        stack.append(_Place(name, is_bad, is_article, mark, stack[-1] if stack else None))
         open_names[name] += 1
 
     def pop() -> str:
@@ -121,7 +133,7 @@ def blocks(html: str) -> Iterator[tuple[str, int, bool, bool]]:
         elif name in BLOCK_TAGS or name in PLACE_TAGS:
             text = flush()
             if text:
-                yield text, links, bad, article
+                yield text, links, stack[-1] if stack else None
             links = 0
             outer = stack[-1] if stack else None
             if outer is not None and outer.name == "p" and not (closing and name in VOID):  # a block ends a paragraph
@@ -135,31 +147,77 @@ def blocks(html: str) -> Iterator[tuple[str, int, bool, bool]]:
                     while pop() != name:
                         pass
             elif name == "p":
-                push("p", hidden or bool(PLACE_WORDS & marks), False)
+                push("p", hidden, False, _mark(PLACE_WORDS & marks))
             elif name not in VOID:
                 inside = outer is not None and outer.article
                 own_head = inside and name in ("header", "hgroup", "h1", "h2", "h3")  # an article's title
                 words = PLACE_WORDS - {"header"} if own_head else PLACE_WORDS
-                place = (hidden or name in PLACE_TAGS or (name == "header" and not inside)
-                         or (bool(words & marks) and name not in ("html", "body", "article", "main")))
-                named = bool(ARTICLE_WORDS & marks) and name in ("div", "section", "td")
-                push(name, place, (name in ARTICLE_TAGS or named) and not place)
-            bad, article = (stack[-1].bad, stack[-1].article) if stack else (False, False)
+                place = hidden or name in PLACE_TAGS or (name == "header" and not inside)
+                mark = NO_MARK if name in ("html", "body", "article", "main") else _mark(words & marks) or NAMED * (name == "form")
+                named = bool(ARTICLE_WORDS & marks) and name in ("div", "section", "td") and not mark
+                push(name, place, (name in ARTICLE_TAGS or named) and not place, mark)
     if at < len(html):
         text_of(html[at:])
     text = flush()
     if text:
-        yield text, links, bad, article
+        yield text, links, stack[-1] if stack else None
+
+
+def _settle(nearest: list[_Place | None], size: list[int], speaks: list[int]) -> None:
+    """Takes back the marks of elements that hold the page's text, from the innermost outwards, and makes bad what stays
+    marked. nearest has the marked element around each block, size its characters, speaks those of blocks that are
+    long with many stop words or in an article. A mark goes if what speaks inside is longer than all text beside; one
+    that stands for others' text only if the page has no such block without a mark, and it holds most of them."""
+    marks: dict[_Place, list[int]] = {}
+    for at in nearest:
+        while at is not None and at not in marks:
+            marks[at] = []
+            at = at.around
+    if not marks:
+        return
+    inner_first = sorted(marks, key=lambda m: -m.depth)
+
+    def beside() -> int:
+        for m in reversed(inner_first):
+            m.bad = m.bad or bool(m.mark) or (m.around is not None and m.around.bad)
+        return sum(n for n, at in zip(speaks, nearest) if at is None or not at.bad)
+
+    def take_back(kinds: tuple[int, ...], counted: list[int]) -> None:
+        inside, text, total = dict.fromkeys(marks, 0), dict.fromkeys(marks, 0), sum(counted)
+        for at, n, m in zip(nearest, counted, speaks):
+            if at is not None:
+                inside[at] += m
+                text[at] += n
+        for m in inner_first:
+            if m.mark in kinds and (OTHERS in kinds or not m.others) and inside[m] > total - text[m]:
+                m.mark = NO_MARK
+            if m.around is not None:
+                text[m.around] += text[m]
+                inside[m.around] += 0 if m.mark else inside[m]
+
+    hard = {m: m.bad for m in marks}
+    take_back((NAMED,), [0 if at is not None and at.others else n for at, n in zip(nearest, size)])
+    if not beside():
+        for m, bad in hard.items():
+            m.bad = bad
+        take_back((NAMED, OTHERS), speaks)
+        beside()
 
 
 def main_text(html: str | None) -> str:
-    found = list(blocks(html or ""))
-    labels, stops, dense = [], [], []
-    for text, links, _, _ in found:
+    read = list(blocks(html or ""))
+    stops, dense = [], []
+    for text, links, _ in read:
         words = text.lower().split()
         stops.append(sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words))
         dense.append(links / max(1, len(text.replace(" ", ""))) > MANY_LINKS)
-    rich = [len(text) >= LONG and share >= MIN_LONG_STOPS and not d for (text, *_), share, d in zip(found, stops, dense)]
+    rich = [len(text) >= LONG and share >= MIN_LONG_STOPS and not d for (text, *_), share, d in zip(read, stops, dense)]
+    nearest = [None if place is None else place if place.mark else place.around for *_, place in read]
+    size = [0 if d or (place is not None and place.bad) else len(text) for (text, _, place), d in zip(read, dense)]
+    _settle(nearest, size, [n if r or (place is not None and place.article) else 0 for n, r, (*_, place) in zip(size, rich, read)])
+    found = [(text, links, place is not None and (place.bad or (near is not None and near.bad) or (near is place and not r)),
+              place is not None and place.article) for (text, links, place), near, r in zip(read, nearest, rich)]
+    labels = []
     # an article place says something of open blocks if most of the page's long text is in such places
     inside = sum(len(text) if article else -len(text) for (text, _, bad, article), r in zip(found, rich) if r and not bad)
     for (text, _, bad, article), share, d, r in zip(found, stops, dense, rich):
