@@ -46,6 +46,20 @@ def test_short_blocks_follow_their_neighbours():
     assert got == ["near good", long_good, "x", long_good, "near it"]
 
 
+def test_elements_without_text():
+    def text(middle):
+        return main_text(f"<article><p>one</p>{middle}<p>two</p><p>three</p></article>").split("\n\n")
+    for gone in ('<svg class="i"/>', "<svg><svg/><title>no</title><path></svg>", "<select-box></select-box>", "<title-bar>", "<SELECT><option>no</select >",
+                 "<iframe>", "<svg>", "<noscript>", "<template>", "<textarea>", "<object/>", "<math/>", "<script-x/>", '<svg title="a > b"/>',
+                 "<script>a</scripts><p>no</script\n>", "<style>p{}</style>"):
+        assert text(gone) == ["one", "two", "three"], gone
+    assert text("<p>is <math><mi>x</mi></math> or <object data=a>that</object></p>") == ["one", "is x or that", "two", "three"]
+    assert text("<script>no") == ["one"]
+    began = time.time()
+    main_text("<svg><select>x" * 50_000)
+    assert time.time() - began < 5
+
+
 def test_article_places_are_no_veto():
     long = ARTICLE[0], ARTICLE[2]
     body = f"<h2>A title</h2><p>{long[0]}</p><p>{ARTICLE[1]}</p><p>{long[1]}</p>"

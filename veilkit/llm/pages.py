@@ -10,7 +10,9 @@ decided neighbours: theirs if both agree, else the nearer one's, bad at equal di
 block, undecided ones with enough stop words are good.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by an empty
-line. Nothing is cut, capped or repaired: a page that ends in the middle of a tag loses that tag only. Null,
+line. Nothing is cut, capped or repaired: a page that ends in the middle of a tag loses that tag only. Scripts, styles,
+drawings, templates, frames and form fields have no text; without an end tag scripts, styles and comments go on to the
+end of the page, as in a browser, and the others lose their tag only. Formulas and objects keep theirs. Null,
 empty and markup-only pages give an empty text. Pages are read one by one, so repeated rows and an empty table
 need no rule; only page_id, url and html are read.
 """
@@ -26,13 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: comments, raw-text elements with their content, tags with quoted attributes, other declarations
+#: comments, tags with quoted attributes, tags without, other declarations
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|textarea|select|iframe|object|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)|</?\Z", re.S | re.I)
+#: elements whose content goes up to their end tag; without one script and style go on to the end, others lose the tag only
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I)
+           for name in "script style noscript template svg textarea select iframe title".split()}
+CODE = frozenset(("script", "style"))
 MARKS = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*["']?true""", re.I)
 WORD_OF_MARK = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -118,7 +123,8 @@ def blocks(html: str) -> Iterator[tuple[str, int, _Place | None]]:
             links += len("".join(piece.split()))
 
     at = 0
-    for token in TOKEN.finditer(html):
+    endless: set[str] = set()
+    while token := TOKEN.search(html, at):
         if token.start() > at:
             text_of(html[at: token.start()])
         at = token.end()
@@ -126,6 +132,17 @@ def blocks(html: str) -> Iterator[tuple[str, int, _Place | None]]:
         if not name:
             continue
         closing = bool(token["end"] or token["end2"])
+        if name in RAW_END and not closing:
+            empty = name == "svg" and (token["rest"] or token["rest2"] or "").endswith("/")
+            if not empty and name not in endless:
+                end = RAW_END[name].search(html, at)
+                if end:
+                    at = end.end()
+                elif name in CODE:
+                    at = len(html)
+                else:
+                    endless.add(name)
+            continue
         if name == "a":
             in_link = 0 if closing else 1
         elif name == "br":
