@@ -80,6 +80,23 @@ def test_small_edits_stay_near(spark):
     assert sum(like) / len(like) > 0.6 > 0.2 > sum(unlike) / len(unlike)
 
 
+def test_near_copies_that_are_a_third_of_all_texts(spark):
+    """Their own terms are above the production band, the words that differ below it."""
+    rng = random.Random(8)
+    shared = [f"family{i}" for i in range(80)]
+    rows = []
+    for i in range(1500):
+        if i < 500:
+            words = list(shared)
+            words[rng.randrange(80)] = f"own{i}"
+        else:
+            words = [f"term{rng.randrange(4000)}" for _ in range(60)]
+        rows.append((i, " ".join(words)))
+    got = {r["doc_id"]: r["near_next"] for r in I.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    family, others = [got[i] for i in range(1, 500)], [got[i] for i in range(501, 1500)]
+    assert sum(family) / len(family) > 0.6 > 0.2 > sum(others) / len(others)
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark).filter("doc_id is not null").dropDuplicates(["doc_id"])
     rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]

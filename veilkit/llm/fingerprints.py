@@ -6,7 +6,8 @@ bitmap of fixed size, whatever the corpus, which every task reads as a constant.
 add at most (distinct terms of a mean document) / SLOTS to its share, far below the band. A document keeps its
 distinct lexicon terms, sorted, and hashes the part of them that falls in each of several randomised
 sub-lexicons of different density; without a term in a sub-lexicon the part is empty. The fingerprint is the
-parts' hashes in order. The likeness of two fingerprints is the share of equal parts among those not empty in
+parts' hashes in order. A text with few lexicon terms, such as one of a family of near copies that is a large share
+of all texts, has as many further parts, of its distinct terms whether in the lexicon or not. The likeness of two fingerprints is the share of equal parts among those not empty in
 both, 1 for equal texts.
 
 Terms are lower-cased runs of characters that are neither white space, control characters nor ASCII
@@ -18,6 +19,7 @@ a hash of their text. Empty input gives an empty result. Only id and text are re
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ LEAST, MOST = 1 / 1000, 1 / 10
 #: one sub-lexicon per entry: it holds a term of the lexicon with probability 1 / entry
 DENSITY = (4, 4, 8, 8, 16, 16, 16, 16, 32, 32, 32, 32, 64, 64, 64, 64)
 SLOTS = 1 << 21
+#: so few lexicon terms, or less than one in so many distinct terms, do not tell whether a text is a near copy
+FEW_TERMS, FEW_SHARE = 8, 8
 BUCKET_ROWS, MAX_BUCKETS = 1024, 16384
 
 
@@ -51,10 +55,9 @@ def lexicon(docs: DataFrame, text: Column, least: float = LEAST, most: float = M
     return F.split(F.lit(",".join(map(str, bitmap))), ",").cast("array<bigint>")
 
 
-def in_band(text: Column, lex: Column) -> Column:
-    """Sorted distinct lexicon terms of a text."""
-    known = F.filter(terms(text), lambda t: F.getbit(F.get(lex, F.shiftright(t, 6)), t.bitwiseAND(63)) == 1)
-    return F.array_sort(F.array_distinct(known))
+def in_band(every: Column, lex: Column) -> Column:
+    """Those of a text's distinct terms that are in the lexicon, sorted."""
+    return F.array_sort(F.filter(every, lambda t: F.getbit(F.get(lex, F.shiftright(t, 6)), t.bitwiseAND(63)) == 1))
 
 
 def _part(kept: Column, number: int, one_in: int) -> Column:
@@ -62,18 +65,32 @@ def _part(kept: Column, number: int, one_in: int) -> Column:
     return F.when(F.size(part) > 0, F.xxhash64(part, F.lit(number))).otherwise(F.lit(0).cast("long"))
 
 
-def _hashed(kept: Column, text: Column, density: tuple[int, ...]) -> Column:
-    """The hash of each sub-lexicon's part, 0 for an empty one, and last the text's where all parts are empty."""
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value found once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _parts(kept: Column, first: int, density: tuple[int, ...]) -> Column:
+    return F.array(*[_part(kept, k, d) for k, d in enumerate(density, first)])
+
+
+def _hashed(every: Column, kept: Column, text: Column, density: tuple[int, ...]) -> Column:
+    """The hash of each sub-lexicon's part, 0 for an empty one; the same over all terms, 0 unless those of the lexicon
+    are few; and last the text's where all parts are empty."""
     def whole(parts: Column) -> Column:
         alone = F.when(F.forall(parts, lambda p: p == 0), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
         return F.concat(parts, F.array(alone))
 
-    return F.get(F.transform(F.array(F.array(*[_part(kept, k, d) for k, d in enumerate(density)])), whole), 0)
+    few = (F.size(kept) < FEW_TERMS) | (F.size(kept) * FEW_SHARE < F.size(every))
+    common = F.when(few, _bound(F.array_sort(every), lambda terms_: _parts(terms_, len(density), density)))
+    none = F.array(*[F.lit(0).cast("long")] * len(density))
+    return _bound(F.concat(_parts(kept, 0, density), F.coalesce(common, none)), whole)
 
 
 def _fingerprint(text: Column, lex: Column, density: tuple[int, ...]) -> Column:
-    """The array of part hashes; a lambda binds the kept terms, so that they are found once."""
-    return F.get(F.transform(F.array(in_band(text, lex)), lambda kept: _hashed(kept, text, density)), 0)
+    """The array of part hashes."""
+    return _bound(F.array_distinct(terms(text)),
+                  lambda every: _bound(in_band(every, lex), lambda kept: _hashed(every, kept, text, density)))
 
 
 def printed(fp: Column) -> Column:
