@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalog.common import AS_OF, DAYS, MS, audit, flat, label_sql, provider_sql, sql, table
 from catalog.prompts import PROMPTS_CTE, prompts
@@ -98,13 +101,20 @@ def page_bodies(s, d):
     return B.extract_text(rows).select("page_id", F.sha2("text", 256).alias("sha"), "unscannable")
 
 
+@F.pandas_udf(T.BinaryType())
+def _two_members(body: pd.Series) -> pd.Series:
+    return body.map(lambda b: gzip.compress(b[: len(b) // 2]) + gzip.compress(b[len(b) // 2:]))
+
+
 def conversation_bodies(s, d):
-    """Conversation turns as JSON, form and line bodies."""
+    """Conversation turns as JSON, form and line bodies, those of every other conversation gzipped in two members."""
     rows = table(s, d, "conversations").withColumn("q", F.expr(_quoted("text")))
     body = F.expr("CASE turn % 3 WHEN 0 THEN concat('{\"a\":{\"b\":', q, '},\"n\":7,\"x\":\"1\"}') "
                   "WHEN 1 THEN concat('f=', url_encode(concat('[[', q, ']]')), '&bos=') ELSE concat('{\"t\":', q, '}\n{\"u\":\"son satır\"}\n') END")
     kind = F.expr("CASE turn % 3 WHEN 1 THEN 'application/x-www-form-urlencoded' ELSE 'application/json' END")
-    rows = rows.select("conv_id", "turn", F.encode(body, "UTF-8").alias("body"), kind.alias("content_type"), F.lit("").alias("content_encoding"))
+    rows = rows.select("conv_id", "turn", F.encode(body, "UTF-8").alias("body"), kind.alias("content_type"),
+                       F.when(F.col("conv_id") % 2 == 0, "gzip").otherwise("").alias("content_encoding"))
+    rows = rows.withColumn("body", F.when(F.col("content_encoding") == "gzip", _two_members("body")).otherwise(F.col("body")))
     return B.extract_text(rows).select("conv_id", "turn", "text", "unscannable")
 
 

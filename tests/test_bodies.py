@@ -102,6 +102,18 @@ def test_nothing_of_a_body_is_cut(spark):
     assert [r.text for r in got] == [large, large, large, tail, tail, "ic parca\ndis parca"]
 
 
+def test_gzip_bodies_are_read_to_their_end_or_marked(spark):
+    whole = gzip.compress(b"birinci ") + gzip.compress(b"ikinci")
+    many = b"".join(gzip.compress(b"%07d " % i) for i in range(20_000))
+    noise = "".join(f"{i * 7919 % 10007} " for i in range(30_000)).strip()
+    cases = [(whole, "birinci ikinci", False), (whole + b"\0" * 9, "birinci ikinci", False), (whole[:-9], "birinci ikinci", True), (whole + b"artik", "birinci ikinci", True),
+             (gzip.compress(noise.encode()), noise, False), (many, "".join("%07d " % i for i in range(20_000)).strip(), False), (b"", "", False)]
+    df = spark.createDataFrame([(i, b, "text/plain", "gzip") for i, (b, _, _) in enumerate(cases)], "i int, body binary, content_type string, content_encoding string")
+    got = B.extract_text(df).orderBy("i").collect()
+    assert [r.unscannable for r in got] == [bad for _, _, bad in cases]
+    assert all(r.text.strip() == text if not bad else text.startswith(r.text.strip()) for r, (_, text, bad) in zip(got, cases))
+
+
 def test_a_given_limit_is_marked(spark):
     cases = [(b"x" * 100, ""), (b"x" * 10, ""), (gzip.compress(b"x" * 100), "gzip"), (gzip.compress(b"x" * 10), "gzip")]
     df = spark.createDataFrame([(i, bytearray(b), "text/plain", e) for i, (b, e) in enumerate(cases)], "i int, body binary, content_type string, content_encoding string")

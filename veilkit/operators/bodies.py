@@ -22,17 +22,31 @@ from veilkit.operators.flatten import _parsed, leaves
 _SECTION = T.StructType([T.StructField("content_type", T.StringType()), T.StructField("body", T.BinaryType()),
                          T.StructField("bad", T.BooleanType())])
 _WINDOW_BITS = {"gzip": 31, "x-gzip": 31, "deflate": 15}
+_PIECE = 16384
 
 
 def _inflated(data: bytes, encoding: str, limit: int | None) -> tuple[bytes | None, bool]:
     """(decoded bytes, whether they are all); no bytes where the encoding is unknown or broken."""
     if encoding in _WINDOW_BITS:
-        reader = zlib.decompressobj(wbits=_WINDOW_BITS[encoding])
-        try:
-            out = reader.decompress(data, limit or 0)
-        except zlib.error:
-            return None, False
-        return out, not reader.unconsumed_tail
+        out, size, at, reader = [], 0, 0, None
+        while at < len(data):  # a gzip body may have several members, each in pieces
+            if reader is None:
+                if at and not data[at: at + 1].strip(b"\0") and not data[at:].strip(b"\0"):  # padding after a member
+                    break
+                reader = zlib.decompressobj(wbits=_WINDOW_BITS[encoding])
+            piece = data[at: at + _PIECE]
+            try:
+                # one byte over the limit tells whether there is more
+                out.append(reader.decompress(piece, 0 if limit is None else limit - size + 1))
+            except zlib.error:  # what came before is text all the same
+                return (b"".join(out), False) if size else (None, False)
+            size += len(out[-1])
+            if limit is not None and size > limit:
+                return b"".join(out)[:limit], False
+            at += len(piece) - len(reader.unused_data)
+            if reader.eof:
+                reader = None
+        return b"".join(out), reader is None
     if encoding not in ("", "identity"):
         return None, False
     return (data, True) if limit is None else (data[:limit], len(data) <= limit)
