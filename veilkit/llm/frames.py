@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilkit.session import checkpoint_dir, materialize
 
-__all__ = ["checkpoint_dir", "materialize", "table", "free_name", "n_words", "per_group", "components"]
+__all__ = ["checkpoint_dir", "materialize", "stored", "table", "by_bytes", "free_name", "n_words", "per_group", "components"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 EDGES_PER_FILE = 200_000
@@ -20,6 +24,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The table written as Parquet in the shared checkpoint folder and read again."""
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), f"stored-{spark._jvm.java.util.UUID.randomUUID()}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices whose texts take `limit` bytes at most, or one row."""
+    for batch in batches:
+        sizes = batch.column(column).cast(pa.large_binary()).fill_null(b"")
+        ends = np.cumsum(pa.compute.binary_length(sizes).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < batch.num_rows:
+            before = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + limit, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that the table does not have, whatever its case."""
     taken = {c.lower() for c in df.columns}
