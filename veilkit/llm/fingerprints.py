@@ -7,8 +7,9 @@ add at most (distinct terms of a mean document) / SLOTS to its share, far below
 distinct lexicon terms, sorted, and hashes the part of them that falls in each of several randomised
 sub-lexicons of different density; without a term in a sub-lexicon the part is empty. The fingerprint is the
 parts' hashes in order. A text with few lexicon terms, such as one of a family of near copies that is a large share
-of all texts, has as many further parts, of its distinct terms whether in the lexicon or not. The likeness of two fingerprints is the share of equal parts among those not empty in
-both, 1 for equal texts.
+of all texts, has as many further parts, of its distinct terms whether in the lexicon or not. The likeness of two fingerprints
+is the share of equal parts among those not empty in both, 1 for equal texts; the further parts count only where both
+texts have them, so a text just below and one just above the line are compared by their lexicon terms.
 
 Terms are lower-cased runs of characters that are neither white space, control characters nor ASCII
 punctuation. A text whose parts are all empty is told apart by the hash of the whole text, as a last part.
@@ -97,10 +98,18 @@ def printed(fp: Column) -> Column:
     return F.array_join(F.transform(fp, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "-")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of equal parts among those not empty in both; 1 if all are equal."""
-    pairs = F.zip_with(a, b, lambda x, y: F.when((x == 0) & (y == 0), F.lit(None)).otherwise((x == y).cast("int")))
-    used = F.filter(pairs, lambda x: x.isNotNull())
+def likeness(a: Column, b: Column, parts: int = len(DENSITY)) -> Column:
+    """Share of equal parts among those not empty in both; 1 if all are equal. The second `parts` parts count only if
+    neither text lacks all of them."""
+    def further(fp: Column) -> Column:
+        return F.exists(F.slice(fp, parts + 1, parts), lambda x: x != 0)
+
+    def compared(both: Column) -> Column:
+        pairs = F.zip_with(a, b, lambda x, y: F.when((x == 0) & (y == 0), F.lit(None)).otherwise((x == y).cast("int")))
+        left_out = F.transform(pairs, lambda x, i: F.when(both | (i < parts) | (i >= 2 * parts), x))
+        return F.filter(left_out, lambda x: x.isNotNull())
+
+    used = _bound(further(a) & further(b), compared)
     same = F.aggregate(used, F.lit(0), lambda s, x: s + x)
     return F.when(F.size(used) == 0, F.lit(1.0)).otherwise(same.cast("double") / F.size(used))
 
@@ -155,5 +164,5 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             .withColumn("edited_fp", _fingerprint(F.col("edited"), lex, density))
             .select(F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
                     printed(F.col("fp")).alias("fingerprint"), printed(F.col("edited_fp")).alias("edited_fingerprint"),
-                    likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-                    likeness(F.col("fp"), F.col("next_fp")).alias("near_next")))
+                    likeness(F.col("fp"), F.col("edited_fp"), len(density)).alias("near_edited"),
+                    likeness(F.col("fp"), F.col("next_fp"), len(density)).alias("near_next")))
