@@ -90,6 +90,30 @@ def test_long_comments_and_deep_marks():
     assert time.time() - began < 5
 
 
+def test_pages_without_an_article():
+    """Short pages, and languages whose stop words are not listed."""
+    assert main_text("<body><p>Hello world.</p></body>") == "Hello world."
+    assert main_text("<nav><a href=/>Home</a></nav><p>Hello world.</p><footer>end</footer>") == "Hello world."
+    turkish = ["Yeni kanunun yürürlüğe girmesiyle birlikte şirketlerin kişisel verileri yurt dışına aktarması bir izne bağlandı.",
+               "Uzmanlar, uygulamanın ilk aylarında çok sayıda başvuru yapıldığını ve sürecin daha uzun sürdüğünü söylüyor."]
+    finnish = ["Uusi laki edellyttää yrityksiltä henkilötietojen käsittelyn huolellista suunnittelua, dokumentointia sekä valvontaa.",
+               "Asiantuntijoiden mukaan muutokset parantavat kuluttajien luottamusta digitaalisiin palveluihin merkittävästi."]
+    japanese = ["新しい法律の施行により企業は個人情報を海外に移転する前に許可を得る必要があると専門家は述べている。" * 3, "制度の開始から数か月で多くの申請が提出され審査に時間がかかっているという。" * 3]
+    for paragraphs in (turkish, finnish, japanese):
+        body = "".join(f"<p>{p}</p>" for p in paragraphs)
+        assert main_text(f"<body>{BOILERPLATE}<div>{body}</div>{END}</body>") == "\n\n".join(paragraphs)
+        assert main_text(f"<body><ul><li><a href=/a>a link to another page of this site</a></li></ul>{body}</body>") == "\n\n".join(paragraphs)
+
+
+@pytest.mark.parametrize("mark", ['div class="cookie-banner"', 'section id="newsletter"', 'form action="x"', 'div class="related"'])
+def test_long_notices_beside_an_article(mark):
+    notice = "We use cookies on this site and it is for the best of you that they are in use by all of us. " * 7
+    for box in ("article", "main"):
+        page = f"<body><{mark}><p>{notice}</p></{mark.split()[0]}><{box}><p>{ARTICLE[0]}</p><p>Short.</p></{box}></body>"
+        assert main_text(page) == f"{ARTICLE[0]}\n\nShort."
+        assert main_text(page.replace(ARTICLE[0], "It is so.")) == "It is so.\n\nShort."
+
+
 def test_pages_table(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     rows = extract(with_clashes(pages, "text", "url")).collect()

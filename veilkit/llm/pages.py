@@ -3,11 +3,13 @@
 A page is cut in blocks at block-level tags. The first pass decides what it can: blocks in a boilerplate place
 (navigation, footers, forms, side bars, notices, adverts, comments, hidden parts) or made mostly of links are
 bad. Where only a name or a form says so, an element that holds most of the page's text is none (a wrapper that is
-called no-sidebar); its own short blocks are. Of the others long blocks with many stop words are good, wherever they stand. If at least half of these blocks' text is in
+called no-sidebar); its own short blocks are. Beside an article or main element with text of its own no such name is
+ever taken back. Of the others long blocks with many stop words are good, wherever they stand. If at least half of these blocks' text is in
 elements that are articles by tag or name, the other blocks there are good, too. Of the rest long blocks with few
-stop words are bad, and the others stay undecided. The second pass gives every undecided block the label of the nearest
-decided neighbours: theirs if both agree, else the nearer one's, bad at equal distance; without any decided
-block, undecided ones with enough stop words are good.
+stop words are bad, and the others stay undecided. Where no long block of the page has as many stop words as prose in a
+listed language has, these words say nothing: there long blocks are good by their length. The second pass
+gives every undecided block the label of the nearest decided neighbours: theirs if both agree, else the nearer one's,
+bad at equal distance. On a page without any good block undecided ones are good: what is bad says nothing about them.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by an empty
 line. Nothing is cut, capped or repaired: a page that ends in the middle of a tag loses that tag only. Scripts, styles,
@@ -65,7 +67,7 @@ STOP_WORDS = frozenset((
     "sich sie sind und von war wie wird zu zum zur "
     "al como con del el ella en era es esta este fue ha la las lo los mas no o para pero por que se sin su sus un una y").split())
 
-LONG, MIN_LONG_STOPS, FEW_STOPS, MANY_LINKS = 70, 0.12, 0.05, 0.5
+LONG, MIN_LONG_STOPS, FEW_STOPS, KNOWN_STOPS, MANY_LINKS = 70, 0.12, 0.05, 0.2, 0.5
 BAD, SHORT, GOOD = -1, 0, 1
 NO_MARK, NAMED, OTHERS = 0, 1, 2
 
@@ -73,10 +75,11 @@ NO_MARK, NAMED, OTHERS = 0, 1, 2
 class _Place:
     """An open element; bad and article hold for what is inside, too. A mark is what only a name or a form says: it
     makes everything inside bad unless _settle() takes it back. around is the next marked element outwards."""
-    __slots__ = ("name", "bad", "article", "mark", "others", "around", "depth")
+    __slots__ = ("name", "bad", "article", "tagged", "mark", "others", "around", "depth")
 
     def __init__(self, name: str, bad: bool, article: bool, mark: int, outer: _Place | None):
         self.name = name
+        self.tagged = (article and name in ARTICLE_TAGS) or (outer is not None and outer.tagged)
         self.bad = bad or (outer is not None and outer.bad)
         self.article = article or (outer is not None and outer.article)
         self.mark = mark
@@ -180,11 +183,12 @@ def blocks(html: str) -> Iterator[tuple[str, int, _Place | None]]:
         yield text, links, stack[-1] if stack else None
 
 
-def _settle(nearest: list[_Place | None], size: list[int], speaks: list[int]) -> None:
+def _settle(places: list[_Place | None], nearest: list[_Place | None], size: list[int], speaks: list[int]) -> None:
     """Takes back the marks of elements that hold the page's text, from the innermost outwards, and makes bad what stays
     marked. nearest has the marked element around each block, size its characters, speaks those of blocks that are
     long with many stop words or in an article. A mark goes if what speaks inside is longer than all text beside; one
-    that stands for others' text only if the page has no such block without a mark, and it holds most of them."""
+    that stands for others' text only if the page has no such block without a mark, and it holds most of them. Where an
+    article or main element has text without any mark, only marks inside such an element can go."""
     marks: dict[_Place, list[int]] = {}
     for at in nearest:
         while at is not None and at not in marks:
@@ -193,6 +197,7 @@ def _settle(nearest: list[_Place | None], size: list[int], speaks: list[int]) ->
     if not marks:
         return
     inner_first = sorted(marks, key=lambda m: -m.depth)
+    clear = any(n and at is None and place.tagged for n, at, place in zip(speaks, nearest, places) if place is not None)
 
     def beside() -> int:
         for m in reversed(inner_first):
@@ -206,7 +211,7 @@ def _settle(nearest: list[_Place | None], size: list[int], speaks: list[int]) ->
                 inside[at] += m
                 text[at] += n
         for m in inner_first:
-            if m.mark in kinds and (OTHERS in kinds or not m.others) and inside[m] > total - text[m]:
+            if m.mark in kinds and (OTHERS in kinds or not m.others) and inside[m] > total - text[m] and (m.tagged or not clear):
                 m.mark = NO_MARK
             if m.around is not None:
                 text[m.around] += text[m]
@@ -223,15 +228,19 @@ def _settle(nearest: list[_Place | None], size: list[int], speaks: list[int]) ->
 
 def main_text(html: str | None) -> str:
     read = list(blocks(html or ""))
+    nearest = [None if place is None else place if place.mark else place.around for *_, place in read]
     stops, dense = [], []
-    for text, links, _ in read:
+    most = {False: [], True: []}  # shares of stop words in long blocks, without and with a mark
+    for (text, links, place), near in zip(read, nearest):
         words = text.lower().split()
         stops.append(sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words))
         dense.append(links / max(1, len(text.replace(" ", ""))) > MANY_LINKS)
-    rich = [len(text) >= LONG and share >= MIN_LONG_STOPS and not d for (text, *_), share, d in zip(read, stops, dense)]
-    nearest = [None if place is None else place if place.mark else place.around for *_, place in read]
+        if len(text) >= LONG and not dense[-1] and not (place is not None and place.bad):
+            most[near is not None].append(stops[-1])
+    known = max(most[not most[False]], default=0) >= KNOWN_STOPS  # else in a language without a list
+    rich = [len(text) >= LONG and (share >= MIN_LONG_STOPS or not known) and not d for (text, *_), share, d in zip(read, stops, dense)]
     size = [0 if d or (place is not None and place.bad) else len(text) for (text, _, place), d in zip(read, dense)]
-    _settle(nearest, size, [n if r or (place is not None and place.article) else 0 for n, r, (*_, place) in zip(size, rich, read)])
+    _settle([place for *_, place in read], nearest, size, [n if r or (place is not None and place.article) else 0 for n, r, (*_, place) in zip(size, rich, read)])
     found = [(text, links, place is not None and (place.bad or (near is not None and near.bad) or (near is place and not r)),
               place is not None and place.article) for (text, links, place), near, r in zip(read, nearest, rich)]
     labels = []
@@ -246,6 +255,8 @@ def main_text(html: str | None) -> str:
             labels.append(BAD)
         else:
             labels.append(SHORT)
+    if GOOD not in labels:
+        labels = [GOOD if label == SHORT else label for label in labels]
     decided = [i for i, label in enumerate(labels) if label]
     out, nxt = [], 0
     for i, (text, *_) in enumerate(found):
@@ -255,9 +266,7 @@ def main_text(html: str | None) -> str:
         if label == SHORT:
             after = decided[nxt] if nxt < len(decided) else None
             before = decided[nxt - 1] if nxt else None
-            if before is None and after is None:
-                label = GOOD if stops[i] >= FEW_STOPS else BAD
-            elif before is None or after is None:
+            if before is None or after is None:
                 label = labels[after if before is None else before]
             elif labels[before] == labels[after]:
                 label = labels[before]
