@@ -85,9 +85,27 @@ def test_kth_largest(spark):
 
 def test_noise_is_gumbel(spark):
     """Keys of equal weights differ by standard Gumbel noise."""
-    rows = spark.range(4000).select(Q._noisy(F.lit(2.0), F.lit(1), F.xxhash64("id"))[1].alias("key"))
-    mean, sd = rows.agg(F.avg("key") * (1 + Q.NEUTRAL), F.stddev("key") * (1 + Q.NEUTRAL)).first()
-    assert abs(mean - 2.5772) < 0.08 and abs(sd - math.pi / math.sqrt(6)) < 0.08
+    for n_grams in (1, 3000):  # whatever the length
+        score, key = Q._noisy(F.lit(2.0), F.lit(n_grams), F.xxhash64("id"))
+        mean, sd = spark.range(4000).select((key - Q.SHARPNESS * score).alias("noise")).agg(F.avg("noise"), F.stddev("noise")).first()
+        assert abs(mean - 0.5772) < 0.08 and abs(sd - math.pi / math.sqrt(6)) < 0.08
+
+
+def test_inclusion_follows_the_weights(spark):
+    """Of 30,000 documents of weights 1, 2 and 4 and any length, the first 300 drawn: shares of 1, 2 and 4 sevenths."""
+    n_grams = F.when(F.pmod("id", F.lit(2)) == 0, 5).otherwise(5000)
+    weight = F.element_at(F.array(F.lit(1.0), F.lit(2.0), F.lit(4.0)), (F.pmod("id", F.lit(3)) + 1).cast("int"))
+    score = F.log(weight) / Q.SHARPNESS
+    key = Q._noisy(score * (n_grams + Q.NEUTRAL), n_grams, F.xxhash64("id"))[1]
+    drawn = {}
+    for seed in range(8):
+        rows = spark.range(30_000 * seed, 30_000 * (seed + 1)).select("id", weight.alias("w"), n_grams.alias("n"), key.alias("key"))
+        for r in rows.orderBy(F.col("key").desc()).limit(300).collect():
+            drawn[r["w"]] = drawn.get(r["w"], 0) + 1
+            drawn[r["n"]] = drawn.get(r["n"], 0) + 1
+    for w in (1.0, 2.0, 4.0):
+        assert abs(drawn[w] / 2400 - w / 7) < 0.04
+    assert abs(drawn[5.0 if 5.0 in drawn else 5] / 2400 - 0.5) < 0.05
 
 
 def test_reruns_and_whole_rows(spark):

@@ -5,10 +5,10 @@ all documents; the target model those over labelled documents of good quality (a
 `FIT_ROWS` rows: its ids are small enough to be sent to all tasks, so no text moves). Both are compared as counts:
 those seen in the target, and those that the raw model expects in as much text, each plus `PSEUDO`. A bucket that is
 rare in both says nothing, however new its words are; one that is frequent in the raw text and missing in the target
-says much. A document's log weight is the sum of the log ratios over its n-grams. Gumbel noise makes the k largest a
-sample without replacement with probabilities in proportion to the weights; the noise is hashed from id and text, so
-reruns agree. To compare documents of any length, weight and noise are divided by the number of n-grams, with
-`NEUTRAL` ones of no weight added, which keep very short texts near the middle.
+says much. The sum of the log ratios over a document's n-grams is divided by their number, with `NEUTRAL` ones of no weight
+added, which keep very short texts near the middle: its score, which compares documents of any length. `SHARPNESS`
+times the score is the logarithm of its weight. Gumbel noise is added to that, and the k largest are a sample without
+replacement with probabilities in proportion to the weights; the noise is hashed from id and text, so reruns agree.
 
 k is no cap: it is the number of documents that the labels say are good. Among the labelled documents every score
 range (of `BINS`) has a share of good documents, made to rise with the score, and k counts all documents above the
@@ -16,7 +16,7 @@ last range with a share under `accept`; ranges without labels are given the bene
 one, never by sorting in one place. No document is judged by a model that saw its own label: labels are dealt into
 `FOLDS`, and a document is scored by the target model of the other folds.
 
-Null and empty texts have no n-grams, log weight 0, and compete by their noise alone. Rows that repeat an id are
+Null and empty texts have no n-grams, score 0, and compete by their noise alone. Rows that repeat an id are
 judged one by one. Without good or without bad labels every document is kept. Empty input gives an empty result.
 Only id and text, and the labels' id and quality, are read.
 """
@@ -37,6 +37,8 @@ BITS = 18
 BUCKETS = 1 << BITS
 PSEUDO = 10.0
 NEUTRAL = 50
+#: a score higher by 1 / SHARPNESS makes a document e times as likely to be drawn next
+SHARPNESS = 400.0
 LOWEST, BINS, BIN = -1.5, 200, 0.01
 FOLDS = 4
 ACCEPT = 0.5
@@ -168,10 +170,10 @@ def _dealt(id_col: str, text_col: str, seed: int) -> list[Column]:
 
 
 def _noisy(log_weight: Column, n_grams: Column, draw: Column) -> tuple[Column, Column]:
-    """(score, key): the log weight per n-gram, without and with Gumbel noise."""
+    """(score, key): the log ratio per n-gram, and the log weight made of it with Gumbel noise added."""
     noise = -F.log(-F.log((F.pmod(draw, F.lit(1 << 40)) + 0.5) / float(1 << 40)))
-    scale = n_grams + F.lit(NEUTRAL)
-    return log_weight / scale, (log_weight + noise) / scale
+    score = log_weight / (n_grams + F.lit(NEUTRAL))
+    return score, SHARPNESS * score + noise
 
 
 def _limit(rows: DataFrame, known: DataFrame, accept: float) -> float:
