@@ -107,6 +107,19 @@ def test_odd_rows(spark):
     assert mixed.columns == with_clashes(docs).columns
 
 
+def test_rows_that_repeat_an_id_get_their_own_copies(spark):
+    """Two texts an id, and two equal rows an id: what is delivered is what was taken."""
+    rows = [(i // 2, "a" if i % 3 else "b", "w " * (1 + i % 7 if i < 200 else 4)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    taken = {(r["target"]): 0 for r in M.mix_sources(docs).collect()}
+    for r in M.mix_sources(docs).collect():
+        taken[r["target"]] += r["taken"]
+    mixed = M.mixed_documents(docs).collect()
+    assert sum(len(r["text"].split()) for r in mixed) == sum(taken.values())
+    for source, target in (("a", max(taken)), ("b", min(taken))):
+        assert abs(sum(len(r["text"].split()) for r in mixed if r["source"] == source) - target) <= 14
+
+
 def test_mixed_documents_follow_copies(corpus):
     copies = {r["doc_id"]: r["copies"] for r in M.mix_sources(corpus).collect()}
     seen = {}

@@ -103,6 +103,18 @@ def test_one_of_each_stays_with_all_columns(spark):
     assert kept.filter("doc_id is null").count() == 2
 
 
+def test_different_texts_of_one_id_are_no_copies(spark):
+    """Ids 1, 1, 2, 3, 4 with texts A, B, B, C, A: one each of A, B and C stays, the same one whatever the order."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, "x"), (1, b, "y"), (2, b, "z"), (3, c, "x"), (4, a, "y"), (5, None, "x"), (5, "", "x"), (6, c, "q"), (6, c, "p"), (6, c, "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_id string")
+    kept = sorted(map(tuple, N.first_of_each(docs).collect()), key=str)
+    assert sorted(str(t) for _, t, _ in kept) == sorted(map(str, (a, b, c, None, "")))
+    assert kept == sorted(map(tuple, N.first_of_each(docs.repartition(7)).collect()), key=str)
+    same = spark.createDataFrame([(7, c, str(i)) for i in range(9)], docs.schema)
+    assert N.first_of_each(same).collect() == N.first_of_each(same.repartition(3)).collect()
+
+
 def test_pigeonhole_guarantee():
     """Signatures within the distance share a key, wherever they differ."""
     rng = np.random.default_rng(4)

@@ -38,8 +38,8 @@ def test_quality_stage(spark, sf, stages):
 
 
 def test_near_dedup_stage(stages):
-    assert ids(stages[2]) == ids(near_duplicates(stages[1]).filter("kept"))
-    after = near_duplicates(stages[2])
+    assert ids(stages[2]) == ids(near_duplicates(stages[1], percent=C.NEAR_PERCENT).filter("kept"))
+    after = near_duplicates(stages[2], percent=C.NEAR_PERCENT)
     assert after.filter("not kept").count() == 0
 
 
@@ -84,5 +84,5 @@ def test_stages_take_odd_rows(spark, sf):
 
 def test_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries() and set(registry.ORACLES) <= set(entry.oracle_sql())

@@ -96,11 +96,13 @@ def _pair_off(seed: int):
 
 
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-                weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """A row per document: id, `size`, `source_size`, `target` of its source, `copies`, `taken` words."""
+                weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17,
+                draw_cols: tuple[str, ...] | None = None) -> DataFrame:
+    """A row per document: id, `size`, `source_size`, `target` of its source, `copies`, `taken` words. Draws are hashed
+    from `draw_cols`, id and text by default."""
     rows = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
                                    n_words(F.col(text_col)).alias("size"),
-                                   F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("draw")))
+                                   F.xxhash64(F.lit(seed), *[F.col(c) for c in draw_cols or (id_col, text_col)]).alias("draw")))
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     goals = materialize(targets(sources, weights, share, most))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -136,11 +138,12 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "s
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as many times as it is taken, with all its columns. Rows that repeat
-    an id share what was taken of that id, so there every row gets the largest number of copies of the id."""
-    names, id_col = docs.columns, options.get("id_col", "doc_id")
-    own, n, copy = free_name(docs, "mixed_id"), free_name(docs, "mixed_n"), free_name(docs, "mixed_copy")
-    copies = (mix_sources(docs, **options).filter("copies > 0").groupBy(id_col).agg(F.max("copies").alias(n))
-              .withColumnRenamed(id_col, own))
-    rows = docs.join(copies, F.col(id_col).eqNullSafe(F.col(own)))
+    """The mix itself: every row as many times as it is taken, with all its columns. Rows are known by their number
+    in the scan, so that rows which repeat an id are each taken as often as their own rounding says; the
+    input must give the same rows in the same order when read again, as files do."""
+    names, drawn = docs.columns, (options.pop("id_col", "doc_id"), options.get("text_col", "text"))
+    own, n, copy = free_name(docs, "mixed_row"), free_name(docs, "mixed_n"), free_name(docs, "mixed_copy")
+    numbered = docs.withColumn(own, F.monotonically_increasing_id())
+    copies = mix_sources(numbered, id_col=own, draw_cols=drawn, **options).filter("copies > 0").select(own, F.col("copies").alias(n))
+    rows = numbered.join(copies, own)
     return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[F.col(f"`{c}`") for c in names])

@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pandas as pd
@@ -254,10 +254,32 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
 
 
-def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each component, with all its columns. Rows without an id are nobody's copies and stay; of
-    rows that repeat an id one stays."""
+def _keyed(docs: DataFrame, key: str, id_col: str, text_col: str) -> DataFrame:
+    """The rows that have an id, with a long `key`: the id, or where different texts share it a number for each text."""
+    named = docs.filter(F.col(id_col).isNotNull())
+    text = F.xxhash64(F.col(text_col))
+    slim = named.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    several = slim.groupBy("id").agg(F.min("text").alias("a"), F.max("text").alias("b")).filter("a <> b")
+    several = materialize(several.select(F.col("id").alias(f"{key}_of")))
+    if several.isEmpty():
+        return named.withColumn(key, F.col(id_col).cast("long"))
+    marked = named.join(several, F.col(id_col).cast("long") == F.col(f"{key}_of"), "left")
+    for seed in count(1):
+        own = F.when(F.col(f"{key}_of").isNull(), F.col(id_col).cast("long")).otherwise(F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), text))
+        numbers = marked.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), own.alias("key"))
+        clash = numbers.groupBy("key").agg(F.min(F.struct("id", "text")).alias("a"), F.max(F.struct("id", "text")).alias("b")).filter("a <> b")
+        if clash.filter("a.id <> b.id").isEmpty() and clash.join(several, F.expr(f"a.id = {key}_of"), "left_semi").isEmpty():
+            return marked.withColumn(key, own).drop(f"{key}_of")
+
+
+def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each component, with all its columns. Different texts that share an id are documents of their
+    own: neither is the other's copy for that. Of rows that repeat id and text the one whose columns have the smallest
+    hash stays, so reruns agree. Rows without an id are nobody's copies and stay."""
     own = free_name(docs, "kept_id")
-    kept = near_duplicates(docs, id_col=id_col, **options).filter("kept").select(F.col("component_id").alias(own)).distinct()
-    named = docs.join(kept, F.col(id_col) == F.col(own), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.filter(F.col(id_col).isNull()))
+    keyed = _keyed(docs, own, id_col, text_col)
+    kept = near_duplicates(keyed, id_col=own, text_col=text_col, **options).filter("kept").select(F.col("component_id").alias(own)).distinct()
+    rows = keyed.join(kept, own, "left_semi")
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    first = rows.groupBy(own).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*plain)).alias("row"))
+    return first.select("row.*").unionByName(docs.filter(F.col(id_col).isNull()))
