@@ -1,7 +1,10 @@
+import fnmatch
+import random
+from collections import Counter
+
 import pytest
-from pyspark.sql import functions as F
 
-from veilkit import defaults
+from veilkit import defaults, fixed
 from veilkit.operators import policy as P
 from veilkit.plans import compliance as C
 from veilkit.plans import impact as IM
@@ -58,67 +61,160 @@ def test_bad_policies_are_refused(changes):
         P.Policy(**changes)
 
 
-def test_impact_counts(spark):
-    """A new rule for one team changes that team's outside requests and no others."""
-    rows = [("lojistik", "gemini-2.5-pro", "external", 13, 5), ("lojistik", "vllm/qwen3", "internal", 21, 3), ("yazilim", "gemini-2.5-pro", "external", 34, 8),
-            ("lojistik", "claude-opus-5", "external", 55, 2)]
-    groups = spark.createDataFrame(rows, "team string, model string, destination string, n bigint, users bigint").withColumns({
-        "teams": F.array("team"), "entities": F.array(F.lit("IBAN_TR")), "injection_score": F.lit(0.0), "api_format": F.lit("chat")})
-    rule = {"name": "lojistik-iban-durdur", "when": {"teams": ["lojistik"], "destination": "external", "entity_in": ["IBAN_TR"]}, "action": "block", "message": "IBAN dışarı çıkmaz."}
-    seen = IM.outcome(IM.outcome(groups, defaults.policy(), "before"), defaults.policy(rules=[*defaults.RULES, rule]), "after")
-    assert IM.summary(seen).first().asDict() == {"requests": 123, "groups": 4, "changed": 68}
-    assert [tuple(r) for r in IM.transitions(seen).collect()] == [("mask", "block", 68)]
-    assert [tuple(r) for r in IM.rule_changes(seen).collect()] == [("added", "lojistik-iban-durdur", 68)]
-    shown = IM.examples(seen).collect()
-    assert (shown[0].model, shown[0].users) == ("claude-opus-5", 2) and all(r.reason.startswith("IBAN") for r in shown)
-
-
-DECLARED = [
-    {"id": "mulakat", "name": "Mülakat notu", "owner_team": "insan", "models": ["mistral-*"], "use_case": "recruitment", "purpose": "Mülakat notlarının puanlanması", "data_subjects": ["Aday"], "decides_about_people": True},
-    {"id": "sema", "name": "Şema gezgini", "owner_team": ["veri", "altyapi"], "models": ["claude-*", "vllm/*"], "use_case": "code_assistant", "purpose": "Şema açıklamaları"},
-    {"id": "hasar", "name": "Hasar notu", "owner_team": "sigorta", "models": ["mistral-*"], "use_case": "data_analysis", "purpose": "Hasar özeti", "decides_about_people": True},
-    {"id": "karsilama", "name": "Karşılama botu", "owner_team": "santral", "models": ["gemini-1*"], "use_case": "chatbot_public", "purpose": "Yönlendirme"},
-]
-SEEN = [("insan", "mistral-large", "external", 11, 4, ["PHONE_TR", "EMAIL_ADDRESS"], 6), ("altyapi", "vllm/qwen3", "internal", 203, 19, ["SECRET_JWT"], 0),
-        ("sigorta", "mistral-large", "external", 8, 2, [], 0), ("kargo", "gpt-4o-mini", "external", 29, 5, ["PLATE_TR"], 29)]
-
-
-def test_inventory_report(spark):
-    usage = spark.createDataFrame(SEEN, "team string, model string, destination string, requests bigint, users bigint, entities array<string>, external_with_pii bigint")
-    report = C.inventory(usage, DECLARED, "2026-10-09")
-    by = {r.id: r for r in report.collect()}
-    assert {i: r.risk for i, r in by.items()} == {"mulakat": "high", "sema": "minimal", "hasar": "minimal", "karsilama": "limited"}
-    assert (by["mulakat"].requests, by["mulakat"].entities, by["mulakat"].in_force) == (11, ["EMAIL_ADDRESS", "PHONE_TR"], False)
-    assert (by["sema"].requests, by["sema"].users, by["karsilama"].requests, by["karsilama"].in_force) == (203, 19, 0, True)
-    warned = {i: " ".join(r.warnings) for i, r in by.items()}
-    assert "KVKK md. 9" in warned["mulakat"] and "Ek III" in warned["hasar"] and "trafik görülmedi" in warned["karsilama"] and "Ek III" not in warned["sema"]
-    left = C.undeclared(usage, DECLARED)
-    assert [(r.team, r.model) for r in left.collect()] == [("kargo", "gpt-4o-mini")]
-    counts = C.inventory_counts(report, left).first().asDict()
-    assert counts == {"prohibited": 0, "high": 1, "limited": 1, "minimal": 2, "unclassified": 1}
-
-
-def test_register_of_processing(spark):
-    rows = spark.createDataFrame([
-        ("TCKN", "internal", "vllm/qwen3", "insan", 70, "Diğer / bilinmiyor"), ("TCKN", "external", "mistral-large", "insan", 5, "Mistral"),
-        ("CREDIT_CARD", "internal", "vllm/qwen3", "kargo", 6, "Diğer / bilinmiyor"), ("SECRET_PASSWORD", "external", "gemini-2.5-pro", "altyapi", 4, "Google"),
-        ("SECRET_AWS_KEY", "internal", "vllm/qwen3", "altyapi", 1, "Diğer / bilinmiyor")],
-        "entity string, destination string, model string, team string, requests bigint, provider string")
-    by = {r.category: r for r in C.register(rows, DECLARED, "1 yıl").collect()}
-    assert sorted(by) == ["Finans", "Kimlik", "İşlem Güvenliği"]
-    assert {k: r.requests for k, r in by.items()} == {"Kimlik": 75, "Finans": 6, "İşlem Güvenliği": 4}
-    assert {k: r.abroad for k, r in by.items()} == {"Kimlik": "Evet", "Finans": "Hayır", "İşlem Güvenliği": "Evet"}
-    assert by["Kimlik"].providers == ["Mistral"] and by["İşlem Güvenliği"].providers == ["Google"]
-    assert (by["Kimlik"].purposes, by["Kimlik"].subjects) == (["Mülakat notlarının puanlanması"], ["Aday"])
-    assert (by["Finans"].recipients, by["Finans"].purposes) == (["Kurum içi"], ["Hukuk birimi belirleyecek"])
-
-
-@pytest.mark.parametrize("change", [{"use_case": "bilinmeyen"}, {"purpose": ""}])
-def test_bad_declarations_are_refused(change):
-    with pytest.raises(ValueError):
-        C.check_systems([{**DECLARED[1], **change}])
-
-
-def test_an_id_is_declared_once():
+# --- generated policies, contexts and declarations against the rules written out in plain Python -------
+TEAMS = ["lojistik", "kargo", "depo", "saha"]
+MODELS = ["m-kucuk", "m-buyuk", "n-1", "n-2", "yerel/a", "yerel/b"]
+KINDS = ["IBAN_TR", "PHONE_TR", "PLATE_TR", "SECRET_JWT"]
+
+
+def random_rules(rnd, n, prefix):
+    rules = []
+    for i in range(n):
+        when = {}
+        if rnd.random() < 0.5:
+            when["teams"] = rnd.sample(TEAMS, rnd.randint(1, 2))
+        if rnd.random() < 0.5:
+            when["destination"] = rnd.choice(["external", "internal"])
+        if rnd.random() < 0.6:
+            when["entity_in"] = rnd.sample(KINDS, rnd.randint(1, 2))
+        if rnd.random() < 0.3:
+            when["model_not_in"] = [rnd.choice(["m-*", "n-?", "yerel/*"])]
+        if rnd.random() < 0.2:
+            when["injection_score_gte"] = rnd.choice([0.25, 0.5])
+        rules.append({"name": f"{prefix}{i}", "when": when, "action": rnd.choice(["alert", "mask", "block"]), "message": f"neden {prefix}{i}"})
+    return rules
+
+
+def holds(when, c):
+    tests = {"teams": lambda v: set(v) & {c["team"], *c["teams"]}, "destination": lambda v: v == c["destination"], "entity_in": lambda v: set(v) & set(c["entities"]),
+             "model_not_in": lambda v: not any(fnmatch.fnmatchcase(c["model"], g) for g in v), "injection_score_gte": lambda v: c["injection_score"] >= v}
+    return all(tests[k](v) for k, v in when.items())
+
+
+def plain_decision(rules, c):
+    hit = [r for r in rules if holds(r["when"], c)]
+    action = max(["allow", *(r["action"] for r in hit)], key=fixed.SEVERITY.get)
+    return action, [r["name"] for r in hit], next((r["message"] for r in hit if r["action"] == action), None)
+
+
+def random_contexts(rnd, n):
+    out = []
+    for i in range(n):
+        model = rnd.choice(MODELS)
+        out.append({"team": rnd.choice(TEAMS), "teams": sorted(rnd.sample(TEAMS, rnd.randint(0, 2))), "model": model,
+                    "destination": "internal" if model.startswith("yerel/") else "external", "entities": sorted(rnd.sample(KINDS, rnd.randint(0, 3))),
+                    "injection_score": rnd.choice([0.0, 0.25, 0.5]), "api_format": "chat", "n": rnd.randint(1, 500), "users": rnd.randint(1, 40), "no": i})
+    return out
+
+
+CONTEXT = ("team string, teams array<string>, model string, destination string, entities array<string>, injection_score double, api_format string, "
+           "n bigint, users bigint, no bigint")
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_decisions_and_impact_equal_plain_rules(spark, seed):
+    rnd = random.Random(seed)
+    before, added = random_rules(rnd, 5, "eski"), random_rules(rnd, 3, "yeni")
+    after = [r for r in before if rnd.random() < 0.7] + added
+    rows = random_contexts(rnd, 150)
+    plain = [(c, plain_decision(before, c), plain_decision(after, c)) for c in rows]
+    seen = IM.outcome(IM.outcome(spark.createDataFrame(rows, CONTEXT), P.Policy(rules=before), "before"), P.Policy(rules=after), "after")
+    for r in seen.collect():
+        _, old, new = plain[r.no]
+        assert (r.before, r.before_decision.rules) == old[:2] and (r.after, r.after_decision.rules) == new[:2]
+    changed = [(c, old, new) for c, old, new in plain if old[0] != new[0]]
+    assert IM.summary(seen).first().asDict() == {"requests": sum(c["n"] for c in rows), "groups": len(rows), "changed": sum(c["n"] for c, *_ in changed)}
+    moves, fired = Counter(), Counter()
+    for c, old, new in plain:
+        if old[0] != new[0]:
+            moves[old[0], new[0]] += c["n"]
+        fired.update({("added", r): c["n"] for r in set(new[1]) - set(old[1])} | {("removed", r): c["n"] for r in set(old[1]) - set(new[1])})
+    assert {(r.before, r.after): r.requests for r in IM.transitions(seen).collect()} == moves
+    assert {(r.change, r.rule): r.requests for r in IM.rule_changes(seen).collect()} == fired
+    shown = IM.examples(seen, limit=5).collect()
+    assert sorted((r.requests for r in shown), reverse=True) == sorted((c["n"] for c, *_ in changed), reverse=True)[:5]
+
+
+def random_systems(rnd, n):
+    cases = [u[0] for u in fixed.USE_CASES]
+    return [{"id": f"s{i}", "name": f"Sistem {i:02}", "owner_team": rnd.sample(TEAMS, rnd.randint(1, 3)) if rnd.random() < 0.5 else rnd.choice(TEAMS),
+             "models": rnd.sample(["m-*", "n-1", "n-?", "yerel/*", "yerel/b", "*"], rnd.randint(1, 2)), "use_case": rnd.choice(cases), "purpose": f"amaç {i % 4}",
+             "data_subjects": rnd.sample(["Aday", "Müşteri", "Sürücü"], rnd.randint(0, 2)), "decides_about_people": rnd.random() < 0.5} for i in range(n)]
+
+
+def owners(system):
+    return system["owner_team"] if isinstance(system["owner_team"], list) else [system["owner_team"]]
+
+
+def covers(system, team, model):
+    return team in owners(system) and any(fnmatch.fnmatchcase(model, g) for g in system["models"])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_inventory_equals_plain_rules(spark, seed):
+    rnd = random.Random(seed)
+    systems, today = random_systems(rnd, 9), f"202{rnd.randint(4, 8)}-08-01"
+    usage = [(t, m, "internal" if m.startswith("yerel/") else "external", rnd.randint(1, 300), rnd.randint(1, 20), sorted(rnd.sample(KINDS, rnd.randint(0, 3))), rnd.choice([0, 0, 7]))
+             for t in [*TEAMS, "beyansız"] for m in rnd.sample(MODELS, rnd.randint(1, 4))]
+    frame = spark.createDataFrame(usage, "team string, model string, destination string, requests bigint, users bigint, entities array<string>, external_with_pii bigint")
+    report, left = C.inventory(frame, systems, today), C.undeclared(frame, systems)
+    catalogue = {u[0]: u for u in fixed.USE_CASES}
+    rows, risks = {r.id: r for r in report.collect()}, Counter()
+    assert len(rows) == len(systems)
+    for s in systems:
+        mine, got = [u for u in usage if covers(s, u[0], u[1])], rows[s["id"]]
+        _, _, risk, _, starts = catalogue[s["use_case"]]
+        risks[risk] += 1
+        wanted = [w for w, due in ((fixed.WARNING_DECIDES, risk == "minimal" and s["decides_about_people"]), (fixed.WARNING_NO_TRAFFIC, risk != "prohibited" and not mine),
+                                   (fixed.WARNING_TRANSFER, any(u[6] for u in mine))) if due]
+        assert (got.risk, got.in_force, got.warnings) == (risk, starts <= today, wanted)
+        assert (got.requests, got.users) == (sum(u[3] for u in mine), sum(u[4] for u in mine))
+        assert (got.entities, got.destinations) == (sorted({e for u in mine for e in u[5]}), sorted({u[2] for u in mine}))
+    bare = [u for u in usage if not any(covers(s, u[0], u[1]) for s in systems)]
+    assert sorted((r.team, r.model) for r in left.collect()) == sorted((u[0], u[1]) for u in bare)
+    risks["unclassified"] = len(bare)
+    assert C.inventory_counts(report, left).first().asDict() == {k: risks[k] for k in ("prohibited", "high", "limited", "minimal", "unclassified")}
+    order = [(fixed.RISK_CLASS_ORDER[r.risk], r.name) for r in report.collect()]
+    assert order == sorted(order)
+    told = spark.createDataFrame(random_contexts(rnd, 60), CONTEXT)
+    for r in C.declared(told, systems).collect():
+        assert r.declared == any(covers(s, t, r.model) for s in systems for t in {r.team, *r.teams})
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_register_equals_plain_rules(spark, seed):
+    rnd = random.Random(seed)
+    systems, legal = random_systems(rnd, 5), [fixed.REGISTER_LEGAL]
+    entities = [*fixed.REGISTER_CATEGORIES, "KURUM_PROJE"]
+    rows = [(rnd.choice(entities), rnd.choice(["external", "internal"]), rnd.choice(MODELS), rnd.choice(TEAMS), rnd.randint(1, 50),
+             rnd.choice([*fixed.PROVIDER_COUNTRY, fixed.UNKNOWN_PROVIDER])) for _ in range(12)]
+    frame = spark.createDataFrame(rows, "entity string, destination string, model string, team string, requests bigint, provider string")
+    by = {}
+    for r in rows:
+        if r[0] in fixed.REGISTER_CATEGORIES:
+            by.setdefault(fixed.REGISTER_CATEGORIES[r[0]], []).append(r)
+    got = C.register(frame, systems, "1 yıl").collect()
+    assert [r.category for r in got] == sorted(by)
+    for r in got:
+        mine = by[r.category]
+        out, related = [x for x in mine if x[1] == "external"], [s for s in systems if set(owners(s)) & {x[3] for x in mine}]
+        assert (r.types, r.requests) == (sorted({x[0] for x in mine}), sum(x[4] for x in mine))
+        assert r.providers == sorted({x[5] for x in out}) and r.abroad == (fixed.REGISTER_YES if out else fixed.REGISTER_NO)
+        assert r.countries == sorted({fixed.PROVIDER_COUNTRY.get(x[5], fixed.REGISTER_UNKNOWN_COUNTRY) for x in out})
+        assert r.purposes == (sorted({s["purpose"] for s in related}) or legal)
+        assert r.subjects == (sorted({p for s in related for p in s["data_subjects"]}) or legal)
+        assert r.recipients == [fixed.REGISTER_PROCESSOR if out else fixed.REGISTER_INTERNAL] and r.retention == "1 yıl"
+
+
+def test_bad_declarations_are_refused():
+    rnd = random.Random(1)
+    for field, bad in [("use_case", "yok"), *((f, "") for f in C.SYSTEM_FIELDS)]:
+        systems = random_systems(rnd, 3)
+        C.check_systems(systems)
+        rnd.choice(systems)[field] = bad
+        with pytest.raises(ValueError):
+            C.check_systems(systems)
+    systems = random_systems(rnd, 4)
+    systems[3]["id"] = systems[0]["id"]
     with pytest.raises(ValueError):
-        C.check_systems([*DECLARED, DECLARED[2]])
+        C.check_systems(systems)
