@@ -34,6 +34,11 @@ def _char_class(points: list[int]) -> str:
     return "".join(_escape(a) if a == b else f"{_escape(a)}-{_escape(b)}" for a, b in _ranges(points))
 
 
+def among(points: list[int]) -> str:
+    """A pattern for one of these characters beyond ASCII; the intersection rejects ASCII on its first comparison."""
+    return f"[{_escape(0x80)}-{_escape(sys.maxunicode)}&&[{_char_class(sorted(points))}]]"
+
+
 @lru_cache(maxsize=1)
 def _tables():
     invisible = {p for lo, hi in fixed.INVISIBLE_RANGES for p in range(lo, hi + 1)}

@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 from veilkit import fixed
 from veilkit.functions.arrays import let, running_sum
 from veilkit.functions.globs import literal
-from veilkit.functions.normalize import normalized
+from veilkit.functions.normalize import among, normalized
 
 ALTERNATION_LIMIT = 200
 FEW_STARTS = 32
 _WORD = r"[^\W_]"
-_UNITS = r"(?U)[^\W_]+|\s+|[\s\S]"
+UNITS = r"(?U)[^\W_]+|\s+|[\s\S]"
 
 
 def fold_term(term: str, case_sensitive: bool = False) -> str:
@@ -46,8 +46,14 @@ def match_term(term: str, case_sensitive: bool = False) -> str:
     return term if case_sensitive else term.translate(str.maketrans(_SAME)).lower()
 
 
+# lower() alone does right by I; most texts have none of the others and skip the table
+_SPECIAL = among([ord(c) for c in _SAME if c != "I"])
+
+
 def match_sql(text: str, case_sensitive: bool = False) -> str:
-    return text if case_sensitive else f"lower(translate({text}, {literal(_SAME_FROM)}, {literal(_SAME_TO)}))"
+    if case_sensitive:
+        return text
+    return f"lower(if({text} rlike {literal(_SPECIAL)}, translate({text}, {literal(_SAME_FROM)}, {literal(_SAME_TO)}), {text}))"
 
 
 def _term_regex(term: str) -> str:
@@ -134,7 +140,7 @@ def gram_matches(text: str, sizes: Sequence[int], test, case_sensitive: bool = F
                  + let("off", running_sum("transform(u, x -> length(x))"),
                        free.replace("element_at(acc, -1).end", "get(acc, size(acc) - 1).end")) + ")")
     none = "cast(array() AS array<struct<start:int,end:int,score:double>>)"
-    units = f"regexp_extract_all(folded, {literal(_UNITS)}, 0)"
+    units = f"regexp_extract_all(folded, {literal(UNITS)}, 0)"
     matched = let("u", units, f"if(size(u) = 0, {none}, "
                   + let("norm", "transform(u, x -> if(x rlike '^(?U)\\\\s', ' ', x))", placed) + ")")
     starts = sorted(set(first_units))
@@ -177,7 +183,7 @@ def term_hashes(terms: DataFrame, salt: str) -> DataFrame:
                     + fold_sql("regexp_replace(trim(term), '(?U)\\\\s+', ' ')") + ")")
     return terms.withColumn("_f", folded).select(
         "entity", F.substring(F.sha2(F.concat(F.lit(salt + "\n"), "_f"), 256), 1, fixed.TERM_HASH_HEX).alias("hash"),
-        F.expr(f"size(regexp_extract_all(_f, {literal(_UNITS)}, 0))").alias("units")).distinct()
+        F.expr(f"size(regexp_extract_all(_f, {literal(UNITS)}, 0))").alias("units")).distinct()
 
 
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
