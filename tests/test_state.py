@@ -113,15 +113,33 @@ def cooldown_loop(events, seconds):
     return out
 
 
-def test_cooldown_equals_one_event_after_another(spark, monkeypatch):
-    monkeypatch.setattr(N, "CHUNK_COOLDOWNS", 3)
-    monkeypatch.setattr(N, "CHUNK_SECONDS", 1)
+def test_cooldown_equals_one_event_after_another(spark):
     rnd = random.Random(4)
     events = [event(i, rnd.randint(0, 40_000), action="block", team=rnd.choice("aab"), rules=rnd.choice([[], ["x"], ["x", "y"]])) for i in range(1500)]
     got = {r.event_id: (r.sent, r.suppressed) for r in N.cooldown(N.match_channels(frame(spark, events), CHANNELS)).collect()}
     assert got == cooldown_loop(events, 300)
 
 
+def test_cooldown_of_one_key_with_a_million_events(spark):
+    """One key, bursts and gaps: the sent rows follow from the times alone, and no task holds the key."""
+    at = F.expr("timestampadd(SECOND, cast(id + 40 * floor(id / 1000) as int), TIMESTAMP_NTZ'2026-01-01 00:00:00')")
+    rows = spark.range(1_000_000).select(F.col("id").alias("event_id"), at.alias("event_time"), F.lit("k").alias("channel"), F.lit("a").alias("team"),
+                                         F.lit("x").alias("repeat_key"), F.lit(300).alias("cooldown"))
+    got = N.cooldown(rows).groupBy("sent").agg(F.count(F.lit(1)).alias("n"), F.sum("suppressed").alias("held"), F.sum("event_id").alias("ids")).collect()
+    sent, until, ids = 0, -1, 0
+    for i in range(1_000_000):
+        second = i + 40 * (i // 1000)
+        if second >= until:
+            sent, until, ids, last = sent + 1, second + 300, ids + i, i
+    by = {r.sent: r for r in got}
+    assert (by[True].n, by[True].ids, by[True].held) == (sent, ids, last - (sent - 1))
+    slim = rows.select(F.to_json(F.struct("channel", "team", "repeat_key")).alias("key"), "event_id", F.col("event_id").alias("at"), F.lit(300).alias("cooldown"))
+    placed = O.numbered(slim, ["key", "at", "event_id"], "row", ranges=8)
+    sizes = [r["count"] for r in placed.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * min(sizes)
+    assert placed.filter(F.col("row") != F.col("event_id")).isEmpty()
+
+
 def test_channels_and_payload(spark):
     events = [event(1, 0, action="block", api_format="browser", rules=["r"], entities=["TCKN"], reason="neden", injection_score=0.9), event(2, 1), event(3, 2, action="mask", output_action="block", output_leaked=["SECRET_JWT"])]
     rows = N.payloads(N.cooldown(N.match_channels(frame(spark, events), CHANNELS)), console="https://konsol").orderBy("event_id", "channel").collect()
@@ -139,6 +157,39 @@ def test_shadow_admission_is_all_or_nothing(spark):
     assert got == {"b1": True, "b2": False, "b3": True, "b4": False, "b5": True}
 
 
+def admitted(rows, per_user, total):
+    """One batch after the other."""
+    out, minute, used, seen = {}, None, 0, {}
+    for batch, at, users in sorted(rows, key=lambda r: (r[1], r[0])):
+        if at.replace(second=0) != minute:
+            minute, used, seen = at.replace(second=0), 0, {}
+        n = sum(users.values())
+        out[batch] = used + n <= total and all(seen.get(u, 0) + c <= per_user for u, c in users.items())
+        if out[batch]:
+            used += n
+            for u, c in users.items():
+                seen[u] = seen.get(u, 0) + c
+    return out
+
+
+def test_shadow_admission_equals_one_batch_after_another(spark):
+    rnd = random.Random(12)
+    start = datetime(2026, 1, 1, 10, 0, 0)
+    rows = [(f"b{i:04}", start + timedelta(seconds=rnd.randint(0, 400)), {u: rnd.randint(0, 6) for u in rnd.sample("uvwxyz", rnd.randint(0, 3))}) for i in range(900)]
+    df = spark.createDataFrame(rows, "batch_id string, at timestamp_ntz, users map<string,int>")
+    got = {r.batch_id: r.admitted for r in SH.admit_batches(df.repartition(7), per_user=5, total=25).collect()}
+    assert got == admitted(rows, 5, 25) and 100 < sum(got.values()) < 800
+
+
+def test_one_minute_of_many_batches_is_judged_in_blocks(spark):
+    """A million batches in one minute, a hundred users with ten events each admitted."""
+    users = F.create_map(F.concat(F.lit("u"), F.col("id") % 1000), F.lit(1))
+    at = F.expr("timestampadd(MICROSECOND, cast(id * 50 as int), TIMESTAMP_NTZ'2026-01-01 00:00:00')")
+    batches = spark.range(1_000_000).select(F.col("id").alias("batch_id"), at.alias("at"), users.alias("users"))
+    got = SH.admit_batches(batches, per_user=10, total=1000).filter("admitted").agg(F.count(F.lit(1)), F.max("batch_id")).first()
+    assert tuple(got) == (1000, 999)
+
+
 def test_risk_score_numbers(spark):
     base = dict(user="ayse", team="analitik", requests=120, injection=2, secrets=1, output_leaks=0, overrides=3, blocked=4, unmasked_pii_external=6, subjects=30,
                 after_hours=5, risky_24h=2, risky_before=20)

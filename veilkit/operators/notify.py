@@ -4,21 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilkit import fixed
 from veilkit.functions.globs import any_glob, literal
 from veilkit.functions.values import in_list
-from veilkit.operators.ordered import grouped
+from veilkit.operators.ordered import numbered, range_buckets
 from veilkit.operators.policy import effective_action, severity
+from veilkit.session import materialize
 
 SOURCE = "CASE api_format WHEN 'browser' THEN 'browser' WHEN 'icap' THEN 'network' ELSE 'gateway' END"
 _RULES = "concat(rules, output_rules)"
 _CONDITIONS = {"actions", "rules", "entity_in", "teams", "sources"}
-CHUNK_COOLDOWNS, CHUNK_SECONDS = 64, 86_400
 
 
 def _matches(when: Mapping) -> str:
@@ -51,52 +49,46 @@ def match_channels(events: DataFrame, channels: Sequence[Mapping]) -> DataFrame:
 
 
 # --- cooldown -----------------------------------------------------------------------------------------
-# Suppression is sequential: what is sent depends on the last send. A key's time line is cut into chunks of
-# many cooldowns. A send before a chunk blocks at most its first cooldown, so a chunk is summarised by
-# where each possible entry ends up; summaries are chained per key; then every chunk is marked on its own.
+# Suppression is sequential: what is sent depends on the last send. Every row points at the row that would be sent
+# next if it was: the first one of its key at or after the end of its cooldown. The sent rows are those that the key's
+# first row leads to. Doubled again and again, pointers of 1, 2, 4, ... steps find them in as many rounds as the
+# longest path has binary digits; all tables are dealt by row number, so one key is as many tasks as its rows fill.
 
 _KEY = ["channel", "team", "repeat_key"]
 
 
-def _chunk_seconds(cooldown: float) -> float:
-    return max(cooldown * CHUNK_COOLDOWNS, CHUNK_SECONDS)
-
-
-def _summary(group: pd.DataFrame) -> dict:
-    at, cooldown = group["at"].to_numpy(), float(group["cooldown"].iat[0])
-    n, jump = len(at), np.searchsorted(at, at + cooldown, side="left")
-    last = np.arange(n)
-    for i in range(n - 1, -1, -1):
-        if jump[i] < n:
-            last[i] = last[jump[i]]
-    start = float(group["chunk"].iat[0]) * _chunk_seconds(cooldown)
-    entries = min(int(np.searchsorted(at, start + cooldown, side="right")) + 1, n)
-    return {"entry_at": [at[:entries].tolist()], "last_at": [at[last[:entries]].tolist()], "last_no": [last[:entries].tolist()], "n": [n]}
-
-
-def _chain(group: pd.DataFrame) -> dict:
-    until, carried, out = -np.inf, 0, {"chunk": [], "until": [], "carried": []}
-    for row in group.itertuples():
-        for name, value in zip(out, (row.chunk, until, carried)):
-            out[name].append(value)
-        entry = int(np.searchsorted(row.entry_at, until, side="left"))
-        if entry < len(row.entry_at):
-            until, carried = row.last_at[entry] + row.cooldown, row.n - 1 - int(row.last_no[entry])
-        else:
-            carried += row.n
-    return out
-
-
-def _mark(group: pd.DataFrame) -> dict:
-    at, cooldown = group["at"].to_numpy(), float(group["cooldown"].iat[0])
-    sent, skipped = np.zeros(len(at), bool), np.zeros(len(at), np.int64)
-    i = int(np.searchsorted(at, float(group["until"].iat[0]), side="left"))
-    waiting = int(group["carried"].iat[0]) + i
-    while i < len(at):
-        sent[i], skipped[i] = True, waiting
-        following = int(np.searchsorted(at, at[i] + cooldown, side="left"))
-        waiting, i = following - i - 1, following
-    return {"event_id": group["event_id"].tolist(), "sent": sent.tolist(), "suppressed": skipped.tolist()}
+def _following(rows: DataFrame) -> DataFrame:
+    """(row, key, after) of rows (row, key, at, cooldown): the first row of the key at or after at + cooldown. Rows
+    and the ends of their cooldowns stand in one order, cut into ranges; only the first row that a key has in a range
+    is looked up from other ranges."""
+    ends = rows.select("key", (F.col("at") + F.col("cooldown")).alias("t"), F.lit(0).alias("is_row"), "row")
+    both = ends.unionByName(rows.select("key", F.col("at").alias("t"), F.lit(1).alias("is_row"), "row"))
+    placed = range_buckets(both, ["key", "t", "is_row", "row"], "place")
+    own = F.when(F.col("is_row") == 1, F.col("row"))
+    here = Window.partitionBy("place", "key").orderBy(F.desc("t"), F.desc("is_row"), F.desc("row")).rowsBetween(Window.unboundedPreceding, 0)
+    heads = placed.groupBy("place", "key").agg(F.min(own).alias("head"))  # a row per range and key
+    later = Window.partitionBy("key").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select("place", "key", F.min("head").over(later).alias("later"))
+    return (placed.withColumn("here", F.min(own).over(here)).filter("is_row = 0").join(heads, ["place", "key"])
+            .select("row", "key", F.coalesce("here", "later").alias("after")))
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    """(row, previous) of the sent rows, `previous` the one sent before them. `rows` has (row, key, at, cooldown)."""
+    pointers = materialize(_following(rows))
+    steps = materialize(pointers.filter("after IS NOT NULL").select("row", "after"))
+    found = materialize(pointers.groupBy("key").agg(F.min("row").alias("row")).select("row", F.lit(None).cast("bigint").alias("previous")))
+    first_steps = jumps = steps
+    sent, reached = found.select("row"), found.select("row")
+    while True:
+        reached = materialize(sent.join(jumps, "row").select(F.col("after").alias("row")))
+        if reached.isEmpty():
+            break
+        sent = sent.unionByName(reached)
+        onward = jumps.select(F.col("row").alias("after"), F.col("after").alias("farther"))
+        jumps = materialize(jumps.join(onward, "after").select("row", F.col("farther").alias("after")))
+    led = sent.join(first_steps, "row").select(F.col("after").alias("row"), F.col("row").alias("previous"))
+    return found.unionByName(led)
 
 
 def cooldown(matches: DataFrame) -> DataFrame:
@@ -105,16 +97,12 @@ def cooldown(matches: DataFrame) -> DataFrame:
     free = matches.filter("cooldown = 0").withColumn("sent", F.lit(True)).withColumn("suppressed", F.lit(0).cast("bigint"))
     seconds = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(event_time AS timestamp_ntz))") / 1e6
     held = matches.filter("cooldown > 0")
-    slim = (held.select("event_id", *_KEY, "cooldown", seconds.alias("at"))
-            .withColumn("chunk", F.floor(F.col("at") / F.greatest(F.col("cooldown") * CHUNK_COOLDOWNS, F.lit(CHUNK_SECONDS)))))
-    kinds = {f.name: f.dataType.simpleString() for f in matches.schema.fields}
-    names = ", ".join(f"{k} string" for k in _KEY)
-    summaries = grouped(slim, [*_KEY, "cooldown", "chunk"], ["at"], _summary,
-                        f"{names}, cooldown int, chunk bigint, entry_at array<double>, last_at array<double>, last_no array<bigint>, n bigint")
-    states = grouped(summaries, _KEY, ["chunk"], _chain, f"{names}, chunk bigint, `until` double, carried bigint")
-    marked = grouped(slim.join(states, [*_KEY, "chunk"]), [*_KEY, "chunk"], ["at", "event_id"], _mark,
-                     f"{names}, chunk bigint, event_id {kinds['event_id']}, sent boolean, suppressed bigint")
-    return held.join(marked.drop("chunk"), ["event_id", *_KEY]).unionByName(free)
+    slim = held.select("event_id", "channel", F.to_json(F.struct(*_KEY)).alias("key"), "cooldown", seconds.alias("at"))
+    rows = numbered(slim, ["key", "at", "event_id"], "row")
+    sent = _sent(rows.select("row", "key", "at", "cooldown")).withColumn(
+        "suppressed", F.coalesce(F.col("row") - F.col("previous") - 1, F.lit(0)).cast("bigint")).select("row", "suppressed", F.lit(True).alias("sent"))
+    marked = rows.join(sent, "row", "left").select("event_id", "channel", F.coalesce("sent", F.lit(False)).alias("sent"), F.coalesce("suppressed", F.lit(0)).cast("bigint").alias("suppressed"))
+    return held.join(marked, ["event_id", "channel"]).unionByName(free)
 
 
 # --- payloads -----------------------------------------------------------------------------------------

@@ -36,6 +36,18 @@ def range_buckets(df: DataFrame, order: Sequence[str], into: str, ranges: int |
     return materialize(dealt.withColumn(into, F.spark_partition_id()))
 
 
+def numbered(df: DataFrame, order: Sequence[str], into: str, ranges: int | None = None) -> DataFrame:
+    """Adds `into`, the row's place in the order from 0 on, over the whole table: rows are sorted in range partitions,
+    written down, and shifted by the sizes of the partitions before (one number a partition)."""
+    dealt = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    rows = materialize(dealt.sortWithinPartitions(*order)).withColumns({"_part": F.spark_partition_id(), into: F.monotonically_increasing_id()})
+    before, shift = 0, {}
+    for part, n in sorted(rows.groupBy("_part").count().collect()):
+        shift[part], before = before - (part << 33), before + n
+    start = F.element_at(F.create_map(*[F.lit(x).cast("bigint") for pair in shift.items() for x in pair]), F.col("_part").cast("bigint")) if shift else F.lit(0)
+    return rows.withColumn(into, F.col(into) + start).drop("_part")
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
                    sums: Mapping[str, Column], *, inclusive: bool = True) -> DataFrame:
     """Running sum of each expression within a key. Exclusive sums leave the current row out."""

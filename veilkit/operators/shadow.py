@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,30 +71,40 @@ def to_audit(valid: DataFrame) -> DataFrame:
     )
 
 
+def _counts(users: str = "users") -> str:
+    return f"transform(map_values({users}), n -> coalesce(n, 0))"
+
+
 def admit_batches(batches: DataFrame, *, per_user: int = fixed.SHADOW_USER_PER_MINUTE, total: int = fixed.SHADOW_TOTAL_PER_MINUTE,
                   keys: Sequence[str] = ()) -> DataFrame:
     """All-or-nothing admission of event batches per minute. `batches` has (batch_id, at, users), users a
     map of user to event count. Adds `admitted`.
 
-    A batch is counted only when the whole of it fits, so the fold is sequential within a minute. What it
-    reads is one slim row per batch, and at most `total` admitted events can matter per minute: minutes
-    are independent and spread over the cluster.
+    A batch without events is admitted and one that is larger than a whole minute's limits is refused without looking
+    at any other. The rest of a minute is judged in order, Arrow block by Arrow block of a sorted partition: what is
+    carried from block to block is the number of events admitted so far, by user, which the limit itself bounds, so
+    memory does not grow with the minute. Minutes are independent of each other.
     """
-    import pandas as pd
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        seen, used, out = {}, 0, []
-        for users in group.sort_values(["at", "batch_id"])["users"]:
-            counts = dict(users)
-            fits = used + sum(counts.values()) <= total and all(seen.get(u, 0) + n <= per_user for u, n in counts.items())
-            if fits:
-                used += sum(counts.values())
-                for user, n in counts.items():
-                    seen[user] = seen.get(user, 0) + n
-            out.append(fits)
-        return group.sort_values(["at", "batch_id"])[["batch_id"]].assign(admitted=out)
-
-    kind = batches.schema["batch_id"].dataType.simpleString()
-    slim = batches.select("batch_id", "at", "users", *keys, F.date_trunc("minute", F.col("at")).alias("minute"))
-    done = slim.groupBy("minute", *keys).applyInPandas(fold, f"batch_id {kind}, admitted boolean")
-    return batches.join(done, "batch_id")
+    size = f"aggregate({_counts()}, 0L, (t, n) -> t + n)"
+    alone = F.expr(f"CASE WHEN coalesce({size}, 0) = 0 THEN true WHEN {size} > {int(total)} OR exists({_counts()}, n -> n > {int(per_user)}) THEN false END")
+    kind, named = batches.schema["batch_id"].dataType.simpleString(), ["minute", *keys]
+    slim = (batches.withColumn("minute", F.date_trunc("minute", F.col("at"))).filter(alone.isNull())
+            .select(*named, "at", "batch_id", F.map_keys("users").alias("names"), F.expr(_counts()).cast("array<bigint>").alias("counts")))
+
+    def judged(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        minute, left, seen = None, total, {}
+        for block in blocks:
+            fits = []
+            for at, names, counts in zip(zip(*(block[c] for c in named)), block["names"], block["counts"]):
+                if at != minute:
+                    minute, left, seen = at, total, {}
+                wanted = {user: seen.get(user, 0) + n for user, n in zip(names, counts)}
+                fits.append(bool(sum(counts) <= left and max(wanted.values()) <= per_user))
+                if fits[-1]:
+                    left -= sum(counts)
+                    seen.update(wanted)
+            yield block[["batch_id"]].assign(admitted=fits)
+
+    done = (slim.repartition(*named).sortWithinPartitions(*named, "at", "batch_id")
+            .mapInPandas(judged, f"batch_id {kind}, admitted boolean").withColumnRenamed("admitted", "_judged"))
+    return batches.join(done, "batch_id", "left").withColumn("admitted", F.coalesce(alone, "_judged")).drop("_judged")
