@@ -1,4 +1,5 @@
 import random
+import time
 import uuid
 
 import pytest
@@ -8,12 +9,14 @@ from tests import corpus
 from tests.test_state import CHANNELS, EVENT, cooldown_loop, event
 from veilkit import defaults
 from veilkit.operators import anomaly as AN
+from veilkit.operators import quota as Q
 from veilkit.operators import sessions as SE
 from veilkit.session import materialize
 from veilkit.sources import audit as SA
 from veilkit.streaming import alerts as AL
 from veilkit.streaming import guard as G
 from veilkit.streaming import ingest as IN
+from veilkit.streaming import quotas as QS
 from veilkit.streaming import sessions as SS
 
 
@@ -151,3 +154,83 @@ def test_a_blocked_answer_stops_all_its_blocks(spark):
     assert [rows[k].out for k in sorted(rows)] == [None, None, "10000000146 ali@x.com"]
     assert rows["a", "x"].leaked == ["EMAIL_ADDRESS"] and rows["b", "x"].leaked == [] and rows["a", "y"].action == "block"
     assert {r.out for r in G.guard_whole(answers, requests, policy).collect()} == {None, "10000000146 ali@x.com"}
+
+
+QUOTAS = {"default": {"requests_per_minute": 3, "monthly_tokens": 9_000}, "teams": {"b": {"monthly_cost_usd": 2.0, "requests_per_minute": 5}, "c": {"monthly_tokens": 500}}}
+
+
+def quota_requests(n, seed=11):
+    rnd = random.Random(seed)
+    return sorted((event(i, (i // 9) * 3600 + i % 9 if i % 3 else rnd.randint(0, 45 * 86_400), team=rnd.choice(["a", "a", "b", "c"]), prompt_tokens=rnd.randint(0, 60),
+                         completion_tokens=rnd.randint(0, 40), est_cost_usd=rnd.choice([None, 0.01, 0.031])) for i in range(n)), key=lambda e: (e["event_time"], e["event_id"]))
+
+
+def test_live_quotas_equal_the_replay(spark, tmp_path):
+    """In many micro-batches and over restarts from the checkpoint; two months, limits of all kinds."""
+    QS.keep_state_in_rocksdb(spark)
+    events = quota_requests(900)
+    columns = ["event_id", "event_time", "team", "prompt_tokens", "completion_tokens", "est_cost_usd"]
+    schema = spark.createDataFrame(events[:1], EVENT).select(*columns).schema
+    for part in range(3):
+        for i in range(2):
+            lo = (part * 2 + i) * 150
+            spark.createDataFrame(events[lo:lo + 150], EVENT).select(*columns).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        IN.append(QS.quota_stream(stream, QUOTAS), f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    out = {int(r.event_id): (r.minute_count, r.retry_after, r.quota_kind, r.quota_limit, r.quota_used) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want = {r.event_id: (r.minute_count, r.retry_after, r.quota_kind, r.quota_limit, r.quota_used) for r in Q.replay(spark.createDataFrame(events, EVENT), QUOTAS).collect()}
+    assert out == want and {k for _, _, k, _, _ in out.values()} == {None, *Q.LIMITS}
+
+
+def test_quota_state_is_let_go(spark, tmp_path):
+    """After the watermark has passed them, no minute and no earlier month is kept."""
+    QS.keep_state_in_rocksdb(spark)
+    columns = ["event_id", "event_time", "team", "prompt_tokens", "completion_tokens", "est_cost_usd"]
+    events = [event(i, i * 61, team="a") for i in range(50)] + [event(99, 70 * 86_400, team="a"), event(100, 70 * 86_400 + 9000, team="a")]
+    schema = spark.createDataFrame(events[:1], EVENT).select(*columns).schema
+    for part in (events[:50], events[50:51], events[51:]):
+        spark.createDataFrame(part, EVENT).select(*columns).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        IN.append(QS.quota_stream(stream, QUOTAS), f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    state = lambda name: spark.read.format("statestore").option("path", f"{tmp_path}/checkpoint").option("stateVarName", name).load().count()
+    assert state("minutes") <= 2 and state("months") == 1
+
+
+CHUNK = "request_id string, block string, seq int, delta string, closed boolean"
+
+
+def guard_round(spark, folder, rows, **options):
+    """One more round of chunks through the guard; (request, out) of all rounds so far."""
+    spark.createDataFrame(rows, CHUNK).write.mode("append").parquet(f"{folder}/chunks")
+    stream = spark.readStream.schema(CHUNK).parquet(f"{folder}/chunks")
+    asked = spark.range(400).select(F.concat(F.lit("r"), F.col("id")).alias("request_id"), F.lit("soru").alias("all_text"), F.expr("cast(map() AS map<string,string>)").alias("vault"),
+                                    F.lit("a").alias("team"), F.array(F.lit("a")).alias("teams"), F.lit("gpt-4o").alias("model"), F.lit("external").alias("destination"))
+    G.guard_stream(stream, asked, defaults.policy(), defaults.SCAN, out_path=f"{folder}/out", state_path=f"{folder}/state", checkpoint=f"{folder}/checkpoint",
+                   buckets=16, **options).awaitTermination()
+    return G.assemble(spark.read.parquet(f"{folder}/out").select("request_id", "block", F.col("batch").alias("seq"), F.col("out").alias("delta")), ("request_id", "block")).collect()
+
+
+def test_a_batch_of_the_guard_touches_its_own_blocks(spark, tmp_path):
+    card = "4111 1111 1111 1111"
+    guard_round(spark, tmp_path, [(f"r{i}", "text-0", 0, f"Kart {card[:9]}", False) for i in range(300)])
+    waiting = G.Waiting(spark, f"{tmp_path}/state", 16)
+    first = waiting.versions(0)
+    assert set(first) == set(range(16)) and set(first.values()) == {0}
+    mine = spark.createDataFrame([("r5", "text-0")], "request_id string, block string").select(waiting.bucket()).first().bucket
+    assert waiting.read([mine], 1).count() < 60 and waiting.read(list(first), 1).count() == 300
+    out = {r.request_id: r.text for r in guard_round(spark, tmp_path, [("r5", "text-0", 1, f"{card[9:]} tamam", True), ("r6", "text-1", 0, "kısa", True)])}
+    assert out["r5"] == "Kart [GİZLENDİ:CREDIT_CARD] tamam" and out["r6"] == "kısa"
+    second = waiting.versions(1)
+    changed = {b for b in range(16) if second.get(b) != 0}
+    assert mine in changed and len(changed) <= 2 and waiting.read(list(range(16)), 2).count() == 299
+    for n in range(2, 5):
+        guard_round(spark, tmp_path, [(f"r{i}", "text-0", n, " söz" * 40, False) for i in range(300) if i != 5])
+    assert waiting._names("lists", "batch=") == [3, 4] and waiting._names("steps", "batch=") == [4] and waiting._names("texts", "version=")[0] >= 2
+    assert waiting.read(list(range(16)), 5).agg(F.max(F.length("pending"))).first()[0] < 400
+
+
+def test_blocks_without_text_are_forgotten(spark, tmp_path):
+    guard_round(spark, tmp_path, [(f"r{i}", "text-0", 0, "söz verdim ki", False) for i in range(300)], keep_hours=1e-3)
+    time.sleep(5)
+    guard_round(spark, tmp_path, [(f"r{i}", "text-1", 0, "yeni söz", False) for i in range(300)], keep_hours=1e-3)
+    assert G.Waiting(spark, f"{tmp_path}/state", 16).read(list(range(16)), 2).select("block").distinct().count() == 1

@@ -2,15 +2,16 @@
 
 One step is a DataFrame function over (waiting text, new text): scan natively, find a cut that no value
 or placeholder crosses, render what lies before it, keep the rest. The stream runs a step per
-micro-batch and keeps the waiting texts in a table versioned by batch, so a replayed batch starts from
-the same state and gives the same output. For any chunking the pieces add up to the one-shot result.
+micro-batch over the blocks it has text for and keeps the waiting texts in a table whose parts are
+versioned by batch, so a replayed batch starts from the same state and gives the same output. For any
+chunking the pieces add up to the one-shot result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -25,6 +26,8 @@ from veilkit.streaming.ingest import each_batch
 
 KEYS = ["request_id", "block"]
 PENDING = "request_id string, block string, pending string, sent_chars int"
+STATE = PENDING + ", seen timestamp"
+BUCKETS, KEEP_HOURS = 64, 24.0
 
 
 def incremental_allowed(policy: Policy) -> bool:
@@ -140,17 +143,69 @@ def guard_buffered(answers: DataFrame, requests: DataFrame, policy: Policy, conf
                     F.col("output.action").alias("action"), F.col("output.reason").alias("reason"), F.col("output.rules").alias("rules")))
 
 
+class Waiting:
+    """Waiting texts between micro-batches: a table in BUCKETS parts by key. A batch reads and writes anew only the parts
+    that its own blocks fall in; a small list per batch names the version that holds each part. A replayed batch starts
+    from the list before it and writes the same versions again, so versions that neither of the last two lists names,
+    and older lists, are removed."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, keep_hours: float = KEEP_HOURS):
+        self.spark, self.path, self.buckets, self.keep_hours = spark, path, buckets, keep_hours
+        self.jvm = spark._jvm
+        root = self.jvm.org.apache.hadoop.fs.Path(path)
+        self.files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def bucket(self):
+        return F.pmod(F.xxhash64(*KEYS), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def _names(self, folder: str, prefix: str) -> list[int]:
+        at = self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        names = [f.getPath().getName() for f in self.files.listStatus(at)] if self.files.exists(at) else []
+        return sorted(int(n[len(prefix):]) for n in names if n.startswith(prefix))
+
+    def versions(self, number: int) -> dict[int, int]:
+        """Which version holds each part after a batch."""
+        if number < 0 or number not in self._names("lists", "batch="):
+            return {}
+        return dict(self.spark.read.schema("bucket int, version int").parquet(f"{self.path}/lists/batch={number}").select("bucket", "version").collect())
+
+    def read(self, buckets: Sequence[int], number: int) -> DataFrame:
+        """What waits in these parts before batch `number`."""
+        held = self.versions(number - 1)
+        paths = [f"{self.path}/texts/version={held[b]}/bucket={b}" for b in buckets if b in held]
+        return self.spark.read.schema(STATE).parquet(*paths) if paths else self.spark.createDataFrame([], STATE)
+
+    def write(self, rows: DataFrame, buckets: Sequence[int], number: int) -> None:
+        """These parts as they are after batch `number`, without what no text came for in `keep_hours`."""
+        fresh = rows.filter(F.col("seen") >= F.current_timestamp() - F.expr(f"INTERVAL {int(self.keep_hours * 3600)} SECONDS"))
+        fresh.withColumn("bucket", self.bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/texts/version={number}")
+        held = {b: v for b, v in self.versions(number - 1).items() if b not in set(buckets)}
+        held |= {b: number for b in self._names(f"texts/version={number}", "bucket=")}
+        (self.spark.createDataFrame(sorted(held.items()), "bucket int, version int").coalesce(1)  # at most `buckets` rows
+         .write.mode("overwrite").parquet(f"{self.path}/lists/batch={number}"))
+        named = {*held.values(), *self.versions(number - 1).values(), number}
+        for folder, prefix, keep in (("texts", "version=", named), ("lists", "batch=", {number - 1, number}), ("steps", "batch=", {number})):
+            for old in set(self._names(folder, prefix)) - keep:
+                if old < number:
+                    self.files.delete(self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}/{prefix}{old}"), True)
+
+
 def guard_stream(chunks: DataFrame, requests: DataFrame, policy: Policy, config: ScanConfig, *, out_path: str, state_path: str,
-                 checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Run a step per micro-batch: waiting texts are read from the version the previous batch wrote."""
+                 checkpoint: str, once: bool = True, buckets: int = BUCKETS, keep_hours: float = KEEP_HOURS) -> StreamingQuery:
+    """Run a step per micro-batch over the blocks that it has text for: their waiting texts, and their requests, are all
+    that is read besides the batch."""
     def work(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = f"{state_path}/{number - 1}"
-        pending = spark.read.schema(PENDING).parquet(before) if number > 0 else spark.createDataFrame([], PENDING)
-        result = f"{state_path}/step-{number}"
-        step(pending, batch, requests, policy, config).write.mode("overwrite").parquet(result)
+        waiting = Waiting(spark, state_path, buckets, keep_hours)
+        own = batch.select(*KEYS).distinct()
+        touched = sorted(r.bucket for r in own.select(waiting.bucket()).distinct().collect())  # at most `buckets` numbers
+        held = waiting.read(touched, number)
+        asked = requests.join(own.select("request_id").distinct(), "request_id", "left_semi")
+        result = f"{state_path}/steps/batch={number}"
+        step(held.join(own, KEYS, "left_semi").drop("seen"), batch, asked, policy, config).write.mode("overwrite").parquet(result)
         done = spark.read.parquet(result)
-        done.filter("NOT closed").select(*KEYS, "pending", "sent_chars").write.mode("overwrite").parquet(f"{state_path}/{number}")
+        kept = done.filter("NOT closed").select(*KEYS, "pending", "sent_chars", F.current_timestamp().alias("seen"))
+        waiting.write(kept.unionByName(held.join(own, KEYS, "left_anti")), touched, number)
         (done.filter("out <> ''").select(*KEYS, F.lit(number).alias("batch"), "out", "leaked")
          .write.mode("overwrite").parquet(f"{out_path}/batch={number}"))
 
