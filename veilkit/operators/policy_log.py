@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilkit.operators.ordered import range_buckets
+from veilkit.operators.policy import Context, decision_sql
+from veilkit.plans.compliance import declared_sql
+
 ACTIVATING = ["approved", "applied", "emergency"]
 EMERGENCY_REASON_CHARS = 10
 
@@ -49,3 +55,30 @@ def rules_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def diff_counts(diff: DataFrame) -> DataFrame:
     return diff.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("added", "changed", "removed")])
+
+
+def version_at(rows: DataFrame, events: DataFrame, *, time: str = "event_time", into: str = "policy_version") -> DataFrame:
+    """Adds the version in force at each row's time: that of the latest activating event at or before it, NULL before the
+    first one. Rows and events stand in one order, cut into ranges of about as many rows each; the last event of a range
+    is carried on to the ranges after it, one row a range, so neither a long log nor a hot day is one task."""
+    log = (events.filter(F.col("event").isin(*ACTIVATING))
+           .select(F.col("ts").alias("_at"), F.lit(0).alias("_kind"), F.col("event_id").cast("string").alias("_tie"), F.struct("version").alias("_set")))
+    own = rows.withColumns({"_at": F.col(time), "_kind": F.lit(1), "_tie": F.lit("")})
+    placed = range_buckets(own.unionByName(log, allowMissingColumns=True), ["_at", "_kind", "_tie"], "_place")
+    inside = Window.partitionBy("_place").orderBy("_at", "_kind", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    last = placed.filter("_kind = 0").groupBy("_place").agg(F.max_by("_set", F.struct("_at", "_tie")).alias("_own"))
+    every = placed.select("_place").distinct().join(last, "_place", "left")  # a row per range
+    before = Window.orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.select("_place", F.last("_own", ignorenulls=True).over(before).alias("_carried"))
+    found = placed.withColumn("_set", F.last("_set", ignorenulls=True).over(inside)).filter("_kind = 1").join(carried, "_place")
+    return found.withColumn(into, F.coalesce("_set", "_carried")["version"]).select(*rows.columns, into)
+
+
+def evaluate_at(rows: DataFrame, policies: Mapping, *, version: str = "policy_version", into: str = "decision") -> DataFrame:
+    """Each row judged by the rules of its own version, all in one projection; NULL where no version was in force or
+    the version is not among `policies`."""
+    out, names = rows, []
+    for number, (key, policy) in enumerate(sorted(policies.items())):
+        names.append((key, f"_decision_{number}"))
+        out = out.withColumn(names[-1][1], F.when(F.col(version) == key, F.expr(decision_sql(policy.rules, policy.mode, policy.default_action, Context(declared=declared_sql(policy.systems))))))
+    return out.withColumn(into, F.coalesce(*[F.col(n) for _, n in names])).drop(*[n for _, n in names])

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from veilkit import fixed
 
 EVENT_SCHEMA = ", ".join(f"`{name}` {kind}" for name, kind in fixed.AUDIT_EVENT_FIELDS)
 _NULLABLE = {"est_cost_usd"}
+BLOOM_ROWS = 200_000
 
 
 def _default(kind: str) -> str:
@@ -54,12 +57,18 @@ def to_audit(events: DataFrame) -> DataFrame:
     )
 
 
-def write_audit(audit: DataFrame, path: str, *, mode: str = "append", files_per_month: int = 1) -> None:
-    """Parquet by month, sorted by (team, action, event_time) so row-group statistics prune. Rows are
-    spread over `files_per_month` writers per month: a busy month must not land in one task."""
+def _bloom(writer: DataFrameWriter, column: str, distinct: int) -> DataFrameWriter:
+    """A Bloom filter per row group, for `distinct` values of a column: a look-up reads the row groups that may have it."""
+    return (writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", str(distinct)))
+
+
+def write_audit(audit: DataFrame, path: str, *, mode: str = "append", files_per_month: int = 1, rows_expected: int = BLOOM_ROWS) -> None:
+    """Parquet by month, sorted by (team, action, event_time) so row-group statistics prune, with Bloom filters on
+    event_id, which the order says nothing about. Rows are spread over `files_per_month` writers per month: a busy
+    month must not land in one task."""
     salt = F.pmod(F.xxhash64("event_id"), F.lit(files_per_month))
-    (audit.repartition("month", salt).sortWithinPartitions("team", "action", "event_time")
-     .write.mode(mode).partitionBy("month").parquet(path))
+    (_bloom(audit.repartition("month", salt).sortWithinPartitions("team", "action", "event_time").write.mode(mode), "event_id", rows_expected)
+     .partitionBy("month").parquet(path))
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
@@ -101,8 +110,19 @@ def subject_index(audit: DataFrame) -> DataFrame:
     return audit.select(F.explode("subject_hashes").alias("hash"), "event_id", "event_time", month.alias("month"))
 
 
-def write_subject_index(index: DataFrame, path: str, *, mode: str = "append", files_per_month: int = 1) -> None:
-    """Parquet by month, sorted by hash, so that a search reads the row groups of its hashes only. Hashes are
-    dealt over `files_per_month` writers."""
+def write_subject_index(index: DataFrame, path: str, *, mode: str = "append", files_per_month: int = 1, hashes_expected: int = BLOOM_ROWS) -> None:
+    """Parquet by month, sorted by hash and with Bloom filters on it, so that a search reads the row groups of its
+    hashes only. Hashes are dealt over `files_per_month` writers."""
     salt = F.pmod(F.xxhash64("hash"), F.lit(files_per_month))
-    index.repartition("month", salt).sortWithinPartitions("hash", "event_time").write.mode(mode).partitionBy("month").parquet(path)
+    rows = index.repartition("month", salt).sortWithinPartitions("hash", "event_time")
+    _bloom(rows.write.mode(mode), "hash", hashes_expected).partitionBy("month").parquet(path)
+
+
+def find_events(audit: DataFrame, event_ids: Sequence) -> DataFrame:
+    """Rows of a few events: the ids go to the scan, which skips row groups without them."""
+    return audit.filter(F.col("event_id").isin(list(event_ids)))
+
+
+def find_hashes(index: DataFrame, hashes: Sequence[str]) -> DataFrame:
+    """Index rows of a few hashes, read likewise."""
+    return index.filter(F.col("hash").isin(list(hashes)))
