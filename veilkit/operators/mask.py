@@ -149,7 +149,7 @@ def mask_row(texts: str, part_findings: str, wanted: str) -> str:
         "es", "array_distinct(transform(seen, x -> x.entity))", let("names", names, result))))
 
 
-def _tokens(text: str) -> str:
+def token_pieces(text: str) -> str:
     return f"split(regexp_replace({text}, {literal(fixed.PLACEHOLDER_PATTERN)}, '\\u0001$0\\u0001'), '\\u0001', -1)"
 
 
@@ -162,7 +162,7 @@ def unmask(df: DataFrame, vault: DataFrame, scope: Sequence[str], key: Sequence[
     found = (df.select(*used, F.explode(tokens).alias("placeholder"))
              .join(vault.select(*scope, "placeholder", "original"), [*scope, "placeholder"])
              .groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "original"))).alias("_map")))
-    rebuilt = (f"if(_map IS NULL, `{text}`, array_join(transform({_tokens('`' + text + '`')}, "
+    rebuilt = (f"if(_map IS NULL, `{text}`, array_join(transform({token_pieces('`' + text + '`')}, "
                "(p, i) -> if(i % 2 = 1, coalesce(_map[p], p), p)), ''))")
     return df.join(found, list(key), "left").withColumn(into, F.expr(rebuilt)).drop("_map")
 

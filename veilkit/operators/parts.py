@@ -1,7 +1,9 @@
 """Texts that come in parts: each part is scanned once, plus a short window over every boundary.
 
 A value or phrase split over two parts is found in the window; what a window finds near its cut edges
-or on top of a finding inside a part is dropped. The result equals scanning the joined text.
+or on top of a finding inside a part is dropped. A finding inside a part always wins, so the result differs from a
+scan of the joined text where a part's own text reads differently with its neighbour's: a longer value over the
+boundary is not found if a shorter one inside a part is.
 """
 
 from __future__ import annotations

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +53,9 @@ def mask_parts(analyzed: DataFrame) -> DataFrame:
             .withColumn("vault", F.col("_m.vault")).drop("_m"))
 
 
-def audit_rows(analyzed: DataFrame, policy: P.Policy, *, subject_key: bytes | None = None) -> DataFrame:
-    """Audit columns from a decided request. A blocked request costs nothing; an unknown price is NULL."""
+def audit_rows(analyzed: DataFrame, policy: P.Policy, *, subject_key: bytes | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Audit columns from a decided request, and the columns to `keep`. A blocked request costs nothing; an unknown
+    price is NULL."""
     blocked = F.col("decision.action") == "block"
     known = F.col("prompt_tokens").isNotNull() if "prompt_tokens" in analyzed.columns else F.lit(False)
     prompt = F.coalesce("prompt_tokens", F.lit(0)) if "prompt_tokens" in analyzed.columns else F.lit(0)
@@ -75,4 +78,4 @@ def audit_rows(analyzed: DataFrame, policy: P.Policy, *, subject_key: bytes | No
         F.when(blocked, 0).otherwise(completion).cast("bigint").alias("completion_tokens"),
         F.when(blocked, 0.0).when(known, cost).alias("est_cost_usd"),
         F.expr(_STRINGS).alias("output_leaked"), F.lit("").alias("output_action"), F.expr(_STRINGS).alias("output_rules"),
-        F.lit("").alias("quota"), hashes.alias("subject_hashes"))
+        F.lit("").alias("quota"), hashes.alias("subject_hashes"), *keep)
