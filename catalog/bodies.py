@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import gzip
-import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalog.common import AS_OF, DAYS, MS, audit, flat, label_sql, provider_sql, sql, table
+from catalog.common import AS_OF, DAYS, MS, audit, flat, label_sql, provider_sql, scratch, sql, table
 from catalog.prompts import PROMPTS_CTE, prompts
 from veilkit import defaults, fixed
 from veilkit.functions.arrays import pinned
@@ -19,7 +18,6 @@ from veilkit.operators import flatten as FL
 from veilkit.operators import mask as M
 from veilkit.operators import parts as PT
 from veilkit.plans import usage as U
-from veilkit.session import checkpoint_dir
 from veilkit.sources import audit as SA
 from veilkit.sources import csv_report as CR
 
@@ -119,16 +117,18 @@ def conversation_bodies(s, d):
 
 
 def large_bodies(s, d):
-    """Documents 45 JSON levels down, and every 250th as plain text of over 5 MiB; both end in a marker."""
-    docs = table(s, d, "documents").select("doc_id", F.concat("text", F.lit(" son ek")).alias("text"))
-    q = _quoted("text")
-    nested = docs.select("doc_id", F.expr(f"encode(concat(repeat('[', 45), {q}, repeat(']', 45)), 'UTF-8')").alias("body"),
+    """Every document 45 JSON levels down, and the documents of a language and source in blocks of 2,000 together as plain
+    texts, the largest of which have over 5 MiB; all end in a marker."""
+    docs = table(s, d, "documents").select("doc_id", "lang", "source", "text")
+    q = _quoted("concat(text, ' son ek')")
+    nested = docs.select("doc_id", F.lit("").alias("of"), F.expr(f"encode(concat(repeat('[', 45), {q}, repeat(']', 45)), 'UTF-8')").alias("body"),
                          F.lit("application/json").alias("content_type"))
-    long = docs.filter("doc_id % 250 = 0").select(
-        (-F.col("doc_id") - 1).alias("doc_id"), F.expr("encode(repeat(text, cast(ceil(5300000 / length(text)) AS int)), 'UTF-8')").alias("body"),
-        F.lit("text/plain").alias("content_type"))
+    block = F.floor(F.col("doc_id") / 2000).alias("doc_id")
+    together = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n")
+    long = (docs.groupBy(F.concat_ws("/", "lang", "source").alias("of"), block).agg(F.encode(F.concat(together, F.lit(" son ek")), "UTF-8").alias("body"))
+            .select("doc_id", "of", "body", F.lit("text/plain").alias("content_type")))
     rows = nested.unionByName(long).withColumn("content_encoding", F.lit(""))
-    return B.extract_text(rows).select("doc_id", F.sha2("text", 256).alias("sha"), "unscannable")
+    return B.extract_text(rows).select("doc_id", "of", F.sha2("text", 256).alias("sha"), F.length("text").cast("bigint").alias("chars"), "unscannable")
 
 
 def _attached(s, d):
@@ -153,10 +153,9 @@ def attachment_limits(s, d):
 
 
 def unscannable_lists(s, d):
-    rows = table(s, d, "documents").select(
-        "doc_id", (F.col("doc_id") % 40).alias("request_id"), F.lit("image/png").alias("media_type"), F.lit("görsel").alias("name"),
-        F.encode("text", "UTF-8").alias("content"), F.lit(None).cast("string").alias("remote_reason"))
-    return flat(AT.unscannable_lists(AT.scan_texts(rows, "request_id", "doc_id", max_count=10), "request_id"))
+    """Forty documents a request, as files of all types: each one that cannot be read with the reason of its type."""
+    rows = _attached(s, d).withColumn("request_id", F.floor(F.col("doc_id") / 40))
+    return flat(AT.unscannable_lists(AT.scan_texts(rows, "request_id", "doc_id"), "request_id"))
 
 
 def report_file(s, d):
@@ -166,9 +165,13 @@ def report_file(s, d):
     return lines.filter("position >= 0").select("line")
 
 
-def scratch(s) -> str:
-    """A folder of its own inside the shared checkpoint folder."""
-    return f"{checkpoint_dir(s)}/veilkit-{uuid.uuid4().hex}"
+def report_bytes(s, d):
+    """The written report file byte by byte: mark, heading lines, rows in order, line ends."""
+    folder = scratch(s)
+    rows = U.transfer(audit(s, d).withColumn("team", F.expr("if(team = 'finans', '=finans', team)")), "2024-01")
+    CR.write_report(rows, fixed.TRANSFER_COLUMNS, f"{folder}/report", title="Yurt dışı aktarım")
+    files = s.read.format("binaryFile").load(f"{folder}/report/part-*")
+    return files.select(F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha"), F.hex(F.substring("content", 1, 3)).alias("mark"))
 
 
 def json_events(s, d):
@@ -211,6 +214,7 @@ QUERIES = {
     "a3_retention": retention,
     "a4_emit_audit": lambda s, d: SA.event_json(json_events(s, d)).groupBy("key").agg(F.count(F.lit(1)).alias("n")),
     "a5_report_file": report_file,
+    "a5_report_bytes": report_bytes,
     "a6_request_parts": request_parts,
     "a10_json_leaves": json_leaf_counts,
     "a13_response_parts": response_parts,
@@ -235,6 +239,13 @@ ORACLES = {
  || ';' || count(*) FILTER (WHERE action<>'block' AND list_contains(masked_entities, entity)) || ';' || count(*) FILTER (WHERE action<>'block' AND NOT list_contains(masked_entities, entity))
  || ';' || count(*) FILTER (WHERE action='block') AS line FROM (SELECT *, unnest(entities) AS entity FROM audit WHERE destination='external') WHERE NOT starts_with(entity,'SECRET_')
  AND NOT starts_with(entity,'KURUM_') GROUP BY team, model, entity"""),
+    "a5_report_bytes": sql(f"""SELECT strlen(body) AS bytes, sha256(body) AS sha, 'EFBBBF' AS mark FROM (SELECT chr(65279) || 'Yurt dışı aktarım' || chr(13) || chr(10) ||
+ '{";".join(label for _, label in fixed.TRANSFER_COLUMNS)}' || chr(13) || chr(10) || string_agg(line || chr(13) || chr(10), '' ORDER BY unmasked DESC, requests DESC, team, model, entity) AS body FROM (
+ SELECT team, model, entity, count(*) AS requests, count(*) FILTER (WHERE action<>'block' AND NOT list_contains(masked_entities, entity)) AS unmasked,
+ CASE WHEN team='=finans' THEN chr(39) || '=finans' ELSE team END || ';' || {provider_sql()} || ';' || model || ';' || {label_sql()} || ';' || count(*) || ';' || count(DISTINCT "user")
+ || ';' || count(*) FILTER (WHERE action<>'block' AND list_contains(masked_entities, entity)) || ';' || count(*) FILTER (WHERE action<>'block' AND NOT list_contains(masked_entities, entity))
+ || ';' || count(*) FILTER (WHERE action='block') AS line FROM (SELECT * REPLACE (CASE WHEN team='finans' THEN '=finans' ELSE team END AS team), unnest(entities) AS entity FROM audit
+ WHERE destination='external') WHERE NOT starts_with(entity,'SECRET_') AND NOT starts_with(entity,'KURUM_') GROUP BY team, model, entity))"""),
     "a6_request_parts": sql(f"SELECT event_id, ['chat','responses','messages','embeddings'][event_id % 4 + 1] AS api_format, {_PARTS} AS parts FROM prompts", PROMPTS_CTE),
     "a10_json_leaves": sql("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 13 WHEN 1 THEN 12 WHEN 2 THEN 13 ELSE 2 END AS strings, CASE event_id % 4 WHEN 0 THEN 2 ELSE 0 END AS numbers FROM audit"""),
     "a13_response_parts": sql("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'assistant=' || answer || '|assistant=b' WHEN 1 THEN 'assistant=' || answer WHEN 2 THEN 'assistant=' || answer || '|assistant=q' ELSE '' END AS parts,
@@ -251,10 +262,14 @@ ORACLES = {
  ELSE 'desteklenmeyen tür (' || ['text/plain','application/pdf','image/png','application/zip','bilinmiyor'][doc_id % 5 + 1] || ')' END AS reason,
  CASE WHEN kind = 'text' AND n <= 20 AND doc_id % 7 <> 0 AND octet_length(encode(text)) <= 3000 THEN length(text) END AS chars
  FROM (SELECT *, ['text','pdf','image','other','text'][doc_id % 5 + 1] AS kind, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id) AS n FROM documents)""",
-    "a15_large_bodies": """SELECT doc_id, sha256(trim(text || ' son ek', ' ')) AS sha, false AS unscannable FROM documents
- UNION ALL SELECT -doc_id - 1, sha256(repeat(text || ' son ek', CAST(ceil(5300000 / length(text || ' son ek')) AS INT))), false FROM documents WHERE doc_id % 250 = 0""",
-    "a17_unscannable": """SELECT doc_id % 40 AS request_id, CASE WHEN count(*) > 10 THEN 'görsel: desteklenmeyen tür (image/png),görsel: ek sayısı sınırı (10)'
- ELSE 'görsel: desteklenmeyen tür (image/png)' END AS unscannable FROM documents GROUP BY 1""",
+    "a15_large_bodies": """SELECT doc_id, '' AS of, sha256(trim(text || ' son ek', ' ')) AS sha, length(trim(text || ' son ek', ' ')) AS chars, false AS unscannable FROM documents
+ UNION ALL SELECT doc_id, of, sha256(body), length(body), false FROM (SELECT doc_id // 2000 AS doc_id, lang || '/' || source AS of,
+ string_agg(text, chr(10) ORDER BY doc_id, text) || ' son ek' AS body FROM documents GROUP BY 1, 2)""",
+    "a17_unscannable": """SELECT request_id, string_agg(DISTINCT name || ': ' || reason, ',' ORDER BY name || ': ' || reason) AS unscannable FROM (
+ SELECT doc_id // 40 AS request_id, 'ek' || doc_id || CASE WHEN doc_id % 5 = 4 THEN '.MD' ELSE '' END AS name,
+ CASE WHEN doc_id % 7 = 0 THEN CASE WHEN doc_id % 14 = 0 THEN 'file_id' ELSE 'uzak adres' END WHEN doc_id % 5 IN (0, 4) THEN NULL
+ ELSE 'desteklenmeyen tür (' || ['text/plain','application/pdf','image/png','application/zip','bilinmiyor'][doc_id % 5 + 1] || ')' END AS reason
+ FROM documents) WHERE reason IS NOT NULL GROUP BY 1""",
     "c10_mask_nested": sql("""SELECT event_id, replace(replace(replace(replace(replace(text, iban, '[IBAN_TR_1]'), project, '[KURUM_PROJE_1]'), phone, '[PHONE_TR_1]'), aws, '[SECRET_AWS_KEY_1]'), shown, '[TCKN_1]') AS user_text,
  '{"q": "Proje ' || team || '", "n": [1, "iki"]}' AS arguments, len(entities) AS masked_values FROM prompts""", PROMPTS_CTE),
     "e14_subject_index": sql("SELECT h AS hash, count(*) AS events, 202401 AS month FROM (SELECT unnest(subject_hashes) AS h FROM audit) GROUP BY 1"),

@@ -9,8 +9,11 @@ from catalog.prompts import PROMPTS_CTE, prompts
 from catalog.scan import _ENTITIES, _SCORE
 from veilkit import defaults, fixed
 from veilkit.operators import policy as P
+from veilkit.operators import policy_log as L
+from veilkit.operators import prefix_table as PX
 from veilkit.operators import scan as S
 from veilkit.plans import compliance as C
+from veilkit.plans import guardrail as GR
 from veilkit.plans import impact as IM
 from veilkit.plans import requests as RQ
 from veilkit.plans import usage as U
@@ -150,11 +153,53 @@ def flagship(s, d):
     return U.entities(RQ.audit_rows(rows, POLICY), AS_OF, DAYS)
 
 
+def guardrail_calls(s, d):
+    """Every prompt as a call that a gateway asks about; the destination is stated for some, rightly or not."""
+    return prompts(s, d).withColumns({
+        "source": F.expr("if(event_id % 2 = 0, 'kapi-a', 'kapi-b')"), "session_id": F.concat(F.lit("oturum-"), F.col("event_id").cast("string")),
+        "stated_destination": F.expr("element_at(array('internal', 'external', NULL), cast(event_id % 3 AS int) + 1)"),
+        "parts": F.expr("array(named_struct('role', 'user', 'text', text))")})
+
+
+def guardrail_requests(s, d):
+    judged = GR.requests(guardrail_calls(s, d), POLICY, defaults.SCAN)
+    return flat(GR.request_audit(judged, POLICY).select("event_id", "destination", "action", "rules", "masked_count", "prompt_sha256", "est_cost_usd", "auth_source"))
+
+
+def guardrail_answers(s, d):
+    """The answers half a minute later, as two texts; the session knows what the request sent unless it was blocked."""
+    calls = guardrail_calls(s, d)
+    asked = calls.select("event_id", F.expr("event_time + INTERVAL 30 SECONDS").alias("event_time"), "source", "session_id", F.lit("kimse").alias("user"),
+                         F.expr("cast(array() AS array<string>)").alias("teams"), "model", F.lit(None).cast("string").alias("stated_destination"),
+                         F.expr("array(answer, 'son')").alias("texts"))
+    rows = GR.answer_audit(GR.answers(asked, GR.requests(calls, POLICY, defaults.SCAN), POLICY, defaults.SCAN))
+    return flat(rows.select("event_id", "user", "team", "rules", "output_leaked", "output_action", "output_rules", "monitored_rules"))
+
+
 def built_audit(s, d):
     rows = RQ.audit_rows(RQ.analyze_texts(prompts(s, d), POLICY, defaults.SCAN), POLICY)
     return flat(rows.select("event_id", "action", "rules", "reason", "masked_entities", "entities", "prompt_sha256", "prompt_chars", "est_cost_usd"))
 
 
+VERSIONS = {1: POLICY, 2: defaults.policy(mode="monitor"), 3: defaults.policy(rules=[r for r in defaults.RULES if r["name"] == "sirlar-her-yerde-maskele"])}
+
+
+def decided_at(s, d):
+    """Recorded requests judged by the version that was in force at their time."""
+    log = s.sql("SELECT * FROM VALUES (1L, TIMESTAMP_NTZ'2024-01-05 00:00:00', 'a', 'approved'), (9L, TIMESTAMP_NTZ'2024-01-06 00:00:00', 'b', 'created'), "
+                "(2L, TIMESTAMP_NTZ'2024-01-15 12:00:00', 'c', 'emergency'), (3L, TIMESTAMP_NTZ'2024-01-22 00:00:00', 'd', 'applied') AS t(version, ts, event_id, event)")
+    rows = L.evaluate_at(L.version_at(audit(s, d), log), VERSIONS)
+    return rows.select("event_id", "policy_version", F.col("decision.action").alias("action"))
+
+
+def provider_table(s, d):
+    """Ten thousand prefixes, the real ones among them: the longest one names each request's provider."""
+    wide = s.range(10_000).select(F.concat(F.lit("model-"), F.col("id")).alias("prefix"), F.concat(F.lit("P"), F.col("id")).alias("value"))
+    real = s.sql("SELECT * FROM VALUES ('gpt-', 'OpenAI'), ('gpt-4o-', 'OpenAI mini'), ('claude-', 'Anthropic'), ('gemini', 'Google'), ('gemini-2', 'Google 2') AS t(prefix, value)")
+    rows = PX.longest_prefix(audit(s, d).select("event_id", "model"), "model", wide.unionByName(real), into="provider")
+    return rows.groupBy("model", "provider").agg(F.count(F.lit(1)).alias("n"))
+
+
 def lint(s, d):
     rules = table(s, d, "part").select(F.lit("rules").alias("kind"), F.concat(F.lit("kural-"), F.col("p_partkey").cast("string")).alias("name"),
                                        F.expr("array(element_at(array('TCKN', 'TCKNN', 'SECRET_*', 'KURUM_X', 'IBAN_??', 'PHONE'), "
@@ -165,6 +210,8 @@ def lint(s, d):
 QUERIES = {
     "d1_destinations": lambda s, d: recorded(s, d).select("event_id", P.destination_of(F.col("model"), POLICY).alias("destination")),
     "d2_providers": providers,
+    "d3_provider_table": provider_table,
+    "d16_decided_at": decided_at,
     "d5_decisions": decisions,
     "d7_routing": routed,
     "d8_declared": declared,
@@ -185,6 +232,8 @@ QUERIES = {
     "d21_simulate": simulated,
     "d22_unknown_entities": lint,
     "a20_audit_rows": built_audit,
+    "a20_guardrail_requests": guardrail_requests,
+    "c7_guardrail_answers": guardrail_answers,
     "a20_requests_to_entities": flagship,
 }
 
@@ -209,6 +258,7 @@ def _decided(score: str, ext: str, source: str, extra=()) -> str:
             f"WHEN k%13=0 THEN 'sirlar-her-yerde-maskele' WHEN {score} >= 0.5::DOUBLE THEN 'prompt-injection-alert' END AS why FROM {source}")
 
 
+_GUARD_SCORED = _SCORED.replace("CASE WHEN starts_with", "CASE WHEN event_id % 3 = 1 THEN 'external' WHEN starts_with")
 _DECIDED = "decided AS (" + _decided("score", "dest='external'", "scored") + ")"
 _REC = "rec AS (SELECT *, injection_score AS score, destination AS dest FROM audit)"
 _REC_EXT = "rec AS (SELECT *, injection_score AS score, 'external' AS dest FROM audit)"
@@ -294,6 +344,19 @@ ORACLES = {
  WHERE pattern IN ('TCKNN', 'PHONE', 'KISI*')""",
     "a20_audit_rows": sql(f"""SELECT event_id, decided AS action, array_to_string(fired, ',') AS rules, coalesce(why, '') AS reason, array_to_string(masks, ',') AS masked_entities,
  {_ENTITIES} AS entities, sha256(text) AS prompt_sha256, length(text) AS prompt_chars, CASE WHEN decided='block' THEN 0::DOUBLE END AS est_cost_usd FROM decided""", PROMPTS_CTE, _SCORED, _DECIDED),
+    "a20_guardrail_requests": sql("""SELECT event_id, dest AS destination, decided AS action, array_to_string(list_append(fired, 'guardrail:' || CASE WHEN event_id % 2 = 0 THEN 'kapi-a' ELSE 'kapi-b' END), ',') AS rules,
+ CASE WHEN decided='mask' THEN len(masks) ELSE 0 END AS masked_count, sha256(text) AS prompt_sha256, CAST(NULL AS DOUBLE) AS est_cost_usd, 'guardrail' AS auth_source FROM decided""", PROMPTS_CTE, _GUARD_SCORED, _DECIDED),
+    "c7_guardrail_answers": sql("""SELECT event_id, CASE WHEN decided='block' THEN 'kimse' ELSE "user" END AS "user", CASE WHEN decided='block' THEN 'default' ELSE team END AS team,
+ 'guardrail:' || CASE WHEN event_id % 2 = 0 THEN 'kapi-a' ELSE 'kapi-b' END || ',guardrail:cevap' AS rules, array_to_string(list_concat(leaked, more), ',') AS output_leaked,
+ CASE WHEN list_contains(leaked, 'CREDIT_CARD') THEN 'mask' ELSE 'allow' END AS output_action, CASE WHEN list_contains(leaked, 'CREDIT_CARD') THEN 'cikti-kimlik-finans-gizle' ELSE '' END AS output_rules,
+ CASE WHEN list_contains(leaked, 'EMAIL_ADDRESS') OR len(more) > 0 THEN 'cikti-iletisim-gizle' ELSE '' END AS monitored_rules
+ FROM (SELECT *, list_filter([CASE WHEN event_type='purchase' AND k%3=0 THEN 'CREDIT_CARD' END, CASE WHEN event_type='click' AND k%9=0 THEN 'EMAIL_ADDRESS' END], lambda e: e IS NOT NULL) AS leaked,
+  CASE WHEN decided='block' AND k%5=0 THEN ['PHONE_TR'] ELSE []::VARCHAR[] END AS more FROM decided) WHERE len(leaked) + len(more) > 0""", PROMPTS_CTE, _GUARD_SCORED, _DECIDED),
+    "d3_provider_table": sql("""SELECT model, CASE WHEN starts_with(model, 'gpt-4o-') THEN 'OpenAI mini' WHEN starts_with(model, 'gpt-') THEN 'OpenAI' WHEN starts_with(model, 'claude-') THEN 'Anthropic'
+ WHEN starts_with(model, 'gemini-2') THEN 'Google 2' WHEN starts_with(model, 'gemini') THEN 'Google' END AS provider, count(*) AS n FROM audit GROUP BY 1, 2"""),
+    "d16_decided_at": sql("""SELECT event_id, CASE WHEN event_time < TIMESTAMP '2024-01-05' THEN NULL WHEN event_time < TIMESTAMP '2024-01-15 12:00:00' THEN 1
+ WHEN event_time < TIMESTAMP '2024-01-22' THEN 2 ELSE 3 END AS policy_version, CASE WHEN event_time < TIMESTAMP '2024-01-05' THEN NULL WHEN event_time < TIMESTAMP '2024-01-15 12:00:00' THEN decided
+ WHEN event_time < TIMESTAMP '2024-01-22' THEN 'allow' WHEN k%13=0 THEN 'mask' ELSE 'allow' END AS action FROM decided""", _REC, _REC_DECIDED),
     "a20_requests_to_entities": sql(f"""SELECT entity, count(*) AS requests, count(*) FILTER (WHERE dest='external') AS external, count(*) FILTER (WHERE decided='block') AS blocked,
  count(*) FILTER (WHERE decided<>'block' AND list_contains(masks, entity)) AS masked, count(*) FILTER (WHERE dest='external' AND decided<>'block' AND NOT list_contains(masks, entity)) AS external_unmasked
  FROM (SELECT d.*, unnest(string_split({_ENTITIES}, ',')) AS entity FROM decided d WHERE {WINDOW}) WHERE entity <> '' GROUP BY 1""", PROMPTS_CTE, _SCORED, _DECIDED),

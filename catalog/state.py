@@ -176,6 +176,8 @@ ORACLES = {
  SELECT event_id, "user", signal, threshold, threshold AS n FROM ca UNION ALL SELECT event_id, "user", 'subjects', 3, n_subjects FROM sa)""", _SIGNALS, _ALERTS, _SUBJ),
     "f3_subjects_approx_error": sql(f"""SELECT "user", count(*) AS windows, true AS near FROM (SELECT "user", date_trunc('day', event_time) AS slot, count(DISTINCT h) AS n
  FROM (SELECT "user", event_time, unnest(subject_hashes) AS h FROM audit WHERE "user" <> 'anonymous' AND destination='external' AND action<>'block') GROUP BY 1, 2) WHERE n >= 3 GROUP BY 1"""),
+    "f3_subjects_approx": sql("""SELECT DISTINCT "user" FROM (SELECT "user", date_trunc('day', event_time) AS slot, count(DISTINCT h) AS n FROM (SELECT "user", event_time,
+ unnest(subject_hashes) AS h FROM audit WHERE "user" <> 'anonymous' AND destination='external' AND action<>'block') GROUP BY 1, 2) WHERE n >= 3"""),
     "f3_subject_alerts": sql(f"SELECT event_id, \"user\", strftime(slot, {MS}) AS slot, n_subjects AS count FROM sa", _SUBJ),
     "f4_f5_quota_replay": sql("""SELECT event_id, minute_count, kind AS quota_kind, CASE kind WHEN 'requests_per_minute' THEN rpm::DOUBLE WHEN 'monthly_tokens' THEN lt::DOUBLE
  WHEN 'monthly_cost_usd' THEN lc END AS quota_limit, CASE kind WHEN 'requests_per_minute' THEN minute_count::DOUBLE WHEN 'monthly_tokens' THEN ft::DOUBLE
@@ -190,6 +192,17 @@ ORACLES = {
     "f12_reported_once": sql("""SELECT event_id, "user" AS session_id FROM (SELECT event_id, "user", event_time, lag(event_time) OVER (PARTITION BY "user" ORDER BY event_time, event_id) AS p
  FROM audit WHERE len(output_leaked) > 0) WHERE p IS NULL OR event_time > p + INTERVAL 7200 SECOND"""),
 }
+ORACLES["f11_shadow_admission"] = sql("""SELECT batch_id, fits AS admitted FROM fold WHERE i > 0""", """
+users AS (SELECT team, date_trunc('hour', event_time) AS hr, "user", CAST(count(*) AS BIGINT) AS n FROM audit WHERE api_format = 'browser' GROUP BY ALL),
+batches AS (SELECT hr, batch_id, us, row_number() OVER (PARTITION BY hr ORDER BY batch_id) AS i FROM (
+ SELECT hr, team || '|' || strftime(hr, '%Y%m%d%H') AS batch_id, list({'u': "user", 'n': n}) AS us FROM users GROUP BY hr, team)),
+fold(hr, i, used, seen, batch_id, fits) AS (
+ SELECT DISTINCT hr, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(MAP {} AS MAP(VARCHAR, BIGINT)), CAST(NULL AS VARCHAR), CAST(NULL AS BOOLEAN) FROM batches
+ UNION ALL SELECT hr, i, CASE WHEN ok THEN now ELSE used END, CASE WHEN ok THEN map_concat(seen, wanted) ELSE seen END, batch_id, ok FROM (
+  SELECT *, now <= 3 AND list_max(map_values(wanted)) <= 1 AS ok FROM (
+   SELECT b.hr, b.i, b.batch_id, f.used, f.seen, f.used + CAST(list_sum(list_transform(b.us, lambda e: e.n)) AS BIGINT) AS now,
+    map_from_entries(list_transform(b.us, lambda e: {'k': e.u, 'v': e.n + coalesce(f.seen[e.u], 0)})) AS wanted
+   FROM fold f JOIN batches b ON b.hr = f.hr AND b.i = f.i + 1)))""").replace("WITH ", "WITH RECURSIVE ", 1)
 _COOL = _MATCHES + """,
 keyed AS (SELECT *, dense_rank() OVER (ORDER BY channel, team, repeat_key) AS g, row_number() OVER (PARTITION BY channel, team, repeat_key ORDER BY event_time, event_id) AS n FROM m WHERE cooldown > 0),
 nx AS (SELECT a.g, a.n, min(b.n) AS nxt FROM keyed a JOIN keyed b ON a.g = b.g AND b.event_time >= a.event_time + to_seconds(a.cooldown) GROUP BY 1, 2),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.bodies import json_events, scratch
 from catalog.common import AS_OF, DAYS, audit, flat, sql, table
 from catalog.prompts import PROMPTS_CTE, prompts
-from catalog.state import ANOMALY, CHANNELS, ORACLES as STATE, browser_events
+from catalog.state import ANOMALY, CHANNELS, QUOTAS, ORACLES as STATE, browser_events
 from catalog.usage import ORACLES as USAGE
 from veilkit import defaults
 from veilkit.plans import usage as U
@@ -16,6 +16,7 @@ from veilkit.sources.event_audit import audit_from_events
 from veilkit.streaming import alerts as AL
 from veilkit.streaming import guard as G
 from veilkit.streaming import ingest as IN
+from veilkit.streaming import quotas as QS
 from veilkit.streaming import sessions as SS
 
 
@@ -62,6 +63,19 @@ def cooldown(s, d):
     return rows.select(F.col("event_id").cast("bigint").alias("event_id"), "channel", "sent", "suppressed")
 
 
+def quota_decisions(s, d):
+    """Requests in three parts by time, the stream started anew after each: the same decisions as the replay's."""
+    folder = scratch(s)
+    QS.keep_state_in_rocksdb(s)
+    rows = audit(s, d).filter("action <> 'block'").select("event_id", "event_time", "team", "prompt_tokens", "completion_tokens", "est_cost_usd")
+    for days in ("day(event_time) <= 9", "day(event_time) BETWEEN 10 AND 20", "day(event_time) > 20"):
+        rows.filter(days).write.mode("append").parquet(f"{folder}/in")
+        stream = s.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        IN.append(QS.quota_stream(stream, QUOTAS), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    out = s.read.parquet(f"{folder}/out")
+    return out.select(F.col("event_id").cast("bigint").alias("event_id"), "minute_count", "quota_kind", "quota_limit", "quota_used")
+
+
 def sessions(s, d):
     """Purchases with the latest view of the same user within half an hour, from two streams. Both end with an
     event long after all others, which lets the watermark pass every purchase."""
@@ -149,11 +163,11 @@ def guarded_stream(s, d):
     chunks = prompts(s, d).select(F.col("event_id").cast("string").alias("request_id"), F.lit("text-0").alias("block"), F.expr(
         "explode(array(named_struct('seq', 0, 'delta', substr(answer, 1, 9), 'closed', false), named_struct('seq', 1, 'delta', substr(answer, 10, 17), 'closed', false), "
         "named_struct('seq', 2, 'delta', substr(answer, 27), 'closed', true)))").alias("c")).select("request_id", "block", "c.*")
-    for n in range(3):  # one folder per round; files arrive in order
-        chunks.filter(F.col("seq") == n).coalesce(1).write.mode("append").parquet(f"{folder}/chunks")
-    stream = s.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/chunks")
-    G.guard_stream(stream, guard_requests(s, d), defaults.policy(), defaults.SCAN, out_path=f"{folder}/out", state_path=f"{folder}/state",
-                   checkpoint=f"{folder}/checkpoint").awaitTermination()
+    for n in range(3):  # a round for each third of the texts; the stream goes on from its checkpoint
+        chunks.filter(F.col("seq") == n).write.mode("append").parquet(f"{folder}/chunks")
+        stream = s.readStream.schema(chunks.schema).parquet(f"{folder}/chunks")
+        G.guard_stream(stream, guard_requests(s, d), defaults.policy(), defaults.SCAN, out_path=f"{folder}/out", state_path=f"{folder}/state",
+                       checkpoint=f"{folder}/checkpoint").awaitTermination()
     pieces = s.read.parquet(f"{folder}/out")
     whole = G.assemble(pieces.select("request_id", "block", F.col("batch").alias("seq"), F.col("out").alias("delta")), ("request_id", "block"))
     return whole.select(F.col("request_id").cast("bigint").alias("event_id"), F.col("text").alias("out"))
@@ -168,6 +182,7 @@ QUERIES = {
     "c16_guard_stream": guarded_stream,
     "c18_sse_assemble": assembled,
     "f2_anomaly_stream": anomaly,
+    "f4_f5_quota_stream": quota_decisions,
     "f9_cooldown_stream": cooldown,
     "f12_session_stream": sessions,
     "f13_browser_stream": browser,
@@ -187,6 +202,7 @@ ORACLES = {
     "c16_guard_stream": sql(f"SELECT event_id, {_CLEAN} AS out FROM prompts", PROMPTS_CTE),
     "c18_sse_assemble": sql("SELECT event_id, CASE event_id % 3 WHEN 1 THEN 'text-0-0' ELSE 'text-0' END AS block, answer AS text FROM prompts", PROMPTS_CTE),
     "f2_anomaly_stream": STATE["f2_alert_events"].replace("""SELECT event_id, "user", 'anomali:' || signal AS rules, 'Anomali""", """SELECT event_id, "user", signal FROM (SELECT event_id, "user", signal, 'Anomali""", 1) + ")",
+    "f4_f5_quota_stream": STATE["f4_f5_quota_replay"],
     "f9_cooldown_stream": STATE["f9_cooldown"],
     "f12_session_stream": """SELECT a.event_id, CASE WHEN r.ts >= a.ts - INTERVAL 1800 SECOND THEN r.event_id END AS request_id
  FROM (SELECT * FROM events WHERE event_type = 'purchase') a ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY 1, 2) r

@@ -4,9 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.common import (AS_OF, DAYS, EXT_UNMASKED, HAS_SECRET, MS, WINDOW, audit, flat, label_sql, provider_sql, sql)
+from catalog.common import (AS_OF, DAYS, EXT_UNMASKED, HAS_SECRET, MS, WINDOW, audit, flat, label_sql, provider_sql, scratch, sql)
+from veilkit.plans import daily_states as DS
 from veilkit.plans import usage as U
 
+OPEN_SINCE = "2024-01-27 00:00:00"
+_STORED: dict[tuple, str] = {}
+
+
+def states(s, d):
+    """The window's states: the days before OPEN_SINCE stored in two runs, each with the users that were new then, the
+    rest from the audit. Stored once a session and folder."""
+    key, rows = (s.sparkContext.applicationId, d), audit(s, d)
+    if key not in _STORED:
+        folder, users = scratch(s), None
+        for lo, hi in (("2024-01-01 00:00:00", "2024-01-11 00:00:00"), ("2024-01-11 00:00:00", OPEN_SINCE)):
+            part = rows.filter((F.col("event_time") >= U.ntz(lo)) & (F.col("event_time") < U.ntz(hi)))
+            DS.number_users(part, users).write.mode("append").parquet(f"{folder}/numbers")
+            users = s.read.parquet(f"{folder}/numbers")
+            DS.write_days(part, users, f"{folder}/states")
+        DS.number_users(rows, users).write.mode("append").parquet(f"{folder}/numbers")
+        _STORED[key] = folder
+    folder = _STORED[key]
+    return DS.States(s, f"{folder}/states", rows, s.read.parquet(f"{folder}/numbers"), AS_OF, DAYS)
+
 QUERIES = {
     "e1_usage_summary": lambda s, d: U.summary(audit(s, d), AS_OF, DAYS),
     "e2_usage_daily": lambda s, d: U.daily(audit(s, d), AS_OF, DAYS),
@@ -32,6 +53,15 @@ QUERIES = {
         .select("event_id", "event_time", "user", "team", "model", "action", "prompt_sha256", "same_requests",
                 "same_users", "same_first_seen")),
     "e13_same_prompts": lambda s, d: flat(U.same_prompts(audit(s, d), AS_OF)),
+    "e1_summary_from_days": lambda s, d: states(s, d).summary(),
+    "e2_daily_from_days": lambda s, d: states(s, d).daily(),
+    "e3_by_team_from_days": lambda s, d: states(s, d).by_team(),
+    "e4_by_model_from_days": lambda s, d: states(s, d).by_model(),
+    "e5_entities_from_days": lambda s, d: states(s, d).entities(),
+    "e6_rules_from_days": lambda s, d: states(s, d).rules(),
+    "e7_by_format_from_days": lambda s, d: states(s, d).by_format(),
+    "e8_top_users_from_days": lambda s, d: states(s, d).top_users(),
+    "e9_users_from_days": lambda s, d: states(s, d).distinct_users("team", "model"),
     "e31_team_transfer": lambda s, d: U.team_transfer(audit(s, d), AS_OF, DAYS),
 }
 
@@ -128,3 +158,7 @@ SELECT prompt_sha256, count(*) AS requests, count(DISTINCT "user") AS users, str
 SELECT team, entity, {n("action='mask'", "masked")}, {n("action='block'", "blocked")}
  FROM (SELECT *, unnest(entities) AS entity FROM audit WHERE {WINDOW} AND destination='external') GROUP BY 1, 2"""),
 }
+for _name, _twin in {"e1_summary": "e1_usage_summary", "e2_daily": "e2_usage_daily", "e3_by_team": "e3_usage_by_team", "e4_by_model": "e4_usage_by_model", "e5_entities": "e5_usage_entities",
+                     "e6_rules": "e6_usage_rules", "e7_by_format": "e7_usage_by_format", "e8_top_users": "e8_usage_top_users"}.items():
+    ORACLES[f"{_name}_from_days"] = ORACLES[_twin]
+ORACLES["e9_users_from_days"] = sql(f'SELECT team, model, count(DISTINCT "user") AS users FROM audit WHERE {WINDOW} GROUP BY 1, 2')
