@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 18
-SEEN, PAIRS = 200_000, 2_000_000
+SEEN, PAIRS = 500_000, 2_000_000
 NEVER = 1 << 60
 ROWS = 256
 
