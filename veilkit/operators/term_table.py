@@ -52,7 +52,8 @@ def _bitmap(values: DataFrame) -> DataFrame:
 
 
 def _in(bitmap: str, value: str) -> str:
-    return let("at", f"pmod(xxhash64({value}), {PLACES})", f"getbit(get({bitmap}, cast(shiftright(at, 6) as int)), cast(at & 63 as int)) = 1")
+    at = f"pmod(xxhash64({value}), {PLACES})"  # twice is cheaper than a binding
+    return f"getbit(get({bitmap}, cast(shiftright({at}, 6) as int)), cast({at} & 63 as int)) = 1"
 
 
 def _spans(text: str, case_sensitive: bool, has_first: bool, salt: str | None, original: bool) -> str:
@@ -76,8 +77,11 @@ def _spans(text: str, case_sensitive: bool, has_first: bool, salt: str | None, o
                        f"transform(found, m -> named_struct('start', {start}, 'end', {end}, 'key', m.key))") + ")")
     firsts = let("firsts", f"filter(sequence(0, size(u) - 1), i -> {starts})",
                  f"if(size(firsts) = 0, {none}, " + let("norm", "transform(u, x -> if(x rlike '^(?U)\\\\s', ' ', x))", placed) + ")")
-    units = f"regexp_extract_all({fold('n.text', case_sensitive)}, {literal(UNITS)}, 0)"
-    return f"if({text} IS NULL, {none}, " + let("n", normalized(text), let("u", units, f"if(size(u) = 0, {none}, {firsts})")) + ")"
+    matched = let("u", f"regexp_extract_all(folded, {literal(UNITS)}, 0)", f"if(size(u) = 0, {none}, {firsts})")
+    if has_first:  # most texts hold no word that a term starts with: their distinct words tell
+        words = f"exists(array_distinct(split(folded, '(?U)[\\\\W_]+')), w -> {_in('_firsts', 'w')})"
+        matched = f"if(_wordy AND NOT {words}, {none}, {matched})"
+    return f"if({text} IS NULL, {none}, " + let("n", normalized(text), let("folded", fold("n.text", case_sensitive), matched)) + ")"
 
 
 def _leftmost(group: pd.DataFrame) -> dict:
@@ -105,6 +109,7 @@ def term_findings(texts: DataFrame, table: DataFrame, *, id_col: str, text_col:
         index = {"_keys": _bitmap(own.select("key")), "_sizes": own.agg(F.array_sort(F.collect_set("units")))}
         if salt is None:
             index["_firsts"] = _bitmap(own.select("first"))
+            index["_wordy"] = own.agg(F.bool_and(F.expr("first rlike '(?U)^[^\\\\W_]+$'")))
         rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).withColumns({name: df.scalar() for name, df in index.items()})
         spans = F.expr(pinned(_spans("_text", case_sensitive, salt is None, salt, original)))
         found = rows.select("id", F.explode_outer(spans).alias("m")).filter("m IS NOT NULL").select("id", "m.*")
