@@ -56,6 +56,15 @@ def test_anomaly_stream_equals_batch_over_several_batches(spark, tmp_path):
     assert got == want and len(want) > 10
 
 
+def test_users_that_share_a_part_of_the_state_are_counted_apart(spark, tmp_path):
+    rnd = random.Random(8)
+    config = {"window_minutes": 60, "thresholds": {"blocked": 2, "subjects": 3}}
+    events = [event(i, i * 30, user=f"u{rnd.randint(0, 9)}", action=rnd.choice(["block", "allow"]), subject_hashes=rnd.sample("abcdefgh", 2)) for i in range(300)]
+    want = {(r.event_id, r.user, r.signal, r["count"]) for r in AN.alerts(spark.createDataFrame(events, EVENT), config).collect()}
+    rows = AL.anomaly_stream(in_files(spark, events, EVENT, f"{tmp_path}/in", 5), config, parts=1)
+    assert {(int(r.event_id), r.user, r.signal, r["count"]) for r in drained(rows, spark, tmp_path)} == want and len(want) > 10
+
+
 def test_cooldown_stream_equals_one_event_after_another(spark, tmp_path):
     rnd = random.Random(9)
     events = [event(i, i * 45, action="block", team=rnd.choice("ab"), rules=rnd.choice([[], ["x"]])) for i in range(200)]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilkit import fixed
 from veilkit.functions import predicates as P
+from veilkit.functions.arrays import pinned
 from veilkit.functions.globs import literal
 from veilkit.operators.policy import effective_action
 
@@ -47,9 +48,9 @@ def slot(minutes: int) -> Column:
 def event_signals(events: DataFrame) -> DataFrame:
     """One row per (event, signal); subjects carry their hashes."""
     subjects = "if(size(subject_hashes) > 0 AND destination = 'external' AND action <> 'block', subject_hashes, NULL)"
-    rows = events.withColumn("_signals", F.expr(
+    rows = events.withColumn("_signals", F.expr(pinned(
         f"concat(transform({signals_sql()}, s -> named_struct('signal', s, 'hashes', cast(NULL AS array<string>))), "
-        f"if({subjects} IS NULL, array(), array(named_struct('signal', 'subjects', 'hashes', {subjects}))))"))
+        f"if({subjects} IS NULL, array(), array(named_struct('signal', 'subjects', 'hashes', {subjects}))))")))
     return rows.select("event_id", "event_time", "user", "team", F.inline("_signals"))
 
 

@@ -15,6 +15,7 @@ from veilkit.functions import predicates as P
 from veilkit.streaming.ingest import WATERMARK
 
 KEEP_DAYS = 30
+STATE_PARTS = 256  # parts of the users that share a window's state
 
 
 def _timed(rows: DataFrame, watermark: str) -> DataFrame:
@@ -25,45 +26,50 @@ def _timed(rows: DataFrame, watermark: str) -> DataFrame:
             .withColumn("event_id", F.col("event_id").cast("string")).withWatermark("at", watermark))
 
 
-def anomaly_stream(events: DataFrame, config: Mapping, watermark: str = WATERMARK) -> DataFrame:
+def anomaly_stream(events: DataFrame, config: Mapping, watermark: str = WATERMARK, parts: int = STATE_PARTS) -> DataFrame:
     """One alert per (user, signal, window) when its count or its distinct subjects reach the threshold.
 
-    State is keyed by the window too, so it is small and times out with it. Events later than the
-    watermark are dropped here and counted by the batch twin.
+    State is keyed by the window, so it times out with it, and by a part of the users: most users have a handful of
+    events a window, and a Python call for each of them costs far more than the counting. A checkpoint goes on with
+    the `parts` it began with. Events later than the watermark are dropped here and counted by the batch twin.
     """
     check_config(config)
     minutes, thresholds = config.get("window_minutes", 60), dict(config["thresholds"])
     rows = event_signals(events.filter(P.KNOWN_USER).filter("api_format <> 'anomaly'"))
     rows = rows.filter(F.col("signal").isin(list(thresholds))).withColumn("slot", slot(minutes))
-    timed = (_timed(rows, watermark)
-             .select("event_id", "at", "at_us", "user", "signal", F.date_format("slot", "yyyy-MM-dd HH:mm:ss").alias("slot"), "hashes"))
+    timed = (_timed(rows, watermark).withColumn("part", F.pmod(F.xxhash64("user"), F.lit(parts)))
+             .select("event_id", "at", "at_us", "user", "signal", F.date_format("slot", "yyyy-MM-dd HH:mm:ss").alias("slot"), "hashes", "part"))
 
     def count(key, groups: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        user, signal, window = key
+        window = key[0]
         if state.hasTimedOut:
             state.remove()
             return
-        seen, fired, known = state.get if state.exists else (0, False, [])
-        out, known = [], set(known)
-        for event in pd.concat(list(groups)).sort_values(["at_us", "event_id"]).itertuples():
-            if fired:
-                break
+        held = {(u, s): [n, f, set(k)] for u, s, n, f, k in zip(*state.get)} if state.exists else {}
+        events, out = pd.concat(list(groups)).sort_values(["at_us", "event_id"]), []
+        for event_id, user, signal, hashes in zip(events["event_id"], events["user"], events["signal"], events["hashes"]):
+            one = held.setdefault((user, signal), [0, False, set()])
+            if one[1]:
+                continue
             if signal == "subjects":
-                known.update(event.hashes)
-                seen = len(known)
+                one[2].update(hashes)
+                one[0] = len(one[2])
             else:
-                seen += 1
-            if seen >= thresholds[signal]:
-                fired = True
-                out.append((event.event_id, user, signal, window, seen))
-        state.update((seen, fired, [] if fired else sorted(known)))
+                one[0] += 1
+            if one[0] >= thresholds[signal]:
+                one[1], one[2] = True, set()
+                out.append((event_id, user, signal, window, one[0]))
+        state.update(([u for u, _ in held], [s for _, s in held], [n for n, _, _ in held.values()], [f for _, f, _ in held.values()],
+                      [sorted(k) for _, _, k in held.values()]))
         end = pd.Timestamp(window, tz="UTC") + pd.Timedelta(minutes=minutes)
         state.setTimeoutTimestamp(max(int(end.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["event_id", "user", "signal", "slot", "count"])
+        if out:
+            yield pd.DataFrame(out, columns=["event_id", "user", "signal", "slot", "count"])
 
-    return timed.groupBy("user", "signal", "slot").applyInPandasWithState(
+    return timed.groupBy("slot", "part").applyInPandasWithState(
         count, "event_id string, user string, signal string, slot string, count bigint",
-        "seen bigint, fired boolean, known array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+        "users array<string>, signals array<string>, seen array<bigint>, fired array<boolean>, known array<array<string>>",
+        "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def cooldown_stream(events: DataFrame, channels, watermark: str = WATERMARK, keep_days: int = KEEP_DAYS) -> DataFrame:
