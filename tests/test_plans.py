@@ -48,6 +48,19 @@ def test_stored_audit_prunes_months(spark, sf, tmp_path):
     assert SA.expired_months(stored, "2027-01-01 00:00:00").count() == 1
 
 
+def test_a_busy_month_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(60_000).repartition(6).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' AS event_time", "concat('t', id % 7) AS team", "sha2(cast(id AS string), 256) AS action", "202401 AS month")
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(name, "200kb")
+    try:
+        SA.write_audit(rows, f"{tmp_path}/a")
+    finally:
+        spark.conf.unset(name)
+    files = [[(r.team, r.action) for r in spark.read.parquet(str(f)).collect()] for f in sorted((tmp_path / "a" / "month=202401").glob("*.parquet"))]
+    assert len(files) > 2 and sum(map(len, files)) == 60_000 and all(f == sorted(f) for f in files)
+
+
 def test_examples_limit_groups_before_the_shuffle(spark, sf):
     from veilkit.plans import evaluation as E
     assert "WindowGroupLimit" in plan(E.examples(audit(spark, sf), AS_OF, DAYS))

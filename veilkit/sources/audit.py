@@ -64,10 +64,12 @@ def _bloom(writer: DataFrameWriter, column: str, distinct: int) -> DataFrameWrit
 
 def write_audit(audit: DataFrame, path: str, *, mode: str = "append", files_per_month: int = 1, rows_expected: int = BLOOM_ROWS) -> None:
     """Parquet by month, sorted by (team, action, event_time) so row-group statistics prune, with Bloom filters on
-    event_id, which the order says nothing about. Rows are spread over `files_per_month` writers per month: a busy
-    month must not land in one task."""
+    event_id, which the order says nothing about. Rows are spread over `files_per_month` writers per month, and a
+    writer that got more than a partition's advisory size is split: a busy month must not land in one task."""
     salt = F.pmod(F.xxhash64("event_id"), F.lit(files_per_month))
-    (_bloom(audit.repartition("month", salt).sortWithinPartitions("team", "action", "event_time").write.mode(mode), "event_id", rows_expected)
+    dealt = audit.withColumn("_writer", salt).hint("rebalance", "month", "_writer").drop("_writer")
+    # the month leads, so that the writer finds its partitions in order and does not sort again
+    (_bloom(dealt.sortWithinPartitions("month", "team", "action", "event_time").write.mode(mode), "event_id", rows_expected)
      .partitionBy("month").parquet(path))
 
 
