@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.common import audit
+from catalog.common import table
 from veilkit.session import spread
+from veilkit.sources.event_audit import audit_from_events
+
+TASK_ROWS = 20_000  # scanning them takes a task some 10 seconds
 
 _S9 = "cast(100000000 + (user_id % 40) * 20190713 AS varchar(9))"
 _D = [f"cast(substr(s9, {i}, 1) AS int)" for i in range(1, 10)]
@@ -49,7 +52,7 @@ STEPS = [
 def prompts(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """event_id, user, team, teams, model, api_format, text, answer (plus the keys they derive from and
     the identifiers named in `keep`)."""
-    df = spread(audit(spark, sf_dir))
+    df = audit_from_events(spread(table(spark, sf_dir, "events"), TASK_ROWS))
     for step in STEPS:
         df = df.withColumns({name: F.expr(text) for name, text in step.items()})
     return df.select("event_id", "event_time", "user_id", "user", "team", "teams", "model", "api_format", "k", "event_type",

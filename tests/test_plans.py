@@ -61,6 +61,19 @@ def test_a_busy_month_is_written_by_several_tasks(spark, tmp_path):
     assert len(files) > 2 and sum(map(len, files)) == 60_000 and all(f == sorted(f) for f in files)
 
 
+def _events(spark, path, n):
+    spark.range(n).coalesce(1).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 10) AS ts", "id % 90 AS user_id", "'view' AS event_type",
+                                          "1.5D AS value", "concat('{\"k\": ', id % 100, '}') AS props").write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_texts_are_dealt_by_rows(spark, tmp_path):
+    from catalog import prompts as CP
+    n = (spark.sparkContext.defaultParallelism + 2) * CP.TASK_ROWS
+    rows = CP.prompts(spark, _events(spark, tmp_path, n))
+    assert rows.rdd.getNumPartitions() == n // CP.TASK_ROWS and rows.count() == n
+
+
 def test_examples_limit_groups_before_the_shuffle(spark, sf):
     from veilkit.plans import evaluation as E
     assert "WindowGroupLimit" in plan(E.examples(audit(spark, sf), AS_OF, DAYS))

@@ -37,10 +37,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return known
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, task_rows: int | None = None) -> DataFrame:
     """Use every core for CPU-heavy projections: an input of fewer splits than cores (a small file of one
-    row group) is spread out first. Large tables have more splits than that and stay where they are."""
+    row group) is spread out first. Large tables have more splits than that and stay where they are.
+
+    Splits grow with the file and a row group is read by one of them, so where slim rows cost much CPU a caller
+    names the rows a task may get: the number of tasks then grows with the table and none gets longer.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if task_rows is not None:
+        tasks = -(-df.count() // task_rows)  # the footers tell
+        if tasks > cores:
+            return df.repartition(tasks)
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
