@@ -119,3 +119,17 @@ def test_a_given_limit_is_marked(spark):
     df = spark.createDataFrame([(i, bytearray(b), "text/plain", e) for i, (b, e) in enumerate(cases)], "i int, body binary, content_type string, content_encoding string")
     got = B.extract_text(df, limit=10).orderBy("i").collect()
     assert [(r.text, r.unscannable) for r in got] == [("x" * 10, True), ("x" * 10, False)] * 2
+
+
+def test_python_gets_batches_of_limited_bytes_and_a_json_body_once(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    rows = spark.createDataFrame([(1, b'{"a": "ilk metin", "b": "[\\"ikinci metin\\"]"}', "application/json"), (2, b"duz metin", "text/plain"), (3, b"f=%7B%22x%22%3A%22form+metni%22%7D", "application/x-www-form-urlencoded"),
+                                  (4, b'{"t": "satir bir"}\n{"t": "satir iki"}', "application/json")], "id int, body binary, content_type string")
+    out = B.extract_text(rows.withColumn("content_encoding", F.lit("")))
+    assert int(spark.conf.get(name)) <= 1 << 24
+    assert {r.id: r.text for r in out.collect()} == {1: "ilk metin\nikinci metin", 2: "duz metin", 3: "form metni", 4: "satir bir\nsatir iki"}
+    spark.conf.set(name, "1000")
+    B.extract_text(rows.withColumn("content_encoding", F.lit("")))
+    assert spark.conf.get(name) == "1000"
+    spark.conf.unset(name)

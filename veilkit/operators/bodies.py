@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from veilkit import fixed
 from veilkit.operators.flatten import _parsed, leaves
+from veilkit.session import bounded_batches
 
 _SECTION = T.StructType([T.StructField("content_type", T.StringType()), T.StructField("body", T.BinaryType()),
                          T.StructField("bad", T.BooleanType())])
@@ -118,6 +119,7 @@ _JSON = "(contains(s.content_type, 'json') OR ltrim(s.text) rlike '^[{\\\\[]')"
 # JSON scalars on a line of their own: numbers and words carry no text, strings their value
 _SCALAR = ("CASE WHEN c.json rlike '^(-?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?|true|false|null)$' THEN '' "
            "WHEN c.json rlike '^\"([^\"\\\\\\\\]|\\\\\\\\.)*\"$' THEN trim(get_json_object(concat('{\"v\":', c.json, '}'), '$.v')) ELSE c.raw END")
+_NONE = "cast(NULL AS array<string>)"
 
 
 def extract_text(df: DataFrame, *, body: str = "body", content_type: str = "content_type",
@@ -127,6 +129,7 @@ def extract_text(df: DataFrame, *, body: str = "body", content_type: str = "cont
     Bodies are read whole. A caller that fears small compressed bodies of enormous content gives a `limit` in
     decoded bytes; what a body holds beyond it is not read, and the row is unscannable.
     """
+    bounded_batches(df.sparkSession)
     data, kind = F.col(body).cast("binary"), F.lower(F.coalesce(F.col(content_type), F.lit("")))
     packing = F.lower(F.trim(F.coalesce(F.col(encoding), F.lit(""))))
     plain = packing.isin("", "identity") & ~kind.contains("multipart/")
@@ -141,20 +144,20 @@ def extract_text(df: DataFrame, *, body: str = "body", content_type: str = "cont
         .withColumn("_sections", F.coalesce("_packed", own)).drop("_packed")
         .withColumn("_sections", F.expr("transform(_sections, s -> named_struct('content_type', s.content_type, 'bad', s.bad, "
                                         "'empty', octet_length(s.body) = 0, 'text', make_valid_utf8(cast(s.body AS string))))"))
-        .withColumn("_whole", _json_texts(F.col("_sections.text")))
-        # candidates in order: the JSON text to open and what stands for it when it is none
+        .withColumn("_whole", _json_texts(F.expr(f"transform(_sections, s -> if(NOT {_FORM} AND {_JSON}, s.text, NULL))")))
+        # candidates in order: the JSON text to open and what stands for it when it is none, or the texts of a section opened above
         .withColumn("_cand", F.expr(f"""flatten(transform(_sections, (s, i) -> CASE
             WHEN {_FORM} THEN transform(filter(split(s.text, '&'), p -> contains(p, '=') AND substr(p, instr(p, '=') + 1) <> ''),
                 p -> transform(array(replace(substr(p, instr(p, '=') + 1), '+', ' ')),
-                    v -> named_struct('json', trim(coalesce(try_url_decode(v), v)), 'raw', trim(coalesce(try_url_decode(v), v)), 'form', true))[0])
-            WHEN {_JSON} AND _whole[i] IS NOT NULL THEN array(named_struct('json', s.text, 'raw', '', 'form', false))
+                    v -> named_struct('json', trim(coalesce(try_url_decode(v), v)), 'raw', trim(coalesce(try_url_decode(v), v)), 'form', true, 'texts', {_NONE}))[0])
+            WHEN {_JSON} AND _whole[i] IS NOT NULL THEN array(named_struct('json', cast(NULL AS string), 'raw', '', 'form', false, 'texts', _whole[i]))
             WHEN {_JSON} THEN transform(filter(split(s.text, '\\r\\n|\\n|\\r'), x -> trim(x) <> ''),
-                x -> named_struct('json', trim(if(startswith(x, 'data:'), substr(x, 6), x)), 'raw', trim(x), 'form', false))
-            WHEN s.content_type = '' OR {_IS_TEXT} THEN array(named_struct('json', cast(NULL AS string), 'raw', s.text, 'form', true))
-            ELSE cast(array() AS array<struct<json:string,raw:string,form:boolean>>) END))"""))
+                x -> named_struct('json', trim(if(startswith(x, 'data:'), substr(x, 6), x)), 'raw', trim(x), 'form', false, 'texts', {_NONE}))
+            WHEN s.content_type = '' OR {_IS_TEXT} THEN array(named_struct('json', cast(NULL AS string), 'raw', s.text, 'form', true, 'texts', {_NONE}))
+            ELSE cast(array() AS array<struct<json:string,raw:string,form:boolean,texts:array<string>>>) END))"""))
         .withColumn("_open", _json_texts(F.col("_cand.json")))
     )
-    texts = (f"flatten(transform(_cand, (c, i) -> CASE WHEN _open[i] IS NOT NULL THEN _open[i] WHEN c.form THEN array(c.raw) "
+    texts = (f"flatten(transform(_cand, (c, i) -> CASE WHEN c.texts IS NOT NULL THEN c.texts WHEN _open[i] IS NOT NULL THEN _open[i] WHEN c.form THEN array(c.raw) "
              f"ELSE array({_SCALAR}) END))")
     short = f"(x <> '' AND (length(x) >= {fixed.MIN_BODY_STRING} OR size(_cand) = 1))"
     broken = "length(s.text) - length(replace(s.text, '\ufffd', '')) > length(s.text) div 10"

@@ -7,6 +7,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 16 << 20
+
 
 def build_session(app: str = "veilkit", cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
     spark = (
@@ -56,3 +58,12 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder so lost executors do not cost a rescan."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Python gets Arrow batches of limited bytes: by rows alone, a batch of large bodies has no bound. A smaller limit
+    that is set stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.conf.get(name, None)
+    if size is None or not size.isdigit() or not 0 < int(size) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
