@@ -4,20 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.common import (AS_OF, DAYS, EXT_UNMASKED, HAS_SECRET, MS, WINDOW, audit, flat, label_sql, provider_sql, scratch, sql)
+from catalog.common import (AS_OF, DAYS, EXT_UNMASKED, HAS_SECRET, MS, WINDOW, audit, flat, label_sql, provider_sql, scratch, sql, table)
 from veilkit.plans import daily_states as DS
 from veilkit.plans import usage as U
+from veilkit.session import spread
+from veilkit.sources.event_audit import audit_from_events
 
+FILE_ROWS = 200_000
 OPEN_SINCE = "2024-01-27 00:00:00"
 _STORED: dict[tuple, str] = {}
 
 
 def states(s, d):
     """The window's states: the days before OPEN_SINCE stored in two runs, each with the users that were new then, the
-    rest from the audit. Stored once a session and folder."""
-    key, rows = (s.sparkContext.applicationId, d), audit(s, d)
+    rest from the audit. Stored once a session and folder, as are the events in files of like size: they are read for every
+    state, and a table in few row groups would be read by as few tasks each time."""
+    key = (s.sparkContext.applicationId, d)
     if key not in _STORED:
         folder, users = scratch(s), None
+        spread(table(s, d, "events"), FILE_ROWS).write.parquet(f"{folder}/events")
+        rows = audit_from_events(s.read.parquet(f"{folder}/events"))
         for lo, hi in (("2024-01-01 00:00:00", "2024-01-11 00:00:00"), ("2024-01-11 00:00:00", OPEN_SINCE)):
             part = rows.filter((F.col("event_time") >= U.ntz(lo)) & (F.col("event_time") < U.ntz(hi)))
             DS.number_users(part, users).write.mode("append").parquet(f"{folder}/numbers")
@@ -26,6 +32,7 @@ def states(s, d):
         DS.number_users(rows, users).write.mode("append").parquet(f"{folder}/numbers")
         _STORED[key] = folder
     folder = _STORED[key]
+    rows = audit_from_events(s.read.parquet(f"{folder}/events"))
     return DS.States(s, f"{folder}/states", rows, s.read.parquet(f"{folder}/numbers"), AS_OF, DAYS)
 
 QUERIES = {

@@ -74,6 +74,16 @@ def test_texts_are_dealt_by_rows(spark, tmp_path):
     assert rows.rdd.getNumPartitions() == n // CP.TASK_ROWS and rows.count() == n
 
 
+def test_states_are_made_from_events_in_files_of_like_size(spark, tmp_path):
+    from catalog import usage as CU
+    d = _events(spark, tmp_path, 5_000)
+    found = {(r.team, r.model): r.users for r in CU.QUERIES["e9_users_from_days"](spark, d).collect()}
+    want = audit(spark, d).groupBy("team", "model").agg(F.countDistinct("user").alias("users")).collect()
+    assert found == {(r.team, r.model): r.users for r in want}
+    stored = spark.read.parquet(f"{CU._STORED[spark.sparkContext.applicationId, d]}/events")
+    assert len(stored.inputFiles()) >= spark.sparkContext.defaultParallelism
+
+
 def test_examples_limit_groups_before_the_shuffle(spark, sf):
     from veilkit.plans import evaluation as E
     assert "WindowGroupLimit" in plan(E.examples(audit(spark, sf), AS_OF, DAYS))
