@@ -83,13 +83,14 @@ def surrogates(s, d):
 def surrogate_round_trip(s, d):
     """Masked with surrogates, numbers respelled by the model, then unmasked."""
     source = prompts(s, d).select("event_id", "user_id", F.translate("text", "\u200b", "").alias("text"))
-    rows = S.with_findings(source, defaults.SCAN)
+    rows = materialize(S.with_findings(source, defaults.SCAN))  # what follows reads each of these more than once
     found = materialize(M.finding_values(rows, SCOPE, "event_id"))
-    table = SG.assign_surrogates(M.assign_placeholders(found, SCOPE), SCOPE, KEY)
+    table = materialize(SG.assign_surrogates(M.assign_placeholders(found, SCOPE), SCOPE, KEY))
     texts = M.mask_texts(rows.drop("findings"), M.replacements(found, table, SCOPE), SCOPE, "event_id")
     respelled = texts.withColumn("reply", F.regexp_replace("masked", r"(\d{3}) (\d{2}) (\d{2})", "$1-$2.$3"))
+    respelled = materialize(respelled.drop("masked", "text"))
     plain = M.unmask(respelled, table, SCOPE, ["event_id"], text="reply", into="step")
-    back = M.unmask_surrogates(plain.drop("masked", "reply", "text"), table, SCOPE, ["event_id"], text="step")
+    back = M.unmask_surrogates(materialize(plain.drop("reply")), table, SCOPE, ["event_id"], text="step")
     return back.select("event_id", "unmasked")
 
 

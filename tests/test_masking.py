@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,3 +111,57 @@ def test_parts_may_have_any_id(spark):
     plain = {r.canon: r.n for r in M.assign_placeholders(df.withColumnRenamed("at", "part"), ["scope"]).collect()}
     uuids = df.withColumn("part", F.format_string("00000000-0000-4000-8000-%012d", "at"))
     assert {r.canon: r.n for r in M.assign_placeholders(uuids, ["scope"], ranges=5).collect()} == plain
+
+
+def _numbers_back(text, numbers):
+    """Plain form: from the left, the longest group of runs joined by single separators that is a known number."""
+    units, out, i = re.findall("[0-9A-Za-z]+|[^0-9A-Za-z]", text), [], 0
+    while i < len(units):
+        best = None
+        if re.match("[0-9A-Za-z]", units[i]):
+            group = ""
+            for j in range(i, len(units), 2):
+                if not re.match("[0-9A-Za-z]", units[j]) or (j > i and units[j - 1] not in " .-"):
+                    break
+                group += units[j].upper()
+                if 5 <= len(group) <= 26 and group in numbers:
+                    best = j, numbers[group]
+        out.append(best[1] if best else units[i])
+        i = best[0] + 1 if best else i + 1
+    return "".join(out)
+
+
+def test_numbers_in_any_spelling_come_back_and_few_groups_are_joined(spark):
+    rnd = random.Random(11)
+    numbers = {"".join(rnd.choices("ABC123", k=n)): f"<{i}-{n}>" for i in range(6) for n in (5, 6, 11, 25, 26)} | {"A" * 26: "<a>", "12345": "<n>"}
+    texts = ["", " ", "x" * 5000, " ".join("A" * 26), " ".join("A" * 25) + " AB", "-".join("A" * 27)]
+    for _ in range(300):
+        words = []
+        for _ in range(rnd.randint(1, 12)):
+            w = rnd.choice([*numbers, "12345", "söz", "kayıt", "A" * rnd.randint(1, 30), str(rnd.randint(0, 99999))])
+            w = "".join(c + (rnd.choice(" .-") if rnd.random() < 0.3 else "") for c in w) if rnd.random() < 0.6 else w
+            words.append(w.lower() if rnd.random() < 0.3 else w)
+        texts.append("".join(w + rnd.choice([" ", ".", "-", "  ", ", ", "\n", "ş"]) for w in words))
+    vault = spark.createDataFrame([(1, k, v) for k, v in numbers.items()] + [(1, "[TCKN_1]", "x"), (2, "ABABA", "other scope")], "scope int, placeholder string, original string")
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "scope int, part int, text string")
+    got = {r.part: r.unmasked for r in M.unmask_surrogates(df, vault, ["scope"], ["part"]).collect()}
+    assert got == {i: _numbers_back(t, numbers) for i, t in enumerate(texts)}
+    known = vault.filter("scope = 1 AND placeholder <> '[TCKN_1]'").selectExpr("placeholder AS canon")
+    groups = M._number_groups(df.select("part", "text"), "text", known).collect()
+    assert groups and {g.canon for g in groups} <= set(numbers)
+
+
+def test_rows_that_share_a_key_get_their_own_numbers_back(spark):
+    vault = spark.createDataFrame([(1, "11111", "bir"), (1, "22222", "iki")], "scope int, placeholder string, original string")
+    df = spark.createDataFrame([(1, 7, "a 11111 22222"), (1, 7, "b c 22-222"), (1, None, "11111")], "scope int, part int, text string")
+    assert {r.unmasked for r in M.unmask_surrogates(df, vault, ["scope"], ["part"]).collect()} == {"a bir iki", "b c iki", "11111"}
+
+
+def test_a_vault_is_dealt_by_rows_before_its_surrogates_are_laid_out(spark, monkeypatch):
+    monkeypatch.setattr(SG, "TASK_VALUES", 20)
+    dealt, spread = [], SG.spread
+    monkeypatch.setattr(SG, "spread", lambda *a: dealt.append(spread(*a)) or dealt[-1])
+    vault = spark.range(1_000).coalesce(1).selectExpr("1 AS scope", "'PHONE_TR' AS entity", "cast(5320000000 + id AS string) AS canon", "cast(5320000000 + id AS string) AS original",
+                                                      "id AS n", "concat('[PHONE_TR_', id, ']') AS placeholder")
+    table = SG.assign_surrogates(vault, ["scope"], KEY)
+    assert dealt[0].rdd.getNumPartitions() == 50 and table.filter("startswith(placeholder, '5')").count() > 900

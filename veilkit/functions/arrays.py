@@ -27,7 +27,7 @@ def _blocked(arr: str, zero: str, step: str, inclusive: bool) -> str:
     blocks = f"transform(sequence(0, (size(pa) - 1) div {BLOCK}), pb -> slice(pa, pb * {BLOCK} + 1, {BLOCK}))"
     totals = f"transform(pbs, pb -> aggregate(pb, {zero}, (t, v) -> {step.replace('st.run', 't')}))"
     per_block = f"flatten(transform(pbs, (pb, pi) -> {_scan('pb', 'pstart[pi]', step, inclusive)}))"
-    return let("pa", arr, "if(size(pa) = 0, cast(array() AS array<int>), "
+    return let("pa", arr, f"if(size(pa) <= {BLOCK}, {_scan('pa', zero, step, inclusive)}, "
                + let("pbs", blocks, let("pstart", _scan(totals, zero, step, False), per_block)) + ")")
 
 

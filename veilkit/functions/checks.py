@@ -34,9 +34,10 @@ def _total(arr: str) -> str:
 
 def is_tckn(value: str) -> str:
     """The tenth digit checks seven times the odd places less the even ones, the eleventh checks all ten."""
-    tenth = f"pmod({_total('transform(slice(d, 1, 9), (c, i) -> if(i % 2 = 0, 7 * c, -c))')}, 10)"
-    return let("d", _digit_array(value),
-               f"(size(d) = 11 AND d[0] <> 0 AND d[9] = {tenth} AND d[10] = {_total('slice(d, 1, 10)')} % 10)")
+    place = [f"(n div {10 ** (10 - i)} % 10)" for i in range(11)]
+    tenth = f"pmod(7 * ({' + '.join(place[:9:2])}) - ({' + '.join(place[1:9:2])}), 10)"
+    return let("s", digits(value), "if(length(s) = 11, " + let("n", "cast(s AS bigint)", (
+        f"(n >= {10 ** 10} AND {place[9]} = {tenth} AND {place[10]} = ({' + '.join(place[:10])}) % 10)")) + ", false)")
 
 
 def is_vkn(value: str) -> str:

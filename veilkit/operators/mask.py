@@ -16,10 +16,13 @@ from veilkit.functions.arrays import let
 from veilkit.functions.globs import any_glob, literal
 from veilkit.functions.values import alnum, canonical_value
 from veilkit.operators.ordered import range_buckets, row_numbers
+from veilkit.operators.term_table import bitmap, in_bitmap
 from veilkit.session import materialize
 
 SPANS_TYPE = "array<struct<start:int,end:int,replacement:string>>"
 _DENSE = 64
+_LONGEST = 26  # letters and digits of a number, an IBAN's
+_PLACES = 1 << 24
 
 
 def apply_spans(text: str, spans: str) -> str:
@@ -167,32 +170,43 @@ def unmask(df: DataFrame, vault: DataFrame, scope: Sequence[str], key: Sequence[
     return df.join(found, list(key), "left").withColumn(into, F.expr(rebuilt)).drop("_map")
 
 
+def _number_groups(df: DataFrame, text: str, numbers: DataFrame) -> DataFrame:
+    """(columns of df without the text, i, k, canon): k runs of letters and digits from run i on that single separators
+    join to a value of `numbers`, or to one that shares its place in a bitmap of fixed size.
+
+    One pattern lists what may follow each run; groups are cut from it as rows, where code is generated, and most are left
+    out by the lengths of the numbers and by the bitmap before anything is shuffled. Both come as scalar subqueries.
+    """
+    run = "[0-9A-Za-z]{1,26}+(?![0-9A-Za-z])"
+    chains = f"regexp_extract_all(`{text}`, '(?=((?:{run}(?:[ .\\\\-]{run}){{0,25}})?))[0-9A-Za-z]+', 1)"
+    rows = (df.select(*[c for c in df.columns if c != text], F.posexplode(F.expr(chains)).alias("i", "_c"))
+            # 52 characters hold 27 letters and digits or more, so a group that ends in a cut run is too long
+            .withColumn("_c", F.expr(f"upper(translate(substr(_c, 1, {2 * _LONGEST}), '.-', '  '))")).filter("_c <> ''")
+            .select("*", F.explode(F.expr(f"sequence(1, least({_LONGEST}, 1 + length(_c) - length(replace(_c, ' ', ''))))")).alias("k"))
+            .withColumn("canon", F.expr("replace(substring_index(_c, ' ', k), ' ', '')")).drop("_c"))
+    lengths = numbers.filter(f"length(canon) <= {_LONGEST}").agg(F.bit_or(F.expr("shiftleft(1, length(canon))"))).scalar()
+    known = bitmap(numbers.select("canon"), _PLACES).scalar()
+    return (rows.filter(F.expr(f"length(canon) BETWEEN 5 AND {_LONGEST}")).filter(F.getbit(lengths, F.length("canon")) == 1)
+            .filter(in_bitmap(known, F.col("canon"), _PLACES)))
+
+
 def unmask_surrogates(df: DataFrame, vault: DataFrame, scope: Sequence[str], key: Sequence[str], *, text: str = "text",
                       into: str = "unmasked") -> DataFrame:
     """Surrogates back to originals, also where a number was respelled with single separators.
 
     The text's runs of letters and digits are joined into every group of at most 26 characters; groups
     meet the vault's surrogates by equality, so no pattern is built from a scope's whole vault. The
-    leftmost, then longest group wins.
+    leftmost, then longest group wins. `df` and `vault` are read several times.
     """
-    units = f"regexp_extract_all(`{text}`, '[0-9A-Za-z]+|[^0-9A-Za-z]', 0)"
     used = list(dict.fromkeys([*scope, *key]))
-    staged = df.select(*used, F.expr(units).alias("_u"))
-    longest = 26
-    is_run = "rlike '^[0-9A-Za-z]'"
-    grams = f"""
-      flatten(transform(filter(sequence(0, size(_u) - 1), i -> size(_u) > 0 AND _u[i] {is_run}), i ->
-        filter(transform(sequence(0, {longest - 1}), k -> named_struct('i', i, 'k', 2 * k + 1,
-          'canon', if(i + 2 * k < size(_u)
-              AND NOT exists(sequence(0, k), j -> NOT (_u[i + 2 * j] {is_run}))
-              AND NOT exists(if(k = 0, array(), sequence(0, k - 1)), j -> NOT (_u[i + 2 * j + 1] IN (' ', '.', '-'))),
-              upper(array_join(transform(sequence(0, k), j -> _u[i + 2 * j]), '')), NULL))),
-          g -> length(g.canon) BETWEEN 5 AND {longest})))"""
+    mark = F.xxhash64(F.col(text)).alias("_t")  # rows may share a key: a hit belongs to its own text
     numbers = vault.filter("NOT startswith(placeholder, '[') AND NOT contains(placeholder, '@')")
     numbers = numbers.select(*scope, F.expr(alnum("placeholder")).alias("canon"), "original")
-    hits = (staged.select(*used, F.inline(F.expr(grams))).join(numbers, [*scope, "canon"])
-            .groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("i", F.expr("-k").alias("k"), "original"))).alias("_h")))
-    free = "aggregate(_h, slice(_h, 1, 0), (a, h) -> if(h.i < coalesce(get(a, size(a) - 1).i - get(a, size(a) - 1).k, 0), a, array_append(a, h)))"
+    groups = _number_groups(df.select(*used, mark, F.col(text).alias("_text")), "_text", numbers)
+    hits = (groups.join(numbers, [*scope, "canon"])
+            .groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("i", F.expr("-k").alias("k"), "original", "_t"))).alias("_h")))
+    own = f"filter(_h, h -> h._t = xxhash64(`{text}`))"
+    free = f"aggregate({own}, slice(_h, 1, 0), (a, h) -> if(h.i < coalesce(get(a, size(a) - 1).i - get(a, size(a) - 1).k, 0), a, array_append(a, h)))"
     emails = vault.filter("NOT startswith(placeholder, '[') AND contains(placeholder, '@')").select(
         *scope, F.col("placeholder").alias("_mail"), "original")
     mail_token = literal(fixed.SURROGATE_EMAIL_PREFIX.replace(".", "\\.") + "[0-9a-f]{6}@"
@@ -200,16 +214,21 @@ def unmask_surrogates(df: DataFrame, vault: DataFrame, scope: Sequence[str], key
     mail = (df.select(*used, F.explode(F.expr(f"array_distinct(regexp_extract_all(`{text}`, {mail_token}, 0))")).alias("_mail"))
             .join(emails, [*scope, "_mail"]).groupBy(*key)
             .agg(F.map_from_entries(F.collect_list(F.struct("_mail", "original"))).alias("_mails")))
-    rebuilt = (f"array_join(transform(_u, (x, i) -> CASE WHEN exists(_f, h -> h.i = i) THEN "
-               "filter(_f, h -> h.i = i)[0].original WHEN exists(_f, h -> h.i < i AND i < h.i - h.k) THEN '' ELSE x END), '')")
-    numbered = (df.join(hits, list(key), "left").withColumn("_u", F.expr(units))
+    # cut before each run: a piece is a run and what follows it, the first may have no run
+    pieces = f"split(`{text}`, '(?<![0-9A-Za-z])(?=[0-9A-Za-z])', -1)"
+    at = f"j - if(`{text}` rlike '^[0-9A-Za-z]', 0, 1)"
+    put = ("if(h IS NULL, x, concat(if(r = h.i, coalesce(h.original, ''), ''), "
+           "if(r = h.i - h.k - 1, regexp_replace(x, '^[0-9A-Za-z]+', ''), '')))")
+    placed = let("r", at, let("h", "get(filter(_f, h -> h.i <= r AND r < h.i - h.k), 0)", put))
+    rebuilt = f"array_join(transform({pieces}, (x, j) -> {placed}), '')"
+    numbered = (df.join(hits, list(key), "left")
                 .withColumn("_f", F.expr(f"if(_h IS NULL, NULL, {free})"))
                 .withColumn("_n", F.expr(f"if(_h IS NULL, `{text}`, {rebuilt})")))
     split_mail = f"split(regexp_replace(_n, {mail_token}, '\\u0001$0\\u0001'), '\\u0001', -1)"
     return (numbered.join(mail, list(key), "left")
             .withColumn(into, F.expr(f"if(_mails IS NULL, _n, array_join(transform({split_mail}, (p, i) -> "
                                      "if(i % 2 = 1, coalesce(_mails[p], p), p)), ''))"))
-            .drop("_h", "_u", "_f", "_n", "_mails"))
+            .drop("_h", "_f", "_n", "_mails"))
 
 
 def partial_holdback(text: str, *, placeholders: bool = True, tokens: bool = True) -> Column:

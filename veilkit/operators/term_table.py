@@ -42,12 +42,13 @@ def hashed(hashes: DataFrame) -> DataFrame:
                          F.col("units").cast("int").alias("units")).distinct()
 
 
-def _bitmap(values: DataFrame) -> DataFrame:
-    """One row with PLACES bits: those at the hashed places of a string column are set."""
-    place = F.pmod(F.xxhash64(F.col(values.columns[0])), F.lit(PLACES)).alias("place")
+def bitmap(values: DataFrame, places: int | None = None) -> DataFrame:
+    """One row with as many bits as `places` (PLACES if none are given): those at the hashed places of a string column are set."""
+    places = places or PLACES
+    place = F.pmod(F.xxhash64(F.col(values.columns[0])), F.lit(places)).alias("place")
     words = (values.select(place).groupBy(F.shiftright("place", 6).alias("word"))
              .agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")))
-    every = values.sparkSession.range(PLACES >> 6).withColumnRenamed("id", "word").join(words, "word", "left")
+    every = values.sparkSession.range(places >> 6).withColumnRenamed("id", "word").join(words, "word", "left")
     return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).cast("bigint").alias("bits")))), lambda x: x["bits"]))
 
 
@@ -56,6 +57,12 @@ def _in(bitmap: str, value: str) -> str:
     return f"getbit(get({bitmap}, cast(shiftright({at}, 6) as int)), cast({at} & 63 as int)) = 1"
 
 
+def in_bitmap(bits: Column, value: Column, places: int) -> Column:
+    """The same test of a column, outside a higher-order function."""
+    at = F.pmod(F.xxhash64(value), F.lit(places))
+    return F.getbit(F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def _spans(text: str, case_sensitive: bool, has_first: bool, salt: str | None, original: bool) -> str:
     """array<struct<start,end,key>> of the word groups that both bitmaps know."""
     group = "array_join(slice(norm, i + 1, k), '')"
@@ -106,9 +113,9 @@ def term_findings(texts: DataFrame, table: DataFrame, *, id_col: str, text_col:
         own = table.filter(F.col("case_sensitive") == case_sensitive)
         if own.isEmpty():
             continue
-        index = {"_keys": _bitmap(own.select("key")), "_sizes": own.agg(F.array_sort(F.collect_set("units")))}
+        index = {"_keys": bitmap(own.select("key")), "_sizes": own.agg(F.array_sort(F.collect_set("units")))}
         if salt is None:
-            index["_firsts"] = _bitmap(own.select("first"))
+            index["_firsts"] = bitmap(own.select("first"))
             index["_wordy"] = own.agg(F.bool_and(F.expr("first rlike '(?U)^[^\\\\W_]+$'")))
         rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).withColumns({name: df.scalar() for name, df in index.items()})
         spans = F.expr(pinned(_spans("_text", case_sensitive, salt is None, salt, original)))
