@@ -133,3 +133,27 @@ def test_python_gets_batches_of_limited_bytes_and_a_json_body_once(spark):
     B.extract_text(rows.withColumn("content_encoding", F.lit("")))
     assert spark.conf.get(name) == "1000"
     spark.conf.unset(name)
+
+
+def test_windows_are_scanned_only_where_their_findings_are_read(spark):
+    from veilkit import defaults
+    from veilkit.operators import parts as PT
+    rows = spark.createDataFrame([(1, ["no 100000001", "46 x"], "u"), (2, [], "u"), (3, ["TC 10000000146", None], "u")], "id int, t array<string>, role string")
+    rows = PT.analyze_parts(rows.selectExpr("id", "transform(t, x -> named_struct('role', role, 'text', x)) AS parts"), defaults.SCAN)
+
+    def scans(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("aws_secret_access_key")
+
+    assert scans(rows) == 2 * scans(rows.drop("findings")) > 0
+    got = {r.id: ([[f.start for f in x] for x in r.part_findings], [(f.entity, f.start, f.end) for f in r.findings]) for r in rows.collect()}
+    assert got == {1: ([[], []], []), 2: ([], []), 3: ([[3], []], [("TCKN", 3, 14)])}
+    assert {r.id: [[f.start for f in x] for x in r.part_findings] for r in rows.drop("findings").collect()} == {i: p for i, (p, _) in got.items()}
+
+
+def test_leaves_of_deep_and_odd_json(spark):
+    deep = "[" * 400 + '"son"' + "]" * 400
+    rows = [(1, deep), (2, '{"a/b": {"~": [1, true, null, 1.5, "x"]}, "": "y"}'), (3, "7"), (4, "{"), (5, None), (6, "[]")]
+    got = {r.id: r.l for r in spark.createDataFrame(rows, "id int, body string").select("id", FL.json_leaves("body").alias("l")).collect()}
+    assert [(x.path, x.value) for x in got[1]] == [("/0" * 400, "son")] and got[6] == []
+    assert [(x.path, x.kind, x.value) for x in got[2]] == [("/a~1b/~0/0", "int", "1"), ("/a~1b/~0/4", "string", "x"), ("/", "string", "y")]
+    assert got[3] is None and got[4] is None and got[5] is None

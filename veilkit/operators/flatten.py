@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,21 +38,37 @@ def _escaped(key: str) -> str:
 
 def leaves(value) -> Iterator[tuple[str, str, str, str, str]]:
     """(pointer, shape, role of the enclosing message, kind, value) of every scalar, in document order."""
-    stack = [("", "", "", value)]
-    while stack:
-        path, shape, role, node = stack.pop()
-        if isinstance(node, dict):
-            depth = path.count("/")
-            if depth <= 2 and isinstance(node.get("role"), str):
-                role = node["role"]
-            shape += _note(node) if path else ""
-            stack += [(f"{path}/{_escaped(k)}", f"{shape}/{_escaped(k)}", role, v) for k, v in reversed(node.items())]
-        elif isinstance(node, list):
-            stack += [(f"{path}/{i}", f"{shape}/{i}", role, v) for i, v in reversed(list(enumerate(node)))]
-        elif isinstance(node, str):
-            yield path, shape, role, "string", node
-        elif isinstance(node, int) and not isinstance(node, bool):
-            yield path, shape, role, "int", str(node)
+    held: list[tuple] = []  # the objects and lists around the current place: what is left of each, path, shape, role
+
+    def enter(node, path: str, shape: str, role: str) -> None:
+        if type(node) is list:
+            held.append((enumerate(node), path, shape, role))
+            return
+        if len(held) <= 2 and isinstance(node.get("role"), str):
+            role = node["role"]
+        if path:
+            shape += _note(node) if "type" in node or "source" in node else "{}"
+        held.append((iter(node.items()), path, shape, role))
+
+    if type(value) in (dict, list):
+        enter(value, "", "", "")
+    elif type(value) in (str, int):
+        yield "", "", "", "string" if type(value) is str else "int", str(value)
+    while held:
+        rest, path, shape, role = held[-1]
+        for k, node in rest:
+            if type(k) is str and ("~" in k or "/" in k):
+                k = _escaped(k)
+            kind = type(node)
+            if kind is str:
+                yield f"{path}/{k}", f"{shape}/{k}", role, "string", node
+            elif kind is dict or kind is list:
+                enter(node, f"{path}/{k}", f"{shape}/{k}", role)
+                break
+            elif kind is int:
+                yield f"{path}/{k}", f"{shape}/{k}", role, "int", str(node)
+        else:
+            held.pop()
 
 
 def _parsed(text: str | None):
@@ -62,14 +78,29 @@ def _parsed(text: str | None):
         return None
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(LEAF_TYPE)))
-def _json_leaves(texts: pd.Series) -> pd.Series:
-    """Per row an array of texts; per text its leaves, or NULL when it is no JSON object or list."""
-    def one(text):
-        value = _parsed(text)
-        return list(leaves(value)) if isinstance(value, (dict, list)) else None
+_LEAF_NAMES = [field.name for field in LEAF_TYPE]
 
-    return texts.map(lambda row: None if row is None else [one(t) for t in row])
+
+@F.arrow_udf(T.ArrayType(T.ArrayType(LEAF_TYPE)))
+def _json_leaves(texts: pa.Array) -> pa.Array:
+    """Per row an array of texts; per text its leaves, or NULL when it is no JSON object or list. The result is put together
+    from flat columns: nested rows would be turned one by one."""
+    rows, ends, columns = [0], [0], [[] for _ in _LEAF_NAMES]
+    no_row, no_leaves, cells = [], [], [x.append for x in columns]
+    for row in texts.to_pylist():
+        no_row.append(row is None)
+        for text in row or ():
+            value = _parsed(text)
+            found = isinstance(value, (dict, list))
+            no_leaves.append(not found)
+            for leaf in leaves(value) if found else ():
+                for cell, x in zip(cells, leaf):
+                    cell(x)
+            ends.append(len(columns[0]))
+        rows.append(len(no_leaves))
+    flat = pa.StructArray.from_arrays([pa.array(x, pa.string()) for x in columns], _LEAF_NAMES)
+    each = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array(no_leaves, pa.bool_()))
+    return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), each, mask=pa.array(no_row, pa.bool_()))
 
 
 def json_leaves(body: str) -> Column:
@@ -249,8 +280,8 @@ def _put(value, pointer: str, text: str):
     value[int(last) if isinstance(value, list) else last] = text
 
 
-@F.pandas_udf(T.StringType())
-def _rebuild(bodies: pd.Series, paths: pd.Series, texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def _rebuild(bodies: pa.Array, paths: pa.Array, texts: pa.Array) -> pa.Array:
     """The body with the texts put back at their pointers (`outer#inner` reaches into JSON text)."""
     def one(body, pointers, values):
         value = _parsed(body)
@@ -271,7 +302,7 @@ def _rebuild(bodies: pd.Series, paths: pd.Series, texts: pd.Series) -> pd.Series
             _put(value, outer, json.dumps(inside, ensure_ascii=False))
         return json.dumps(value, ensure_ascii=False)
 
-    return pd.Series([one(*row) for row in zip(bodies, paths, texts)], dtype=object)
+    return pa.array([one(*row) for row in zip(bodies.to_pylist(), paths.to_pylist(), texts.to_pylist())], pa.string())
 
 
 def rebuild(body: str, parts: str, texts: str) -> Column:

@@ -43,24 +43,24 @@ _INSIDE = "((f.start <= u.cut AND u.cut < f.end) OR (f.start >= u.lo AND f.end <
 
 def analyze_parts(df: DataFrame, config: ScanConfig = ScanConfig(), parts: str = "parts") -> DataFrame:
     """For rows that carry an array of parts (with a `text` field): adds `part_findings`, one findings
-    array per part, and `findings`, those of the parts joined by newlines. Nothing is shuffled."""
+    array per part, and `findings`, those of the parts joined by newlines. Nothing is shuffled. Only `findings` reads
+    the scan of the windows: where a job uses the parts' own findings alone, Spark leaves that column out."""
     texts = f"transform(`{parts}`, p -> coalesce(p.text, ''))"
-    whole = "transform(_texts, (x, i) -> named_struct('text', x, 'base', _starts[i], 'cut', -1, 'lo', 0, 'hi', 0))"
     edges = ("if(size(_texts) < 2, array(), transform(filter(sequence(1, size(_texts) - 1), "
              "i -> _texts[i - 1] <> '' AND _texts[i] <> ''), "
              f"i -> {_edge_unit('_texts[i - 1]', 'length(_texts[i - 1])', '_texts[i]', 'length(_texts[i])', '_starts[i]')}))")
-    spans = (f"concat(flatten(transform(slice(_found, 1, size(_texts)), (fs, i) -> transform(fs, (f, j) -> "
-             f"{_SPAN.format(f='f', u='_units[i]', rec='0', o='j')}))), "
-             "if(size(_units) = size(_texts), array(), flatten(transform(sequence(size(_texts), size(_units) - 1), "
-             f"n -> {let('u', '_units[n]', 'transform(filter(_found[n], f -> ' + _INSIDE + '), (f, j) -> ' + _SPAN.format(f='f', u='u', rec='n', o='j') + ')')}))))")
+    inside = (f"transform(part_findings, (fs, i) -> transform(fs, (f, j) -> named_struct('start', f.start + _starts[i], "
+              "'end', f.end + _starts[i], 'score', f.score, 'rec', 0, 'ord', j, 'entity', f.entity)))")
+    over = (f"transform(_found, (fs, n) -> {let('u', '_units[n]', 'transform(filter(fs, f -> ' + _INSIDE + '), (f, j) -> ' + _SPAN.format(f='f', u='u', rec='n + 1', o='j') + ')')})")
+    spans = f"concat(flatten({inside}), flatten({over}))"
     combined = (f"transform({resolve_overlaps(spans, by_score=False)}, x -> named_struct('entity', x.entity, "
                 "'start', x.start, 'end', x.end, 'score', x.score))")
     return (
         df.withColumn("_texts", F.expr(texts))
         .withColumn("_starts", F.expr(running_sum("transform(_texts, x -> length(x) + 1)")))
-        .withColumn("_units", F.expr(f"concat({whole}, {edges})"))
+        .withColumn("_units", F.expr(edges))
+        .withColumn("part_findings", F.expr(pinned(f"transform(_texts, x -> {findings_sql('x', config)})")))
         .withColumn("_found", F.expr(pinned(f"transform(_units, u -> {findings_sql('u.text', config)})")))
-        .withColumn("part_findings", F.expr("slice(_found, 1, size(_texts))"))
         .withColumn("findings", F.expr(combined))
         .drop("_texts", "_starts", "_units", "_found")
     )
